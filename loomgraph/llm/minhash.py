@@ -20,7 +20,6 @@ from .common import Prefix, components, identified, list_array, mix, seeded, sli
 WORDS, PERCENT = 5, 80
 #: 20 bands of 4 values (40 permutations): a pair at 0.8 is missed with probability 2.7e-5.
 BANDS, ROWS = 20, 4
-
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -121,6 +120,36 @@ def confirm(words: int, percent: int):
     return work
 
 
+def shingle_lists(words: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = utf8(b.column(1))
+            for i, j in slices(offsets):
+                sets, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), list_array(sets.view(np.int64), at, pa.int64())], names=["doc_id", "shingles"])
+
+    return work
+
+
+def prefix_pairs(texts: DataFrame, placed: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can reach the threshold, by prefix filtering.
+
+    Sets of n shingles that overlap enough share one of their n - ceil(t*n) + 1 rarest.  What differs
+    between the texts of a group is rare, so its texts meet only where they may be alike enough; no
+    pair at the threshold is lost."""
+    one = texts.mapInArrow(shingle_lists(words), "doc_id long, shingles array<long>").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = one.groupBy("s").agg(F.count("*").alias("c"))
+    ranked = one.join(often, "s").groupBy("doc_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "s"))).alias("by"))
+    length = F.expr(f"int(n - ceil({percent} * n / 100) + 1)")
+    prefix = ranked.select(F.col("doc_id").alias("rep"), "n", F.posexplode(F.slice("by", 1, length)).alias("at", "x")).where("x.c > 1")
+    prefix = staged(prefix.join(placed, "rep").select("rep", "n", "component_id", "at", F.col("x.s").alias("s")), "prefix")
+    other = prefix.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("component_id").alias("c2"), F.col("at").alias("at2"), "s")
+    # At the first shingle in common, what follows it must make up the least overlap.
+    enough = f"least(n - at, n2 - at2) * {100 + percent} >= {percent} * (n + n2)"
+    met = prefix.join(other, "s").where("rep > b and component_id <> c2").where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)").where(enough)
+    return met.select(F.col("rep").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
@@ -129,18 +158,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     a repeated row gives a row each time.  Extra columns are ignored; an empty table gives no rows.
 
     Equal sets are one class before any pairing.  In each band bucket all classes are compared with
-    the smallest one; buckets that still hold several components then have only the pairs between
-    different components compared, so a bucket of thousands of copies costs a row a copy and no
-    link between components is lost."""
+    the one that has most company.  The classes of buckets that this leaves in several components are
+    compared by a prefix filter, which loses no pair at the threshold; so a bucket of thousands of
+    copies costs a few rows a copy."""
     docs = identified(docs).where("doc_id is not null")
     signed = staged(docs.mapInArrow(signatures(words, bands, rows), SIGNED), "signed")
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = signed.join(classes, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "bands")
     of_reps = member.where("doc_id = rep and n_shingles > 0").dropDuplicates(["doc_id"])
     banded = of_reps.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    least = banded.groupBy("key").agg(F.min(F.struct("rep", "n_shingles")).alias("lo"), F.count("*").alias("c")).where("c > 1")
-    shared = staged(banded.join(least, "key").select("key", "rep", "n_shingles", F.col("lo.rep").alias("lo"), F.col("lo.n_shingles").alias("lo_n"), "c"), "shared")
-    close = f"100 * least(n_shingles, lo_n) >= {percent} * greatest(n_shingles, lo_n)"
+    sizes = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = staged(banded.join(sizes, "key"), "shared")
     candidates = shared.select(F.col("rep").alias("doc_id")).distinct()
     texts = staged(docs.join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
@@ -149,17 +177,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm(words, percent), "a long, b long")
 
-    stars = shared.where("rep <> lo").where(close).select(F.col("rep").alias("a"), F.col("lo").alias("b")).distinct()
+    # A class's score is the company it has over all buckets: the origin of a group of copies is met by
+    # most of them, so the best of each bucket is compared with all others first.
+    score = shared.groupBy("rep").agg(F.sum("c").alias("score"))
+    best = F.max(F.struct("score", (-F.col("rep")).alias("minus"), F.col("n_shingles").alias("n2")))
+    pivots = shared.join(score, "rep").groupBy("key").agg(best.alias("p")).select("key", (-F.col("p.minus")).alias("other"), "p.n2")
+    close = f"100 * least(n_shingles, n2) >= {percent} * greatest(n_shingles, n2)"
+    met = shared.join(pivots, "key").where("rep <> other").where(close)
+    stars = staged(met.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct(), "pairs")
     links = staged(linked(stars), "links")
-    known = components(links)
-    # Buckets of three or more classes that the stars left in several components.
-    placed = shared.where("c > 2").join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
+    joined = components(links)
+    # Buckets of three or more classes that this left in several components.
+    placed = shared.where("c > 2").join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
     mixed = placed.groupBy("key").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x <> y").select("key")
-    open_ = staged(placed.join(mixed, "key").where("rep <> lo").select("key", "rep", "n_shingles", "component_id"), "open")
-    other = open_.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("lo_n"), F.col("component_id").alias("c2"))
-    rest = open_.join(other, "key").where("rep > b and component_id <> c2").where(close).select(F.col("rep").alias("a"), "b").distinct()
-    found = staged(linked(rest.join(stars, ["a", "b"], "left_anti")), "links")
-    joined = components(links.union(found)) if found.limit(1).count() else known
+    open_ = staged(placed.join(mixed, "key", "left_semi").select("rep", "component_id").distinct(), "open")
+    pairs = prefix_pairs(texts.join(open_.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), open_, words, percent)
+    found = staged(linked(pairs.join(stars, ["a", "b"], "left_anti")), "links")
+    if found.limit(1).count():
+        joined = components(links.union(found))
     joined = joined.withColumnRenamed("id", "rep")
     out = member.select("doc_id", "n_shingles", "rep").join(joined, "rep", "left")
     component = F.coalesce("component_id", "rep")
