@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .chunks import op7_substring_dedup
+from .langid import op6_language_id
 from .minhash import op3_minhash_near_dedup
+from .pieces import op9_sentencepiece
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op3_minhash_near_dedup, op7_substring_dedup)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op3_minhash_near_dedup, op6_language_id, op7_substring_dedup, op9_sentencepiece)}
 ORACLES: dict[str, str] = {}
