@@ -26,12 +26,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (A-Z lowered; words are runs without white space), and each document's first word."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE, stem: int = 0) -> tuple[np.ndarray, ...]:
+    """Hash of each word (A-Z lowered; words are runs of bytes not in `between`), and each document's first word; with
+    `stem`, also the hash of each word's first bytes."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.uint64)
+        return (none, np.zeros(len(offsets), np.int64), *([none] if stem else []))
     data = LOWER[data]
-    inside = ~SPACE[data]
+    inside = ~between[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     edge = offsets[:-1][np.diff(offsets) > 0]
@@ -42,7 +44,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     stop[edge] = True
     stops = np.append(np.flatnonzero(stop), len(data))
     ends = stops[np.searchsorted(stops, starts, "right")]
-    return Prefix(data)(starts, ends), np.searchsorted(starts, offsets)
+    of = Prefix(data)
+    return (of(starts, ends), np.searchsorted(starts, offsets), *([of(starts, np.minimum(starts + stem, ends))] if stem else []))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:

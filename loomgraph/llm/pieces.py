@@ -23,7 +23,7 @@ MARK = "▁".encode()
 #: Added to the least score of a piece for each byte of a fallback character.
 FALLBACK = -10.0
 #: Bytes encoded in one step.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 3 << 19
 
 
 @dataclass
@@ -60,7 +60,7 @@ def double_array(pieces: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np
     base, check, piece = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
     free = np.ones(size, bool)
     free[0] = False
-    place, low = {0: 0}, 1
+    place, low, several = {0: 0}, 1, 1
     for node, own in enumerate(children):
         s = place[node]
         piece[s] = final[node]
@@ -69,8 +69,10 @@ def double_array(pieces: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np
         keys = np.fromiter(own, np.int64)
         while not free[low]:
             low += 1
-        start = max(1, low - int(keys.min()))
-        span = 1 if len(keys) == 1 and free[start + keys[0]] else 64
+        start = max(1, low - int(keys.min()))  # one child fills the first gap; several go on where the last did
+        span = 1
+        if len(keys) > 1 or not free[start + keys[0]]:
+            start, span = max(start, several), 64
         while True:
             if start + 1024 > size:
                 base, check, piece, free = (np.append(x, np.full(size, v, x.dtype)) for x, v in ((base, 0), (check, -1), (piece, -1), (free, True)))
@@ -82,6 +84,7 @@ def double_array(pieces: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np
                 break
             start += span
             span = 512
+        several = max(several, at - 64) if len(keys) > 1 else several
         base[s] = at
         for b, child in own.items():
             free[at + b] = False
