@@ -132,7 +132,7 @@ def dedup_substrings(docs: DataFrame, mean: int = MEAN_CHUNK, min_run: int = MIN
     docs = identified(docs)
     rows = docs.mapInArrow(chunk_rows(mean), REPEAT_ROWS)
     later = repeats(rows, firsts=False)
-    marks = later.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("marks"))
+    marks = later.groupBy("doc_id").agg(F.collect_set(F.col("pos").cast("int")).alias("marks"))
     return docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(remove_chunks(mean, min_run), RESULT)
 
 

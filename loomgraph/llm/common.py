@@ -140,27 +140,27 @@ class Prefix:
 
 # ------------------------------------------------------------------- repeats
 
-REPEAT_ROWS = "key long, h1 long, h2 int, doc_id long, pos int, known boolean"
-REPEATS = "doc_id long, pos int, first boolean"
+REPEAT_ROWS = "key long, h1 long, h2 int, doc_id long, pos long, known boolean"
+REPEATS = "h1 long, doc_id long, pos long"
 
 
-def rows_of_batch(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+def rows_of_batch(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, pos: np.ndarray, sure: np.ndarray | None = None) -> pa.RecordBatch:
     """REPEAT_ROWS of what one batch holds.  The least (doc, pos) of each digest stands for the
     batch; its other rows are known repeats and go to a place of their own (key), so a hot digest
-    sends one row a batch to its group."""
+    sends one row a batch to its group.  Rows that are `sure` are known to repeat by themselves."""
+    sure = np.zeros(len(h1), bool) if sure is None else sure
     by = np.lexsort((pos, doc, h2, h1))
-    h1, h2, doc, pos = h1[by], h2[by], doc[by], pos[by]
+    h1, h2, doc, pos, sure = h1[by], h2[by], doc[by], pos[by], sure[by]
     own = np.ones(len(h1), bool)  # a place counts once, though its row be repeated
     own[1:] = (h1[1:] != h1[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
-    h1, h2, doc, pos = h1[own], h2[own], doc[own], pos[own]
+    h1, h2, doc, pos, sure = h1[own], h2[own], doc[own], pos[own], sure[own]
     new = np.ones(len(h1), bool)
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
     after = np.append(~new[1:], False)
     key = np.where(new, h1, mix(doc.astype(np.uint64) * np.uint64(BASE) + pos.astype(np.uint64)))
-    known = np.where(new, after, True)
-    kind = np.where(new, h1, 0)
-    # A known repeat that is not its batch's first has h1 = 0 and h2 = -1: it is never compared.
-    columns = [key.view(np.int64), kind.astype(np.uint64).view(np.int64), np.where(new, h2, -1).astype(np.int32), doc, pos.astype(np.int32), known]
+    known = np.where(new, after | sure, True)
+    # A known repeat that is not its batch's first has h2 = -1: it is never compared.
+    columns = [key.view(np.int64), h1.view(np.int64), np.where(new, h2, -1).astype(np.int32), doc, pos, known]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "h1", "h2", "doc_id", "pos", "known"])
 
 
@@ -169,8 +169,8 @@ def _repeats(firsts: bool) -> Callable:
         last: tuple | None = None  # digest, held-back first row
         held = place = None
 
-        def out(doc, pos, first):
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(first, pa.bool_())], names=["doc_id", "pos", "first"])
+        def out(h1, doc, pos):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h1, doc, pos)], names=["h1", "doc_id", "pos"])
 
         for b in batches:
             h1, h2, doc, pos, known = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "doc_id", "pos", "known"))
@@ -189,14 +189,14 @@ def _repeats(firsts: bool) -> Callable:
                 keep[0] = False
             place = (doc[-1], pos[-1])
             if firsts and held is not None and same[0]:
-                yield out([held[0]], [held[1]], [True])
+                yield out(*([x] for x in held))
             # The last group may go on in the next batch; its first row waits if nothing is known of it yet.
             held = None
             if first[-1] and not known[-1]:
-                held = (doc[-1], pos[-1])
+                held = (h1[-1], doc[-1], pos[-1])
             last = (h1[-1], h2[-1]) if real[-1] else None
             if keep.any():
-                yield out(doc[keep], pos[keep], first[keep])
+                yield out(h1[keep], doc[keep], pos[keep])
 
     return work
 

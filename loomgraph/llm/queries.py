@@ -8,6 +8,9 @@ from .chunks import op7_substring_dedup
 from .langid import op6_language_id
 from .minhash import op3_minhash_near_dedup
 from .pieces import op9_sentencepiece
+from .projections import op10_collision_projections
+from .suffixes import op2_suffix_dedup
+from .toxicity import op1_toxicity
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op3_minhash_near_dedup, op6_language_id, op7_substring_dedup, op9_sentencepiece)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_minhash_near_dedup, op6_language_id, op7_substring_dedup, op9_sentencepiece, op10_collision_projections)}
 ORACLES: dict[str, str] = {}
