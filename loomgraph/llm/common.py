@@ -13,8 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch of documents.
+BATCH_ROWS = 2000
 #: Bytes of text that one vectorised step works on; a longer document is a step of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +41,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def identified(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text (and more) alone, so that extra columns can't clash."""
+    """doc_id, text (and more) alone, so that extra columns can't clash.
+
+    Batches handed to Python are kept to BATCH_ROWS, whatever the length of the texts."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 

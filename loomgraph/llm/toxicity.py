@@ -2,7 +2,7 @@
 
 P(grade > k) = sigmoid(w.x - t_k): one weight vector for all ordered thresholds t_1 < t_2 < ...
 Features are the presence of words (and first letters of words) that more toxic than clean documents
-have, chosen by chi-square over all labelled documents; the expected severity is the sum of P(grade > k)."""
+have, chosen by chi-square; the expected severity is the sum of P(grade > k)."""
 
 from __future__ import annotations
 
@@ -132,8 +132,8 @@ def severity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document RESULT, from labels (doc_id, toxic 0/1).
 
     Labels carry no grades, so a toxic document's grade (1, 2 or 3) is the tertile, among toxic ones of
-    the sample, of how many distinct features it has; a clean one's is 0.  Every labelled
-    document counts for the choice of words; the weights see at most about FIT_DOCS of them.
+    the sample, of how many distinct features it has; a clean one's is 0.  Words are chosen and weights
+    fitted on about FIT_DOCS labelled documents at most.
 
     Null and empty texts have no words: the model's least severity.  Rows without a label, or with a
     null one, teach nothing; a doc_id labelled twice counts by its greatest label.  Without any toxic
@@ -142,8 +142,10 @@ def severity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = identified(docs)
     marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = docs.join(marked, "doc_id")
-    size = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    share = min(1.0, FIT_DOCS / max(marked.count(), 1))
+    sample = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    known = docs.join(F.broadcast(sample), "doc_id")  # the sample is bounded, so texts stay where they are read
     chosen, w, theta = np.full(PLACES, -1, np.int32), np.zeros(1), np.array([20.0])
     if len(size) == 2:
         counts = known.select("text", "toxic").mapInArrow(_frequencies, "place long, clean long, toxic long").groupBy("place").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -153,9 +155,8 @@ def severity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         best = counts.withColumn("chi2", chi2).where((F.col("chi2") >= MIN_CHI2) & (F.col("toxic") >= 3) & (F.col("toxic") > F.col("clean"))).orderBy(F.desc("chi2"), "place").limit(MAX_FEATURES)
         best = [r.place for r in best.select("place").collect()]
         chosen[best] = np.arange(len(best))
-        share = min(1.0, FIT_DOCS / total)
-        sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "text", F.col("toxic").alias("grade"))
-        rows = sample.mapInArrow(_features(spark.sparkContext.broadcast(chosen)), "grade int, features array<int>").toArrow()
+        few = known.select("doc_id", "text", F.col("toxic").alias("grade"))
+        rows = few.mapInArrow(_features(spark.sparkContext.broadcast(chosen)), "grade int, features array<int>").toArrow()
         lists = rows.column("features").combine_chunks()
         lens = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
         toxic = rows.column("grade").to_numpy() > 0
