@@ -28,7 +28,11 @@ LENGTH = 100
 #: Bytes of a minimizer; of one that splits the runs of a very common minimizer further; and how common.
 MINIMIZER, FINER, COMMON = 48, 84, 4096
 #: Windows of a run at most, and bytes of text indexed together.
-RUN, INDEX_BYTES = 128, 1 << 17
+RUN, INDEX_BYTES = 128, 1 << 16
+#: Divisions of a window's text about its minimizer by which runs that can't repeat are left out.
+SIDES = 4
+#: Rows of runs gathered before they are indexed.
+GATHER = 16_384
 END = 0  # the symbol before a whole run; text symbols are one more than their byte (UTF-8 has no 0xFF)
 
 
@@ -162,7 +166,7 @@ def build_index(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     order = np.arange(n)
     bwt = np.where(lens > 0, symbols[np.maximum(last, 0)], END).astype(np.uint8)
     lcp = np.zeros(n, np.uint8)
-    row = order.astype(np.int64) * 256
+    row = order.astype(np.int32) * 256
     place = order.copy()  # row of each string's newest suffix
     live = np.flatnonzero(lens > 0)
     j = 0
@@ -196,7 +200,7 @@ def build_index(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         fresh = np.zeros(total, bool)
         fresh[q] = True
         old = ~fresh
-        bwt2, lcp2, row2 = np.empty(total, np.uint8), np.empty(total, np.uint8), np.empty(total, np.int64)
+        bwt2, lcp2, row2 = np.empty(total, np.uint8), np.empty(total, np.uint8), np.empty(total, np.int32)
         bwt2[old], lcp2[old], row2[old] = bwt, lcp, row
         j += 1
         ahead = offsets[1:][live] - 1 - j
@@ -292,6 +296,8 @@ def _index(length: int):
         for b in batches:
             t = pa.Table.from_batches([b])
             rest = t if rest is None else pa.concat_tables([rest, t])
+            if rest.num_rows < GATHER:
+                continue
             key = rest.column("key").to_numpy()
             k = int((key == key[-1]).argmax())
             if k:
@@ -304,9 +310,10 @@ def _index(length: int):
 
 
 def _may_repeat(data: np.ndarray, at: np.ndarray, rows: np.ndarray, length: int) -> np.ndarray:
-    """Which runs can hold a window that repeats.  It holds the run's minimizer and, on one side of it,
-    at least half of what else it has; so that much text on that side repeats too."""
-    side = (length - MINIMIZER + 1) // 2
+    """Which runs can hold a window that repeats.  It holds the run's minimizer, and the rest of it lies
+    on both sides; for one of SIDES divisions of the rest, what they have in common repeats too."""
+    rest = length - MINIMIZER
+    step = -(-rest // SIDES)
     size = np.diff(at)[rows]
     out = np.zeros(len(rows), bool)
     if not len(rows):
@@ -320,10 +327,10 @@ def _may_repeat(data: np.ndarray, at: np.ndarray, rows: np.ndarray, length: int)
     run = np.repeat(np.arange(len(rows)), n)
     hit = h == np.minimum.reduceat(h, np.append(0, np.cumsum(n)[:-1]))[run]
     p, run = where[hit], run[hit]
-    for before in (True, False):
-        ok = p - side >= o[run] if before else p + MINIMIZER + side <= o[run + 1]
-        a = p[ok] - side if before else p[ok]
-        _, which, count = np.unique(of(a, a + MINIMIZER + side), return_inverse=True, return_counts=True)
+    for left in range(0, rest, step):
+        right = max(rest - left - step, 0)
+        ok = (p - left >= o[run]) & (p + MINIMIZER + right <= o[run + 1])
+        _, which, count = np.unique(of(p[ok] - left, p[ok] + MINIMIZER + right), return_inverse=True, return_counts=True)
         out[run[ok][count[which] > 1]] = True
     return out
 
