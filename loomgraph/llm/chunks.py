@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REPEAT_ROWS, SECOND, Prefix, identified, ragged, repeats, rows_of_batch, seeded, slices, text_array, utf8
+from .common import REPEAT_ROWS, SECOND, Prefix, carried, hand_on, identified, ragged, repeats, rows_of_batch, seeded, slices, text_array, utf8
 
 GEAR = (seeded(256, 77) >> np.uint64(32)).astype(np.uint32)
 WINDOW = 32
@@ -81,7 +81,7 @@ def chunk_rows(mean: int = MEAN_CHUNK):
 RESULT = "doc_id long, text string, n_bytes long, n_chunks long, n_duplicates long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_chunks(mean: int = MEAN_CHUNK, min_run: int = MIN_RUN):
+def remove_chunks(mean: int = MEAN_CHUNK, min_run: int = MIN_RUN, keep: tuple[str, ...] = ()):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0)
@@ -113,27 +113,28 @@ def remove_chunks(mean: int = MEAN_CHUNK, min_run: int = MIN_RUN):
                 at = np.append(0, np.cumsum(lengths))
                 raw = kept.tobytes()
                 sha = [hashlib.sha256(raw[at[x] : at[x + 1]]).hexdigest() for x in range(n)]
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [ids.slice(i, n), text, pa.array(np.diff(o)), pa.array(np.diff(first)), pa.array(count(dup * 1.0)), pa.array(removed), pa.array(spans.astype(np.int64)), pa.array(sha, pa.string())],
                     names=[x.split()[0] for x in RESULT.split(", ")],
                 )
+                yield hand_on(out, b, keep, i)
 
     return work
 
 
-def dedup_substrings(docs: DataFrame, mean: int = MEAN_CHUNK, min_run: int = MIN_RUN) -> DataFrame:
-    """Per document RESULT: its text without repeated chunk runs, and their figures.
+def dedup_substrings(docs: DataFrame, mean: int = MEAN_CHUNK, min_run: int = MIN_RUN, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document RESULT: its text without repeated chunk runs, and their figures; and the columns to keep.
 
     Null or empty text: no chunks, nothing removed, empty text kept.  Repeated rows of one doc_id
     count as one document of the doc_id: the same place is never its own duplicate, so both keep
     the text.  Texts of any length are whole; extra columns are ignored; an empty table gives none.
 
     Digests are shuffled, texts once (to meet the marks of their document)."""
-    docs = identified(docs)
-    rows = docs.mapInArrow(chunk_rows(mean), REPEAT_ROWS)
+    docs = identified(docs, *keep)
+    rows = docs.select("doc_id", "text").mapInArrow(chunk_rows(mean), REPEAT_ROWS)
     later = repeats(rows, firsts=False)
     marks = later.groupBy("doc_id").agg(F.collect_set(F.col("pos").cast("int")).alias("marks"))
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(remove_chunks(mean, min_run), RESULT)
+    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks", *keep).mapInArrow(remove_chunks(mean, min_run, keep), RESULT + carried(docs, keep))
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -48,6 +48,17 @@ def identified(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def carried(docs: DataFrame, keep: tuple[str, ...]) -> str:
+    """The schema of columns that an operator hands on as they are."""
+    return "".join(f", `{name}` {docs.schema[name].dataType.simpleString()}" for name in keep)
+
+
+def hand_on(out: pa.RecordBatch, b: pa.RecordBatch, keep: tuple[str, ...], i: int) -> pa.RecordBatch:
+    """out with the kept columns of as many rows of b from row i on."""
+    more = [b.column(b.schema.get_field_index(name)).slice(i, out.num_rows) for name in keep]
+    return pa.RecordBatch.from_arrays([*out.columns, *more], names=[*out.schema.names, *keep])
+
+
 # ---------------------------------------------------------------- Arrow text
 
 

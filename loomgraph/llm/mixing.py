@@ -53,21 +53,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     return cells.drop("held", "total", *[f"share_{m}" for m in MARGINS])
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: str = TOPIC, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: str = TOPIC, rounds: int = ROUNDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, source, lang, topic, n_tokens, weight (its cell's raked tokens over tokens),
-    probability, sampled.
+    probability, sampled, and the columns to keep (as they are in docs, under kept_<name>).
 
     A null source or language is the value 'unknown'; null or empty text has no tokens, and a cell
     without tokens probability 0.  A repeated row is one more document, sampled alike.  Extra columns are
     ignored; an empty table gives no rows.  Two passes over the texts; only cells are shuffled."""
     unknown = F.lit("unknown")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), unknown).alias("source"), F.coalesce(F.col("lang").cast("string"), unknown).alias("lang"), F.col("text").cast("string").alias("text"))
-    base = base.select("doc_id", "source", "lang", F.expr(topic).alias("topic"), F.expr(TOKENS).cast("long").alias("n_tokens"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), unknown).alias("source"), F.coalesce(F.col("lang").cast("string"), unknown).alias("lang"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    base = base.select("doc_id", "source", "lang", F.expr(topic).alias("topic"), F.expr(TOKENS).cast("long").alias("n_tokens"), *[f"kept_{c}" for c in keep])
     cells = base.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     raked = rake(cells, targets, rounds).withColumn("weight", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
     raked = raked.withColumn("probability", F.coalesce(F.col("weight") / F.max("weight").over(Window.partitionBy(F.lit(1))), F.lit(0.0)))
     out = base.join(raked.drop("tokens"), list(MARGINS))
-    return out.select("doc_id", *MARGINS, "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
+    return out.select("doc_id", *MARGINS, "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"), *[f"kept_{c}" for c in keep])
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
