@@ -45,18 +45,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def following(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, next_id): the next document in ascending doc_id, after the last the first.
-
-    Only ids are sorted: by ranges, then within each range; the first of each range follows the last of
-    the one before."""
-    ranged = staged(docs.select("doc_id", "n").repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()), "ids")
-    inside = Window.partitionBy("range").orderBy("doc_id")
-    firsts = ranged.groupBy("range").agg(F.min("doc_id").alias("first"))
-    over = firsts.withColumn("after", F.lead("first").over(Window.orderBy("first")))  # a row for each range
-    least = firsts.agg(F.min("first").alias("least"))
-    ends = over.crossJoin(F.broadcast(least)).select("range", F.coalesce("after", "least").alias("after"))  # one row on the right
-    return ranged.withColumn("next_id", F.lead("doc_id").over(inside)).join(ends, "range").select("doc_id", "n", F.coalesce("next_id", "after").alias("next_id"))
+def with_next(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs (doc_id, text, n) dealt to so many buckets of adjacent ids, each row with the bucket's next
+    document in mind: `late` rows are the first document of the following bucket (after the last: of the
+    first), there to be looked at only."""
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    bucket = F.expr(f"(doc_id - {low or 0}L) div {((high or 0) - (low or 0)) // buckets + 1}L")
+    firsts = docs.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("doc_id"))  # at most `buckets` rows
+    order = Window.orderBy("bucket")
+    to = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy(F.lit(1))))
+    late = docs.join(F.broadcast(firsts.select("doc_id", to.alias("bucket"))), "doc_id")
+    columns = ("bucket", "late", "doc_id", "text", "n")
+    return docs.withColumn("bucket", bucket).withColumn("late", F.lit(0)).select(*columns).union(late.withColumn("late", F.lit(1)).select(*columns))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -71,13 +71,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     if twice:
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
     docs = docs.withColumn("n", F.length("text"))
-    order = following(docs)
-    full = with_signatures(docs, "text", "sigs")
-    # To each document comes, from its next one, the text that the edit needs and the signatures.
-    sent = full.join(order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), F.col("n").alias("n_to")), "doc_id")
-    sent = sent.select(F.col("to").alias("doc_id"), F.expr("substring(text, 1, n_to div 2)").alias("tail"), F.col("sigs").alias("next_sigs"))
-    met = full.join(sent, "doc_id")
-    met = met.withColumn("edited", F.expr("concat(substring(text, 1, cast(n - n div 2 as int)), tail)"))
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = with_signatures(with_next(docs, buckets), "text", "sigs")
+    # Texts are shuffled once, to buckets of some hundred neighbours.
+    inside = Window.partitionBy("bucket").orderBy("late", "doc_id")
+    met = full.withColumn("next_text", F.lead("text").over(inside)).withColumn("next_sigs", F.lead("sigs").over(inside)).where("late = 0")
+    met = met.withColumn("edited", F.expr("concat(substring(text, 1, cast(n - n div 2 as int)), substring(next_text, 1, cast(n div 2 as int)))"))
     met = with_signatures(met, "edited", "edited_sigs")
     return met.select(
         "doc_id",

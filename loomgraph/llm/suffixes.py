@@ -30,7 +30,7 @@ MINIMIZER, FINER, COMMON = 48, 84, 4096
 #: Windows of a run at most, and bytes of text indexed together.
 RUN, INDEX_BYTES = 128, 1 << 16
 #: Divisions of a window's text about its minimizer by which runs that can't repeat are left out.
-SIDES = 4
+SIDES = 8
 #: Rows of runs gathered before they are indexed.
 GATHER = 16_384
 END = 0  # the symbol before a whole run; text symbols are one more than their byte (UTF-8 has no 0xFF)
