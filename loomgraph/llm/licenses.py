@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 
 #: Templates (id, notice).
 TEMPLATES = [
@@ -23,7 +23,7 @@ TEMPLATES = [
 ]
 #: Least cosine of a match; least share of a licence file's characters in its header lines.
 LEAST, FILE_SHARE = 0.6, 0.5
-HEADER = r"(?i)[^\n]*(?:licen[sc]e|copyright|spdx|released under)[^\n]*"
+HEADER = r"(?i)licen[sc]e|copyright|spdx|released under"
 WORD = "[a-z0-9]+"
 SPEAKS = "(lower(text) LIKE '%licen_e%' OR lower(text) LIKE '%copyright%' OR lower(text) LIKE '%spdx%' OR lower(text) LIKE '%released under%')"
 
@@ -46,10 +46,11 @@ def scan(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFr
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     vectors = weights.join(norms, "template").select("template", "w", (F.col("v") / F.col("norm")).alias("v"))
 
-    heads = files.where(SPEAKS).select("doc_id", "path", F.regexp_extract_all("text", F.lit(HEADER), F.lit(0)).alias("lines"), F.length("text").alias("n_chars"))
+    heads = files.where(SPEAKS).select("doc_id", "path", F.filter(F.split("text", "\n"), lambda line: line.rlike(HEADER)).alias("lines"), F.length("text").alias("n_chars"))
     head = F.lower(F.array_join("lines", "\n"))
     share = F.length(F.array_join("lines", "")) / F.col("n_chars") >= FILE_SHARE
     heads = heads.where(F.size("lines") > 0).select("doc_id", "path", share.alias("mostly"), F.explode(F.regexp_extract_all(head, F.lit(WORD), F.lit(0))).alias("w"))
+    heads = staged(heads, "headers")  # read again by each of the joins below, so texts are read once
     key = ["doc_id", "path"]
     counted = heads.groupBy(*key, "mostly", "w").agg(F.count("*").alias("tf"))
     counted = counted.join(df, "w", "left").crossJoin(F.broadcast(n)).withColumn("x", F.col("tf") * F.coalesce("idf", F.log(1.0 + F.col("n")) + 1))
@@ -95,7 +96,7 @@ df AS (SELECT w, ln((1.0 + n) / (1.0 + count(DISTINCT template))) + 1 AS idf FRO
 weights AS (SELECT template, w, tf * idf AS v FROM words JOIN df USING (w)),
 norms AS (SELECT template, sqrt(sum(v * v)) AS norm FROM weights GROUP BY template),
 vectors AS (SELECT template, w, v / norm AS v FROM weights JOIN norms USING (template)),
-heads AS (SELECT doc_id, path, regexp_extract_all(text, '{HEADER}') AS lines, length(text) AS n_chars FROM files WHERE {SPEAKS}),
+heads AS (SELECT doc_id, path, list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '{HEADER}')) AS lines, length(text) AS n_chars FROM files WHERE {SPEAKS}),
 hw AS (SELECT doc_id, path, length(array_to_string(lines, '')) / n_chars >= {FILE_SHARE} AS mostly, unnest(regexp_extract_all(lower(array_to_string(lines, chr(10))), '{WORD}')) AS w FROM heads WHERE len(lines) > 0),
 counted AS (SELECT doc_id, path, mostly, w, count(*) AS tf FROM hw GROUP BY ALL),
 x AS (SELECT doc_id, path, mostly, c.w, tf * coalesce(idf, ln(1.0 + n) + 1) AS x FROM counted c LEFT JOIN df ON c.w = df.w CROSS JOIN n),
