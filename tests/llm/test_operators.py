@@ -1,0 +1,321 @@
+"""The training-data operators against brute force, and on odd tables."""
+
+import hashlib
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomgraph.llm import chunks, langid, licenses, minhash, mixing, pieces, projections, queries, spotsigs, suffixes, toxicity
+from loomgraph.llm.common import Prefix, components
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def prose(seed, n):
+    return " ".join(np.random.default_rng(seed).choice(WORDS, n)) + f" end{seed}"
+
+
+LONG = prose(7, 20000)
+ODD = [(0, None, "en", "s"), (1, "", None, "s"), (2, "  \n ", "en", None), (3, "one", "en", "s"), (4, "123 456", "en", "s"), (5, LONG, "en", "s"), (6, LONG + " tail", "en", "t"), (7, prose(1, 300), "de", "s"), (8, prose(1, 300), "de", "s"), (9, "né ▁ 日本 🙂 " + prose(2, 60), "fr", "s"), (9, "né ▁ 日本 🙂 " + prose(2, 60), "fr", "s")]
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame(ODD, SCHEMA)
+    return df.withColumn("n_chars", F.length("text").cast("long")).withColumn("key", F.lit(1)).withColumn("rep", F.lit("x")).withColumn("n", F.lit(2))
+
+
+def texts(spark, sf_dir):
+    return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+
+
+def one_by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def brute_repeats(rows, length=100):
+    seen, out = {}, {}
+    for i, text in rows:
+        b = (text or "").encode()
+        cover = np.zeros(len(b) + 1, int)
+        for a in range(len(b) - length + 1):
+            w = b[a : a + length]
+            if seen.setdefault(w, (i, a)) != (i, a):
+                cover[a] += 1
+                cover[a + length] -= 1
+        gone = np.cumsum(cover[:-1]) > 0
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        spans = int((gone & ~np.append(False, gone[:-1])).sum()) if len(gone) else 0
+        out[i] = (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_index_is_the_sorted_suffixes():
+    rng = np.random.default_rng(1)
+    for _ in range(10):
+        s = [bytes(rng.integers(97, 100, rng.integers(1, 40)).astype(np.uint8)) for _ in range(rng.integers(1, 12))]
+        offsets = np.append(0, np.cumsum([len(x) for x in s]))
+        bwt, lcp, string, size = suffixes.build_index(np.frombuffer(b"".join(s), np.uint8), offsets)
+        got = [(s[i][len(s[i]) - n :], int(i)) for i, n in zip(string, size, strict=True)]
+        assert got == sorted((x[k:], i) for i, x in enumerate(s) for k in range(len(x) + 1))
+        for a in range(1, len(got)):
+            x, y = got[a - 1][0], got[a][0]
+            n = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+            assert lcp[a] == n
+        assert all((b == 0) == (n == len(s[i])) and (b == 0 or b - 1 == s[i][len(s[i]) - n - 1]) for b, i, n in zip(bwt, string, size, strict=True))
+
+
+def test_suffix_dedup(spark, sf_dir, odd):
+    got = one_by_id(queries.QUERIES["op2_suffix_dedup"](spark, sf_dir))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == brute_repeats(texts(spark, sf_dir))
+    got = one_by_id(suffixes.remove_repeats(odd))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == brute_repeats(sorted({r[0]: r[1] for r in ODD}.items()))
+
+
+def test_suffix_dedup_of_common_and_periodic_text(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "COMMON", 3)
+    line = "Share this very common line of some eighty bytes with all that you know, always!"
+    rows = [(i, prose(i, 30) + line + prose(100 + i, 30)) for i in range(12)] + [(20, "ab" * 400), (21, "ab" * 90 + prose(3, 30)), (22, "a" * 120)]
+    got = one_by_id(suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == brute_repeats(rows)
+
+
+def shingles(text, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def brute_components(sets, percent=80):
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[:x]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in ids}
+
+
+def test_minhash(spark, sf_dir, odd):
+    sets = {i: shingles(t, 2) for i, t in texts(spark, sf_dir)}
+    got = one_by_id(queries.QUERIES["op3_minhash_near_dedup"](spark, sf_dir))
+    want = brute_components(sets)
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s), want[i], want[i] == i) for i, s in sets.items()}
+    got = one_by_id(minhash.near_duplicates(odd))
+    assert {i: r.component_id for i, r in got.items()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9}
+
+
+def test_minhash_group_without_a_common_origin(spark):
+    base = prose(5, 200).split()
+    rows = [(i, " ".join([*base[: 200 - 12 * i], *(f"x{i}y{k}" for k in range(12 * i))])) for i in range(8)] + [(50, " ".join(base[:150]))]
+    sets = {i: shingles(t, 2) for i, t in rows}
+    got = one_by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2))
+    assert {i: r.component_id for i, r in got.items()} == brute_components(sets)
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 200)], "a long, b long")
+    assert {(r.id, r.component_id) for r in components(edges).collect()} == {(i, 1) for i in range(1, 41)} | {(100, 100), (200, 100)}
+
+
+def test_chunks(spark, sf_dir, odd):
+    passage = prose(50, 60)
+    rows = [(1, prose(60, 80) + " " + passage + " " + prose(61, 80)), (2, prose(62, 70) + " x " + passage + " " + prose(63, 90)), (3, prose(64, 150))]
+    got = one_by_id(chunks.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[1].n_removed == got[3].n_removed == 0 and got[1].text == rows[0][1]
+    assert 0.5 * len(passage) < got[2].n_removed <= len(passage) + 2 and got[2].kept_sha256 == hashlib.sha256(got[2].text.encode()).hexdigest()
+    got = one_by_id(chunks.dedup_substrings(odd, keep=("lang",)))
+    assert got[0].text == got[1].text == "" and got[8].text == "" and got[7].text == ODD[7][1] and got[9].text == ODD[9][1] and got[9].lang == "fr"
+    # By hand: the hash of each byte, cuts, digests of whole chunks.
+    digests, removed = set(), {}
+    for i, t in texts(spark, sf_dir):
+        b, h, start, parts = t.encode(), 0, 0, []
+        for k, c in enumerate(b):
+            h = ((h << 1) + int(chunks.GEAR[c])) % 2**32
+            last = k + 1 == len(b)
+            if last or (h >> 27 == 0 and (b[k + 1] & 0xC0) != 0x80):
+                parts.append(b[start : k + 1])
+                start = k + 1
+        flags = []
+        for p in parts:
+            flags.append(p in digests)
+            digests.add(p)
+        total = run = 0
+        for p, f in [*zip(parts, flags, strict=True), (b"", False)]:
+            if f:
+                run += len(p)
+            else:
+                total += run if run >= chunks.MIN_RUN else 0
+                run = 0
+        removed[i] = total
+    assert {i: r.n_removed for i, r in one_by_id(queries.QUERIES["op7_substring_dedup"](spark, sf_dir)).items()} == removed
+
+
+def test_language(spark, sf_dir, odd):
+    got = queries.QUERIES["op6_language_id"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held) and all(0 <= r.score <= 1 for r in got)
+    assert sum(r.rejected for r in got) <= 0.02 * len(got)
+    train = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    r = one_by_id(langid.identify(odd, train))
+    assert [r[i].lang_pred for i in (0, 1, 2, 4)] == ["und"] * 4 and r[0].rejected and r[0].score == 0 and len(r) == 10
+    assert {x.lang_pred for x in langid.identify(odd, train.limit(0)).collect()} == {"und"}
+
+
+def test_language_model_sums_to_one():
+    m = langid.Model(["a"], np.zeros(3, int), np.array([0x0005_0006_0007_0008, 0x0005_0006_0007_0009, 0x0001_0006_0007_0008], np.uint64), np.array([3, 1, 2]))
+    seen = np.array([0x0005_0006_0007_0000 + c for c in (8, 9)], np.uint64)
+    other = np.array([0x0005_0006_0007_0077], np.uint64)
+    p = np.exp(m.log_probabilities(np.concatenate([seen, other]))[:, 0].astype(float))
+    assert abs(p.sum() - 1) < 1e-6 and p[0] > p[1] > p[2] > 0
+
+
+def test_pieces(spark, odd):
+    p = pieces.load()
+    table = {p.data[p.offsets[i] : p.offsets[i + 1]].tobytes(): p.score[i] for i in range(len(p.score)) if not p.is_byte[i] and p.offsets[i + 1] > p.offsets[i]}
+
+    def best(text):
+        b = b" " + text.encode()
+        out = [0.0] + [-1e18] * len(b)
+        for i in range(len(b)):
+            w = 1
+            while i + w < len(b) and (b[i + w] & 0xC0) == 0x80:
+                w += 1
+            out[i + w] = max(out[i + w], out[i] + p.fallback * w)
+            for k in range(1, min(64, len(b) - i) + 1):
+                if b[i : i + k] in table:
+                    out[i + k] = max(out[i + k], out[i] + table[b[i : i + k]])
+        return out[-1]
+
+    samples = ["Hello  world\n x", " ", "a ", "▁ literal ▁x", "naïve 日本語 🙂 émoji\t\ttab", "x" * 300, "  lead"]
+    raw = [s.encode() for s in samples]
+    ids, at = pieces.encode(p, np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
+    for i, s in enumerate(samples):
+        mine = sum(p.fallback if p.is_byte[k] else p.score[k] for k in ids[at[i] : at[i + 1]])
+        assert abs(mine - best(s)) < 1e-6
+    got = pieces.encode_documents(odd)
+    assert got.where("not round_trip").count() == 0 and got.count() == len(ODD)
+    back = one_by_id(pieces.decode_ids(got))
+    assert all(back[i].text == (t or "") for i, t, _, _ in ODD)
+
+
+def test_projections(spark, sf_dir):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((40, 16))
+    rows = [(i, [float(v) for v in x], i % 2) for i, x in enumerate(base)]
+    rows += [(100 + i, [float(v) for v in base[i] + 0.03 * rng.standard_normal(16)], i % 2) for i in range(20)]
+    rows += [(200 + i, rows[5][1], 1) for i in range(30)] + [(300, None, 0), (301, [0.0] * 16, 0), (302, [float("nan")] * 16, 0), (303, [None] * 16, 0), (304, rows[0][1], None), (305, [], 0), (306, [2 * v for v in rows[0][1]], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("key", F.lit(1))
+    good = {i: (np.array(x) / np.linalg.norm(x), y) for i, x, y in rows if x and y is not None and all(v is not None and v == v for v in x) and any(x)}
+    links = {i: {j for j in good if j != i and i in good and good[i][1] == good[j][1] and good[i][0] @ good[j][0] >= 0.98 - 1e-12} for i, _, _ in rows}
+    root = {i: i for i in links}
+    for _ in range(50):
+        root = {i: min([root[i], *(root[j] for j in links[i])]) for i in links}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in projections.near_vectors(df).collect()}
+    assert got == {i: (len(n), root[i], root[i] == i) for i, n in links.items()}
+    assert projections.near_vectors(df.limit(0)).count() == 0
+
+
+def test_toxicity(spark, sf_dir, odd):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    rows = toxicity.severity(docs.where("lang = 'en'"), labels).join(labels, "doc_id").collect()
+    assert sum(r.is_toxic for r in rows if r.toxic) >= 0.9 * sum(r.toxic for r in rows)
+    assert sum(r.is_toxic for r in rows if not r.toxic) <= 0.01 * len(rows)
+    assert all(0 <= r.expected_severity <= 3 for r in rows)
+    assert {r.is_toxic for r in toxicity.severity(odd, labels.limit(0)).collect()} == {False}
+
+
+def test_toxicity_thresholds_are_ordered_and_shared():
+    grade = np.array([0] * 50 + [1] * 10 + [2] * 10 + [3] * 10)
+    rows, cols = np.concatenate([[i] * g for i, g in enumerate(grade) if g]), np.concatenate([np.arange(g) for g in grade if g])
+    w, theta = toxicity.fit(rows, cols, grade, 3)
+    assert (np.diff(theta) > 0).all() and (w > 0).all()
+
+
+def test_licenses_and_mixing_match_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for name in ("op4_license_scan", "op5_mixing"):
+        df = queries.QUERIES[name](spark, sf_dir)
+        want = con.execute(queries.ORACLES[name])
+        columns = [c[0] for c in want.description]
+        assert sorted(map(str, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_licenses_inherit_from_the_nearest_ancestor(spark):
+    mit, gpl = licenses.TEMPLATES[5][1], licenses.TEMPLATES[4][1]
+    rows = [(1, "a/LICENSE", mit), (2, "a/b/c/x.txt", "text"), (3, "a/b/LICENSE", gpl), (4, "a/y.txt", "text"), (5, "z/q.txt", None), (6, None, mit), (7, "a/b/own.txt", "word " * 50 + "\n" + mit), (8, "a/b/z.txt", "")]
+    got = one_by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), spark.createDataFrame(licenses.TEMPLATES, "template string, notice string")))
+    assert {i: (r.licence, r.inherited_from) for i, r in got.items() if i != 6} == {1: ("MIT", None), 2: ("GPL-3.0", "a/b"), 3: ("GPL-3.0", None), 4: ("MIT", "a"), 5: (None, None), 7: ("MIT", None), 8: ("GPL-3.0", "a/b")}
+
+
+def test_mixing_meets_its_targets(spark, odd):
+    cells = spark.createDataFrame([("a", "en", "x", 100), ("a", "de", "y", 300), ("b", "en", "y", 500), ("b", "de", "x", 50)], "source string, lang string, topic string, tokens long")
+    share = lambda *rows: spark.createDataFrame(list(rows), "value string, share double")
+    got = mixing.rake(cells, {"source": share(("a", 0.5), ("b", 0.5)), "lang": share(("en", 0.6), ("de", 0.4)), "topic": share(("x", 0.5), ("y", 0.5))}, rounds=60).collect()
+    for m, v, want in (("source", "a", 475), ("lang", "en", 570), ("topic", "x", 475)):
+        assert abs(sum(r.weight for r in got if r[m] == v) - want) < 1
+    out = one_by_id(mixing.mix(odd))
+    assert out[0].n_tokens == 0 and out[2].source == "unknown" and out[1].lang == "unknown" and len(out) == 10
+
+
+def test_spot_signatures(spark, sf_dir, odd):
+    rows = texts(spark, sf_dir)
+    got = one_by_id(queries.QUERIES["op8_spot_signatures"](spark, sf_dir))
+    stop = set(spotsigs.ANCHORS)
+
+    def chains(text):
+        w = re.sub(r"[\W_]+", " ", text.lower()).split()
+        out = set()
+        for i, x in enumerate(w):
+            if x in stop:
+                out.add(tuple([y for y in w[i + 1 :] if y not in stop][:2]))
+        return out
+
+    for k, (i, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1]
+        e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+        a, b = chains(t), chains(e)
+        if len(a) > 20 and len(b) > 20:
+            assert abs(got[i].near_edited - len(a & b) / len(a | b)) < 0.15
+    by_text = {}
+    for i, t in rows:
+        assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
+    r = one_by_id(spotsigs.fingerprints(odd))
+    assert r[7].fingerprint == r[8].fingerprint and r[0].fingerprint == r[1].fingerprint and r[0].near_next == 1 and len(r) == 10
+    near = {(x.a, x.b) for x in spotsigs.near_documents(spark.createDataFrame([(1, "the cat sat on the mat of a dog"), (2, "the cat sat on the mat of a dog"), (3, "the cat sat on the mat of a dog by a tree and the"), (4, "le chat de la maison")], "doc_id long, text string"), 0.3).collect()}
+    assert near == {(1, 3)}
+
+
+@pytest.mark.parametrize("f", [chunks.dedup_substrings, suffixes.remove_repeats, minhash.near_duplicates, spotsigs.fingerprints, mixing.mix, pieces.encode_documents, lambda d: langid.identify(d, d), lambda d: toxicity.severity(d, d.selectExpr("doc_id", "1 AS toxic"))])
+def test_empty_table(odd, f):
+    assert f(odd.limit(0)).count() == 0
+
+
+def test_hash_of_substrings():
+    d = np.frombuffer(b"abcabcabc", np.uint8)
+    h = Prefix(d)
+    assert h(np.array([0]), np.array([3])) == h(np.array([3]), np.array([6])) != h(np.array([1]), np.array([4]))
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {i: shingles(t, 5) for i, t in texts(spark, sf_dir)}
+    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()]
+    assert sorted(got) == sorted(i for i, c in brute_components(kept).items() if c == i)
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.count() > 0 and out.where("not round_trip").count() == 0 and [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "substring_dedup", "mixing", "encoding"]
