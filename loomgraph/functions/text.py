@@ -69,7 +69,7 @@ def html_text(c: Column) -> Column:
     t = F.regexp_replace(t, r"(?s)<[^>]*>", "")
     for entity, plain in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
         t = F.replace(t, F.lit(entity), F.lit(plain))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def cosine(a: Column, b: Column) -> Column:

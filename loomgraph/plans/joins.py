@@ -48,9 +48,9 @@ def j09_anti_join(spark, d):
     return t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels"), "doc_id", "left_anti")
 
 
-@query("WITH u AS (SELECT l_orderkey AS k, arg_min(l_partkey, l_linenumber) AS p FROM lineitem GROUP BY 1) SELECT o.o_orderkey, coalesce(u.p, -1) AS partkey, CASE WHEN u.p IS NULL THEN 'any' ELSE 'state' END AS layer FROM orders o LEFT JOIN u ON u.k = o.o_orderkey")
+@query("WITH u AS (SELECT l_orderkey AS k, arg_min(l_partkey, l_linenumber * 1000000000000 + l_partkey) AS p FROM lineitem GROUP BY 1) SELECT o.o_orderkey, coalesce(u.p, -1) AS partkey, CASE WHEN u.p IS NULL THEN 'any' ELSE 'state' END AS layer FROM orders o LEFT JOIN u ON u.k = o.o_orderkey")
 def j20_layered_fallback(spark, d):
-    first = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min_by("l_partkey", "l_linenumber").alias("p"))
+    first = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("p"))
     return t(spark, d, "orders").join(first, "o_orderkey", "left").select("o_orderkey", F.coalesce("p", F.lit(-1)).alias("partkey"), F.when(F.col("p").isNull(), "any").otherwise("state").alias("layer"))
 
 
