@@ -172,16 +172,17 @@ def build_index(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     j = 0
     while len(live):
         size = len(bwt)
-        p = place[live]
-        c = bwt[p]
+        newest = np.zeros(size, bool)
+        newest[place[live]] = True
         # Backward search for all rows: a stable sort of the transform.
         by = np.argsort(bwt, kind="stable")
         skip = int(np.count_nonzero(bwt == END))
-        to = np.empty(size, np.int64)
-        to[by] = np.arange(size) - skip + n
-        q = to[p]
+        spot = np.flatnonzero(newest[by])
+        p = by[spot]
+        live = row[p] >> 8  # the strings, now in the order of their new suffixes
+        c = bwt[p]
+        q = spot - skip + n
         # Rows next to it that begin with the same symbol, and the least common prefix between.
-        spot = q - n + skip
         padded = np.append(lcp, np.uint8(0))
         before = by[np.maximum(spot - 1, 0)]
         has_before = (spot > skip) & (bwt[before] == c)
