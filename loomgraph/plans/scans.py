@@ -36,9 +36,9 @@ def s14_input_snapshot(spark, d):
     return t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.size(F.split("text", "\n"))).alias("units"), F.sum("n_chars").alias("chars"))
 
 
-@query("SELECT c_custkey, c_name, 'state_1' AS demo_state_id FROM customer WHERE c_mktsegment = 'BUILDING'")
+@query("SELECT c_custkey, c_name, 'state_1' AS state_id FROM customer WHERE c_mktsegment = 'BUILDING'")
 def s15_snapshot_clone(spark, d):
-    return t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name", F.lit("state_1").alias("demo_state_id"))
+    return t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name", F.lit("state_1").alias("state_id"))
 
 
 @query("SELECT vec_id, label, len(embedding) AS dims, round(CAST(embedding[1] AS DOUBLE), 6) AS first_component FROM embeddings")
