@@ -78,9 +78,3 @@ def x02_hash_sync(spark, d):
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(license|version)') AND lang IN ('en', 'fr')")
 def v12_multi_field_search(spark, d):
     return t(spark, d, "documents").where(F.col("text").rlike("(?i)(license|version)") & F.col("lang").isin("en", "fr")).select("doc_id")
-
-
-@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.doc_id = b.item_id WHERE length(b.text) >= 3")
-def v17_mention_link(spark, d):
-    b = t(spark, d, "benchmark").where("length(text) >= 3").select("item_id")
-    return b.join(t(spark, d, "documents").select("doc_id"), F.col("item_id") == F.col("doc_id"))
