@@ -22,19 +22,21 @@ def j02_alias_join(spark, d):
     return p.select(F.explode(F.split(F.lower("p_type"), " ")).alias("k")).distinct().join(first, "k", "left")
 
 
-@query("WITH refs AS (SELECT o_orderkey AS r, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS k, 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS nm FROM orders WHERE o_orderkey % 20 = 1), hits AS (SELECT r, c_custkey, 1 AS tier FROM refs JOIN customer ON k = c_custkey UNION ALL SELECT r, c_custkey, 2 FROM refs JOIN customer ON nm = c_name) SELECT r, arg_min(c_custkey, tier * 1000000000 + c_custkey) AS c_custkey, min(tier) AS tier FROM hits GROUP BY r")
+@query("WITH refs AS (SELECT o_orderkey AS r, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS k, 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS nm FROM orders), hits AS (SELECT r, c_custkey, 1 AS tier FROM refs JOIN customer ON k = c_custkey UNION ALL SELECT r, c_custkey, 2 FROM refs JOIN customer ON nm = c_name) SELECT r, arg_min(c_custkey, tier * 1000000000 + c_custkey) AS c_custkey, min(tier) AS tier FROM hits GROUP BY r")
 def j04_or_join(spark, d):
-    r = t(spark, d, "orders").where("o_orderkey % 20 = 1").select(F.col("o_orderkey").alias("r"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("k"), F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("nm"))
+    r = t(spark, d, "orders").select(F.col("o_orderkey").alias("r"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("k"), F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("nm"))
     c = t(spark, d, "customer").select("c_custkey", "c_name")
     hits = r.join(c, F.col("k") == F.col("c_custkey")).select("r", "c_custkey", F.lit(1).alias("tier")).union(r.join(c, F.col("nm") == F.col("c_name")).select("r", "c_custkey", F.lit(2)))
     return hits.groupBy("r").agg(F.min(F.struct("tier", "c_custkey")).alias("b")).select("r", "b.c_custkey", "b.tier")
 
 
-@query("WITH w AS (SELECT p_partkey, p_brand, p_size, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b, count(*) AS shared FROM w a JOIN w b ON a.w = b.w AND a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey GROUP BY 1, 2")
+@query("WITH c AS (SELECT p_brand, p_size, p_name, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY ALL), w AS (SELECT *, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM c) SELECT a.id AS a, b.id AS b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM w a JOIN w b ON a.w = b.w AND a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.id < b.id GROUP BY 1, 2, 3, 4")
 def j06_shared_evidence_join(spark, d):
-    w = t(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
-    a, b = w.withColumnRenamed("p_partkey", "a"), w.withColumnRenamed("p_partkey", "b")
-    return a.join(b, ["w", "p_brand", "p_size"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """Pairs between the first parts of each name (a, b), with how many parts (n_a, n_b) they stand for."""
+    c = t(spark, d, "part").groupBy("p_brand", "p_size", "p_name").agg(F.min("p_partkey").alias("id"), F.count("*").alias("n"))
+    w = c.select("id", "n", "p_brand", "p_size", F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
+    a, b = w.withColumnsRenamed({"id": "a", "n": "n_a"}), w.withColumnsRenamed({"id": "b", "n": "n_b"})
+    return a.join(b, ["w", "p_brand", "p_size"]).where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
@@ -98,11 +100,23 @@ def j22_ordered_enrich(spark, d):
     return named.groupBy("o_orderkey").agg(F.array_join(listed["n"], "|").alias("names"))
 
 
-@query("WITH n AS (SELECT p_partkey, p_brand, list_distinct(list_filter(string_split(p_name, ' '), lambda x: length(x) > 1)) AS w FROM part WHERE p_size = 10), s AS (SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)) AS sim FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey) SELECT a, b, round(sim, 6) AS sim FROM s WHERE sim >= 0.2")
+def similar_names(named, block: str, least: float):
+    """Pairs (block, a, b, n_a, n_b, sim) of the different names in `named` (block, id, name) that share a token within
+    a block and have a token similarity of `least` or more.  A name is known by its least id; n counts its rows."""
+    c = named.groupBy(block, "name").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("w", tokens(F.col("name")))
+    one = lambda s: c.select(block, F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("w").alias(f"w_{s}"), F.explode("w").alias("token"))
+    # A pair meets at each shared token; it counts at the least of them.
+    met = one("a").join(one("b"), [block, "token"]).where("a < b").where(F.col("token") == F.array_min(F.array_intersect("w_a", "w_b")))
+    return met.withColumn("sim", token_similarity(F.col("w_a"), F.col("w_b"))).where(F.col("sim") >= least).select(block, "a", "b", "n_a", "n_b", "sim")
+
+
+SIMILAR_NAMES = "n AS (SELECT p_brand, p_name, min(p_partkey) AS id, count(*) AS n, list_distinct(list_filter(string_split(p_name, ' '), lambda x: length(x) > 1)) AS w FROM part GROUP BY p_brand, p_name), s AS (SELECT a.p_brand, a.id AS a, b.id AS b, a.n AS n_a, b.n AS n_b, len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)) AS sim FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.id < b.id)"
+
+
+@query(f"WITH {SIMILAR_NAMES} SELECT a, b, n_a, n_b, round(sim, 6) AS sim FROM s WHERE sim >= 0.2")
 def j05_blocked_similarity_pairs(spark, d):
-    n = t(spark, d, "part").where("p_size = 10").select("p_partkey", "p_brand", tokens(F.col("p_name")).alias("w"))
-    a, b = n.toDF("a", "p_brand", "x"), n.toDF("b", "p_brand", "y")
-    return a.join(b, "p_brand").where("a < b").withColumn("sim", token_similarity(F.col("x"), F.col("y"))).where("sim >= 0.2").select("a", "b", F.round("sim", 6).alias("sim"))
+    p = t(spark, d, "part").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return similar_names(p, "p_brand", 0.2).select("a", "b", "n_a", "n_b", F.round("sim", 6).alias("sim"))
 
 
 @query("WITH s AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT CASE WHEN ok THEN 'valid' WHEN rev THEN 'flip' ELSE 'drop' END AS verdict, count(*) AS n FROM (SELECT l_suppkey % 3 = 0 AND l_partkey % 2 = 0 AS ok, l_suppkey % 3 = 1 AS rev FROM s) GROUP BY 1")
@@ -117,7 +131,7 @@ def resolve_names(refs, names, least: float = 0.5):
     """Of refs (ref), the name (id, name) found first: equal in loose form, else the best token similarity
     over `least` among names that share a token.  Ties by id."""
     r = refs.select("ref", loose(F.col("ref")).alias("k"), tokens(F.col("ref")).alias("w")).distinct()
-    n = names.select("id", loose(F.col("name")).alias("k"), tokens(F.col("name")).alias("v"))
+    n = names.groupBy(loose(F.col("name")).alias("k"), tokens(F.col("name")).alias("v")).agg(F.min("id").alias("id"))
     exact = r.join(n.groupBy("k").agg(F.min("id").alias("id")), "k").select("ref", "id", F.lit(1.0).alias("score"), F.lit(1).alias("tier"))
     left = r.join(exact.select("ref"), "ref", "left_anti").select("ref", "w", F.explode("w").alias("x"))
     pairs = left.join(n.select("id", "v", F.explode("v").alias("x")), "x").dropDuplicates(["ref", "id"])
@@ -126,9 +140,9 @@ def resolve_names(refs, names, least: float = 0.5):
     return exact.union(best.select("ref", (-F.col("b.m")).alias("id"), "b.score", F.lit(2)))
 
 
-@query("WITH r AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name || ' extra' END AS ref, lower(p_name) AS nm, p_partkey % 2 = 0 AS ex FROM part WHERE p_partkey % 40 < 2), e AS (SELECT ref, min(p_partkey) AS id FROM r JOIN part ON lower(p_name) = lower(ref) GROUP BY ref) SELECT ref, id, 1 AS tier FROM e")
+@query("WITH r AS (SELECT upper(p_name) AS ref FROM part UNION SELECT p_name || ' extra' FROM part), n AS (SELECT lower(p_name) AS k, min(p_partkey) AS id FROM part GROUP BY 1), e AS (SELECT ref, id, 1.0 AS score, 1 AS tier FROM r JOIN n ON k = lower(ref)), s AS (SELECT ref, id, len(list_intersect(string_split(lower(ref), ' '), string_split(k, ' '))) / greatest(len(string_split(ref, ' ')), len(string_split(k, ' '))) AS score FROM r CROSS JOIN n WHERE ref NOT IN (SELECT ref FROM e)), b AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY score DESC, id) AS r FROM s WHERE score > 0.5) SELECT ref, id, round(score, 6) AS score, tier FROM e UNION ALL SELECT ref, id, round(score, 6), 2 FROM b WHERE r = 1")
 def j03_cascading_resolve(spark, d):
     p = t(spark, d, "part")
-    refs = p.where("p_partkey % 40 < 2").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat("p_name", F.lit(" extra"))).alias("ref"))
+    refs = p.select(F.upper("p_name").alias("ref")).union(p.select(F.concat("p_name", F.lit(" extra"))))
     found = resolve_names(refs, p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
-    return found.where("tier = 1").select("ref", "id", "tier")
+    return found.select("ref", "id", F.round("score", 6).alias("score"), "tier")

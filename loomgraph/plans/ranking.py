@@ -12,9 +12,10 @@ def w01_latest_per_key(spark, d):
     return t(spark, d, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("b")).select("user_id", "event_type", "b.event_id")
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 7 = 3 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
+@query("WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus = 'F') SELECT o_custkey, o_orderkey, o_orderdate FROM r WHERE r = 1")
 def w02_latest_completed(spark, d):
-    return t(spark, d, "orders").where("o_orderstatus = 'F' and o_custkey % 7 = 3").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(1)
+    done = t(spark, d, "orders").where("o_orderstatus = 'F'")
+    return done.groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("b")).select("o_custkey", "b.o_orderkey", "b.o_orderdate")
 
 
 @query("SELECT event_id, CAST(row_number() OVER w AS INTEGER) AS execution_number, lag(event_id) OVER w AS parent FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")
@@ -115,8 +116,7 @@ def v14_back_fill(spark, d):
     return t(spark, d, "orders").select("o_orderkey", truthy(title, rest).alias("title"))
 
 
-@query("WITH a AS (SELECT user_id % 20 AS k, avg(value) AS x FROM events WHERE user_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id % 20 AS k, avg(value) AS y FROM events WHERE user_id % 3 = 0 GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, abs(coalesce(x, 0) - coalesce(y, 0)) <= 15 AS agree FROM a FULL JOIN b ON a.k = b.k")
+@query("WITH a AS (SELECT user_id AS k, avg(value) AS x FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id AS k, avg(value) AS y FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, abs(coalesce(x, 0) - coalesce(y, 0)) <= 15 AS agree FROM a FULL JOIN b ON a.k = b.k")
 def v15_rater_agreement(spark, d):
-    e = t(spark, d, "events").withColumn("k", F.col("user_id") % 20)
-    a, b = e.where("user_id % 2 = 0").groupBy("k").agg(F.avg("value").alias("x")), e.where("user_id % 3 = 0").groupBy("k").agg(F.avg("value").alias("y"))
-    return a.join(b, "k", "full").select("k", (F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))) <= 15).alias("agree"))
+    rated = lambda kind, as_: t(spark, d, "events").where(F.col("event_type") == kind).groupBy(F.col("user_id").alias("k")).agg(F.avg("value").alias(as_))
+    return rated("click", "x").join(rated("purchase", "y"), "k", "full").select("k", (F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))) <= 15).alias("agree"))

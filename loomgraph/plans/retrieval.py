@@ -67,10 +67,10 @@ def y18_verify_cards(spark, d):
     return t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id"), "doc_id").groupBy(severity.alias("severity")).agg(F.count("*").alias("cards"))
 
 
-@query("WITH o AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 4 <> 0) SELECT d.source, count(*) FILTER (WHERE o.doc_id IS NULL) AS created, count(*) FILTER (WHERE o.h <> md5(d.text)) AS updated, count(*) FILTER (WHERE o.h = md5(d.text)) AS unchanged FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.source")
+@query("WITH o AS (SELECT doc_id, md5(CASE WHEN toxic = 1 THEN text || ' ' ELSE text END) AS h FROM documents JOIN labels USING (doc_id)) SELECT d.source, count(*) FILTER (WHERE o.doc_id IS NULL) AS created, count(*) FILTER (WHERE o.h <> md5(d.text)) AS updated, count(*) FILTER (WHERE o.h = md5(d.text)) AS unchanged FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.source")
 def x02_hash_sync(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("now"))
-    old = t(spark, d, "documents").where("doc_id % 4 <> 0").select("doc_id", F.md5("text").alias("was"))
+    old = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select("doc_id", F.md5(F.when(F.col("toxic") == 1, F.concat("text", F.lit(" "))).otherwise(F.col("text"))).alias("was"))
     j = docs.join(old, "doc_id", "left")
     return j.groupBy("source").agg(F.count_if(F.col("was").isNull()).alias("created"), F.count_if(F.col("was") != F.col("now")).alias("updated"), F.count_if(F.col("was") == F.col("now")).alias("unchanged"))
 

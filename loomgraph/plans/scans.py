@@ -184,10 +184,10 @@ def e05_reconciliation(spark, d):
     return a.join(b, "k", "full").agg(F.count_if(same).alias("matches"), F.count_if(~same).alias("mismatch_count"), F.min(F.when(~same, F.col("k"))).alias("first_mismatch"))
 
 
-@query("SELECT d.doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN md5(d.text) <> md5(o.text) THEN 'changed' ELSE 'same' END AS change FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' ' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0) o ON d.doc_id = o.doc_id")
+@query("SELECT d.doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN md5(d.text) <> md5(o.text) THEN 'changed' ELSE 'same' END AS change FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN quality = 0 THEN text || ' ' ELSE text END AS text FROM documents JOIN labels USING (doc_id)) o ON d.doc_id = o.doc_id")
 def e06_change_detection(spark, d):
     docs = t(spark, d, "documents").select("doc_id", F.md5("text").alias("now"))
-    old = t(spark, d, "documents").where("doc_id % 5 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))).alias("was"))
+    old = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select("doc_id", F.md5(F.when(F.col("quality") == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))).alias("was"))
     change = F.when(F.col("was").isNull(), "new").when(F.col("now") != F.col("was"), "changed").otherwise("same")
     return docs.join(old, "doc_id", "left").select("doc_id", change.alias("change"))
 

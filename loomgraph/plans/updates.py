@@ -6,10 +6,10 @@ from ..registry import query
 from ..sources.tables import table as t
 
 
-@query("SELECT coalesce(n.k, o.o_orderkey) AS k, CASE WHEN n.k IS NULL THEN o.o_orderstatus ELSE 'P' END AS status, CASE WHEN o.o_orderkey IS NULL THEN 'inserted' WHEN n.k IS NULL THEN 'kept' ELSE 'updated' END AS action FROM orders o FULL JOIN (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE -o_orderkey END AS k FROM orders WHERE o_orderkey % 10 < 2) n ON n.k = o.o_orderkey")
+@query("SELECT coalesce(n.k, o.o_orderkey) AS k, CASE WHEN n.k IS NULL THEN o.o_orderstatus ELSE 'P' END AS status, CASE WHEN o.o_orderkey IS NULL THEN 'inserted' WHEN n.k IS NULL THEN 'kept' ELSE 'updated' END AS action FROM orders o FULL JOIN (SELECT CASE WHEN o_orderstatus = 'F' THEN o_orderkey ELSE -o_orderkey END AS k FROM orders WHERE o_orderpriority LIKE '1%') n ON n.k = o.o_orderkey")
 def u02_upsert(spark, d):
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
-    n = t(spark, d, "orders").where("o_orderkey % 10 < 2").select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).otherwise(-F.col("o_orderkey")).alias("k"), F.lit(True).alias("new"))
+    n = t(spark, d, "orders").where("o_orderpriority like '1%'").select(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).otherwise(-F.col("o_orderkey")).alias("k"), F.lit(True).alias("new"))
     action = F.when(F.col("o_orderstatus").isNull(), "inserted").when(F.col("new").isNull(), "kept").otherwise("updated")
     return o.join(n, "k", "full").select("k", F.when(F.col("new").isNull(), F.col("o_orderstatus")).otherwise("P").alias("status"), action.alias("action"))
 
@@ -69,8 +69,8 @@ def u14_config_versions(spark, d):
     return v.groupBy("user_id").agg(F.max("version").cast("long").alias("active_version"), F.count("*").alias("versions"))
 
 
-@query("SELECT DISTINCT lower(trim(c_name)) || '@x.example' AS email FROM customer WHERE c_custkey % 3 = 0 AND c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 6 = 0)")
+@query("SELECT DISTINCT lower(trim(c_name)) || '@x.example' AS email FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def u15_insert_if_absent(spark, d):
     email = F.concat(F.lower(F.trim("c_name")), F.lit("@x.example")).alias("email")
     c = t(spark, d, "customer")
-    return c.where("c_custkey % 3 = 0").select(email).distinct().join(c.where("c_custkey % 6 = 0").select(email), "email", "left_anti")
+    return c.where("c_mktsegment = 'BUILDING'").select(email).distinct().join(c.where("c_acctbal < 0").select(email), "email", "left_anti")
