@@ -86,3 +86,37 @@ def half_up(c: Column) -> Column:
 def truthy(*cs: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.when(c != "", c) for c in cs[:-1]], cs[-1])
+
+
+def plain_words(c: Column) -> Column:
+    """Text for matching: without rules, quote marks, headings, list marks, link targets and emphasis, with straight
+    quotes, single spaces and lower case."""
+    for pattern, new in (("(?md)^[-=]{3,}$", ""), (r"(?md)^\s*>+\s?", ""), (r"(?md)^#{1,6}\s+", ""), (r"(?md)^\s*(?:\d+[.)]\s+|[-*+]\s+)", ""), ("[–—]", "-"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), ("[`*_~]", ""), ("[‘’‚‛]", "'"), ("[“”„‟]", '"'), (r"\s+", " ")):
+        c = F.regexp_replace(c, pattern, new)
+    return F.lower(F.trim(c))
+
+
+def strong_match(p: Column, q: Column) -> Column:
+    """Of two plain texts: one holds the other, or they share half of the smaller one's distinct words over three
+    letters, and four of them if it has as many.  Three such words are needed on either side."""
+    word = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) > 3))
+    a, b = word(p), word(q)
+    least, shared = F.least(F.size(a), F.size(b)), overlap(a, b)
+    return (p != "") & (q != "") & (p.contains(q) | q.contains(p) | ((least >= 3) & (shared >= F.least(F.lit(4), least)) & (shared / least >= 0.5)))
+
+
+def keyword_score(words: Column, targets: Column) -> Column:
+    """How many words (repeats count) equal, begin or continue one of the targets."""
+    known = F.array_distinct(targets)
+    return F.size(F.filter(words, lambda c: F.exists(known, lambda y: c.startswith(y) | y.startswith(c)))).cast("long")
+
+
+def char_grams(c: Column, n: int) -> Column:
+    """Distinct runs of n characters; none of a shorter text.  Read in n passes, each from one character further on."""
+    passes = [F.regexp_extract_all(F.substring(c, i + 1, 2**31 - 1), F.lit(f"(?s).{{{n}}}"), F.lit(0)) for i in range(n)]
+    return F.array_distinct(F.concat(*passes))
+
+
+def without_type_prefix(c: Column) -> Column:
+    # The prefixes by which names of a type are cited.
+    return F.trim(F.regexp_replace(c, r"(?i)^(Decision:\s*|Process:\s*|Project:\s*|PR\s*#?\s*|Ticket:\s*)", ""))
