@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import char_grams
 from ..registry import query
 from ..sources.tables import table as t
 from .joins import COS, _vector_pairs
@@ -38,13 +39,21 @@ def y25_leakage_scan(spark, d):
 
 @query("SELECT b.item_id, count(DISTINCT d.doc_id) AS docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def y25_contamination(spark, d):
-    """Benchmark passages that lie whole in a document: a passage and a document meet by the passage's first 32
-    characters at a line or sentence start or anywhere (32-grams of both), then the whole is compared."""
-    gram = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 31, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(32))))
+    """Benchmark passages that lie whole in a document.  The second to fourth of a passage's five or more words, split at
+    spaces, are words of any text that holds it: passage and document meet there, and the whole is compared.  Shorter
+    passages meet texts at their first three characters (of less than three, at the first); an empty one lies in every text that is not null."""
+    key = lambda *c: F.xxhash64(*c)
+    shingles = F.transform(F.array(F.split("text", " ")), lambda w: F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: key(F.lit("w"), w[i], w[i + 1], w[i + 2]))))[0]
+    runs = lambda n: F.transform(char_grams(F.col("text"), n), lambda g: key(F.lit("c"), g))
     docs = t(spark, d, "documents").select("doc_id", "text")
-    b = t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), F.xxhash64(F.substring("text", 1, 32)).alias("g"))
-    met = docs.select("doc_id", F.explode(F.array_distinct(gram)).alias("g")).join(b.where("length(passage) >= 32"), "g").select("doc_id", "item_id", "passage")
-    return met.join(docs, "doc_id").where(F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
+    keys = F.array_distinct(F.concat(F.coalesce(shingles, F.array().cast("array<bigint>")), runs(3), runs(1)))
+    w = F.split("text", " ")
+    sought = F.when(F.size(w) > 4, key(F.lit("w"), w[1], w[2], w[3])).otherwise(key(F.lit("c"), F.when(F.length("text") > 2, F.substring("text", 1, 3)).otherwise(F.substring("text", 1, 1))))
+    b = t(spark, d, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("passage"), sought.alias("g"))
+    met = docs.select("doc_id", F.explode(keys).alias("g")).join(b, "g").select("doc_id", "item_id", "passage")
+    found = met.join(docs, "doc_id").where(F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
+    every = docs.where("text is not null").agg(F.countDistinct("doc_id").alias("docs")).select(F.lit("").alias("text"), "docs").where("docs > 0")
+    return found.union(t(spark, d, "benchmark").select("item_id", "text").distinct().join(F.broadcast(every), "text").select("item_id", "docs"))  # one row
 
 
 @query("WITH g AS (SELECT md5(text) AS k, min(doc_id) AS canonical, count(*) AS n FROM documents GROUP BY 1) SELECT doc_id, canonical, CASE WHEN n = 1 THEN 'single' WHEN doc_id = canonical THEN 'canonical' ELSE 'member' END AS role FROM documents JOIN g ON md5(text) = k")

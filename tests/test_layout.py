@@ -103,3 +103,15 @@ def test_change_form_and_chat_blocks(spark):
     assert m.metadata == {"participants": "Ann, Bob", "messages": "3", "dates": "2024-01-01 to 2024-01-02"}
     (s,) = blocks.structured(texts(spark, "Submission #3\nSubject: Hello"), "feedback").collect()
     assert (s.slug, s.item.title) == ("feedback-3", "Hello")
+
+
+def test_contamination_finds_passages_of_any_length(spark, tmp_path):
+    from loomgraph import catalog
+
+    docs = ["a long text with several words in it", "short", "", None, "a long text  with several words in it"]
+    passages = ["ong text with several words i", "hor", "sh", "", "t  with", "absent passage of many words", None]
+    spark.createDataFrame([(i, v) for i, v in enumerate(docs)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, v) for i, v in enumerate(passages)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {i: n for i, p in enumerate(passages) if p is not None and (n := sum(p in d for d in docs if d is not None))}
+    got = catalog.QUERIES["y25_contamination"](spark, str(tmp_path)).collect()
+    assert {r.item_id: r.docs for r in got} == want
