@@ -19,8 +19,8 @@ from .common import carried, hand_on, identified, mix, slices, staged, table, ut
 ORDER = 4
 #: Bound on the 4-grams of a model (all languages); the rarest go first if there are more.
 MAX_GRAMS = 1 << 20
-#: Bound on the documents whose cross-entropies calibrate the rejection, and its width in standard deviations.
-CALIBRATION_DOCS, REJECT_SIGMAS = 4000, 8.0
+#: Width of the rejection in standard deviations.
+REJECT_SIGMAS = 8.0
 #: Nats that a short text may lie higher, over the root of its length.
 SHORT = 6.0
 DIRECTORY_BITS = 20
@@ -275,9 +275,10 @@ def identify(docs: DataFrame, training: DataFrame, sigmas: float = REJECT_SIGMAS
 
     `training` has doc_id, text, lang.  `und`, score 0 and rejected: null or letterless text, or no
     training rows at all.  A document is also rejected if its cross-entropy is over the mean of its
-    language by so many standard deviations, learned from a bounded sample of the training rows
-    (CALIBRATION_DOCS, an equal share of ids by hash), plus SHORT over the root of its length.  Ties go to the first language in order.  Repeated rows give a row each;
-    extra columns are ignored; an empty table gives no rows."""
+    language by so many standard deviations, both over all training rows predicted as it (over all
+    rows for a language that none is predicted as), plus SHORT over the root of its length.  Ties go to
+    the first language in order.  Repeated rows give a row each; extra columns are ignored; an empty
+    table gives no rows."""
     spark = docs.sparkSession
     docs = identified(docs, *[c for c in keep if c != "text"])
     training = identified(training, F.col("lang").cast("string").alias("lang"))
@@ -285,12 +286,10 @@ def identify(docs: DataFrame, training: DataFrame, sigmas: float = REJECT_SIGMAS
     if model is None:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"), *keep)
     shared = spark.sparkContext.broadcast(model)
-    n = training.where("lang is not null and text is not null").count()
-    share = int(min(1.0, CALIBRATION_DOCS / max(n, 1)) * (1 << 30))
-    sample = training.where("lang is not null and text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
-    fit = sample.select("doc_id", "text").mapInArrow(_cross_entropy(shared), PREDICTED).where("lang_pred <> 'und'")
-    level = {r.lang_pred: (r.m, r.s) for r in fit.groupBy("lang_pred").agg(F.mean("cross_entropy").alias("m"), F.coalesce(F.stddev("cross_entropy"), F.lit(0.0)).alias("s")).collect()}
-    limit = F.create_map(*[F.lit(x) for k in model.langs for x in (k, (lambda m, s: m + sigmas * max(s, 0.05))(*level.get(k, (float("inf"), 0.0))))])
+    fit = training.where("lang is not null and text is not null").select("doc_id", "text").mapInArrow(_cross_entropy(shared), PREDICTED).where("lang_pred <> 'und'")
+    moments = (F.mean("cross_entropy").alias("m"), F.coalesce(F.stddev("cross_entropy"), F.lit(0.0)).alias("s"))
+    level = {r.lang_pred: (r.m, r.s) for r in fit.rollup("lang_pred").agg(*moments).collect()}  # None: all languages
+    limit = F.create_map(*[F.lit(x) for k in model.langs for x in (k, (lambda m, s: m + sigmas * max(s, 0.05))(*level.get(k, level.get(None, (float("inf"), 0.0)))))])
     out = docs.mapInArrow(_cross_entropy(shared, keep), PREDICTED + carried(docs, keep))
     wide = limit[F.col("lang_pred")] + SHORT / F.sqrt("n")
     return out.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("cross_entropy") > wide)).drop("n")

@@ -173,6 +173,19 @@ def test_language(spark, sf_dir, odd):
     assert {x.lang_pred for x in langid.identify(odd, train.limit(0)).collect()} == {"und"}
 
 
+def test_language_limits_come_from_all_training_documents(spark):
+    rng = np.random.default_rng(4)
+    rare = "uno dos tres cuatro cinco seis siete ocho nueve diez".split()
+    rows = [(i, " ".join(rng.choice(WORDS, 8)), "en") for i in range(12000)]
+    # Ids that a sample of a third by hash would leave out.
+    ids = [r.id for r in spark.range(20000, 20100).where("pmod(xxhash64(id), 1 << 30) > (1 << 29)").limit(6).collect()]
+    rows += [(i, " ".join(rng.permutation(rare)), "xx") for i in ids]
+    junk = "".join(rng.permutation(list(" ".join(rare) * 30))).replace(" ", "")
+    docs = spark.createDataFrame([(1, junk), (2, " ".join(rng.permutation(rare)))], "doc_id long, text string")
+    got = one_by_id(langid.identify(docs, spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert got[1].lang_pred == got[2].lang_pred == "xx" and got[1].rejected and not got[2].rejected
+
+
 def test_language_model_sums_to_one():
     m = langid.Model(["a"], np.zeros(3, int), np.array([0x0005_0006_0007_0008, 0x0005_0006_0007_0009, 0x0001_0006_0007_0008], np.uint64), np.array([3, 1, 2]))
     seen = np.array([0x0005_0006_0007_0000 + c for c in (8, 9)], np.uint64)
