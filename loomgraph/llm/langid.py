@@ -3,21 +3,23 @@
 For each language an interpolated Kneser-Ney model of order 4 over lower-cased characters.  The
 highest order uses counts, lower orders the number of distinct left contexts.  All counts come from
 one distributed pass over every training document; the models of all languages share one sorted
-array of n-gram hashes with a directory over its leading bits, and one matrix of log probabilities."""
+array of n-gram hashes with a directory over its leading bits, and one matrix of log probabilities.
+More 4-grams than one broadcast should hold are dealt to several models by their two middle characters,
+and documents are scored by each in turn."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, hand_on, identified, mix, slices, staged, table, utf8
+from .common import carried, hand_on, identified, list_array, mix, slices, staged, table, utf8
 
 ORDER = 4
-#: Bound on the 4-grams of a model (all languages); the rarest go first if there are more.
+#: 4-grams (all languages) that one broadcast holds; if there are more, they are dealt to several models.
 MAX_GRAMS = 1 << 20
 #: Width of the rejection in standard deviations.
 REJECT_SIGMAS = 8.0
@@ -128,14 +130,24 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * k), pa.array(u[a : a + k].view(np.int64)), pa.array(n[a : a + k])], names=["lang", "gram", "n"])
 
 
+def discounts(ones: np.ndarray, twos: np.ndarray) -> np.ndarray:
+    return np.where(ones + twos > 0, ones / np.maximum(ones + 2 * twos, 1), 0.5).clip(0.1, 0.9)
+
+
 class Model:
-    """Log probabilities of every seen n-gram of orders 1 to 4, by language, in sorted hash arrays."""
+    """Log probabilities of every seen n-gram of orders 1 to 4, by language, in sorted hash arrays.
 
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
-        self.langs = langs
+    Of several models each has the 4-grams (and 3-grams) of some middle characters, `part` of `parts`; then
+    `pairs` are the 2-grams (lang, gram, n) of all, and `cuts` the discounts of orders 3 and 4 over all."""
+
+    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, part: int = 0, parts: int = 1, pairs: tuple | None = None, cuts: dict[int, np.ndarray] | None = None):
+        self.langs, self.part, self.of = langs, part, parts
         k = len(langs)
         counts = {ORDER: (lang, gram, n.astype(float))}
         for o in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters to the left
+            if o == 2 and pairs is not None:
+                counts[o] = pairs
+                continue
             la, g, _ = counts[o + 1]
             low = g & np.uint64((1 << 16 * o) - 1)
             pair, c = np.unique(np.stack([la.astype(np.uint64), low]), axis=1, return_counts=True)
@@ -146,7 +158,7 @@ class Model:
         for o in range(1, ORDER + 1):
             la, g, c = counts[o]
             ones, twos = (np.array([((c == v) & (la == x)).sum() for x in range(k)], float) for v in (1, 2))
-            cut = np.where(ones + twos > 0, ones / np.maximum(ones + 2 * twos, 1), 0.5).clip(0.1, 0.9)
+            cut = cuts[o] if cuts and o in cuts else discounts(ones, twos)
             context = g >> np.uint64(16)
             ctx, where = np.unique(np.stack([la.astype(np.uint64), context]), axis=1, return_inverse=True)
             total, kinds = np.bincount(where, c), np.bincount(where)
@@ -213,8 +225,9 @@ class Model:
         out[left] += np.float32(self.floor)
         return out
 
-    def cross_entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nats per character of each document in each language, whether it has a letter, and its length."""
+    def log_likelihoods(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sum over the characters of each document (those of this part) in each language, whether the
+        document has a letter, and its length."""
         codes, begin, has = characters(data, offsets)
         scored = np.ones(len(codes), bool)
         scored[begin[:-1]] = False
@@ -223,25 +236,62 @@ class Model:
         n = np.diff(begin) - 1
         sums = np.zeros((len(n), len(self.langs)))
         if len(u):
-            logs = self.log_probabilities(u)
+            mine = part_of(u, self.of) == self.part
+            logs = np.zeros((len(u), len(self.langs)), np.float32)
+            logs[mine] = self.log_probabilities(u[mine])
             some = np.flatnonzero(n)
             first = (begin[:-1] - np.arange(len(n)))[some]
             for k in range(len(self.langs)):
                 sums[some, k] = np.add.reduceat(logs[:, k].astype(float)[where], first)
-        return -sums / np.maximum(n, 1)[:, None], has, n
+        return sums, has, n
+
+
+#: A prime, so that close characters are dealt to different parts.
+SPREAD = 1_000_003
+
+
+def part_of(gram: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each 4-gram, by its two middle characters: all that its probability needs of orders 3 and 4 has them too."""
+    return ((gram >> np.uint64(16)) & np.uint64(0xFFFFFFFF)) % np.uint64(SPREAD) % np.uint64(parts)
 
 
-def train(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
-    """A model of (doc_id, text, lang) rows; rows without lang or text teach nothing.  Every row is counted."""
+def train(docs: DataFrame, max_grams: int | None = None) -> tuple[list[str], int, Callable[[int], Model]]:
+    """Languages of (doc_id, text, lang) rows, how many models there are, and what makes each; rows without
+    lang or text teach nothing.  Every row is counted and every 4-gram kept."""
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counted = staged(rows.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    if counted.count() > max_grams:
-        counted = counted.orderBy(F.desc("n"), "lang", "gram").limit(max_grams)
-    got = counted.toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
+    parts = max(1, -(-counted.count() // (max_grams or MAX_GRAMS)))
+    langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
     code = {x: i for i, x in enumerate(langs)}
-    lang = np.array([code[x] for x in got.column("lang").to_pylist()], np.int64)
-    return Model(langs, lang, got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()) if langs else None
+
+    def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = df.select("lang", "gram", "n").toArrow()
+        lang = np.array([code[x] for x in got.column("lang").to_pylist()], np.int64)
+        return lang, got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
+
+    if parts == 1:
+        return langs, 1, lambda part: Model(langs, *arrays(counted))
+    # What a part can't tell from its own 4-grams.
+    three = staged(counted.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 48) - 1)).alias("gram")).agg(F.count("*").alias("n")), "grams")
+    pairs = arrays(three.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 32) - 1)).alias("gram")).agg(F.count("*").alias("n")))
+    pairs = (pairs[0], pairs[1], pairs[2].astype(float))
+    cuts = {}
+    for o, df in ((ORDER, counted), (ORDER - 1, three)):
+        few = {r.lang: r for r in df.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()}
+        cuts[o] = discounts(*(np.array([few[x][c] for x in langs], float) for c in ("ones", "twos")))
+    part = F.shiftrightunsigned("gram", 16).bitwiseAND(F.lit((1 << 32) - 1)) % SPREAD % parts
+    return langs, parts, lambda i: Model(langs, *arrays(counted.where(part == i)), i, parts, pairs, cuts)
+
+
+def _outcome(langs: list[str], sums: np.ndarray, has: np.ndarray, n: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+    """PREDICTED of documents from their log likelihoods."""
+    h = -sums / np.maximum(n, 1)[:, None]
+    best = h.argmin(1)
+    low = h[np.arange(len(n)), best]
+    # Of the languages, by their perplexities: 1 if all others are far, 1/k if all are alike.
+    score = np.where(has, 1 / np.exp((low[:, None] - h) * 20).sum(1), 0.0)
+    pred = [langs[k] if ok else "und" for k, ok in zip(best, has, strict=True)]
+    return pa.RecordBatch.from_arrays([ids, pa.array(pred, pa.string()), pa.array(score), pa.array(np.where(has, low, np.nan)), pa.array(np.maximum(n, 1))], names=["doc_id", "lang_pred", "score", "cross_entropy", "n"])
 
 
 def _cross_entropy(model, keep: tuple[str, ...] = ()):
@@ -250,18 +300,53 @@ def _cross_entropy(model, keep: tuple[str, ...] = ()):
         for b in batches:
             data, offsets = utf8(b.column(1))
             for i, j in slices(offsets):
-                h, has, n = m.cross_entropies(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                best = h.argmin(1)
-                low = h[np.arange(j - i), best]
-                # Of the languages, by their perplexities: 1 if all others are far, 1/k if all are alike.
-                score = np.where(has, 1 / np.exp((low[:, None] - h) * 20).sum(1), 0.0)
-                pred = [m.langs[k] if ok else "und" for k, ok in zip(best, has, strict=True)]
-                out = pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(pred, pa.string()), pa.array(score), pa.array(np.where(has, low, np.nan)), pa.array(np.maximum(n, 1))], names=["doc_id", "lang_pred", "score", "cross_entropy", "n"])
-                yield hand_on(out, b, keep, i)
+                found = m.log_likelihoods(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield hand_on(_outcome(m.langs, *found, b.column(0).slice(i, j - i)), b, keep, i)
 
     return work
 
 
+def _partial(model):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for b in batches:
+            data, offsets = utf8(b.column(1))
+            for i, j in slices(offsets):
+                sums, has, n = m.log_likelihoods(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                at = np.arange(j - i + 1) * len(m.langs)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), list_array(sums.reshape(-1), at, pa.float64()), pa.array(has), pa.array(n)], names=["row", "sums", "has", "n"])
+
+    return work
+
+
+def _summed(langs: list[str], keep: tuple[str, ...]):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = np.column_stack([b.column(b.schema.get_field_index(f"s{k}")).to_numpy(zero_copy_only=False) for k in range(len(langs))])
+            has, n = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("has", "n"))
+            yield hand_on(_outcome(langs, sums, has, n, b.column(0)), b, keep, 0)
+
+    return work
+
+
+def _score(docs: DataFrame, langs: list[str], models: list, make: Callable[[int], Model], parts: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """PREDICTED and the columns to keep of each row of docs (doc_id, text, ...)."""
+    schema = PREDICTED + carried(docs, keep)
+    if parts == 1:
+        return docs.mapInArrow(_cross_entropy(models[0], keep), schema)
+    # One broadcast at a time; only sums are shuffled.  Rows get a number as doc_ids may repeat.
+    docs = staged(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    some = None
+    for i in range(parts):
+        shared = docs.sparkSession.sparkContext.broadcast(make(i))
+        one = staged(docs.select("row", "text").mapInArrow(_partial(shared), "row long, sums array<double>, has boolean, n long"), "sums")
+        shared.destroy()
+        some = one if some is None else some.union(one)
+    total = some.groupBy("row").agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(len(langs))], F.first("has").alias("has"), F.first("n").alias("n"))
+    both = docs.join(total, "row").select("doc_id", *[f"s{k}" for k in range(len(langs))], "has", "n", *keep)
+    return both.mapInArrow(_summed(langs, keep), schema)
+
+
 PREDICTED = "doc_id long, lang_pred string, score double, cross_entropy double, n long"
 
 
@@ -282,15 +367,15 @@ def identify(docs: DataFrame, training: DataFrame, sigmas: float = REJECT_SIGMAS
     spark = docs.sparkSession
     docs = identified(docs, *[c for c in keep if c != "text"])
     training = identified(training, F.col("lang").cast("string").alias("lang"))
-    model = train(training)
-    if model is None:
+    langs, parts, make = train(training)
+    if not langs:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"), *keep)
-    shared = spark.sparkContext.broadcast(model)
-    fit = training.where("lang is not null and text is not null").select("doc_id", "text").mapInArrow(_cross_entropy(shared), PREDICTED).where("lang_pred <> 'und'")
+    models = [spark.sparkContext.broadcast(make(0))] if parts == 1 else []
+    fit = _score(training.where("lang is not null and text is not null").select("doc_id", "text"), langs, models, make, parts).where("lang_pred <> 'und'")
     moments = (F.mean("cross_entropy").alias("m"), F.coalesce(F.stddev("cross_entropy"), F.lit(0.0)).alias("s"))
     level = {r.lang_pred: (r.m, r.s) for r in fit.rollup("lang_pred").agg(*moments).collect()}  # None: all languages
-    limit = F.create_map(*[F.lit(x) for k in model.langs for x in (k, (lambda m, s: m + sigmas * max(s, 0.05))(*level.get(k, level.get(None, (float("inf"), 0.0)))))])
-    out = docs.mapInArrow(_cross_entropy(shared, keep), PREDICTED + carried(docs, keep))
+    limit = F.create_map(*[F.lit(x) for k in langs for x in (k, (lambda m, s: m + sigmas * max(s, 0.05))(*level.get(k, level.get(None, (float("inf"), 0.0)))))])
+    out = _score(docs, langs, models, make, parts, keep)
     wide = limit[F.col("lang_pred")] + SHORT / F.sqrt("n")
     return out.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("cross_entropy") > wide)).drop("n")
 

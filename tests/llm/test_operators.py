@@ -186,6 +186,18 @@ def test_language_limits_come_from_all_training_documents(spark):
     assert got[1].lang_pred == got[2].lang_pred == "xx" and got[1].rejected and not got[2].rejected
 
 
+def test_language_keeps_every_gram(spark, monkeypatch, odd):
+    rows = [(i, prose(i, 40), "en") for i in range(60)] + [(100, "uno dos tres cuatro cinco seis siete", "xx"), (101, "ocho nueve diez once doce trece", "xx")]
+    training = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = training.union(odd.select("doc_id", F.substring("text", 1, 500), "lang"))
+    values = lambda: sorted((r.doc_id, r.lang_pred, round(r.score, 4), round(r.cross_entropy or 0, 4) if r.lang_pred != "und" else 0, r.rejected, r.source) for r in langid.identify(docs.withColumn("source", F.lit("s")), training, keep=("source",)).collect())
+    want = values()
+    assert {v[1] for v in want if v[0] in (100, 101)} == {"xx"}
+    monkeypatch.setattr(langid, "MAX_GRAMS", 100)
+    monkeypatch.setattr(langid.train, "__defaults__", tuple(100 if x else x for x in langid.train.__defaults__))
+    assert values() == want
+
+
 def test_language_model_sums_to_one():
     m = langid.Model(["a"], np.zeros(3, int), np.array([0x0005_0006_0007_0008, 0x0005_0006_0007_0009, 0x0001_0006_0007_0008], np.uint64), np.array([3, 1, 2]))
     seen = np.array([0x0005_0006_0007_0000 + c for c in (8, 9)], np.uint64)
