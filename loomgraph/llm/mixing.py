@@ -3,17 +3,18 @@ functions only.
 
 Token counts are summed to cells (source, language, topic); cell weights are raked to the three
 target marginals in turn; each document is then sampled with its cell's probability, which is the
-raked weight over the tokens there are, scaled so that the greatest is 1."""
+raked weight over the tokens there are, scaled so that the greatest is 1 or, with a rate, so that this
+share of all tokens is expected, no cell over 1."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 
-#: Rounds of raking over the three margins.
-ROUNDS = 12
+#: Most rounds of raking over the three margins, and the greatest relative change of a weight in the last one.
+ROUNDS, TOLERANCE = 12, 1e-10
 #: Default targets: shares of a margin go with this power of its tokens, so small ones count for more.
 POWERS = {"source": 0.85, "lang": 0.85, "topic": 0.9}
 MARGINS = ("source", "lang", "topic")
@@ -32,40 +33,67 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     """cells (source, lang, topic, tokens) with `weight`.  targets: for a margin, (value, share); a value
     that isn't there gets none.  Without a target the margin's own tokens to its power in POWERS.
 
-    There are as many rows as combinations of the margins, however many documents; they are brought
-    to one partition, where every window of every round is a sort of those rows and nothing is shuffled."""
-    cells = cells.repartition(1)
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
+    There are as many rows as combinations of the margins, however many documents.  Margins are summed
+    by groupBy and joined; each round is a staged table, and the last one changes nothing."""
+    cells = staged(cells, "cells")
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    shares = {}
     for m in MARGINS:
         if targets and m in targets:
-            cells = cells.join(F.broadcast(targets[m].select(F.col("value").alias(m), F.col("share").cast("double").alias(f"share_{m}"))), m, "left").fillna(0.0, [f"share_{m}"])
+            shares[m] = targets[m].select(F.col("value").alias(m), F.col("share").cast("double").alias("share"))
         else:
-            own = F.sum("tokens").over(Window.partitionBy(m))
-            cells = cells.withColumn(f"own_{m}", own)
-            first = F.row_number().over(Window.partitionBy(m).orderBy(*MARGINS)) == 1
-            cells = cells.withColumn(f"part_{m}", F.when(first, F.pow(F.col(f"own_{m}"), F.lit(POWERS[m]))).otherwise(0.0))
-            cells = cells.withColumn(f"share_{m}", F.pow(F.col(f"own_{m}"), F.lit(POWERS[m])) / F.sum(f"part_{m}").over(Window.partitionBy(F.lit(1)))).drop(f"own_{m}", f"part_{m}")
-    cells = cells.withColumn("total", total.cast("double")).withColumn("weight", F.col("tokens").cast("double"))
+            own = cells.groupBy(m).agg(F.pow(F.sum("tokens"), F.lit(POWERS[m])).alias("p"))
+            shares[m] = own.select(m, (F.col("p") / F.lit(own.agg(F.sum("p")).first()[0])).alias("share"))
+        shares[m] = staged(shares[m], "shares")
+    cells = cells.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(rounds):
+        now = cells.withColumn("was", F.col("weight"))
         for m in MARGINS:
-            held = F.sum("weight").over(Window.partitionBy(m))
-            cells = cells.withColumn("held", held).withColumn("weight", F.when(F.col("held") > 0, F.col("weight") * F.col(f"share_{m}") * F.col("total") / F.col("held")).otherwise(0.0))
-    return cells.drop("held", "total", *[f"share_{m}" for m in MARGINS])
-
-
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: str = TOPIC, rounds: int = ROUNDS, keep: tuple[str, ...] = ()) -> DataFrame:
+            held = now.groupBy(m).agg(F.sum("weight").alias("held")).join(shares[m], m, "left")
+            factor = F.when(F.col("held") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("held")).otherwise(0.0)
+            now = now.join(held.select(m, factor.alias("factor")), m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+        now = staged(now, "raked")
+        moved = now.where("was > 0").agg(F.max(F.abs(F.col("weight") - F.col("was")) / F.col("was"))).first()[0]
+        cells = now.drop("was")
+        if (moved or 0) <= TOLERANCE:
+            break
+    return cells.select(*MARGINS, "tokens", "weight")
+
+
+def scale_to(cells: DataFrame, rate: float) -> float:
+    """What weights are multiplied with, so that probabilities of at most 1 give this share of the tokens
+    (or all that have a weight): what cells over 1 leave goes to the others, in rounds."""
+    goal = rate * float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    scale = 0.0
+    while True:
+        full = F.col("weight") * scale >= 1
+        r = cells.agg(F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("tokens") * F.col("weight"))).alias("open")).first()
+        now = (goal - (r.full or 0)) / r.open if r.open else scale
+        if now <= scale * (1 + 1e-12):
+            return scale
+        scale = now
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: str = TOPIC, rounds: int = ROUNDS, keep: tuple[str, ...] = (), rate: float | None = None) -> DataFrame:
     """Per document: doc_id, source, lang, topic, n_tokens, weight (its cell's raked tokens over tokens),
     probability, sampled, and the columns to keep (as they are in docs, under kept_<name>).
 
     A null source or language is the value 'unknown'; null or empty text has no tokens, and a cell
-    without tokens probability 0.  A repeated row is one more document, sampled alike.  Extra columns are
+    without tokens probability 0.  The greatest probability is 1 or, with a rate, this share of all
+    tokens is expected and probabilities are at most 1.  A repeated row is one more document, sampled alike.  Extra columns are
     ignored; an empty table gives no rows.  Two passes over the texts; only cells are shuffled."""
     unknown = F.lit("unknown")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), unknown).alias("source"), F.coalesce(F.col("lang").cast("string"), unknown).alias("lang"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     base = base.select("doc_id", "source", "lang", F.expr(topic).alias("topic"), F.expr(TOKENS).cast("long").alias("n_tokens"), *[f"kept_{c}" for c in keep])
     cells = base.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     raked = rake(cells, targets, rounds).withColumn("weight", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    raked = raked.withColumn("probability", F.coalesce(F.col("weight") / F.max("weight").over(Window.partitionBy(F.lit(1))), F.lit(0.0)))
+    raked = staged(raked, "weights")
+    most = raked.agg(F.max("weight")).first()[0]
+    if rate is None:
+        probability = F.col("weight") / most if most else F.lit(0.0)
+    else:
+        probability = F.least(F.col("weight") * scale_to(raked, rate), F.lit(1.0))
+    raked = raked.withColumn("probability", probability)
     out = base.join(raked.drop("tokens"), list(MARGINS))
     return out.select("doc_id", *MARGINS, "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"), *[f"kept_{c}" for c in keep])
 

@@ -295,6 +295,17 @@ def test_mixing_meets_its_targets(spark, odd):
     assert out[0].n_tokens == 0 and out[2].source == "unknown" and out[1].lang == "unknown" and len(out) == 10
 
 
+def test_pipeline_mixing_keeps_its_rate_beside_a_stray_source(spark):
+    import corpus_pipeline
+
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('word ', 500) AS text", "'en' AS lang", "IF(id = 0, 'stray', 'big') AS source", "2500L AS n_chars")
+    got = corpus_pipeline.mixing(spark, docs, "")
+    assert 0.45 * 4000 < got.count() < 0.55 * 4000
+    cells = spark.createDataFrame([(100, 9.0), (1000, 2.0), (10000, 0.5)], "tokens long, weight double")
+    scale = mixing.scale_to(cells, 0.5)
+    assert abs(sum(t * min(1, w * scale) for t, w in cells.collect()) - 0.5 * 11100) < 1e-6
+
+
 def test_spot_signatures(spark, sf_dir, odd):
     rows = texts(spark, sf_dir)
     got = one_by_id(queries.QUERIES["op8_spot_signatures"](spark, sf_dir))
