@@ -261,6 +261,16 @@ def test_toxicity(spark, sf_dir, odd):
     assert {r.is_toxic for r in toxicity.severity(odd, labels.limit(0)).collect()} == {False}
 
 
+def test_toxicity_with_few_toxic_labels(spark, monkeypatch):
+    # 1 in 100 is toxic; 'vile' is in every toxic document and in 1.1 of 100 clean ones.
+    monkeypatch.setattr(toxicity, "FIT_DOCS", 2000)
+    rows = [(i, prose(i, 20).rsplit(" ", 1)[0] + (" vile" if i < 40 or i >= 4000 - 44 else ""), "en", int(i < 40)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    got = one_by_id(toxicity.severity(df.drop("toxic"), df.select("doc_id", "toxic")))
+    assert got[0].p_toxic > 10 * got[100].p_toxic and 0.2 < got[0].p_toxic < 0.8
+    assert toxicity.level([5, 100, 100], 65) == 30 and toxicity.level([5, 6], 65) == float("inf")
+
+
 def test_toxicity_thresholds_are_ordered_and_shared():
     grade = np.array([0] * 50 + [1] * 10 + [2] * 10 + [3] * 10)
     rows, cols = np.concatenate([[i] * g for i, g in enumerate(grade) if g]), np.concatenate([np.arange(g) for g in grade if g])
