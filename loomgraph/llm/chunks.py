@@ -1,7 +1,7 @@
 """Operator 7: substring dedup by content-defined chunks.
 
 A gear rolling hash over the last 32 bytes decides, from content alone, where a chunk ends, so an
-insertion moves no boundary but those next to it.  Chunks are compared by a 96-bit digest; each one
+insertion moves no boundary but those next to it.  Chunks are compared by 95 bits of a cryptographic digest; each one
 after the first place (smallest doc_id, then position) is a duplicate, and runs of adjacent
 duplicate chunks of at least `min_run` bytes are removed."""
 
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REPEAT_ROWS, SECOND, Prefix, carried, hand_on, identified, ragged, repeats, rows_of_batch, seeded, slices, text_array, utf8
+from .common import REPEAT_ROWS, carried, digest, hand_on, identified, portions, ragged, repeats, rows_of_batch, seeded, slices, text_array, utf8
 
 GEAR = (seeded(256, 77) >> np.uint64(32)).astype(np.uint32)
 WINDOW = 32
@@ -61,7 +61,7 @@ def _chunks(data, offsets, mean):
 
 def chunk_rows(mean: int = MEAN_CHUNK):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data, offsets = utf8(b.column(1))
             parts = []
@@ -69,9 +69,9 @@ def chunk_rows(mean: int = MEAN_CHUNK):
                 d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, ends, doc, pos = _chunks(d, o, mean)
                 if len(starts):
-                    h = Prefix(d)(starts, ends)
-                    second = (Prefix(d, SECOND)(starts, ends) >> np.uint64(33)).astype(np.int32)
-                    parts.append((h, second, ids[i + doc], pos))
+                    raw = d.tobytes()
+                    h = np.array([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+                    parts.append((h[:, 0], (h[:, 1] >> np.uint64(33)).astype(np.int32), ids[i + doc], pos))
             if parts:
                 yield rows_of_batch(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
@@ -83,7 +83,7 @@ RESULT = "doc_id long, text string, n_bytes long, n_chunks long, n_duplicates lo
 
 def remove_chunks(mean: int = MEAN_CHUNK, min_run: int = MIN_RUN, keep: tuple[str, ...] = ()):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             ids = b.column(0)
             data, offsets = utf8(b.column(1))
             marks = b.column(2)

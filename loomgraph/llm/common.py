@@ -3,6 +3,8 @@ buffers, vectorised hashing, repeat detection and connected components."""
 
 from __future__ import annotations
 
+import hashlib
+import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,10 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch of documents.
-BATCH_ROWS = 2000
-#: Bytes of text that one vectorised step works on; a longer document is a step of its own.
-SLICE_BYTES = 1 << 20
+#: Bytes of text of which a Python worker holds the rows at a time, and of those that one vectorised step
+#: works on; a longer document is a step of its own.
+BATCH_BYTES, SLICE_BYTES = 1 << 22, 1 << 20
+#: A key with more than 1/HOT of the rows is joined by broadcast: there are at most HOT of them.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -41,13 +46,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def identified(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text (and more) alone, so that extra columns can't clash.
-
-    Batches handed to Python are kept to BATCH_ROWS, whatever the length of the texts."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """doc_id, text (and more) alone, so that extra columns can't clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key and `c`, the rows that left has of it.
+
+    Keys with more than 1/HOT of all rows would each fill one task; there are at most HOT of them, and they
+    are joined by broadcast, so no row of left with such a key is shuffled.  left is read twice."""
+    right = staged(right, "joined")
+    total = right.agg(F.sum("c")).first()[0] or 0
+    hot = right.where(F.col("c") > total / HOT)
+    kinds = hot.count()
+    if not kinds:
+        return left.join(right, keys, how)
+    near, far = F.broadcast(hot), right.where(F.col("c") <= total / HOT)
+    return left.join(near, keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(far, keys, how))
+
+
 def carried(docs: DataFrame, keep: tuple[str, ...]) -> str:
     """The schema of columns that an operator hands on as they are."""
     return "".join(f", `{name}` {docs.schema[name].dataType.simpleString()}" for name in keep)
@@ -82,6 +99,14 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def portions(batches: Iterator[pa.RecordBatch], *columns: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many bytes of text in these columns (column 1 if not given)."""
+    for b in batches:
+        offsets = sum(utf8(b.column(c))[1] for c in columns or (1,))
+        for i, j in slices(offsets, most):
+            yield b.slice(i, j - i)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[i] .. starts[i]+lengths[i]-1, one after another."""
     total = int(lengths.sum())
@@ -102,6 +127,14 @@ def text_array(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a[i] and from b[i] on are the same, lengths[i] (at least 1) of them."""
+    if not len(a):
+        return np.zeros(0, bool)
+    differ = data[ragged(a, lengths)] != data[ragged(b, lengths)]
+    return ~np.logical_or.reduceat(differ, np.append(0, np.cumsum(lengths)[:-1]))
+
+
 # ------------------------------------------------------------------- hashing
 
 MASK = (1 << 64) - 1
@@ -122,8 +155,14 @@ def seeded(n: int, seed: int) -> np.ndarray:
 
 
 BYTE_CODES = seeded(256, 11)
-#: Codes of a second, independent hash.
-SECOND = seeded(256, 23)
+
+
+def digest(raw: bytes) -> tuple[int, int]:
+    """Two 64-bit halves of a cryptographic digest: what stands for a string where it decides a result."""
+    return HALVES.unpack(hashlib.blake2b(raw, digest_size=16).digest())
+
+
+HALVES = struct.Struct("<QQ")
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +177,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prefix:
-    """Polynomial hashes of any substring of a byte array, from one running sum."""
+    """Polynomial hashes of any substring of a byte array, from one running sum.
+
+    Equal strings have equal hashes.  Different ones may have, too (there are known pairs), so these hashes
+    only choose what is compared, or what is left out of a comparison."""
 
     def __init__(self, data: np.ndarray, codes: np.ndarray = BYTE_CODES):
         up, self.down = powers(len(data) + 1)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, hand_on, identified, list_array, mix, slices, staged, table, utf8
+from .common import carried, hand_on, identified, list_array, mix, portions, slices, staged, table, utf8
 
 ORDER = 4
 #: 4-grams (all languages) that one broadcast holds; if there are more, they are dealt to several models.
@@ -26,20 +26,19 @@ REJECT_SIGMAS = 8.0
 #: Nats that a short text may lie higher, over the root of its length.
 SHORT = 6.0
 DIRECTORY_BITS = 20
-#: Code points above 0xFFFF share one code, 0 is the start of a document, 1 any run of characters without a letter.
-EDGE, GAP = 0, 1
+#: 0 is the start of a document, 1 any run of characters without a letter; letters above 0xFFFF share one code.
+EDGE, GAP, ASTRAL = 0, 1, 0xFFFF
 
 
-def _letters() -> tuple[np.ndarray, np.ndarray]:
-    low = np.zeros(1 << 16, np.uint16)
-    letter = np.zeros(1 << 16, bool)
-    for i in range(2, 1 << 16):
+def _codes() -> np.ndarray:
+    """The code of every code point: a letter's (by its Unicode category) in lower case, or GAP."""
+    out = np.full(0x110000, GAP, np.uint16)
+    for i in range(2, 0x110000):
         c = chr(i)
-        letter[i] = c.isalpha()
-        x = c.lower()
-        low[i] = ord(x) if len(x) == 1 and ord(x) < 1 << 16 else i
-    low[~letter] = GAP
-    return low, letter
+        if c.isalpha():
+            x = c.lower()
+            out[i] = ord(x) if len(x) == 1 and ord(x) < ASTRAL else min(i, ASTRAL)
+    return out
 
 
 _tables: list = []
@@ -49,8 +48,7 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """Codes of each document: EDGE, then letters in lower case with GAP for each run between them;
     where each document begins; and whether it has a letter."""
     if not _tables:
-        _tables.append(_letters())
-    low, letter = _tables[0]
+        _tables.append(_codes())
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = (data & 0xC0) != 0x80
     at = np.append(0, np.cumsum(lead))[offsets]
@@ -58,15 +56,11 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         parts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         points = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
         at = np.append(0, np.cumsum([len(x) for x in parts]))
-    narrow = np.minimum(points, 0xFFFF).astype(np.uint16)
-    codes = low[narrow]
-    astral = points > 0xFFFF
-    if astral.any():
-        codes[astral] = 0xFFFF
+    codes = _tables[0][points]
     n = len(at) - 1
     doc = np.repeat(np.arange(n), np.diff(at))
-    has = np.bincount(doc, letter[narrow] | astral, minlength=n) > 0
     gap = codes == GAP
+    has = np.bincount(doc, ~gap, minlength=n) > 0
     keep = ~gap
     keep[1:] |= ~gap[:-1] | (doc[1:] != doc[:-1])
     if len(keep):
@@ -106,7 +100,7 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             u, where = np.unique(g, return_inverse=True)
             held[lang] = [(u, np.bincount(where, n).astype(np.int64))]
 
-    for b in batches:
+    for b in portions(batches):
         langs = np.array(b.column(2).to_pylist(), object)
         data, offsets = utf8(b.column(1))
         for i, j in slices(offsets):
@@ -297,7 +291,7 @@ def _outcome(langs: list[str], sums: np.ndarray, has: np.ndarray, n: np.ndarray,
 def _cross_entropy(model, keep: tuple[str, ...] = ()):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in batches:
+        for b in portions(batches):
             data, offsets = utf8(b.column(1))
             for i, j in slices(offsets):
                 found = m.log_likelihoods(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -309,7 +303,7 @@ def _cross_entropy(model, keep: tuple[str, ...] = ()):
 def _partial(model):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in batches:
+        for b in portions(batches):
             data, offsets = utf8(b.column(1))
             for i, j in slices(offsets):
                 sums, has, n = m.log_likelihoods(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -362,7 +356,7 @@ def identify(docs: DataFrame, training: DataFrame, sigmas: float = REJECT_SIGMAS
     training rows at all.  A document is also rejected if its cross-entropy is over the mean of its
     language by so many standard deviations, both over all training rows predicted as it (over all
     rows for a language that none is predicted as), plus SHORT over the root of its length.  Ties go to
-    the first language in order.  Repeated rows give a row each; extra columns are ignored; an empty
+    the first language in order.  Every character of a text counts, however long it is.  Repeated rows give a row each; extra columns are ignored; an empty
     table gives no rows."""
     spark = docs.sparkSession
     docs = identified(docs, *[c for c in keep if c != "text"])

@@ -8,6 +8,7 @@ segments of a batch at once.  Characters outside the vocabulary become one piece
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Prefix, identified, list_array, ragged, slices, table, text_array, utf8
+from .common import identified, list_array, portions, ragged, slices, table, text_array, utf8
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
@@ -207,9 +208,12 @@ def encode(p: Pieces, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     cut[begin[:-1][some]] = True
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(full))
-    _, first, which = np.unique(Prefix(full)(starts, ends), return_index=True, return_inverse=True)
-    size = (ends - starts)[first]
-    ids, at = viterbi(p, full[ragged(starts[first], size)], np.append(0, np.cumsum(size)))
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__  # each distinct segment's number
+    raw = full.tobytes()
+    which = np.array([number[raw[a:b]] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    size = np.array([len(x) for x in number])
+    ids, at = viterbi(p, np.frombuffer(b"".join(number), np.uint8), np.append(0, np.cumsum(size)))
     n = np.diff(at)[which]
     total = np.append(0, np.cumsum(n))
     return ids[ragged(at[:-1][which], n)], total[np.searchsorted(starts, begin)]
@@ -235,7 +239,7 @@ NAMES = [x.split()[0] for x in ENCODED.split(", ")]
 def _encode(shared):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        for b in batches:
+        for b in portions(batches):
             data, offsets = utf8(b.column(1))
             for i, j in slices(offsets, STEP_BYTES):
                 d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -258,8 +262,10 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     decoded text and whether it is the text.
 
     Null is as the empty text: no ids, decoded to the empty text.  A marker character in the text itself
-    is no space and becomes byte pieces, so every text comes back.  Rows are independent: repeated rows
-    give a row each, extra columns are ignored, an empty table gives no rows."""
+    is no space and becomes byte pieces, so every text comes back.  Of paths of equal score the one whose
+    last piece is longest is taken, at each place.  Texts of any length are whole: they are cut only where no
+    piece goes across.  Rows are independent: repeated rows give a row each, extra columns are ignored, an
+    empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
     return identified(docs).mapInArrow(_encode(shared), ENCODED)
 

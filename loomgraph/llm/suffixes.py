@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REPEAT_ROWS, SECOND, Prefix, identified, mix, ragged, repeats, rows_of_batch, slices, staged, table, utf8
+from .common import REPEAT_ROWS, Prefix, identified, mix, portions, ragged, repeats, rows_of_batch, same_bytes, slices, staged, table, utf8
 
 LENGTH = 100
 #: Bytes of a minimizer; of one that splits the runs of a very common minimizer further; and how common.
@@ -74,7 +74,7 @@ def minimizer_runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -
 
 def _run_rows(length: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data, offsets = utf8(b.column(1))
             parts = []
@@ -96,7 +96,7 @@ def _contents(length: int):
     """Rows CONTENT of the marked runs of each document (marks: 2*start, plus 1 for a very common minimizer)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data, offsets = utf8(b.column(1))
             for i, j in slices(offsets):
@@ -131,10 +131,12 @@ def _contents(length: int):
                 # Equal runs of the batch: the first one (doc_id, start) stands for all.
                 who, local = ids[i + doc], start - o[doc]
                 h = Prefix(d)(start, end)
-                h2 = Prefix(d, SECOND)(start, end)
-                by = np.lexsort((local, who, h2, h))
+                by = np.lexsort((local, who, h))
                 twin = np.zeros(len(by), bool)
-                same = (h[by][1:] == h[by][:-1]) & (h2[by][1:] == h2[by][:-1])
+                first, whole = start[by], (end - start)[by]
+                same = (h[by][1:] == h[by][:-1]) & (whole[1:] == whole[:-1])
+                pair = np.flatnonzero(same)
+                same[pair] = same_bytes(d, first[pair], first[pair + 1], whole[pair])
                 twin[by[1:]] = same
                 again = np.zeros(len(by), bool)  # a repeated row of one document
                 again[by[1:]] = same & (who[by][1:] == who[by][:-1]) & (local[by][1:] == local[by][:-1])
@@ -273,7 +275,9 @@ def _index(length: int):
         if len(rows):
             of = Prefix(c["data"])
             h = of(c["at"][:-1][rows], c["at"][1:][rows])
-            same = np.append(False, (key[rows][1:] == key[rows][:-1]) & (h[1:] == h[:-1]))
+            same = np.append(False, (key[rows][1:] == key[rows][:-1]) & (h[1:] == h[:-1]) & (size[rows][1:] == size[rows][:-1]))
+            pair = np.flatnonzero(same)
+            same[pair] = same_bytes(c["data"], c["at"][:-1][rows[pair]], c["at"][:-1][rows[pair - 1]], size[rows[pair]])
             own = np.append(False, (c["doc_id"][rows][1:] == c["doc_id"][rows][:-1]) & (start[rows][1:] == start[rows][:-1]))
             later = rows[same & ~own]
             parts.append((c["doc_id"][later], start[later], start[later] + size[later]))
@@ -293,19 +297,21 @@ def _index(length: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["doc_id", "a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        held, rows, least = [], 0, GATHER
         for b in batches:
-            t = pa.Table.from_batches([b])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            if rest.num_rows < GATHER:
+            held.append(pa.Table.from_batches([b]))
+            rows += b.num_rows
+            if rows < least:
                 continue
-            key = rest.column("key").to_numpy()
-            k = int((key == key[-1]).argmax())
+            t = pa.concat_tables(held)
+            key = t.column("key").to_numpy()
+            k = int((key == key[-1]).argmax())  # the last key may go on
             if k:
-                yield from done(rest.slice(0, k))
-                rest = rest.slice(k)
-        if rest is not None:
-            yield from done(rest)
+                yield from done(t.slice(0, k))
+            held, rows = [t.slice(k)], t.num_rows - k
+            least = max(GATHER, 2 * rows)  # a key of many rows is looked at after each doubling
+        if held:
+            yield from done(pa.concat_tables(held))
 
     return work
 
@@ -340,7 +346,7 @@ RESULT = "doc_id long, text string, n_bytes long, n_removed long, n_spans long,
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in portions(batches):
         data, offsets = utf8(b.column(1))
         for i, j in slices(offsets):
             d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]

@@ -13,8 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified, list_array, mix, slices, table, utf8
-from .minhash import word_hashes
+from .common import Prefix, identified, list_array, mix, portions, slices, table, utf8
 
 #: Hash places of words; the most of them that become features, and the least chi-square for it.
 PLACES, MAX_FEATURES, MIN_CHI2 = 1 << 22, 4096, 30.0
@@ -29,6 +28,32 @@ STEM = 4
 BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray, stem: int) -> tuple[np.ndarray, ...]:
+    """Hash of each word (A-Z lowered; words are runs of bytes not in `between`), each document's first word, and
+    the hash of each word's first `stem` bytes."""
+    if not len(data):
+        none = np.zeros(0, np.uint64)
+        return none, np.zeros(len(offsets), np.int64), none
+    data = LOWER[data]
+    inside = ~between[data]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    edge = offsets[:-1][np.diff(offsets) > 0]
+    begin[edge] = inside[edge]
+    starts = np.flatnonzero(begin)
+    # A word ends where white space or the next document begins.
+    stop = ~inside
+    stop[edge] = True
+    stops = np.append(np.flatnonzero(stop), len(data))
+    ends = stops[np.searchsorted(stops, starts, "right")]
+    of = Prefix(data)
+    return of(starts, ends), np.searchsorted(starts, offsets), of(starts, np.minimum(starts + stem, ends))
+
+
 def places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash places of each word and of its first STEM bytes (inflected forms share them), and each
     document's first place."""
@@ -40,7 +65,7 @@ def places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(place, clean, toxic): documents of a task that have a word at the place."""
     n = np.zeros((2, PLACES), np.int32)
-    for b in batches:
+    for b in portions(batches, 0):
         data, offsets = utf8(b.column(0))
         toxic = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for i, j in slices(offsets):
@@ -67,7 +92,7 @@ def features_of(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tu
 
 def _features(shared):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             data, offsets = utf8(b.column(1))
             for i, j in slices(offsets):
                 f, begin = features_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shared.value)
@@ -116,7 +141,7 @@ RESULT = "doc_id long, expected_severity double, grade int, p_toxic double, is_t
 def _predict(shared):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, w, theta = shared.value
-        for b in batches:
+        for b in portions(batches):
             data, offsets = utf8(b.column(1))
             for i, j in slices(offsets):
                 f, begin = features_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], chosen)

@@ -1,10 +1,12 @@
 """The training-data operators against brute force, and on odd tables."""
 
 import hashlib
+import math
 import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -356,6 +358,99 @@ def test_hash_of_substrings():
     assert h(np.array([0]), np.array([3])) == h(np.array([3]), np.array([6])) != h(np.array([1]), np.array([4]))
 
 
+def twins(n):
+    """Two different strings of n a/b characters that a polynomial hash modulo 2**64 takes for one."""
+    one = "a"
+    while len(one) < n:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_texts_are_compared_not_hashes(spark, monkeypatch, n):
+    x, y = twins(n)
+    d = np.frombuffer((x + y).encode(), np.uint8)
+    assert Prefix(d)(np.array([0]), np.array([n])) == Prefix(d)(np.array([n]), np.array([2 * n]))
+    schema = "doc_id long, text string"
+    df = spark.createDataFrame([(1, x), (2, y), (3, y), (4, x + " tail"), (5, y + " tail")], schema)
+    got = one_by_id(minhash.near_duplicates(df, words=2))
+    assert {i: r.component_id for i, r in got.items()} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5}
+    monkeypatch.setattr(chunks, "chunk_ends", lambda data, offsets, mean: offsets[1:])
+    got = one_by_id(spark.createDataFrame(list(chunks.chunk_rows()(iter([batch([(1, x), (2, y)])])))[0].to_pandas())).values()
+    assert len({r.h1 for r in got}) == 2
+    p = pieces.load()
+    ids, at = pieces.encode(p, d, np.array([0, n, 2 * n]))
+    back, lens = pieces.decode(p, ids, at)
+    assert back.tobytes().decode() == x + y and list(lens) == [n, n]
+
+
+def batch(rows):
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["doc_id", "text"])
+
+
+def test_equal_looking_runs_are_compared(spark, monkeypatch):
+    # Every hash of a run is the same: only its bytes tell it from others.
+    rows = [(i, prose(i // 3, 60) + prose(10 + i // 3, 40)) for i in range(9)]
+    old = Prefix.__call__
+    monkeypatch.setattr(Prefix, "__call__", lambda self, a, b: np.zeros_like(old(self, a, b)))  # so only neighbours in the sort can be twins
+    b = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([t for _, t in rows]), pa.array([[2 * k for k in starts(t)] for _, t in rows])], names=["doc_id", "text", "marks"])
+    out = next(suffixes._contents(100)(iter([b])))
+    twin = {(r["doc_id"], r["start"] // 256) for r in out.to_pylist() if r["twin"]}
+    runs = {}
+    for i, t in rows:
+        for a, n in starts(t).items():
+            runs.setdefault(t[a : a + n + 99], []).append((i, a))
+    assert twin <= {x for same in runs.values() for x in same[1:]}
+
+
+def starts(text):
+    d = np.frombuffer(text.encode(), np.uint8)
+    a, n, _, _ = suffixes.minimizer_runs(d, np.array([0, len(d)]), 100, suffixes.MINIMIZER)
+    return dict(zip(a.tolist(), n.tolist(), strict=True))
+
+
+def test_language_of_symbols_and_of_letters_beyond_the_basic_plane(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "\U0001f600\U0001f680"), (2, "\U0001f600 4 \u2028!"), (3, "\U00010400\U00010401"), (4, "the cat is on the mat")], "doc_id long, text string")
+    got = one_by_id(langid.identify(docs, spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    assert [got[i].lang_pred for i in (1, 2)] == ["und", "und"] and got[3].lang_pred != "und" and got[4].lang_pred == "en"
+
+
+def test_language_model_is_kneser_ney(spark):
+    # By hand: interpolated Kneser-Ney of order 4 with one discount for each order and language.
+    train = [(1, "abc abd! abc", "x"), (2, "bcd abcab", "x"), (3, "xyz xya", "y"), (4, "abz yxz", "y")]
+    codes = lambda t: [langid.GAP if k == " " else ord(k) for k in re.sub(r"[^a-z]+", " ", t.lower())]
+    count = {k: {o: {} for o in range(1, 5)} for k in "xy"}
+    for _, t, lang in train:
+        c = [langid.EDGE] * 4 + codes(t)
+        for i in range(4, len(c)):
+            g = tuple(c[i - 3 : i + 1])
+            count[lang][4][g] = count[lang][4].get(g, 0) + 1
+    for k in "xy":
+        for o in (3, 2, 1):
+            for g in count[k][o + 1]:
+                count[k][o][g[1:]] = count[k][o].get(g[1:], 0) + 1
+    letters = max(2, len({g for k in "xy" for g in count[k][1]}) + 1)
+
+    def p(k, g):
+        if not g:
+            return 1 / letters
+        c = count[k][len(g)]
+        ones, twos = (sum(v == n for v in c.values()) for n in (1, 2))
+        cut = min(max(ones / (ones + 2 * twos) if ones + twos else 0.5, 0.1), 0.9)
+        after = [v for h, v in c.items() if h[:-1] == g[:-1]]
+        lower = p(k, g[1:])
+        return lower if not after else (max(c.get(g, 0) - cut, 0) + cut * len(after) * lower) / sum(after)
+
+    docs = [(10, "abcd"), (11, "xyz bca"), (12, "qq ab")]
+    got = one_by_id(langid.identify(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(train, "doc_id long, text string, lang string")))
+    for i, t in docs:
+        c = [langid.EDGE] * 4 + codes(t)
+        h = {k: -sum(math.log(p(k, tuple(c[j - 3 : j + 1]))) for j in range(4, len(c))) / len(codes(t)) for k in "xy"}
+        best = min(h, key=h.get)
+        assert got[i].lang_pred == best and abs(got[i].cross_entropy - h[best]) < 1e-6
+        assert abs(got[i].score - 1 / sum(math.exp((h[best] - v) * 20) for v in h.values())) < 1e-5
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
