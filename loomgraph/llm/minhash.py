@@ -24,19 +24,18 @@ BANDS, ROWS = 20, 4
 
 
 def word_digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit digests of each word (A-Z lowered; words are runs of bytes other than 0x20 and
-    0x09 to 0x0D), and each document's first word.  Each distinct word is digested once."""
+    """A cryptographic 64-bit digest of each word (A-Z lowered; words are runs of bytes other than 0x20 and 0x09
+    to 0x0D), and each document's first word.  Each distinct word is digested once."""
     number: defaultdict[bytes, int] = defaultdict()
     number.default_factory = number.__len__
     each = [t.lower().split() for t in texts]
     first = np.append(0, np.cumsum([len(w) for w in each])).astype(np.int64)
     at = np.fromiter((number[w] for words in each for w in words), np.int64, int(first[-1]))
-    return np.array([digest(w) for w in number], np.uint64).reshape(-1, 2)[at], first
+    return np.array([digest(w)[0] for w in number], np.uint64)[at], first
 
 
-def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct shingle digests of each document, end to end, second digests beside them, and where
-    each set begins."""
+def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle digests of each document, end to end, and where each set begins."""
     h, first = word_digests(texts)
     n = np.diff(first)
     count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
@@ -47,13 +46,8 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     for t in range(1, words):
         more = at + t < first[doc + 1]
         acc[more] = mix(acc[more] * np.uint64(0xD6E8FEB86659FD93) + h[at[more] + t])
-    one, two, sizes = [acc[:0, 0]], [acc[:0, 0]], [0]
-    for a, b in zip(begin[:-1], begin[1:], strict=True):
-        u, where = np.unique(acc[a:b, 0], return_index=True)
-        one.append(u)
-        two.append(acc[a:b, 1][where])
-        sizes.append(len(u))
-    return np.concatenate(one), np.concatenate(two), np.cumsum(sizes).astype(np.int64)
+    sets = [np.unique(acc[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    return (np.concatenate(sets) if sets else acc), np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int64)
 
 
 def full_set(text: bytes, words: int) -> set:
@@ -79,7 +73,7 @@ def signatures(words: int, bands: int, rows: int):
             ids = b.column(0)
             data, offsets = utf8(b.column(1))
             for i, j in slices(offsets):
-                sets, second, at = shingle_sets(strings(data, offsets[i : j + 1]), words)
+                sets, at = shingle_sets(strings(data, offsets[i : j + 1]), words)
                 n = np.diff(at)
                 some = np.flatnonzero(n)
                 where = at[:-1][some]
@@ -87,7 +81,7 @@ def signatures(words: int, bands: int, rows: int):
                 values = np.zeros((len(some), bands * rows), np.uint64)
                 if len(some):
                     sums[0, some] = np.add.reduceat(mix(sets), where)
-                    sums[1, some] = np.add.reduceat(mix(second), where)
+                    sums[1, some] = np.add.reduceat(mix(sets + np.uint64(0x5851F42D4C957F2D)), where)
                     for k in range(permutations):
                         image = sets * factors[k]
                         values[:, 2 * k] = np.minimum.reduceat(image, where)
@@ -126,7 +120,7 @@ def shingle_lists(words: int):
         for b in portions(batches):
             data, offsets = utf8(b.column(1))
             for i, j in slices(offsets):
-                sets, _, at = shingle_sets(strings(data, offsets[i : j + 1]), words)
+                sets, at = shingle_sets(strings(data, offsets[i : j + 1]), words)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), list_array(sets.view(np.int64), at, pa.int64())], names=["doc_id", "shingles"])
 
     return work
