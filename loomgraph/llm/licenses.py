@@ -1,76 +1,137 @@
 """Operator 4: licence scan, with DataFrame functions only.
 
-Header lines that speak of a licence are compared with templates by the cosine of sparse TF-IDF
-vectors.  A file that is mostly such lines is its directory's licence file; files without a header
-inherit from the nearest ancestor directory that has one, by joins on paths."""
+Header lines and paragraphs that speak of a licence are compared one by one with templates (notices,
+titles and paragraphs of licences) by the cosine of sparse TF-IDF vectors.  A licence file is one that is
+called so, or mostly such lines; files without a header inherit from the nearest ancestor directory that
+has one, by joins on paths."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, table
 
-#: Templates (id, notice).
+#: Templates (id, notice): fixed texts of the licences.
 TEMPLATES = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0, the Creative Commons Attribution License."),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal public domain dedication"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("ISC", "ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-#: Least cosine of a match; least share of a licence file's characters in its header lines.
+#: Least cosine of a match; least share of a licence file's characters in its header lines, unless its name tells.
 LEAST, FILE_SHARE = 0.6, 0.5
-HEADER = r"(?i)licen[sc]e|copyright|spdx|released under"
-WORD = "[a-z0-9]+"
-SPEAKS = "(lower(text) LIKE '%licen_e%' OR lower(text) LIKE '%copyright%' OR lower(text) LIKE '%spdx%' OR lower(text) LIKE '%released under%')"
+LICENCE_NAME = "(?i)(^|/)(un)?(licen[cs]e|copying)([.-][^/]*)?$"
+HEADER = "(?i)licen[sc]e|copyright|spdx|released |permission|redistribut|creative commons"
+SPEAKS = " OR ".join(f"lower(text) LIKE '%{x}%'" for x in ("licen_e", "copyright", "spdx", "released ", "permission", "redistribut", "creative commons"))
+WORD, BETWEEN, PARAGRAPH = "[a-z0-9]+", "[^a-z0-9]+", "\n[ \t\r]*\n"
+
+
+def vocabulary(templates: list[tuple[str, str]]) -> list[str]:
+    return sorted({w for _, notice in templates for w in re.findall(WORD, notice.lower())})
+
+
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), BETWEEN), lambda w: w != "")
+
 
+def directory(path: str) -> Column:
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
-def scan(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
+
+def inherited(files: DataFrame, places: DataFrame) -> DataFrame:
+    """(dir, ancestor, found): for each directory of files (path) the nearest ancestor, or itself, of places
+    (ancestor, found)."""
+    dirs = files.where("path is not null").select(directory("path").alias("dir")).distinct()
+    parts = F.split("dir", "/")
+    up = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("ancestor"))
+    nearest = F.max(F.struct(F.length("ancestor").alias("l"), "ancestor", "found"))
+    return up.join(places, "ancestor").groupBy("dir").agg(nearest.alias("b")).select("dir", "b.ancestor", "b.found")
+
+
+def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """Per row of files (doc_id, path, text): doc_id, path, declared, score, is_licence_file, licence,
     inherited_from (a directory, if so).
 
-    templates: (template, notice), a short list.  Words are letters and digits in lower case; a word's
-    idf is ln((1 + N) / (1 + df)) + 1 over the N templates.  The best cosine wins, ties by template; below
+    templates: (template, notice), a short list; a template has any number of notices.  Words are letters
+    and digits in lower case.  A word's idf is ln((1 + N) / (1 + df)) + 1, of the N files df having it; a
+    word of no notice counts with the mean idf of the notices' words.  Each line and each paragraph that
+    speaks of a licence is a vector of its own; the best cosine of a file's wins, ties by template; below
     `least` nothing is declared.  Of several licence files in one directory the best score counts, then
-    the least path.  Null or empty text has no header, a null path no directory and inherits nothing.
-    Rows are independent: repeated rows give a row each if their paths differ; extra columns are ignored,
-    an empty table gives no rows.  Only rows that speak of a licence are split into words."""
+    the least path.
+
+    Null or empty text has no header; a null path is in no directory and inherits nothing.  Rows are
+    independent and give a row each, repeated or not.  Texts of any length are whole.  Extra columns are
+    ignored, an empty table gives no rows.  Only the notices' words are counted over all files."""
+    spark = files.sparkSession
     files = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    n = templates.select(F.countDistinct("template").alias("n"))
-    words = templates.select("template", F.explode(F.regexp_extract_all(F.lower("notice"), F.lit(WORD), F.lit(0))).alias("w")).groupBy("template", "w").agg(F.count("*").alias("tf"))
-    df = words.groupBy("w").agg(F.countDistinct("template").alias("df")).crossJoin(F.broadcast(n)).select("w", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
-    weights = words.join(df, "w").withColumn("v", F.col("tf") * F.col("idf"))
-    norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    vectors = weights.join(norms, "template").select("template", "w", (F.col("v") / F.col("norm")).alias("v"))
-
-    heads = files.where(SPEAKS).select("doc_id", "path", F.filter(F.split("text", "\n"), lambda line: line.rlike(HEADER)).alias("lines"), F.length("text").alias("n_chars"))
-    head = F.lower(F.array_join("lines", "\n"))
-    share = F.length(F.array_join("lines", "")) / F.col("n_chars") >= FILE_SHARE
-    heads = heads.where(F.size("lines") > 0).select("doc_id", "path", share.alias("mostly"), F.explode(F.regexp_extract_all(head, F.lit(WORD), F.lit(0))).alias("w"))
-    heads = staged(heads, "headers")  # read again by each of the joins below, so texts are read once
-    key = ["doc_id", "path"]
-    counted = heads.groupBy(*key, "mostly", "w").agg(F.count("*").alias("tf"))
-    counted = counted.join(df, "w", "left").crossJoin(F.broadcast(n)).withColumn("x", F.col("tf") * F.coalesce("idf", F.log(1.0 + F.col("n")) + 1))
-    length = counted.groupBy(*key, "mostly").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    dots = counted.select(*key, "w", "x").join(vectors, "w").groupBy(*key, "template").agg(F.sum(F.col("x") * F.col("v")).alias("dot"))
-    scored = dots.join(length, key).withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("score") >= least)
-    best = scored.groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("s"), "template", "mostly")).alias("b"))
-    declared = best.select(*key, F.col("b.template").alias("declared"), (-F.col("b.s")).alias("score"), F.col("b.mostly").alias("is_licence_file"))
-
-    directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    places = declared.where("is_licence_file").select(directory.alias("ancestor"), "path", "declared", "score")
-    places = places.groupBy("ancestor").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "declared")).alias("b")).select("ancestor", F.col("b.declared").alias("found"))
-    # Of each directory, all its ancestors; the longest one that has a licence file counts.
-    dirs = files.where("path is not null").select(directory.alias("dir")).distinct()
-    parts = F.split("dir", "/")
-    up = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("ancestor"))
-    near = up.join(places, "ancestor").groupBy("dir").agg(F.max(F.struct(F.length("ancestor").alias("l"), "ancestor", "found")).alias("b")).select("dir", F.col("b.ancestor").alias("ancestor"), F.col("b.found").alias("found"))
-    out = files.select("doc_id", "path", directory.alias("dir")).join(declared, key, "left").join(near, "dir", "left")
+    own = vocabulary(templates)
+    # All of these have a row for each word of the templates, or of a notice, at most.
+    total = files.count()
+    held = files.select(F.explode(F.array_intersect(words(F.col("text")), F.lit(own))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    df = spark.createDataFrame([(w,) for w in own], "w string").join(held, "w", "left")
+    idf = staged(df.select("w", (F.log(F.lit(1.0 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")), "idf")
+    other = idf.agg(F.avg("idf")).first()[0]
+    notices = spark.createDataFrame([(k, t, n) for k, (t, n) in enumerate(templates)], "notice int, template string, text string")
+    weights = notices.select("notice", "template", F.explode(words(F.col("text"))).alias("w")).groupBy("notice", "template", "w").agg(F.count("*").alias("tf"))
+    weights = weights.join(idf, "w").withColumn("v", F.col("tf") * F.col("idf"))
+    norms = weights.groupBy("notice").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    vectors = weights.join(norms, "notice").select("notice", "template", "w", (F.col("v") / F.col("norm")).alias("v"))
+
+    speaks = lambda parts: F.filter(parts, lambda part: part.rlike(HEADER))
+    lines = speaks(F.split("text", "\n"))
+    units = F.array_distinct(F.concat(lines, speaks(F.split("text", PARAGRAPH))))
+    mostly = F.length(F.array_join(lines, "")) / F.length("text") >= FILE_SHARE
+    spoken = F.coalesce(F.expr(SPEAKS), F.lit(False))
+    heads = files.where(spoken).select("doc_id", "path", (mostly | F.coalesce(F.col("path").rlike(LICENCE_NAME), F.lit(False))).alias("named"), units.alias("units"))
+    heads = staged(heads.withColumn("row", F.monotonically_increasing_id()), "headers")  # so texts are read once more, and rows have a key
+    counted = heads.select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", F.explode(words(F.col("u"))).alias("w")).groupBy("row", "unit", "w").agg(F.count("*").alias("tf"))
+    counted = staged(counted.join(F.broadcast(idf), "w", "left").select("row", "unit", "w", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("x")), "counted")
+    length = counted.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+    dots = counted.join(F.broadcast(vectors), "w").groupBy("row", "unit", "notice", "template").agg(F.sum(F.col("x") * F.col("v")).alias("dot"))
+    scored = dots.join(length, ["row", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("score") >= least)
+    best = scored.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), "template")).alias("b")).select("row", F.col("b.template").alias("declared"), (-F.col("b.s")).alias("score"))
+    declared = heads.drop("units").join(best, "row", "left").select("doc_id", "path", "declared", "score", (F.col("named") & F.col("declared").isNotNull()).alias("is_licence_file"))
+    declared = staged(declared, "declared")
+
+    places = declared.where("is_licence_file and path is not null").select(directory("path").alias("ancestor"), F.struct((-F.col("score")).alias("s"), "path", "declared").alias("b"))
+    near = inherited(files, places.groupBy("ancestor").agg(F.min("b").alias("b")).select("ancestor", F.col("b.declared").alias("found")))
+    silent = files.where(~spoken).select("doc_id", "path", F.lit(None).cast("string").alias("declared"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("is_licence_file"))
+    out = declared.union(silent).withColumn("dir", directory("path")).join(near, "dir", "left")
     inherits = F.col("declared").isNull() & F.col("found").isNotNull()
-    return out.select("doc_id", "path", "declared", "score", F.coalesce("is_licence_file", F.lit(False)).alias("is_licence_file"), F.coalesce("declared", "found").alias("licence"), F.when(inherits, F.col("ancestor")).alias("inherited_from"))
+    return out.select("doc_id", "path", "declared", "score", "is_licence_file", F.coalesce("declared", "found").alias("licence"), F.when(inherits, F.col("ancestor")).alias("inherited_from"))
 
 
 #: Documents as files: a directory for each source, one for each 10,000 ids in it, one for each 100.
@@ -78,38 +139,44 @@ PATH = "concat(coalesce(source, 'unknown'), '/', cast(doc_id div 10000 as string
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    templates = spark.createDataFrame(TEMPLATES, "template string, notice string")
-    return scan(docs.select("doc_id", F.expr(PATH).alias("path"), "text"), templates)
+    return scan(table(spark, sf_dir, "documents").select("doc_id", F.expr(PATH).alias("path"), "text"))
 
 
 def sql() -> str:
     """The same as DuckDB SQL."""
-    values = ", ".join("('{}', '{}')".format(*t) for t in TEMPLATES)
+    values = ", ".join("({}, '{}', '{}')".format(k, t, n.replace("'", "''")) for k, (t, n) in enumerate(TEMPLATES))
+    paragraph = r"\n[ \t\r]*\n"
     return f"""
 WITH files AS (SELECT doc_id, text, concat(coalesce(source, 'unknown'), '/', CAST(doc_id // 10000 AS VARCHAR), '/', CAST(doc_id // 100 AS VARCHAR), '/', CAST(doc_id AS VARCHAR), '.txt') AS path FROM documents),
-templates(template, notice) AS (VALUES {values}),
-n AS (SELECT count(DISTINCT template) AS n FROM templates),
-tw AS (SELECT template, unnest(regexp_extract_all(lower(notice), '{WORD}')) AS w FROM templates),
-words AS (SELECT template, w, count(*) AS tf FROM tw GROUP BY template, w),
-df AS (SELECT w, ln((1.0 + n) / (1.0 + count(DISTINCT template))) + 1 AS idf FROM words, n GROUP BY w, n),
-weights AS (SELECT template, w, tf * idf AS v FROM words JOIN df USING (w)),
-norms AS (SELECT template, sqrt(sum(v * v)) AS norm FROM weights GROUP BY template),
-vectors AS (SELECT template, w, v / norm AS v FROM weights JOIN norms USING (template)),
-heads AS (SELECT doc_id, path, list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '{HEADER}')) AS lines, length(text) AS n_chars FROM files WHERE {SPEAKS}),
-hw AS (SELECT doc_id, path, length(array_to_string(lines, '')) / n_chars >= {FILE_SHARE} AS mostly, unnest(regexp_extract_all(lower(array_to_string(lines, chr(10))), '{WORD}')) AS w FROM heads WHERE len(lines) > 0),
-counted AS (SELECT doc_id, path, mostly, w, count(*) AS tf FROM hw GROUP BY ALL),
-x AS (SELECT doc_id, path, mostly, c.w, tf * coalesce(idf, ln(1.0 + n) + 1) AS x FROM counted c LEFT JOIN df ON c.w = df.w CROSS JOIN n),
-lens AS (SELECT doc_id, path, mostly, sqrt(sum(x * x)) AS length FROM x GROUP BY ALL),
-dots AS (SELECT doc_id, path, template, sum(x * v) AS dot FROM x JOIN vectors USING (w) GROUP BY ALL),
-scored AS (SELECT doc_id, path, template, mostly, round(dot / length, 6) AS score FROM dots JOIN lens USING (doc_id, path)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, path ORDER BY score DESC, template) AS r FROM scored WHERE score >= {LEAST}),
-declared AS (SELECT doc_id, path, template AS declared, score, mostly AS is_licence_file, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM ranked WHERE r = 1),
+total AS (SELECT count(*) AS n FROM files),
+templates(notice, template, text) AS (VALUES {values}),
+tw AS (SELECT notice, template, unnest(regexp_extract_all(lower(text), '{WORD}')) AS w FROM templates),
+held AS (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{WORD}'))) AS w FROM files) WHERE w IN (SELECT w FROM tw) GROUP BY w),
+idf AS (SELECT v.w, ln((1.0 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT w FROM tw) v CROSS JOIN total LEFT JOIN held ON held.w = v.w),
+other AS (SELECT avg(idf) AS other FROM idf),
+weights AS (SELECT notice, template, w, count(*) * any_value(idf) AS v FROM tw JOIN idf USING (w) GROUP BY notice, template, w),
+norms AS (SELECT notice, sqrt(sum(v * v)) AS norm FROM weights GROUP BY notice),
+vectors AS (SELECT notice, template, w, v / norm AS v FROM weights JOIN norms USING (notice)),
+heads AS (SELECT doc_id, path, length(text) AS n_chars,
+                 list_filter(string_split(text, chr(10)), lambda part: regexp_matches(part, '{HEADER}')) AS lines,
+                 list_filter(string_split_regex(text, '{paragraph}'), lambda part: regexp_matches(part, '{HEADER}')) AS paragraphs
+          FROM files WHERE {SPEAKS}),
+marked AS (SELECT doc_id, path, list_distinct(list_concat(lines, paragraphs)) AS units,
+                  length(array_to_string(lines, '')) / n_chars >= {FILE_SHARE} OR regexp_matches(path, '{LICENCE_NAME}') AS named FROM heads),
+parts AS (SELECT doc_id, unnest(units) AS u FROM marked),
+unit AS (SELECT DISTINCT doc_id, u FROM parts),
+counted AS (SELECT doc_id, u, w, count(*) AS tf FROM (SELECT doc_id, u, unnest(regexp_extract_all(lower(u), '{WORD}')) AS w FROM unit) GROUP BY ALL),
+x AS (SELECT doc_id, u, c.w, tf * coalesce(idf, other) AS x FROM counted c LEFT JOIN idf ON c.w = idf.w CROSS JOIN other),
+lens AS (SELECT doc_id, u, sqrt(sum(x * x)) AS length FROM x GROUP BY ALL),
+dots AS (SELECT doc_id, u, notice, template, sum(x * v) AS dot FROM x JOIN vectors USING (w) GROUP BY ALL),
+scored AS (SELECT doc_id, template, round(dot / length, 6) AS score FROM dots JOIN lens USING (doc_id, u)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) AS r FROM scored WHERE score >= {LEAST}),
+declared AS (SELECT m.doc_id, path, template AS declared, score, named AS is_licence_file, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM marked m JOIN ranked USING (doc_id) WHERE r = 1),
 places AS (SELECT dir AS ancestor, declared AS found FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) AS r FROM declared WHERE is_licence_file) WHERE r = 1),
 dirs AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files),
-up AS (SELECT dir, array_to_string(string_split(dir, '/')[1:i], '/') AS ancestor FROM dirs, generate_series(1, 3) g(i)),
+up AS (SELECT dir, array_to_string(string_split(dir, '/')[1:i], '/') AS ancestor FROM dirs, generate_series(0, 3) g(i)),
 near AS (SELECT dir, ancestor, found FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY length(ancestor) DESC) AS r FROM up JOIN places USING (ancestor)) WHERE r = 1)
 SELECT f.doc_id, f.path, d.declared, d.score, coalesce(d.is_licence_file, false) AS is_licence_file, coalesce(d.declared, near.found) AS licence,
        CASE WHEN d.declared IS NULL THEN near.ancestor END AS inherited_from
-FROM files f LEFT JOIN declared d ON f.doc_id = d.doc_id AND f.path = d.path LEFT JOIN near ON near.dir = regexp_extract(f.path, '^(.*)/[^/]*$', 1)
+FROM files f LEFT JOIN declared d USING (doc_id) LEFT JOIN near ON near.dir = regexp_extract(f.path, '^(.*)/[^/]*$', 1)
 """
