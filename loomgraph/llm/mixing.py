@@ -3,8 +3,8 @@ functions only.
 
 Token counts are summed to cells (source, language, topic); cell weights are raked to the three
 target marginals in turn; each document is then sampled with its cell's probability, which is the
-raked weight over the tokens there are, scaled so that the greatest is 1 or, with a rate, so that this
-share of all tokens is expected, no cell over 1."""
+raked weight over the tokens there are, scaled so that a given share of all tokens is expected, no cell
+over 1."""
 
 from __future__ import annotations
 
@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 #: Most rounds of raking over the three margins, and the greatest relative change of a weight in the last one.
-ROUNDS, TOLERANCE = 12, 1e-10
+ROUNDS, TOLERANCE = 200, 1e-10
+#: Share of all tokens that is sampled.
+RATE = 0.5
+#: Cells that are broadcast to the documents; more are joined by a shuffle, each in SALTS parts.
+CELLS, SALTS = 100_000, 32
 #: Default targets: shares of a margin go with this power of its tokens, so small ones count for more.
 POWERS = {"source": 0.85, "lang": 0.85, "topic": 0.9}
 MARGINS = ("source", "lang", "topic")
@@ -74,27 +78,28 @@ def scale_to(cells: DataFrame, rate: float) -> float:
         scale = now
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: str = TOPIC, rounds: int = ROUNDS, keep: tuple[str, ...] = (), rate: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: str = TOPIC, rounds: int = ROUNDS, keep: tuple[str, ...] = (), rate: float = RATE) -> DataFrame:
     """Per document: doc_id, source, lang, topic, n_tokens, weight (its cell's raked tokens over tokens),
     probability, sampled, and the columns to keep (as they are in docs, under kept_<name>).
 
     A null source or language is the value 'unknown'; null or empty text has no tokens, and a cell
-    without tokens probability 0.  The greatest probability is 1 or, with a rate, this share of all
-    tokens is expected and probabilities are at most 1.  A repeated row is one more document, sampled alike.  Extra columns are
-    ignored; an empty table gives no rows.  Two passes over the texts; only cells are shuffled."""
+    without tokens probability 0.  The share `rate` of all tokens is expected (all that have a weight, if
+    these are fewer), and probabilities are at most 1.  Documents of one cell are alike but for their ids,
+    so there are no ties to break; a repeated row is one more document, sampled alike.  Texts of any length
+    count whole.  Extra columns are ignored; an empty table gives no rows.  Two passes over the texts; only
+    cells are shuffled."""
     unknown = F.lit("unknown")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), unknown).alias("source"), F.coalesce(F.col("lang").cast("string"), unknown).alias("lang"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     base = base.select("doc_id", "source", "lang", F.expr(topic).alias("topic"), F.expr(TOKENS).cast("long").alias("n_tokens"), *[f"kept_{c}" for c in keep])
     cells = base.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     raked = rake(cells, targets, rounds).withColumn("weight", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
     raked = staged(raked, "weights")
-    most = raked.agg(F.max("weight")).first()[0]
-    if rate is None:
-        probability = F.col("weight") / most if most else F.lit(0.0)
+    raked = raked.select(*MARGINS, "weight", F.least(F.col("weight") * scale_to(raked, rate), F.lit(1.0)).alias("probability"))
+    if raked.count() <= CELLS:
+        out = base.join(F.broadcast(raked), list(MARGINS))
     else:
-        probability = F.least(F.col("weight") * scale_to(raked, rate), F.lit(1.0))
-    raked = raked.withColumn("probability", probability)
-    out = base.join(raked.drop("tokens"), list(MARGINS))
+        salted = raked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*MARGINS, "salt"])
     return out.select("doc_id", *MARGINS, "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"), *[f"kept_{c}" for c in keep])
 
 
@@ -103,25 +108,31 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    """The same as DuckDB SQL."""
+    """The same as DuckDB SQL: raking is a recursive table of ROUNDS at most."""
     steps = [
         f"base AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, {TOPIC} AS topic, CAST({TOKENS} AS BIGINT) AS n_tokens FROM documents)",
-        "cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM base GROUP BY source, lang, topic)",
+        "cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM base GROUP BY source, lang, topic)",
     ]
     for m in MARGINS:
-        steps.append(f"t_{m} AS (SELECT {m}, pow(CAST(sum(tokens) AS DOUBLE), {POWERS[m]}) AS p FROM cells GROUP BY {m})")
+        steps.append(f"t_{m} AS (SELECT {m}, pow(sum(tokens), {POWERS[m]}) AS p FROM cells GROUP BY {m})")
         steps.append(f"s_{m} AS (SELECT {m}, p / sum(p) OVER () AS share FROM t_{m})")
-    steps.append("w0 AS (SELECT c.source, c.lang, c.topic, c.tokens, CAST(sum(c.tokens) OVER () AS DOUBLE) AS total, CAST(c.tokens AS DOUBLE) AS weight, " + ", ".join(f"s_{m}.share AS share_{m}" for m in MARGINS) + " FROM cells c " + " ".join(f"JOIN s_{m} ON c.{m} = s_{m}.{m}" for m in MARGINS) + ")")
-    k = 0
-    for _ in range(ROUNDS):
-        for m in MARGINS:
-            held = f"sum(weight) OVER (PARTITION BY {m})"
-            steps.append(f"w{k + 1} AS (SELECT * EXCLUDE (weight), CASE WHEN {held} > 0 THEN weight * share_{m} * total / {held} ELSE 0 END AS weight FROM w{k})")
-            k += 1
-    steps.append(f"f AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS weight FROM w{k})")
-    steps.append("p AS (SELECT *, coalesce(weight / nullif(max(weight) OVER (), 0), 0) AS probability FROM f)")
+    shares = ", ".join(f"s_{m}.share AS share_{m}" for m in MARGINS)
+    joins = " ".join(f"JOIN s_{m} ON c.{m} = s_{m}.{m}" for m in MARGINS)
+    steps.append(f"w0 AS (SELECT c.*, sum(c.tokens) OVER () AS total, c.tokens AS weight, {shares} FROM cells c {joins})")
+    one = "SELECT *, weight AS was FROM rounds WHERE k < {} AND moved > {}".format(ROUNDS, TOLERANCE)
+    for m in MARGINS:
+        held = f"sum(weight) OVER (PARTITION BY {m})"
+        one = f"SELECT * REPLACE (CASE WHEN {held} > 0 THEN weight * share_{m} * total / {held} ELSE 0 END AS weight) FROM ({one})"
+    columns = "source, lang, topic, tokens, total, " + ", ".join(f"share_{m}" for m in MARGINS) + ", weight"
+    moved = "max(CASE WHEN was > 0 THEN abs(weight - was) / was ELSE 0 END) OVER ()"
+    steps.append(f"rounds AS (SELECT {columns}, 0 AS k, CAST(1 AS DOUBLE) AS moved FROM w0 UNION ALL SELECT {columns}, k + 1, {moved} FROM ({one}))")
+    steps.append("f AS (SELECT source, lang, topic, tokens, total, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS weight FROM rounds WHERE k = (SELECT max(k) FROM rounds))")
+    by = "ORDER BY weight DESC, source, lang, topic ROWS BETWEEN"
+    steps.append(f"o AS (SELECT weight, {RATE} * total - coalesce(sum(tokens) OVER ({by} UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS goal, sum(tokens * weight) OVER ({by} CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM f WHERE weight > 0)")
+    steps.append("scale AS (SELECT arg_max(goal / open, weight) AS s FROM o WHERE weight * goal / open < 1)")
+    steps.append("p AS (SELECT source, lang, topic, weight, CASE WHEN weight = 0 THEN 0 ELSE least(coalesce(weight * s, 1), 1) END AS probability FROM f CROSS JOIN scale)")
     return (
-        "WITH " + ", ".join(steps) + " SELECT b.doc_id, b.source, b.lang, b.topic, b.n_tokens, round(p.weight, 6) AS weight, round(p.probability, 6) AS probability, "
+        "WITH RECURSIVE " + ", ".join(steps) + " SELECT b.doc_id, b.source, b.lang, b.topic, b.n_tokens, round(p.weight, 6) AS weight, round(p.probability, 6) AS probability, "
         "CAST(('0x' || substr(md5(CAST(b.doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 < p.probability AS sampled "
         "FROM base b JOIN p ON b.source = p.source AND b.lang = p.lang AND b.topic = p.topic"
     )

@@ -254,6 +254,27 @@ def test_projections(spark, sf_dir):
     assert projections.near_vectors(df.limit(0)).count() == 0
 
 
+def test_projections_recall_and_labels_of_text(spark, monkeypatch):
+    # Clusters about the threshold: pairs of every cosine around it, and a crowded cell of several blocks.
+    monkeypatch.setattr(projections, "BLOCK", 64)
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal((300, 32))
+    x = np.concatenate([np.repeat(centre, 6, 0) + 0.11 * rng.standard_normal((1800, 32)) * rng.random((1800, 1)), centre[:1] + 0.15 * rng.standard_normal((400, 32))])
+    rows = [(i, [float(v) for v in r], "ab"[i % 2]) for i, r in enumerate(x)] + [(5000, [float(v) for v in x[0]], "a"), (5000, [float(v) for v in x[0]], "a")]
+    got = projections.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    y = np.array([r[1] for r in rows])
+    y = y / np.linalg.norm(y, axis=1)[:, None]
+    label = np.array([r[2] for r in rows])
+    want = (y @ y.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(want, False)
+    links = {}
+    for (i, *_), n in zip(rows, want.sum(1), strict=True):
+        links.setdefault(i, []).append(int(n))
+    found = sum(r.n_links for r in got)
+    assert len(got) == len(rows) and 0.999 * want.sum() <= found <= want.sum() and want.sum() > 3000
+    assert all(r.n_links <= max(links[r.vec_id]) for r in got)
+
+
 def test_toxicity(spark, sf_dir, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     rows = toxicity.severity(docs.where("lang = 'en'"), labels).join(labels, "doc_id").collect()
@@ -290,11 +311,51 @@ def test_licenses_and_mixing_match_sql(spark, sf_dir):
         assert sorted(map(str, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(str, want.fetchall()))
 
 
+def files(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, path string, text string")
+
+
 def test_licenses_inherit_from_the_nearest_ancestor(spark):
-    mit, gpl = licenses.TEMPLATES[5][1], licenses.TEMPLATES[4][1]
-    rows = [(1, "a/LICENSE", mit), (2, "a/b/c/x.txt", "text"), (3, "a/b/LICENSE", gpl), (4, "a/y.txt", "text"), (5, "z/q.txt", None), (6, None, mit), (7, "a/b/own.txt", "word " * 50 + "\n" + mit), (8, "a/b/z.txt", "")]
-    got = one_by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), spark.createDataFrame(licenses.TEMPLATES, "template string, notice string")))
-    assert {i: (r.licence, r.inherited_from) for i, r in got.items() if i != 6} == {1: ("MIT", None), 2: ("GPL-3.0", "a/b"), 3: ("GPL-3.0", None), 4: ("MIT", "a"), 5: (None, None), 7: ("MIT", None), 8: ("GPL-3.0", "a/b")}
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    rows = [(1, "a/LICENSE", mit), (2, "a/b/c/x.txt", "text"), (3, "a/b/LICENSE", gpl), (4, "a/y.txt", "text"), (5, "z/q.txt", None), (6, None, mit), (7, "a/b/own.txt", "word " * 50 + "\n" + mit), (8, "a/b/z.txt", ""), (9, None, None), (9, None, None), (10, "a/twice.txt", mit + "\n" + "word " * 50), (10, "a/twice.txt", mit + "\n" + "word " * 50), (11, "a/long.txt", "filler words here\n" * 30000 + mit), (12, None, "text")]
+    out = licenses.scan(files(spark, rows).withColumn("row", F.lit("x")).withColumn("units", F.lit(1)))
+    assert out.count() == len(rows)
+    got = one_by_id(out)
+    assert {i: (r.licence, r.inherited_from) for i, r in got.items()} == {1: ("MIT", None), 2: ("GPL-3.0", "a/b"), 3: ("GPL-3.0", None), 4: ("MIT", "a"), 5: (None, None), 6: ("MIT", None), 7: ("MIT", None), 8: ("GPL-3.0", "a/b"), 9: (None, None), 10: ("MIT", None), 11: ("MIT", None), 12: (None, None)}
+    assert licenses.scan(files(spark, rows).limit(0)).count() == 0
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 The Authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."""
+#: How the texts of these licences begin; what follows has no other title.
+APACHE_TEXT = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n\n" + '      "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.\n\n' * 40
+GPL_TEXT = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.\n\n" + "  You may convey verbatim copies of the source code of a covered work under this License.\n\n" * 40
+HEADERS = {
+    "Apache-2.0": '// Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at\n//\n//     http://www.apache.org/licenses/LICENSE-2.0\n\ncode();',
+    "MIT": "# Copyright 2020 somebody\n# Released under the MIT License.\ncode",
+    "GPL-3.0": "/* This program is free software: you can redistribute it and/or modify it under the terms of the\n GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or\n (at your option) any later version. */\n\ncode",
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. */",
+    "BSD-3-Clause": "// SPDX-License-Identifier: BSD-3-Clause\ncode",
+}
+
+
+def test_licence_texts_and_headers(spark):
+    rows = [(1, "m/LICENSE", MIT_TEXT), (2, "m/src/x.py", "code"), (3, "p/LICENSE.txt", APACHE_TEXT), (4, "p/x.py", "code"), (5, "g/COPYING", GPL_TEXT), (6, "g/a/b/x.py", "code"), (7, "q/x.py", "He got his driving license in spring, and a copyright lawyer has read all of it.")]
+    rows += [(100 + k, f"s/{k}.c", text) for k, text in enumerate(HEADERS.values())]
+    got = one_by_id(licenses.scan(files(spark, rows)))
+    assert [got[i].licence for i in range(1, 8)] == ["MIT", "MIT", "Apache-2.0", "Apache-2.0", "GPL-3.0", "GPL-3.0", None]
+    assert [got[100 + k].declared for k in range(len(HEADERS))] == list(HEADERS) and got[2].inherited_from == "m"
 
 
 def test_mixing_meets_its_targets(spark, odd):
@@ -307,12 +368,27 @@ def test_mixing_meets_its_targets(spark, odd):
     assert out[0].n_tokens == 0 and out[2].source == "unknown" and out[1].lang == "unknown" and len(out) == 10
 
 
-def test_pipeline_mixing_keeps_its_rate_beside_a_stray_source(spark):
+def test_mixing_of_many_cells_and_rounds(spark, monkeypatch):
+    # 100,000 cells; three margins that depend on each other take many rounds.
+    cells = spark.range(100_000).selectExpr("concat('s', id % 1000) AS source", "concat('l', id div 1000 % 10) AS lang", "concat('t', id div 10000) AS topic", "1 + id * id % 997 * IF(id % 7 = 0, 20, 1) AS tokens")
+    got = mixing.rake(cells, rounds=200)
+    total = got.agg(F.sum("tokens")).first()[0]
+    for m in mixing.MARGINS:
+        shares = got.groupBy(m).agg(F.sum("weight").alias("w"), F.pow(F.sum("tokens"), F.lit(mixing.POWERS[m])).alias("p"))
+        p = shares.agg(F.sum("p")).first()[0]
+        assert shares.where(F.abs(F.col("w") / total - F.col("p") / p) > 1e-9).count() == 0
+    docs = spark.createDataFrame(ODD, SCHEMA)
+    want = sorted(tuple(r) for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "CELLS", 0)
+    assert sorted(tuple(r) for r in mixing.mix(docs).collect()) == want
+
+
+def test_mixing_keeps_its_rate_beside_a_stray_source(spark):
     import corpus_pipeline
 
     docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('word ', 500) AS text", "'en' AS lang", "IF(id = 0, 'stray', 'big') AS source", "2500L AS n_chars")
-    got = corpus_pipeline.mixing(spark, docs, "")
-    assert 0.45 * 4000 < got.count() < 0.55 * 4000
+    assert 0.45 * 4000 < corpus_pipeline.mixing(spark, docs, "").count() < 0.55 * 4000
+    assert 0.45 * 4000 < mixing.mix(docs).where("sampled").count() < 0.55 * 4000
     cells = spark.createDataFrame([(100, 9.0), (1000, 2.0), (10000, 0.5)], "tokens long, weight double")
     scale = mixing.scale_to(cells, 0.5)
     assert abs(sum(t * min(1, w * scale) for t, w in cells.collect()) - 0.5 * 11100) < 1e-6
