@@ -12,8 +12,8 @@ from loomgraph.llm.minhash import near_duplicates
 from loomgraph.llm.mixing import mix
 from loomgraph.llm.pieces import encode_documents
 
-#: Share of the tokens that mixing keeps, and the most rounds of its raking (it ends when nothing changes).
-MIX_RATE, MIX_ROUNDS = 0.5, 100
+#: Share of the tokens that mixing keeps.
+MIX_RATE = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -38,7 +38,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens lie in the target proportions of source, language and topic."""
-    chosen = mix(docs, rounds=MIX_ROUNDS, keep=("text", "lang", "source", "n_chars"), rate=MIX_RATE).where("sampled")
+    chosen = mix(docs, keep=("text", "lang", "source", "n_chars"), rate=MIX_RATE).where("sampled")
     return chosen.select("doc_id", *[F.col(f"kept_{c}").alias(c) for c in COLUMNS[1:]])
 
 
