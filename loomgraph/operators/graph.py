@@ -29,10 +29,12 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, types: list[str] |
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the folder of spark.checkpoint.dir (a temporary one where it is unset)."""
+    """Cut the lineage by a table in the folder of spark.checkpoint.dir (in local mode a temporary one where it is unset)."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/graph/{uuid.uuid4().hex}"
@@ -42,7 +44,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component), the least node reached: labels spread along edges, and jump to their label's label."""
-    adjacent = both_ways(edges).select("node", "other").distinct()
+    adjacent = written(both_ways(edges).select("node", "other").distinct())
     labels = written(adjacent.select("node", F.col("node").alias("component")).distinct())
     for _ in range(rounds):
         near = adjacent.join(labels.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))

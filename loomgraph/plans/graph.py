@@ -41,16 +41,47 @@ def j13_neighbour_recheck(spark, d):
     return c.join(n, "c_nationkey").where(F.lower("c_mktsegment").contains(F.substring(F.lower("n_name"), 1, 1))).select("n_name", "c_custkey")
 
 
-@query("SELECT DISTINCT c_custkey, n_regionkey, 0.7 AS weight FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA')")
+def propagate(edges, hypotheses, weight: float = 0.7):
+    """APPLIES_TO edges (src, dst, weight) that hypotheses inherit: what applies to a node that a hypothesis (node) is
+    RELATED_TO applies to the hypothesis, unless that edge is there or would be a loop."""
+    related = edges.where("type = 'RELATED_TO'").join(hypotheses.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("src").alias("h"), F.col("dst").alias("via")).distinct()
+    applies = edges.where("type = 'APPLIES_TO'").select(F.col("src").alias("c"), F.col("dst").alias("via")).distinct()
+    new = related.join(applies, "via").where("c <> h").select(F.col("c").alias("src"), F.col("h").alias("dst")).distinct()
+    return new.join(edges.where("type = 'APPLIES_TO'").select("src", "dst"), ["src", "dst"], "left_anti").withColumn("weight", F.lit(weight))
+
+
+LINE_EDGES = (
+    "le AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, 'RELATED_TO' AS type FROM lineitem WHERE l_returnflag = 'R' "
+    "UNION SELECT 'o' || l_orderkey, 'p' || l_partkey, 'APPLIES_TO' FROM lineitem WHERE l_quantity >= 45 "
+    "UNION SELECT 'o' || l_orderkey, 's' || l_suppkey, 'APPLIES_TO' FROM lineitem WHERE l_returnflag = 'N')"
+)
+
+
+def line_edges(spark, d):
+    lines = t(spark, d, "lineitem")
+    edge = lambda df, a, b, kind: df.select(F.concat(F.lit(a[0]), F.col(a[1])).alias("src"), F.concat(F.lit(b[0]), F.col(b[1])).alias("dst"), F.lit(kind).alias("type"))
+    s, p, o = ("s", "l_suppkey"), ("p", "l_partkey"), ("o", "l_orderkey")
+    return edge(lines.where("l_returnflag = 'R'"), s, p, "RELATED_TO").union(edge(lines.where("l_quantity >= 45"), o, p, "APPLIES_TO")).union(edge(lines.where("l_returnflag = 'N'"), o, s, "APPLIES_TO")).distinct()
+
+
+@query(
+    f"WITH {LINE_EDGES} SELECT DISTINCT a.src, r.src AS dst, 0.7 AS weight FROM le r JOIN le a ON a.dst = r.dst AND a.type = 'APPLIES_TO' "
+    "WHERE r.type = 'RELATED_TO' AND a.src <> r.src AND NOT EXISTS (SELECT 1 FROM le x WHERE x.type = 'APPLIES_TO' AND x.src = a.src AND x.dst = r.src)"
+)
 def j14_label_propagation(spark, d):
-    pairs = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey")).distinct()
-    known = t(spark, d, "region").where("r_name = 'ASIA'").select(F.col("r_regionkey").alias("n_regionkey"))
-    return pairs.join(known, "n_regionkey", "left_anti").select("c_custkey", "n_regionkey", F.lit(0.7).alias("weight"))
+    e = line_edges(spark, d)
+    return propagate(e, e.where("type = 'RELATED_TO'").select(F.col("src").alias("node")).distinct())
 
 
-@query("WITH RECURSIVE e AS (SELECT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_quantity >= 50), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach(node, root) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, r.root FROM reach r JOIN s ON s.a = r.node) SELECT node, min(root) AS component FROM reach GROUP BY node")
+@query(
+    "WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem), "
+    "s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), "
+    "reach(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM s UNION "
+    "(SELECT s.b, min(r.component) FROM reach r JOIN s ON s.a = r.node JOIN recurring.reach c ON c.node = s.b "
+    "GROUP BY s.b, c.component HAVING min(r.component) < c.component)) SELECT node, component FROM reach"
+)
 def j15_connected_components(spark, d):
-    e = t(spark, d, "lineitem").where("l_quantity >= 50").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"), F.lit("LINE").alias("type"))
+    e = t(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"), F.lit("LINE").alias("type"))
     return connected_components(e)
 
 

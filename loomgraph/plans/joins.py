@@ -3,7 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, loose, token_similarity, tokens
+from ..functions.text import loose, token_similarity, tokens
+from ..operators.vectors import at_least, compare, nearest
 from ..registry import query
 from ..sources.tables import table as t
 
@@ -50,20 +51,51 @@ def j09_anti_join(spark, d):
     return t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels"), "doc_id", "left_anti")
 
 
-@query("WITH u AS (SELECT l_orderkey AS k, arg_min(l_partkey, l_linenumber * 1000000000000 + l_partkey) AS p FROM lineitem GROUP BY 1) SELECT o.o_orderkey, coalesce(u.p, -1) AS partkey, CASE WHEN u.p IS NULL THEN 'any' ELSE 'state' END AS layer FROM orders o LEFT JOIN u ON u.k = o.o_orderkey")
+def layered(keys, layers: list, key: str, order: list[str]):
+    """For each key the first row, in order, of the first of layers (name, rows) that has one; null where none has."""
+    found = None
+    for place, (name, rows) in enumerate(layers):
+        one = rows.withColumn("place", F.lit(place)).withColumn("layer", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    columns = [c for c in found.columns if c not in (key, "place")]
+    first = found.groupBy(key).agg(F.min(F.struct("place", *order, *[c for c in columns if c not in order])).alias("b"))
+    return keys.join(first, key, "left").select(key, *[F.col(f"b.{c}").alias(c) for c in columns])
+
+
+@query(
+    "WITH l AS (SELECT o_orderkey, CASE WHEN l_returnflag = 'R' THEN 0 WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS place, l_linenumber, l_partkey "
+    "FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND (l_returnflag = 'R' OR l_returnflag = 'A' OR l_quantity < 10)), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY place, l_linenumber, l_partkey) AS r FROM l) "
+    "SELECT o_orderkey, l_partkey, CASE WHEN l_partkey IS NULL THEN NULL WHEN place = 0 THEN 'state' WHEN place = 1 THEN 'baseline' ELSE 'any' END AS layer FROM r WHERE r = 1"
+)
 def j20_layered_fallback(spark, d):
-    first = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("p"))
-    return t(spark, d, "orders").join(first, "o_orderkey", "left").select("o_orderkey", F.coalesce("p", F.lit(-1)).alias("partkey"), F.when(F.col("p").isNull(), "any").otherwise("state").alias("layer"))
+    """A state's rows, else the baseline's, else any."""
+    lines = t(spark, d, "lineitem")
+    rows = lambda where: lines.where(where).select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
+    layers = [("state", rows("l_returnflag = 'R'")), ("baseline", rows("l_returnflag = 'A'")), ("any", rows("l_quantity < 10 AND l_returnflag = 'N'"))]
+    return layered(t(spark, d, "orders").select("o_orderkey"), layers, "o_orderkey", ["l_linenumber", "l_partkey"]).select("o_orderkey", "l_partkey", "layer")
+
+
+#: Least share of an item's words in its best match.
+LEAST = 0.62
 
 
 @query("WITH c AS (SELECT unnest(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]{4,}'))) AS w, b.item_id FROM benchmark b), n AS (SELECT item_id, count(*) AS n FROM c GROUP BY 1), dw AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}'))) AS w FROM documents), s AS (SELECT item_id, doc_id, count(*) AS hit FROM c JOIN dw USING (w) GROUP BY ALL), r AS (SELECT s.item_id, doc_id, round(hit / n, 6) AS score, row_number() OVER (PARTITION BY s.item_id ORDER BY hit DESC, doc_id) AS r FROM s JOIN n ON s.item_id = n.item_id) SELECT item_id, doc_id, score FROM r WHERE r = 1 AND score >= 0.62")
 def j17_best_match_join(spark, d):
-    word = lambda df, i: df.select(i, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{4,}"), F.lit(0)))).alias("w"))
-    c, dw = word(t(spark, d, "benchmark"), "item_id"), word(t(spark, d, "documents"), "doc_id")
-    n = c.groupBy("item_id").agg(F.count("*").alias("n"))
-    hits = c.join(dw, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("hit"))
-    best = hits.groupBy("item_id").agg(F.max(F.struct("hit", (-F.col("doc_id")).alias("d"))).alias("b"))
-    return best.join(n, "item_id").select("item_id", (-F.col("b.d")).alias("doc_id"), F.round(F.col("b.hit") / F.col("n"), 6).alias("score")).where("score >= 0.62")
+    """An item of n words has a best match of at least LEAST only if the match has one of the item's rarest
+    n - ceil(LEAST n) + 1 words.  Items meet documents at these alone; then the whole word lists are compared."""
+    word = lambda df, i: df.select(i, F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{4,}"), F.lit(0))).alias("words"))
+    items, docs = word(t(spark, d, "benchmark"), "item_id"), word(t(spark, d, "documents"), "doc_id").withColumnRenamed("words", "held")
+    items = items.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    sought = items.select(F.explode("words").alias("w")).distinct()
+    often = docs.select("doc_id", F.explode("held").alias("w")).join(sought, "w", "left_semi").groupBy("w").agg(F.count("*").alias("c"))
+    rare = items.select("item_id", F.explode("words").alias("w")).join(often, "w", "left").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "w"))).alias("by"))
+    n = F.size("by")
+    keys = rare.select("item_id", F.explode(F.slice("by", 1, F.greatest(F.lit(1), (n - F.ceil(n * LEAST) + 1).cast("int"))))).select("item_id", F.col("col.w").alias("w"))
+    met = docs.select("doc_id", F.explode("held").alias("w")).join(keys, "w").select("item_id", "doc_id").distinct()
+    both = met.join(items, "item_id").join(docs, "doc_id").withColumn("hit", F.size(F.array_intersect("words", "held")).cast("long"))
+    best = both.groupBy("item_id").agg(F.max(F.struct("hit", (-F.col("doc_id")).alias("d"))).alias("b"), F.first(F.size("words")).alias("n"))
+    return best.select("item_id", (-F.col("b.d")).alias("doc_id"), F.round(F.col("b.hit") / F.col("n"), 6).alias("score")).where(F.col("score") >= LEAST)
 
 
 DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))"
@@ -71,24 +103,37 @@ NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: CAST(x AS DOUBLE)
 COS = f"{DOT} / ({NORM.format('a')} * {NORM.format('b')} + 1e-10)"
 
 
-def _vector_pairs(spark, d):
-    """Queries (ids divisible by 50) against all vectors of their label."""
-    v = t(spark, d, "embeddings")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    return q.join(v, "label").where("query_id <> vec_id").select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("score"))
+def _vectors(spark, d):
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("group"), F.col("embedding").alias("vector"))
+
+
+def nearest_of_label(spark, d, k: int = 10):
+    """(query_id, vec_id, rank, score): the k nearest of each query (ids divisible by 50) in its label.  Each pair of
+    blocks hands on its own k best; these are ranked."""
+    v = _vectors(spark, d)
+    found = compare(v.where("id % 50 = 0"), v, nearest(k)).select(F.col("a").alias("query_id"), F.col("b").alias("vec_id"), "score")
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", r).where(F.col("rank") <= k)
 
 
 @query(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {COS} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) SELECT query_id, vec_id, round(score, 6) AS score FROM r WHERE r <= 10")
 def j18_vector_knn(spark, d):
-    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return _vector_pairs(spark, d).withColumn("r", r).where("r <= 10").select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return nearest_of_label(spark, d).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+#: A vector's entities: its label, or none at all.
+GATE = "(a.vec_id % 10 = 3 OR b.vec_id % 10 = 3 OR a.label = b.label)"
+
+
+def gated_pairs(spark, d, least: float):
+    """Pairs (a < b, score) of a cosine of `least` or more whose entities overlap, or one of which has none."""
+    v = _vectors(spark, d).withColumn("group", F.when(F.col("id") % 10 == 3, "none").otherwise(F.col("group").cast("string")))
+    return compare(v, v, at_least(least), everywhere="none")
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {COS} >= 0.4")
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND {GATE} WHERE {COS} >= 0.4")
 def j19_gated_vector_pairs(spark, d):
-    v = t(spark, d, "embeddings")
-    a, b = v.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
-    return a.join(b, "label").where("a < b").withColumn("score", cosine(F.col("x"), F.col("y"))).where("score >= 0.4").select("a", "b", F.round("score", 6).alias("score"))
+    return gated_pairs(spark, d, 0.4).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("SELECT o_orderkey, string_agg(coalesce(p_name, ''), '|' ORDER BY l_linenumber, coalesce(p_name, '')) AS names FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey")
@@ -119,12 +164,43 @@ def j05_blocked_similarity_pairs(spark, d):
     return similar_names(p, "p_brand", 0.2).select("a", "b", "n_a", "n_b", F.round("sim", 6).alias("sim"))
 
 
-@query("WITH s AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT CASE WHEN ok THEN 'valid' WHEN rev THEN 'flip' ELSE 'drop' END AS verdict, count(*) AS n FROM (SELECT l_suppkey % 3 = 0 AND l_partkey % 2 = 0 AS ok, l_suppkey % 3 = 1 AS rev FROM s) GROUP BY 1")
+#: Edge type, types of its source and target, and whether it may be turned round.
+EDGE_RULES = [
+    ("WORKS_ON", ["person"], ["person", "work", "project"], True),
+    ("REVIEWS", ["person"], ["work"], True),
+    ("PART_OF", ["work"], ["project"], False),
+]
+KINDS = ["person", "work", "project"]
+
+
+def judged_edges(edges, rules=EDGE_RULES):
+    """edges (source, target: types; type) with `verdict`: valid, flip or drop.  Of WORKS_ON both ends can't be persons;
+    a type without a rule is dropped.  The rules are joined as they are and turned round."""
+    spark = edges.sparkSession
+    flat = [(kind, a, b, turn) for kind, sources, targets, turn in rules for a in sources for b in targets]
+    table = spark.createDataFrame(flat, "type string, x string, y string, turn boolean")
+    forward = table.selectExpr("type", "x AS source", "y AS target", "true AS fits")
+    backward = table.where("turn").selectExpr("type", "y AS source", "x AS target", "true AS turned")
+    own = (F.col("type") == "WORKS_ON") & (F.col("source") == "person") & (F.col("target") == "person")
+    verdict = F.when(own, "drop").when(F.col("fits"), "valid").when(F.col("turned"), "flip").otherwise("drop")
+    key = ["type", "source", "target"]
+    return edges.join(F.broadcast(forward), key, "left").join(F.broadcast(backward), key, "left").withColumn("verdict", verdict).drop("fits", "turned")  # a rule's few types
+
+
+@query(
+    "WITH e AS (SELECT CASE l_returnflag WHEN 'R' THEN 'REVIEWS' WHEN 'A' THEN 'WORKS_ON' ELSE CASE WHEN l_linestatus = 'O' THEN 'PART_OF' ELSE 'LIKES' END END AS type, "
+    "['person', 'work', 'project'][1 + l_suppkey % 3] AS source, ['person', 'work', 'project'][1 + l_partkey % 3] AS target FROM lineitem), "
+    "v AS (SELECT type, source, target, CASE "
+    "WHEN type = 'WORKS_ON' THEN CASE WHEN source = 'person' AND target = 'person' THEN 'drop' WHEN source = 'person' THEN 'valid' WHEN target = 'person' THEN 'flip' ELSE 'drop' END "
+    "WHEN type = 'REVIEWS' THEN CASE WHEN source = 'person' AND target = 'work' THEN 'valid' WHEN source = 'work' AND target = 'person' THEN 'flip' ELSE 'drop' END "
+    "WHEN type = 'PART_OF' AND source = 'work' AND target = 'project' THEN 'valid' ELSE 'drop' END AS verdict FROM e) "
+    "SELECT type, source, target, verdict, count(*) AS n FROM v GROUP BY ALL"
+)
 def j23_edge_type_constraint(spark, d):
-    e = t(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    e = e.select(F.when(F.col("l_suppkey") % 3 == 0, "person").when(F.col("l_suppkey") % 3 == 1, "work").otherwise("other").alias("source"), F.when(F.col("l_partkey") % 2 == 0, "work").otherwise("person").alias("target"))
-    rules = spark.createDataFrame([("person", "work", "valid"), ("work", "work", "flip"), ("work", "person", "flip")], "source string, target string, verdict string")
-    return e.join(F.broadcast(rules), ["source", "target"], "left").groupBy(F.coalesce("verdict", F.lit("drop")).alias("verdict")).agg(F.count("*").alias("n"))  # three rules
+    kind = F.when(F.col("l_returnflag") == "R", "REVIEWS").when(F.col("l_returnflag") == "A", "WORKS_ON").when(F.col("l_linestatus") == "O", "PART_OF").otherwise("LIKES")
+    of = lambda c: F.element_at(F.array(*map(F.lit, KINDS)), (F.col(c) % 3 + 1).cast("int"))
+    e = t(spark, d, "lineitem").select(kind.alias("type"), of("l_suppkey").alias("source"), of("l_partkey").alias("target"))
+    return judged_edges(e).groupBy("type", "source", "target", "verdict").agg(F.count("*").alias("n"))
 
 
 def resolve_names(refs, names, least: float = 0.5):

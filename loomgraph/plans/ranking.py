@@ -48,18 +48,34 @@ def w07_score_dedupe(spark, d):
     return s.groupBy("p_brand").agg(F.max(F.struct("score", (-F.col("p_partkey")).alias("m"))).alias("b")).select("p_brand", (-F.col("b.m")).alias("p_partkey"), "b.score")
 
 
-@query("WITH l AS (SELECT event_id, user_id, ts, lag(ts) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), f AS (SELECT *, CASE WHEN p IS NULL OR CAST(p AS DATE) <> CAST(ts AS DATE) OR epoch_us(ts) - epoch_us(p) > 21600000000 THEN 1 ELSE 0 END AS new FROM l) SELECT event_id, user_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM f")
+@query(
+    "WITH e AS (SELECT event_id, user_id, ts, nullif(event_type, 'view') AS thread FROM events), "
+    "l AS (SELECT *, lag(ts) OVER w AS p FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    "f AS (SELECT *, p IS NULL OR CAST(p AS DATE) <> CAST(ts AS DATE) OR epoch_us(ts) - epoch_us(p) > 21600000000 AS apart FROM l), "
+    "b AS (SELECT event_id, thread IS NOT NULL AND thread = lag(thread) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS same FROM f WHERE apart), "
+    "n AS (SELECT f.*, CASE WHEN apart AND NOT coalesce(same, false) THEN 1 ELSE 0 END AS new FROM f LEFT JOIN b USING (event_id)) "
+    "SELECT event_id, user_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM n"
+)
 def w08_gap_sessions(spark, d):
-    return sessions(t(spark, d, "events").select("event_id", "user_id", "ts"), "user_id").select("event_id", "user_id", "session")
+    e = t(spark, d, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") != "view", F.col("event_type")).alias("thread"))
+    return sessions(e, "user_id").select("event_id", "user_id", "session")
 
 
 def sessions(rows, key: str, hours: int = 6):
-    """rows (key, ts, event_id) with `session`: a new one at another date or after a gap of over `hours`."""
+    """rows (key, ts, event_id, and thread if there are any) with `session`: a new one at another date or after a gap of over `hours`, unless the
+    row is in the thread of the session's first row.
+
+    Only rows that lie so apart can begin a session; whichever they do, the thread to compare with is from then on their
+    own.  So each is compared with the one before it that lies apart, and no state is carried along."""
+    rows = rows if "thread" in rows.columns else rows.withColumn("thread", F.lit(None).cast("string"))
     w = Window.partitionBy(key).orderBy("ts", "event_id")
     p = F.lag("ts").over(w)
     gap = (F.col("ts").cast("timestamp").cast("double") - p.cast("timestamp").cast("double")) > hours * 3600
-    new = F.when(p.isNull() | (F.to_date(p) != F.to_date("ts")) | gap, 1).otherwise(0)
-    return rows.withColumn("new", new).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    apart = rows.withColumn("apart", p.isNull() | (F.to_date(p) != F.to_date("ts")) | gap)
+    # The last row before this one that lies apart, as (ts, event_id) grow: one struct, so that a null thread counts.
+    before = F.last(F.when(F.col("apart"), F.struct("thread")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))["thread"]
+    new = (F.col("apart") & ~F.coalesce(F.col("thread") == before, F.lit(False))).cast("int")
+    return apart.withColumn("new", new).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new", "apart")
 
 
 @query("SELECT conv_id, turn, conv_id || ':message:' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS unit_id FROM conversations")

@@ -1,23 +1,10 @@
 """Retrieval, claims, leakage and incremental ingest."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_grams
 from ..registry import query
 from ..sources.tables import table as t
-from .joins import COS, _vector_pairs
-
-
-@query(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {COS} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s), snippets AS (SELECT doc_id, md5(CASE WHEN length(trim(text)) > 200 THEN trim(substr(trim(text), 1, 197)) || '...' ELSE trim(text) END) AS snippet FROM documents) SELECT query_id, vec_id, CAST(r AS INTEGER) AS rank, round(score, 6) AS score, snippet FROM r LEFT JOIN snippets ON doc_id = vec_id WHERE r <= 10")
-def y15_retrieval_packs(spark, d):
-    """Per query vector its ten nearest of the same label, each with the snippet of its document."""
-    from ..functions.text import truncate
-
-    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    best = _vector_pairs(spark, d).withColumn("rank", r).where("rank <= 10")
-    snippets = t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.md5(truncate(F.col("text"), 200)).alias("snippet"))
-    return best.join(snippets, "vec_id", "left").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"), "snippet")
 
 
 @query("SELECT doc_id, i - 1 AS item, sha256(doc_id || '|' || (i - 1)) AS claim_id FROM documents, generate_series(1, 100000) g(i) WHERE i <= len(string_split(text, chr(10))) AND trim(string_split(text, chr(10))[i]) <> ''")
@@ -37,6 +24,10 @@ def y25_leakage_scan(spark, d):
     return lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), F.explode(F.array_compact(hits)).alias("h")).select("doc_id", "line", "h.label", "h.snippet")
 
 
+#: Keys of passages that are compared in each row; more are met by a join of all keys.
+KEYS = 2000
+
+
 @query("SELECT b.item_id, count(DISTINCT d.doc_id) AS docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def y25_contamination(spark, d):
     """Benchmark passages that lie whole in a document.  The second to fourth of a passage's five or more words, split at
@@ -46,36 +37,28 @@ def y25_contamination(spark, d):
     shingles = F.transform(F.array(F.split("text", " ")), lambda w: F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: key(F.lit("w"), w[i], w[i + 1], w[i + 2]))))[0]
     runs = lambda n: F.transform(char_grams(F.col("text"), n), lambda g: key(F.lit("c"), g))
     docs = t(spark, d, "documents").select("doc_id", "text")
-    keys = F.array_distinct(F.concat(F.coalesce(shingles, F.array().cast("array<bigint>")), runs(3), runs(1)))
-    w = F.split("text", " ")
-    sought = F.when(F.size(w) > 4, key(F.lit("w"), w[1], w[2], w[3])).otherwise(key(F.lit("c"), F.when(F.length("text") > 2, F.substring("text", 1, 3)).otherwise(F.substring("text", 1, 1))))
-    b = t(spark, d, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("passage"), sought.alias("g"))
+    b = t(spark, d, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("passage"))
+    w = F.split("passage", " ")
+    b = b.withColumn("g", F.when(F.size(w) > 4, key(F.lit("w"), w[1], w[2], w[3])).otherwise(key(F.lit("c"), F.when(F.length("passage") > 2, F.substring("passage", 1, 3)).otherwise(F.substring("passage", 1, 1)))))
+    # Runs of characters are made only if there are passages of less than five words.
+    short = b.where(F.size(F.split("passage", " ")) < 5).limit(1).count()
+    keys = F.coalesce(shingles, F.array().cast("array<bigint>"))
+    keys = F.array_distinct(F.concat(keys, runs(3), runs(1)) if short else keys)
+    sought = [r.g for r in b.select("g").distinct().limit(KEYS + 1).collect()]
+    if len(sought) <= KEYS:  # only what a passage begins with leaves its row
+        keys = F.array_intersect(keys, F.lit(sought) if sought else F.array().cast("array<bigint>"))
     met = docs.select("doc_id", F.explode(keys).alias("g")).join(b, "g").select("doc_id", "item_id", "passage")
     found = met.join(docs, "doc_id").where(F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
     every = docs.where("text is not null").agg(F.countDistinct("doc_id").alias("docs")).select(F.lit("").alias("text"), "docs").where("docs > 0")
     return found.union(t(spark, d, "benchmark").select("item_id", "text").distinct().join(F.broadcast(every), "text").select("item_id", "docs"))  # one row
 
 
-@query("WITH g AS (SELECT md5(text) AS k, min(doc_id) AS canonical, count(*) AS n FROM documents GROUP BY 1) SELECT doc_id, canonical, CASE WHEN n = 1 THEN 'single' WHEN doc_id = canonical THEN 'canonical' ELSE 'member' END AS role FROM documents JOIN g ON md5(text) = k")
-def y22_fact_groups(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.md5("text").alias("k"))
-    g = docs.groupBy("k").agg(F.min("doc_id").alias("canonical"), F.count("*").alias("n"))
-    role = F.when(F.col("n") == 1, "single").when(F.col("doc_id") == F.col("canonical"), "canonical").otherwise("member")
-    return docs.join(g, "k").select("doc_id", "canonical", role.alias("role"))
-
-
 @query("WITH a AS (SELECT user_id, arg_max(event_type, event_id) AS last_action FROM events WHERE event_type <> 'view' GROUP BY user_id) SELECT user_id, last_action, last_action = 'purchase' AS accepted FROM a")
 def y23_last_action_wins(spark, d):
     a = t(spark, d, "events").where("event_type <> 'view'").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_action"))
     return a.withColumn("accepted", F.col("last_action") == "purchase")
 
 
-@query("SELECT CASE WHEN toxic = 1 THEN 'S1' WHEN quality = 0 THEN 'S2' ELSE 'S4' END AS severity, count(*) AS cards FROM labels JOIN documents USING (doc_id) GROUP BY 1")
-def y18_verify_cards(spark, d):
-    severity = F.when(F.col("toxic") == 1, "S1").when(F.col("quality") == 0, "S2").otherwise("S4")
-    return t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id"), "doc_id").groupBy(severity.alias("severity")).agg(F.count("*").alias("cards"))
-
-
 @query("WITH o AS (SELECT doc_id, md5(CASE WHEN toxic = 1 THEN text || ' ' ELSE text END) AS h FROM documents JOIN labels USING (doc_id)) SELECT d.source, count(*) FILTER (WHERE o.doc_id IS NULL) AS created, count(*) FILTER (WHERE o.h <> md5(d.text)) AS updated, count(*) FILTER (WHERE o.h = md5(d.text)) AS unchanged FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.source")
 def x02_hash_sync(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("now"))

@@ -131,14 +131,14 @@ def f15_allow_list(spark, d):
     return t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("allowed", F.col("event_type").isin("click", "view", "purchase"))
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 50")
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey")
 def t01_mixed_sort(spark, d):
-    return t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").orderBy("o_orderstatus", F.desc("o_totalprice"), "o_orderkey").limit(50)
+    return t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").orderBy("o_orderstatus", F.desc("o_totalprice"), "o_orderkey")
 
 
-@query("SELECT p_partkey, p_name FROM part ORDER BY p_retailprice DESC, lower(p_name), p_partkey LIMIT 20")
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_retailprice DESC, lower(p_name), p_partkey")
 def t03_tie_breaks(spark, d):
-    return t(spark, d, "part").orderBy(F.desc("p_retailprice"), F.lower("p_name"), "p_partkey").limit(20).select("p_partkey", "p_name")
+    return t(spark, d, "part").orderBy(F.desc("p_retailprice"), F.lower("p_name"), "p_partkey").select("p_partkey", "p_name")
 
 
 @query("SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS segments FROM customer GROUP BY c_nationkey")
@@ -146,15 +146,15 @@ def t04_unique_sorted(spark, d):
     return t(spark, d, "customer").groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("segments"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS rank FROM events ORDER BY rank, event_id LIMIT 100")
+@query("SELECT event_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS rank FROM events ORDER BY rank, event_id")
 def t05_enum_order(spark, d):
     place = F.array_position(F.array(*map(F.lit, ("purchase", "click", "view"))), F.col("event_type")).cast("int")
-    return t(spark, d, "events").select("event_id", F.when(place > 0, place).otherwise(4).alias("rank")).orderBy("rank", "event_id").limit(100)
+    return t(spark, d, "events").select("event_id", F.when(place > 0, place).otherwise(4).alias("rank")).orderBy("rank", "event_id")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS ordered_at FROM orders ORDER BY ordered_at DESC NULLS LAST, o_orderkey LIMIT 40")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS ordered_at FROM orders ORDER BY ordered_at DESC NULLS LAST, o_orderkey")
 def t06_missing_dates_last(spark, d):
-    return t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate")).alias("ordered_at")).orderBy(F.desc_nulls_last("ordered_at"), "o_orderkey").limit(40)
+    return t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate")).alias("ordered_at")).orderBy(F.desc_nulls_last("ordered_at"), "o_orderkey")
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 25")
