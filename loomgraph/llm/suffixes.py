@@ -8,8 +8,12 @@ round inserts one more symbol of every run, from the right, into the Burrows-Whe
 collection and updates its longest common prefixes, reading and writing both in sequence.  Rows of the
 index with common prefixes of at least `length` are equal strings.
 
-The sequential files of the method are arrays of the task here, at most INDEX_BYTES each: runs are
-short, so every file is bounded, and executors keep nothing in local folders."""
+What is column-wise and what is not: a round inserts one symbol of each run of a task's collection, not one of
+each document of the corpus; a run is at most 227 bytes, so there are at most 227 rounds.  The sequential files of
+the method are arrays of the task, at most INDEX_BYTES of text at a time (or one minimizer's runs, if they are
+more): executors keep nothing in local folders, and a Spark job for each symbol of the longest document would be
+as many jobs as that has bytes.  Runs that are equal as a whole are compared byte by byte before the index is
+built, and runs of which no part about their minimizer recurs are left out of it."""
 
 from __future__ import annotations
 
@@ -22,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REPEAT_ROWS, Prefix, identified, mix, portions, ragged, repeats, rows_of_batch, same_bytes, slices, staged, table, utf8
+from .common import REPEAT_ROWS, Prefix, identified, join_unique, mix, portions, ragged, repeats, rows_of_batch, same_bytes, slices, staged, table, utf8
 
 LENGTH = 100
 #: Bytes of a minimizer; of one that splits the runs of a very common minimizer further; and how common.
@@ -374,7 +378,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document RESULT: what is left when each byte covered by a string of `length` bytes that also
     starts earlier (smaller doc_id, or same document and earlier start) is gone.
 
-    Null text is empty, texts shorter than `length` stay whole.  Cuts may fall inside a code point; then
+    Null text is empty, texts shorter than `length` stay whole, texts of any length are whole.  Of equal strings
+    the first by doc_id and start stays.  Cuts may fall inside a code point; then
     `text` drops the broken one, while kept_sha256 is of the bytes.  A repeated row is the same document
     at the same place: it does not repeat itself.  Rows without doc_id are left out, extra columns
     ignored; an empty table gives no rows."""
@@ -383,8 +388,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = identified(docs).where("doc_id is not null")
     rows = docs.mapInArrow(_run_rows(length), REPEAT_ROWS)
     found = staged(repeats(rows, firsts=True), "runs")
-    common = found.groupBy("h1").agg(F.count("*").alias("c")).where(F.col("c") > COMMON).select("h1", F.lit(1).alias("common"))
-    marks = found.join(common, "h1", "left").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("pos") * 2 + F.coalesce("common", F.lit(0)))).alias("marks"))
+    common = found.groupBy("h1").agg(F.count("*").alias("c")).where(F.col("c") > COMMON).withColumn("common", F.lit(1))
+    marks = join_unique(found, common, ["h1"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("pos") * 2 + F.coalesce("common", F.lit(0)))).alias("marks"))
     contents = docs.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_contents(length), CONTENT)
     dealt = contents.repartition("key").sortWithinPartitions("key", "content", "doc_id", "start")
     spans = dealt.mapInArrow(_index(length), SPANS).groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
