@@ -394,33 +394,60 @@ def test_mixing_keeps_its_rate_beside_a_stray_source(spark):
     assert abs(sum(t * min(1, w * scale) for t, w in cells.collect()) - 0.5 * 11100) < 1e-6
 
 
-def test_spot_signatures(spark, sf_dir, odd):
-    rows = texts(spark, sf_dir)
-    got = one_by_id(queries.QUERIES["op8_spot_signatures"](spark, sf_dir))
+def chains(text):
+    """By hand: the next two content words after each anchor; of a text without one, of all words."""
     stop = set(spotsigs.ANCHORS)
+    w = re.sub(r"[\W_]+", " ", text.lower()).split()
+    if not any(x in stop for x in w):
+        return {tuple(w[i : i + 2]) for i in range(max(len(w) - 1, 1))}
+    return {tuple([y for y in w[i + 1 :] if y not in stop][:2]) for i, x in enumerate(w) if x in stop}
 
-    def chains(text):
-        w = re.sub(r"[\W_]+", " ", text.lower()).split()
-        out = set()
-        for i, x in enumerate(w):
-            if x in stop:
-                out.add(tuple([y for y in w[i + 1 :] if y not in stop][:2]))
-        return out
 
+def likeness(a, b):
+    a, b = chains(a), chains(b)
+    return len(a & b) / len(a | b)
+
+
+def test_spot_signatures(spark, sf_dir, odd):
+    rows = texts(spark, sf_dir)
+    got = one_by_id(queries.QUERIES["op8_spot_signatures"](spark, sf_dir))
+    by_text = {}
     for k, (i, t) in enumerate(rows):
         nxt = rows[(k + 1) % len(rows)][1]
         e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
-        a, b = chains(t), chains(e)
-        if len(a) > 20 and len(b) > 20:
-            assert abs(got[i].near_edited - len(a & b) / len(a | b)) < 0.15
-    by_text = {}
-    for i, t in rows:
-        assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
+        assert abs(got[i].near_edited - likeness(t, e)) < 1e-9 and abs(got[i].near_next - likeness(t, nxt)) < 1e-9
+        assert len(got[i].fingerprint) == 16 * len(chains(t)) and by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
     r = one_by_id(spotsigs.fingerprints(odd))
-    assert r[7].fingerprint == r[8].fingerprint and r[0].fingerprint == r[1].fingerprint and r[0].near_next == 1 and len(r) == 10
-    near = {(x.a, x.b) for x in spotsigs.near_documents(spark.createDataFrame([(1, "the cat sat on the mat of a dog"), (2, "the cat sat on the mat of a dog"), (3, "the cat sat on the mat of a dog by a tree and the"), (4, "le chat de la maison")], "doc_id long, text string"), 0.3).collect()}
-    assert near == {(1, 3)}
+    assert r[7].fingerprint == r[8].fingerprint and r[0].fingerprint == r[1].fingerprint == r[2].fingerprint and r[0].near_next == 1 and len(r) == 10
+    docs = [(1, "the of and to in a is it on for cat sat"), (2, "один два три"), (3, "один два три четыре"), (4, "the cat and the"), (5, "")]
+    r = one_by_id(spotsigs.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert all(abs(r[i].near_next - likeness(t, docs[i % 5][1])) < 1e-9 for i, t in docs) and r[2].near_next == 2 / 3
+
+
+def test_spot_signatures_with_a_far_off_id(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BUCKET", 10)
+    ids = [*range(500), 1 << 60]
+    docs = spark.createDataFrame([(i, f"the word{i} of text{i % 3}") for i in ids], "doc_id long, text string")
+    full = spotsigs.with_next(docs.withColumn("n", F.length("text"))).where("late = 0").groupBy("bucket").count().collect()
+    assert max(r["count"] for r in full) <= 40 and sum(r["count"] for r in full) == len(ids)
+    got = one_by_id(spotsigs.fingerprints(docs))
+    after = dict(zip(ids, [*ids[1:], ids[0]], strict=True))
+    text = lambda i: f"the word{i} of text{i % 3}"
+    for i in ids:
+        n = len(text(i))
+        assert got[i].edited_sha256 == hashlib.sha256((text(i)[: n - n // 2] + text(after[i])[: n // 2]).encode()).hexdigest()
+
+
+def test_spot_signature_pairs(spark, sf_dir):
+    rows = texts(spark, sf_dir) + [(10_000 + i, t + " and one of the new words") for i, t in texts(spark, sf_dir)[:60]]
+    near = {(r.a, r.b): r.similarity for r in spotsigs.near_documents(spark.createDataFrame(rows, "doc_id long, text string"), 0.8).collect()}
+    first = {}
+    for i, t in rows:
+        first.setdefault(frozenset(chains(t)), i)
+    reps = sorted((i, c) for c, i in first.items())
+    want = {(i, j): len(a & b) / len(a | b) for x, (i, a) in enumerate(reps) for j, b in reps[x + 1 :] if len(a & b) >= 0.8 * len(a | b)}
+    assert near.keys() == want.keys() and len(want) > 5 and all(abs(near[k] - want[k]) < 1e-9 for k in want)
 
 
 @pytest.mark.parametrize("f", [chunks.dedup_substrings, suffixes.remove_repeats, minhash.near_duplicates, spotsigs.fingerprints, mixing.mix, pieces.encode_documents, lambda d: langid.identify(d, d), lambda d: toxicity.severity(d, d.selectExpr("doc_id", "1 AS toxic"))])
