@@ -139,9 +139,14 @@ def test_chunks(spark, sf_dir, odd):
     assert 0.5 * len(passage) < got[2].n_removed <= len(passage) + 2 and got[2].kept_sha256 == hashlib.sha256(got[2].text.encode()).hexdigest()
     got = one_by_id(chunks.dedup_substrings(odd, keep=("lang",)))
     assert got[0].text == got[1].text == "" and got[8].text == "" and got[7].text == ODD[7][1] and got[9].text == ODD[9][1] and got[9].lang == "fr"
-    # By hand: the hash of each byte, cuts, digests of whole chunks.
-    digests, removed = set(), {}
-    for i, t in texts(spark, sf_dir):
+    want = brute_chunks(texts(spark, sf_dir))
+    assert {i: (r.n_removed, r.kept_sha256) for i, r in one_by_id(queries.QUERIES["op7_substring_dedup"](spark, sf_dir)).items()} == {i: (n, hashlib.sha256(t).hexdigest()) for i, (n, t) in want.items()}
+
+
+def brute_chunks(rows):
+    """By hand: the hash of each byte, cuts, whole chunks compared; what is removed and left of each document."""
+    seen, out = set(), {}
+    for i, t in rows:
         b, h, start, parts = t.encode(), 0, 0, []
         for k, c in enumerate(b):
             h = ((h << 1) + int(chunks.GEAR[c])) % 2**32
@@ -151,17 +156,21 @@ def test_chunks(spark, sf_dir, odd):
                 start = k + 1
         flags = []
         for p in parts:
-            flags.append(p in digests)
-            digests.add(p)
-        total = run = 0
+            flags.append(p in seen)
+            seen.add(p)
+        removed, run, left = 0, [], []
         for p, f in [*zip(parts, flags, strict=True), (b"", False)]:
             if f:
-                run += len(p)
+                run.append(p)
+                continue
+            if sum(map(len, run)) >= chunks.MIN_RUN:
+                removed += sum(map(len, run))
             else:
-                total += run if run >= chunks.MIN_RUN else 0
-                run = 0
-        removed[i] = total
-    assert {i: r.n_removed for i, r in one_by_id(queries.QUERIES["op7_substring_dedup"](spark, sf_dir)).items()} == removed
+                left += run
+            run = []
+            left.append(p)
+        out[i] = (removed, b"".join(left))
+    return out
 
 
 def test_language(spark, sf_dir, odd):
@@ -554,12 +563,54 @@ def test_language_model_is_kneser_ney(spark):
         assert abs(got[i].score - 1 / sum(math.exp((h[best] - v) * 20) for v in h.values())) < 1e-5
 
 
+def brute_mix(docs, rate):
+    """doc_ids sampled from (doc_id, text, lang, source), by raking with plain loops."""
+    topic = lambda t: "table" if " | " in t else "contact" if "http" in t or "@" in t else "licensed" if "icense" in t else "prose"
+    rows = [(i, (source or "unknown", lang or "unknown", topic(t)), t.count(" ") + 1 if t else 0) for i, t, lang, source in docs]
+    tokens = {}
+    for _, c, n in rows:
+        tokens[c] = tokens.get(c, 0) + n
+    weight, total = {c: float(n) for c, n in tokens.items()}, sum(tokens.values())
+    powers = [mixing.POWERS[m] for m in mixing.MARGINS]
+    own = [{v: sum(n for c, n in tokens.items() if c[m] == v) ** powers[m] for v in {c[m] for c in tokens}} for m in range(3)]
+    for _ in range(300):
+        for m in range(3):
+            held = {v: sum(w for c, w in weight.items() if c[m] == v) for v in own[m]}
+            weight = {c: w * own[m][c[m]] / sum(own[m].values()) * total / held[c[m]] if held[c[m]] else 0.0 for c, w in weight.items()}
+    each = {c: weight[c] / n if n else 0.0 for c, n in tokens.items()}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(n * min(1, each[c] * mid) for c, n in tokens.items()) < rate * total else (low, mid)
+    return {i for i, c, _ in rows if int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) / 2**32 < min(1, each[c] * low)}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = {i: shingles(t, 5) for i, t in texts(spark, sf_dir)}
-    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()]
-    assert sorted(got) == sorted(i for i, c in brute_components(kept).items() if c == i)
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert out.count() > 0 and out.where("not round_trip").count() == 0 and [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "substring_dedup", "mixing", "encoding"]
+    known = {r.doc_id: (r.text, r.lang, r.source) for r in corpus_pipeline.language(spark, docs, sf_dir).collect()}
+    assert len(known) >= 0.95 * docs.where("text rlike '[a-z]'").count()
+    place = brute_components({i: shingles(t, 5) for i, (t, _, _) in known.items()})
+    one = [(i, known[i][0]) for i in sorted(known) if place[i] == i]
+    left = {i: t.decode() for i, (_, t) in brute_chunks(one).items() if t or not known[i][0]}
+    chosen = brute_mix([(i, t, *known[i][1:]) for i, t in left.items()], corpus_pipeline.MIX_RATE)
+    got = one_by_id(corpus_pipeline.run(spark, sf_dir))
+    assert {i: r.decoded_sha256 for i, r in got.items()} == {i: hashlib.sha256(left[i].encode()).hexdigest() for i in chosen}
+    assert all(r.round_trip for r in got.values()) and 0.3 * len(left) < len(chosen) < 0.7 * len(left)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "substring_dedup", "mixing", "encoding"]
+
+
+def test_pipeline_stages_of_odd_tables(spark, odd):
+    import corpus_pipeline
+
+    table = odd.union(odd.selectExpr("CAST(NULL AS LONG)", *odd.columns[1:]).limit(1)).withColumn("rejected", F.lit(1)).withColumn("kept", F.lit(0)).withColumn("probability", F.lit("x"))
+    out = {name: stage(spark, table, "").collect() for name, stage in corpus_pipeline.STAGES}
+    ids = {name: sorted((r.doc_id for r in rows), key=str) for name, rows in out.items()}
+    assert all(set(r.asDict()) == set(corpus_pipeline.COLUMNS) for name, rows in out.items() if name != "encoding" for r in rows)
+    assert not {0, 1, 2, 4} & set(ids["language"]) and {5, 6, 7, 8} <= set(ids["language"])
+    assert ids["near_dedup"] == [0, 1, 2, 3, 4, 5, 7, 9]
+    assert {r.doc_id: r.text for r in out["substring_dedup"]}[5] == LONG and 8 not in ids["substring_dedup"] and ids["substring_dedup"].count(9) == 2
+    assert not {0, 1} & set(ids["mixing"]) and len(out["encoding"]) == len(ODD) + 1 and all(r.round_trip for r in out["encoding"])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table.limit(0), "").count() == 0, name
