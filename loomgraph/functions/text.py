@@ -88,10 +88,25 @@ def truthy(*cs: Column) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in cs[:-1]], cs[-1])
 
 
+# Marks that text for matching is without, in this order, and what takes their place.
+PLAIN = [
+    ("(?md)^[-=]{3,}$", ""),
+    (r"(?md)^\s*>+\s?", ""),
+    (r"(?md)^#{1,6}\s+", ""),
+    (r"(?md)^\s*(?:\d+[.)]\s+|[-*+]\s+)", ""),
+    ("[–—]", "-"),
+    (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    ("[`*_~]", ""),
+    ("[‘’‚‛]", "'"),
+    ("[“”„‟]", '"'),
+    (r"\s+", " "),
+]
+
+
 def plain_words(c: Column) -> Column:
     """Text for matching: without rules, quote marks, headings, list marks, link targets and emphasis, with straight
     quotes, single spaces and lower case."""
-    for pattern, new in (("(?md)^[-=]{3,}$", ""), (r"(?md)^\s*>+\s?", ""), (r"(?md)^#{1,6}\s+", ""), (r"(?md)^\s*(?:\d+[.)]\s+|[-*+]\s+)", ""), ("[–—]", "-"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), ("[`*_~]", ""), ("[‘’‚‛]", "'"), ("[“”„‟]", '"'), (r"\s+", " ")):
+    for pattern, new in PLAIN:
         c = F.regexp_replace(c, pattern, new)
     return F.lower(F.trim(c))
 

@@ -91,6 +91,15 @@ def form_blocks(raw: DataFrame) -> DataFrame:
     return _documents(b, "feedback", F.col("n"), title, content, metadata(**{n.lower(): c for n, c in f.items()}))
 
 
+def speaker(message: Column) -> Column:
+    """Who says `name: text` or `name [time]: text`: letters, digits, spaces and dots before the first colon outside of
+    brackets; nobody if nothing is said."""
+    head = F.regexp_replace(message, r"^([^\[:]*)\[[^\]]*\]", "$1")
+    name = F.trim(F.substring_index(head, ":", 1))
+    said = F.trim(F.substring(head, F.instr(head, ":") + 1, F.length(head)))
+    return F.when(head.contains(":") & (said != "") & name.rlike(r"^\w[\w .]*$"), name).otherwise("")
+
+
 def chat_blocks(raw: DataFrame) -> DataFrame:
     """`#channel | date`, dashes, messages; the blocks of a channel of one export follow each other in one document."""
     head = r"(?md)^#(\S+)\s*\|\s*(\S+)"
@@ -99,7 +108,7 @@ def chat_blocks(raw: DataFrame) -> DataFrame:
     said = F.filter(F.transform(F.split(body, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     g = b.groupBy("export", "channel").agg(F.array_sort(F.collect_list(F.struct("block", "date", said.alias("said")))).alias("l"))
     messages = F.flatten("l.said")
-    who = F.transform(messages, lambda m: F.trim(F.regexp_extract(m, r"(?i)^(\w[\w\s.]*?)(?:\s*\[[\d:]+\s*[AP]?M?\])?:\s*.+", 1)))
+    who = F.transform(messages, speaker)
     people = F.array_join(F.array_distinct(F.filter(who, lambda p: p != "")), ", ")
     dates = F.concat(F.element_at("l.date", 1), F.lit(" to "), F.element_at("l.date", -1))
     content = F.concat(F.lit("# #"), "channel", F.lit("\n\n"), F.array_join(messages, "\n"))
