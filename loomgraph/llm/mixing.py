@@ -8,16 +8,18 @@ over 1."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
 
 #: Most rounds of raking over the three margins, and the greatest relative change of a weight in the last one.
-ROUNDS, TOLERANCE = 200, 1e-10
+#: It is looked at every so many rounds.
+ROUNDS, TOLERANCE, EVERY = 200, 1e-7, 4
 #: Share of all tokens that is sampled.
 RATE = 0.5
-#: Cells that are broadcast to the documents; more are joined by a shuffle, each in SALTS parts.
+#: Cells that are raked by windows and broadcast to the documents; more are raked by aggregates that are joined back,
+#: and joined to the documents by a shuffle, each in SALTS parts.
 CELLS, SALTS = 100_000, 32
 #: Default targets: shares of a margin go with this power of its tokens, so small ones count for more.
 POWERS = {"source": 0.85, "lang": 0.85, "topic": 0.9}
@@ -33,33 +35,46 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(doc_id.cast("string")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (source, lang, topic, tokens) with `weight`.  targets: for a margin, (value, share); a value
     that isn't there gets none.  Without a target the margin's own tokens to its power in POWERS.
 
-    There are as many rows as combinations of the margins, however many documents.  Margins are summed
-    by groupBy and joined; each round is a staged table, and the last one changes nothing."""
+    There are as many rows as combinations of the margins, however many documents.  Up to CELLS of them a margin's sums
+    are windows, so that EVERY rounds are one plan; beyond that, sums are aggregated, joined to the cells and each
+    round is a staged table, so no margin's cells gather in one task.  It ends when EVERY rounds have been done and
+    the last of them changed no weight by more than the tolerance."""
     cells = staged(cells, "cells")
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    shares = {}
+    small = cells.count() <= CELLS
+    now = cells.withColumn("weight", F.col("tokens").cast("double"))
     for m in MARGINS:
         if targets and m in targets:
-            shares[m] = targets[m].select(F.col("value").alias(m), F.col("share").cast("double").alias("share"))
+            share = targets[m].select(F.col("value").alias(m), F.col("share").cast("double").alias(f"share_{m}"))
         else:
             own = cells.groupBy(m).agg(F.pow(F.sum("tokens"), F.lit(POWERS[m])).alias("p"))
-            shares[m] = own.select(m, (F.col("p") / F.lit(own.agg(F.sum("p")).first()[0])).alias("share"))
-        shares[m] = staged(shares[m], "shares")
-    cells = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(rounds):
-        now = cells.withColumn("was", F.col("weight"))
+            share = own.select(m, (F.col("p") / F.lit(own.agg(F.sum("p")).first()[0])).alias(f"share_{m}"))
+        now = now.join(share, m, "left").withColumn(f"share_{m}", F.coalesce(f"share_{m}", F.lit(0.0)))
+    cells = staged(now, "cells")
+
+    def raked(now: DataFrame) -> DataFrame:
+        now = now.withColumn("was", F.col("weight"))
         for m in MARGINS:
-            held = now.groupBy(m).agg(F.sum("weight").alias("held")).join(shares[m], m, "left")
-            factor = F.when(F.col("held") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("held")).otherwise(0.0)
-            now = now.join(held.select(m, factor.alias("factor")), m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        now = staged(now, "raked")
-        moved = now.where("was > 0").agg(F.max(F.abs(F.col("weight") - F.col("was")) / F.col("was"))).first()[0]
-        cells = now.drop("was")
-        if (moved or 0) <= TOLERANCE:
+            if small:
+                now = now.withColumn("held", F.sum("weight").over(Window.partitionBy(m)))
+            else:
+                now = now.join(now.groupBy(m).agg(F.sum("weight").alias("held")), m)
+            now = now.withColumn("weight", F.when(F.col("held") > 0, F.col("weight") * F.col(f"share_{m}") * total / F.col("held")).otherwise(0.0)).drop("held")
+        return now
+
+    for done in range(1, rounds + 1):
+        cells = raked(cells)
+        if done % EVERY and done < rounds:
+            cells = (cells if small else staged(cells, "raked")).drop("was")
+            continue
+        cells = staged(cells, "raked")
+        moved = cells.where("was > 0").agg(F.max(F.abs(F.col("weight") - F.col("was")) / F.col("was"))).first()[0]
+        cells = cells.drop("was")
+        if (moved or 0) <= tolerance:
             break
     return cells.select(*MARGINS, "tokens", "weight")
 
@@ -119,7 +134,7 @@ def sql() -> str:
     shares = ", ".join(f"s_{m}.share AS share_{m}" for m in MARGINS)
     joins = " ".join(f"JOIN s_{m} ON c.{m} = s_{m}.{m}" for m in MARGINS)
     steps.append(f"w0 AS (SELECT c.*, sum(c.tokens) OVER () AS total, c.tokens AS weight, {shares} FROM cells c {joins})")
-    one = "SELECT *, weight AS was FROM rounds WHERE k < {} AND moved > {}".format(ROUNDS, TOLERANCE)
+    one = f"SELECT *, weight AS was FROM rounds WHERE k < {ROUNDS} AND (k % {EVERY} <> 0 OR moved > {TOLERANCE})"
     for m in MARGINS:
         held = f"sum(weight) OVER (PARTITION BY {m})"
         one = f"SELECT * REPLACE (CASE WHEN {held} > 0 THEN weight * share_{m} * total / {held} ELSE 0 END AS weight) FROM ({one})"
