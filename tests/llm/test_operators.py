@@ -293,6 +293,64 @@ def test_toxicity(spark, sf_dir, odd):
     assert {r.is_toxic for r in toxicity.severity(odd, labels.limit(0)).collect()} == {False}
 
 
+def test_toxicity_by_hand(spark):
+    # The words of the labelled documents, their chi-squares, the features, grades and what the model makes of them.
+    d = "/root/testdata/sf0.01"
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    toxic = {}
+    for r in spark.read.parquet(f"{d}/labels.parquet").collect():
+        if r.toxic is not None and r.doc_id in text:
+            toxic[r.doc_id] = max(toxic.get(r.doc_id, 0), r.toxic)
+    place = {}
+
+    def held(t):
+        out = set()
+        for w in re.findall(rb"[a-z0-9\x80-\xff]+", t.encode().lower()):
+            if w not in place:
+                place[w] = toxicity.places(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0].tolist()
+            out |= set(place[w])
+        return out
+
+    sets = {i: held(t) for i, t in text.items()}
+    count = {}
+    for i, k in toxic.items():
+        for x in sets[i]:
+            count.setdefault(x, [0, 0])[k] += 1
+    n = [list(toxic.values()).count(k) for k in (0, 1)]
+    chi2 = {}
+    for x, (clean, bad) in count.items():
+        want = (clean + bad) * n[1] / sum(n)
+        c = (bad - want) ** 2 / want / (1 - (clean + bad) / (sum(n) + 1))
+        if c >= toxicity.MIN_CHI2 and bad >= 3 and bad * n[0] > clean * n[1]:
+            chi2[x] = c
+    best = sorted(chi2, key=lambda x: (-chi2[x], x))[: toxicity.MAX_FEATURES]
+    number = {x: k for k, x in enumerate(best)}
+    ids = sorted(toxic)
+    features = {i: sorted(number[x] for x in sets[i] if x in number) for i in text}
+    lens = np.array([len(features[i]) for i in ids])
+    mark = np.array([toxic[i] for i in ids]) > 0
+    grade = np.where(mark, 1 + np.searchsorted(np.quantile(lens[mark], [1 / 3, 2 / 3]), lens, "left"), 0)
+    rows, cols = np.repeat(np.arange(len(ids)), lens), np.concatenate([np.array(features[i], int) for i in ids])
+    w, theta = toxicity.fit(rows, cols, grade, len(best))
+    got = one_by_id(queries.QUERIES["op1_toxicity"](spark, d))
+    assert len(best) > 10 and len(got) == len(text)
+    for i, f in features.items():
+        p = 1 / (1 + np.exp(-(w[f].sum() - theta)))
+        assert abs(got[i].expected_severity - p.sum()) < 1e-3 and abs(got[i].p_toxic - p[0]) < 1e-3
+
+    # No step from the fitted weights makes the labels much likelier.
+    def loss(w, theta):
+        p = 1 / (1 + np.exp(-(np.bincount(rows, w[cols], minlength=len(ids))[:, None] - theta)))
+        wall = np.column_stack([np.ones(len(p)), p, np.zeros(len(p))])
+        at = np.arange(len(p))
+        return -np.log(np.maximum(wall[at, grade] - wall[at, grade + 1], 1e-12)).mean() + toxicity.RIDGE * (w * w).sum() / 2
+
+    least = loss(w, theta)
+    for k in range(len(best)):
+        for step in (-0.5, 0.5):
+            assert loss(w + step * (np.arange(len(w)) == k), theta) > least - 2e-3
+
+
 def test_toxicity_with_few_toxic_labels(spark, monkeypatch):
     # 1 in 100 is toxic; 'vile' is in every toxic document and in 1.1 of 100 clean ones.
     monkeypatch.setattr(toxicity, "FIT_DOCS", 2000)
@@ -380,7 +438,12 @@ def test_mixing_meets_its_targets(spark, odd):
 def test_mixing_of_many_cells_and_rounds(spark, monkeypatch):
     # 100,000 cells; three margins that depend on each other take many rounds.
     cells = spark.range(100_000).selectExpr("concat('s', id % 1000) AS source", "concat('l', id div 1000 % 10) AS lang", "concat('t', id div 10000) AS topic", "1 + id * id % 997 * IF(id % 7 = 0, 20, 1) AS tokens")
-    got = mixing.rake(cells, rounds=200)
+    few = cells.where("source < 's2'")
+    by_windows = {tuple(r)[:3]: r.weight for r in mixing.rake(few, rounds=8).collect()}
+    monkeypatch.setattr(mixing, "CELLS", 1000)
+    by_joins = {tuple(r)[:3]: r.weight for r in mixing.rake(few, rounds=8).collect()}
+    assert len(by_joins) > 1000 and by_joins.keys() == by_windows.keys() and all(abs(w - by_windows[k]) <= 1e-9 * w for k, w in by_joins.items())
+    got = mixing.rake(cells, rounds=200, tolerance=1e-12)
     total = got.agg(F.sum("tokens")).first()[0]
     for m in mixing.MARGINS:
         shares = got.groupBy(m).agg(F.sum("weight").alias("w"), F.pow(F.sum("tokens"), F.lit(mixing.POWERS[m])).alias("p"))
