@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, exports, graph, joins, layout, matching, ranking, retrieval, scans, steps, text, updates  # noqa: F401  (they register their queries)
+from .plans import aggregates, audits, exports, graph, joins, layout, matching, ranking, retrieval, scans, steps, text, updates  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

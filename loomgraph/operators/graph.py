@@ -28,8 +28,8 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, types: list[str] |
     return seen
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the folder of spark.checkpoint.dir (in local mode a temporary one where it is unset)."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """Cut the lineage by a table, with folders for the columns `by`, in the folder of spark.checkpoint.dir (in local mode a temporary one where it is unset)."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -38,7 +38,7 @@ def written(df: DataFrame) -> DataFrame:
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -60,13 +60,6 @@ def a10_weighted_vote(spark, d):
     return s.groupBy("user_id").agg(F.min(F.struct((-F.col("score")).alias("m"), "event_type")).alias("b")).select("user_id", F.col("b.event_type").alias("owner"), (-F.col("b.m")).alias("score"))
 
 
-@query("SELECT o_custkey, CASE WHEN bool_and(o_orderstatus = 'F') THEN 'completed' WHEN bool_or(o_orderstatus = 'P') THEN 'active' WHEN bool_and(o_orderstatus = 'O') THEN 'proposed' ELSE 'mixed' END AS status FROM orders GROUP BY o_custkey")
-def a11_status_rollup(spark, d):
-    s = F.col("o_orderstatus")
-    status = F.when(F.bool_and(s == "F"), "completed").when(F.bool_or(s == "P"), "active").when(F.bool_and(s == "O"), "proposed").otherwise("mixed")
-    return t(spark, d, "orders").groupBy("o_custkey").agg(status.alias("status"))
-
-
 @query("SELECT md5(text) AS k, min(doc_id) AS keeper, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, arg_min(lang, doc_id) AS lang FROM documents GROUP BY md5(text)")
 def a12_group_merge(spark, d):
     return t(spark, d, "documents").groupBy(F.md5("text").alias("k")).agg(F.min("doc_id").alias("keeper"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.min_by("lang", "doc_id").alias("lang"))
@@ -109,20 +102,6 @@ def a15_check_scorer(spark, d):
     return score_checks(measured, spark.createDataFrame(CHECKS, "key string, mode string, target double, tolerance double"))
 
 
-@query("SELECT count(*) FILTER (WHERE d.doc_id IS NULL) AS missing, count(*) FILTER (WHERE l.toxic = 1) AS flagged, count(*) AS truth FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.n_chars > 200")
-def a16_truth_metrics(spark, d):
-    docs = t(spark, d, "documents").where("n_chars > 200").select("doc_id", F.lit(1).alias("found"))
-    return t(spark, d, "labels").join(docs, "doc_id", "left").agg(F.count_if(F.col("found").isNull()).alias("missing"), F.count_if(F.col("toxic") == 1).alias("flagged"), F.count("*").alias("truth"))
-
-
-@query("WITH o AS (SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) > 0 AS has_customer, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) > 0 AS has_supplier FROM nation) SELECT count(*) AS nodes, count(*) FILTER (WHERE has_customer) AS owner_path, count(*) FILTER (WHERE has_customer AND has_supplier) AS full_pass FROM o")
-def a17_traversal_rollup(spark, d):
-    c = t(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey")).distinct().withColumn("c", F.lit(True))
-    s = t(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey")).distinct().withColumn("s", F.lit(True))
-    n = t(spark, d, "nation").select("n_nationkey").join(c, "n_nationkey", "left").join(s, "n_nationkey", "left")
-    return n.agg(F.count("*").alias("nodes"), F.count_if("c").alias("owner_path"), F.count_if(F.col("c") & F.col("s")).alias("full_pass"))
-
-
 @query("WITH k AS (SELECT DISTINCT event_type, unnest(json_keys(props)) AS k FROM events) SELECT event_type, string_agg(k, ',' ORDER BY k) AS keys FROM k GROUP BY event_type")
 def a18_facet_union(spark, d):
     return t(spark, d, "events").select("event_type", F.explode(F.json_object_keys("props")).alias("k")).groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_set("k")), ",").alias("keys"))

@@ -34,13 +34,6 @@ def j12_typed_multi_hop(spark, d):
     return n.join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.sum("c").alias("customers"), F.coalesce(F.sum("n"), F.lit(0)).alias("orders"))
 
 
-@query("SELECT n.n_name, c.c_custkey FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey WHERE contains(lower(c.c_mktsegment), substr(lower(n.n_name), 1, 1))")
-def j13_neighbour_recheck(spark, d):
-    n = t(spark, d, "nation").select("n_name", F.col("n_nationkey").alias("c_nationkey"))
-    c = t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    return c.join(n, "c_nationkey").where(F.lower("c_mktsegment").contains(F.substring(F.lower("n_name"), 1, 1))).select("n_name", "c_custkey")
-
-
 def propagate(edges, hypotheses, weight: float = 0.7):
     """APPLIES_TO edges (src, dst, weight) that hypotheses inherit: what applies to a node that a hypothesis (node) is
     RELATED_TO applies to the hypothesis, unless that edge is there or would be a loop."""
@@ -85,12 +78,6 @@ def j15_connected_components(spark, d):
     return connected_components(e)
 
 
-@query("SELECT l_orderkey, l_suppkey, max(weight) AS weight FROM (SELECT l_orderkey, l_suppkey, CASE l_returnflag WHEN 'R' THEN 0.9 WHEN 'A' THEN 0.8 ELSE 0.6 END AS weight FROM lineitem WHERE l_orderkey <> l_suppkey) GROUP BY 1, 2")
-def y08_graph_build(spark, d):
-    w = F.when(F.col("l_returnflag") == "R", 0.9).when(F.col("l_returnflag") == "A", 0.8).otherwise(0.6)
-    return t(spark, d, "lineitem").where("l_orderkey <> l_suppkey").groupBy("l_orderkey", "l_suppkey").agg(F.max(w).alias("weight"))
-
-
 @query("SELECT l_orderkey, l_partkey, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'RESOLVES' WHEN l_returnflag = 'A' THEN 'USES' ELSE 'RELATED_TO' END AS type FROM lineitem")
 def v05_edge_type_upgrade(spark, d):
     rules = spark.createDataFrame([("R", "F", "RESOLVES"), ("A", "F", "USES"), ("A", "O", "USES")], "l_returnflag string, l_linestatus string, type string")
@@ -104,13 +91,6 @@ def v07_induced_subgraph(spark, d):
     return t(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey").join(nodes, "o_custkey", "left_semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
-def v06_undocumented_anti_join(spark, d):
-    orders = t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    rich = t(spark, d, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("c_nationkey"))
-    return t(spark, d, "customer").select("c_custkey", "c_nationkey").join(orders, "c_custkey", "left_anti").join(rich, "c_nationkey", "left_anti").select("c_custkey")
-
-
 @query("SELECT p_partkey, string_agg(DISTINCT s_name, '|' ORDER BY s_name) AS owners FROM (SELECT l_partkey AS p_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' UNION SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity >= 49) e JOIN supplier ON s_suppkey = l_suppkey GROUP BY p_partkey")
 def y21_ownership_map(spark, d):
     e = t(spark, d, "lineitem").where("l_returnflag = 'R' or l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()

@@ -21,11 +21,6 @@ def s03_latest_row(spark, d):
     return t(spark, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(1)
 
 
-@query("SELECT event_id, 'tenant_' || (user_id % 5) AS tenant FROM events WHERE user_id % 5 = 2")
-def s04_tenant_routing(spark, d):
-    return t(spark, d, "events").select("event_id", F.concat(F.lit("tenant_"), F.col("user_id") % 5).alias("tenant")).where("tenant = 'tenant_2'")
-
-
 @query("SELECT doc_id AS source_id, 'generic' AS provider, text AS content, n_chars AS chars FROM documents")
 def s13_generic_source(spark, d):
     return t(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.lit("generic").alias("provider"), F.col("text").alias("content"), F.col("n_chars").alias("chars"))
