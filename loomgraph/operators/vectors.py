@@ -10,9 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import written
+
 #: Rows of a block.
 BLOCK = 1024
 EPSILON = 1e-10
@@ -109,3 +111,16 @@ def compare(left: DataFrame, right: DataFrame, select: Select, everywhere: str |
     rows = l.join(meets.select("unit", F.col("g1").alias("group"), F.col("b1").alias("block")), ["group", "block"]).select("unit", F.lit(True).alias("left"), "id", "vector")
     rows = rows.union(r.join(meets.select("unit", F.col("g2").alias("group"), F.col("b2").alias("block")), ["group", "block"]).select("unit", F.lit(False).alias("left"), "id", "vector"))
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_units(select), PAIRS)
+
+
+def with_previous(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """df with `before`, the value of the row before it by `order` among those of its key (null for the first).  Rows are dealt
+    to ranges of (key, order), so that a frequent key is many tasks; a range's first row takes the last one of the range before
+    it.  Null is a key like others; of rows of the same order the one before is any."""
+    ranges = written(df.repartitionByRange(F.col(key), F.col(order)).withColumn("_range", F.spark_partition_id()))
+    place = Window.partitionBy(key, "_range").orderBy(order)
+    rows = ranges.withColumn("before", F.lag(value).over(place)).withColumn("_first", F.row_number().over(place) == 1)
+    ends = ranges.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_of")).agg(F.max_by(value, order).alias("_last"))
+    ends = ends.withColumn("_last", F.lag("_last").over(Window.partitionBy("_key").orderBy("_of")))
+    met = (F.col("_range") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key")) & F.col("_first")
+    return rows.join(ends, met, "left").withColumn("before", F.coalesce("before", "_last")).drop("_range", "_first", "_key", "_of", "_last")

@@ -1,5 +1,6 @@
 """Checks and upkeep of a graph: status, truth, traversal, undocumented work, built edges, raw inputs and ingest."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
@@ -319,3 +320,54 @@ def x01_incremental_ingest(spark, d):
     found = changed(old, docs).where("source <> ''").select(F.concat(F.lit(" "), F.upper("source")).alias("name"), "type", F.col("size").cast("string").alias("attributes"))
     known = docs.where("doc_id % 3 = 0 and source <> 'src3'").groupBy(F.col("source").alias("name")).agg(F.min("type").alias("type"), F.min("size").cast("string").alias("attributes"))
     return impact(found, known)
+
+
+# ---------------------------------------------------------------- conventions for a project
+
+#: Most conventions of a project, weight of one that nothing ties to it, and what is left of a weight after a hop (fixed values).
+CONVENTIONS, FALLBACK, HOP = 6, 0.3, 0.7
+
+
+def conventions(targets, edges, nodes, most: int = CONVENTIONS):
+    """The conventions of most weight for each target (node): (node, rule, weight, provenance, place).
+
+    What applies to it (APPLIES_TO edges of src, dst, type, weight) has the edge's weight; what applies to a node RELATED_TO it
+    or that it CONTAINS, either way, HOP of the greatest such weight; any other convention of nodes (node, convention, refs)
+    FALLBACK.  Ties go to more refs, then to the lesser node.  As untied conventions differ by refs alone, a target
+    needs only the first `most` of them, and as many more as some target has ties of less weight."""
+    applies = edges.where("type = 'APPLIES_TO'").select(F.col("src").alias("rule"), F.col("dst").alias("node"), F.col("weight").cast("double").alias("weight"))
+    targets = targets.select("node").distinct()
+    direct = applies.join(targets, "node", "left_semi").select("node", "rule", "weight", F.lit("direct").alias("provenance"))
+    near = both_ways(edges.where("type in ('RELATED_TO', 'CONTAINS')")).select("node", "other").join(targets, "node", "left_semi").distinct()
+    hop = near.join(applies.withColumnRenamed("node", "other"), "other").select("node", "rule", (F.col("weight") * HOP).alias("weight"), F.lit("one_hop").alias("provenance"))
+    refs = nodes.select(F.col("node").alias("rule"), "refs")
+    tied = direct.union(hop).groupBy("node", "rule").agg(F.min(F.struct("provenance", (-F.col("weight")).alias("w"))).alias("b"))
+    tied = written(tied.select("node", "rule", (-F.col("b.w")).alias("weight"), "b.provenance").join(refs, "rule").select("node", "rule", "weight", "provenance", "refs"))
+    weak = tied.where(F.col("weight") < FALLBACK).groupBy("node").count().agg(F.max("count")).first()[0] or 0
+    first = nodes.where("convention").orderBy(F.desc("refs"), "node").select("node", "refs").limit(most + weak).collect()
+    listed = F.array(*[F.struct(F.lit(r.node).alias("rule"), F.lit(r.refs).alias("refs")) for r in first])
+    untied = targets.select("node", F.inline(listed)).join(tied.select("node", "rule"), ["node", "rule"], "left_anti") if first else tied.limit(0)
+    rows = tied.unionByName(untied.select("node", "rule", F.lit(FALLBACK).alias("weight"), F.lit("global_fallback").alias("provenance"), "refs"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight"), F.desc("refs"), "rule"))
+    return rows.withColumn("place", place).where(F.col("place") <= most).select("node", "rule", F.round("weight", 6).alias("weight"), "provenance", "place")
+
+
+@query(
+    f"WITH {NODES}, e AS (SELECT l_partkey AS src, l_orderkey AS dst, ['APPLIES_TO', 'RELATED_TO', 'CONTAINS', 'USES'][1 + l_linenumber % 4] AS type, "
+    "max(CAST(CASE l_returnflag WHEN 'R' THEN 0.9 WHEN 'A' THEN 0.5 ELSE 0.2 END AS DOUBLE)) AS w FROM lineitem GROUP BY 1, 2, 3), "
+    "tg AS (SELECT node_id AS node FROM nodes WHERE type = 'project'), direct AS (SELECT node, src AS rule, w FROM e JOIN tg ON dst = node WHERE type = 'APPLIES_TO'), "
+    "ways AS (SELECT src AS node, dst AS other FROM e WHERE type IN ('RELATED_TO', 'CONTAINS') UNION SELECT dst, src FROM e WHERE type IN ('RELATED_TO', 'CONTAINS')), "
+    "hop AS (SELECT node, src AS rule, max(w) * CAST(0.7 AS DOUBLE) AS w FROM tg JOIN ways USING (node) JOIN e ON e.dst = other AND type = 'APPLIES_TO' GROUP BY 1, 2), "
+    "tied AS (SELECT *, 'direct' AS provenance FROM direct UNION ALL SELECT *, 'one_hop' FROM hop WHERE (node, rule) NOT IN (SELECT node, rule FROM direct)), "
+    "both_ AS (SELECT * FROM tied UNION ALL SELECT node, node_id, CAST(0.3 AS DOUBLE), 'global_fallback' FROM tg CROSS JOIN nodes WHERE convention AND (node, node_id) NOT IN (SELECT node, rule FROM tied)), "
+    "r AS (SELECT b.*, row_number() OVER (PARTITION BY node ORDER BY w DESC, refs DESC, rule) AS place FROM both_ b JOIN nodes ON node_id = rule) "
+    "SELECT node, rule, round(w, 6) AS weight, provenance, CAST(place AS INTEGER) AS place FROM r WHERE place <= 6"
+)
+def y19_conventions(spark, d):
+    """The conventions of the evidence pack of each project."""
+    nodes = part_nodes(spark, d).select(F.col("node_id").alias("node"), "type", "convention", "refs")
+    flag = F.col("l_returnflag")
+    weight = F.when(flag == "R", 0.9).when(flag == "A", 0.5).otherwise(0.2)
+    kind = one_of(F.col("l_linenumber"), ["APPLIES_TO", "RELATED_TO", "CONTAINS", "USES"])
+    edges = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("src"), F.col("l_orderkey").alias("dst"), kind.alias("type")).agg(F.max(weight).alias("weight"))
+    return conventions(nodes.where("type = 'project'"), edges, nodes)

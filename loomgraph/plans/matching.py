@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..operators.leaders import leaders
+from ..operators.vectors import with_previous
 from ..registry import query
 from ..sources.tables import table as t
 from .joins import SIMILAR_NAMES, similar_names
@@ -186,6 +187,5 @@ def y02_hash_embedding(spark, d):
 @query("WITH l AS (SELECT vec_id, embedding AS y, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS x FROM embeddings) SELECT vec_id, round(list_sum(list_transform(list_zip(x, y), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(x, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE)))) * sqrt(list_sum(list_transform(y, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE)))) + 1e-10), 6) AS score FROM l WHERE x IS NOT NULL")
 def m02_cosine(spark, d):
     """Each vector against the one before it of its label."""
-    before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
-    pairs = t(spark, d, "embeddings").select("vec_id", "embedding", before.alias("x")).where("x is not null")
-    return pairs.select("vec_id", F.round(x.cosine(F.col("x"), F.col("embedding")), 6).alias("score"))
+    pairs = with_previous(t(spark, d, "embeddings").select("vec_id", "label", "embedding"), "label", "vec_id", "embedding").where("before is not null")
+    return pairs.select("vec_id", F.round(x.cosine(F.col("before"), F.col("embedding")), 6).alias("score"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loomgraph.operators.vectors import with_previous
 from loomgraph.plans import audits
 from loomgraph.streaming import ingest
 
@@ -60,3 +61,20 @@ def test_merging_stream_keeps_the_newest_and_tells_what_changed(spark, tmp_path)
     assert read("changes/1") == {(2, "d"), (4, "")}
     assert read("changes/2") == set()
     assert read("table/2") == read("table/1") == {(1, "b"), (2, "d"), (3, None), (4, "")}
+
+
+def test_rows_before_of_a_frequent_and_a_null_key(spark):
+    rows = [("a" if i % 7 else None if i % 2 else "b", i, i * i) for i in range(500)]
+    got = found(with_previous(spark.createDataFrame(rows, "k string, i long, v long").repartition(5), "k", "i", "v").select("i", "before"))
+    last, want = {}, set()
+    for k, i, v in rows:
+        want.add((i, last.get(k)))
+        last[k] = v
+    assert got == want
+
+
+def test_conventions_by_ties_of_any_weight(spark):
+    nodes = spark.createDataFrame([(1, False, 0), (2, True, 1), (3, True, 9), (4, True, 5), (5, False, 0), (6, True, 7)], "node long, convention boolean, refs int")
+    edges = spark.createDataFrame([(2, 1, "APPLIES_TO", 0.9), (3, 5, "APPLIES_TO", 0.4), (5, 1, "CONTAINS", 1.0), (2, 5, "APPLIES_TO", 1.0), (8, 1, "APPLIES_TO", 1.0)], "src long, dst long, type string, weight double")
+    got = found(audits.conventions(spark.createDataFrame([(1,), (1,), (4,)], "node long"), edges, nodes, 3))
+    assert got == {(1, 2, 0.9, "direct", 1), (1, 6, 0.3, "global_fallback", 2), (1, 4, 0.3, "global_fallback", 3)} | {(4, n, 0.3, "global_fallback", i) for i, n in enumerate((3, 6, 4), 1)}
