@@ -67,11 +67,71 @@ def html_text(c: Column) -> Column:
     t = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>", "")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])\s*>", "\n")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", "")
-    for entity, plain in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
+    for entity, plain in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(plain))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
+# Entities and what they stand for, the ampersand first.
+ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")]
+MARK = "\x01"
+
+
+def _blocks(c: Column, tag: str, layout) -> Column:
+    """The text with each element of the tag laid out anew; elements are split off, so every second part is one."""
+    parts = F.split(F.regexp_replace(c, rf"(?is)(<{tag}\b[^>]*>.*?</{tag}>)", f"{MARK}$1{MARK}"), MARK)
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, layout(p)).otherwise(p)), "")
+
+
+def _inner(c: Column, tag: str) -> Column:
+    """What the elements of the tag hold, without tags and trimmed."""
+    found = F.regexp_extract_all(c, F.lit(rf"(?is)<(?:{tag})\b[^>]*>(.*?)</(?:{tag})>"), F.lit(1))
+    return F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, "(?s)<[^>]+>", ""), r"^\s+|\s+$", ""))
+
+
+def _table(c: Column) -> Column:
+    rows = F.transform(F.regexp_extract_all(c, F.lit(r"(?is)<tr\b[^>]*>.*?</tr>"), F.lit(0)), lambda r: _inner(r, "td|th"))
+    width = F.array_max(F.transform(rows, F.size))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+    lines = F.transform(rows, lambda r, i: F.when(i == 0, F.concat(line(r), F.lit("\n"), rule)).otherwise(line(r)))
+    return F.when(F.size(rows) > 0, F.concat(F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+
+
+def _list(c: Column, numbered: bool) -> Column:
+    head = lambda i: F.concat((i + 1).cast("string"), F.lit(". ")) if numbered else F.lit("- ")
+    return F.concat(F.lit("\n"), F.array_join(F.transform(_inner(c, "li"), lambda x, i: F.concat(head(i), x)), "\n"), F.lit("\n"))
+
+
+def html_markdown(c: Column) -> Column:
+    """HTML as text with marks: headings to the fourth level, tables, lists, code, bold and slanted words, quotes, rules.
+    Character data is unwrapped, other macros, scripts, styles, comments and tags go; entities are decoded last, and there is at
+    most one empty line between others."""
+    steps = [
+        (MARK, ""),
+        (r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"),
+        (r"(?is)<(script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->", ""),
+        (r"(?is)<ac:structured-macro\b[^>]*ac:name=['\"]code['\"][^>]*>.*?<ac:plain-text-body>\s*(.*?)\s*</ac:plain-text-body>.*?</ac:structured-macro>", "\n```\n$1\n```\n"),
+        (r"(?is)<ac:[^>]*>.*?</ac:[^>]*>|<(?:ac|ri):[^>]*>", ""),
+        *[(rf"(?is)<h{n}\b[^>]*>(.*?)</h{n}>", f"\n{'#' * n} $1\n") for n in (1, 2, 3, 4)],
+    ]
+    for pattern, new in steps:
+        c = F.regexp_replace(c, pattern, new)
+    c = _blocks(_blocks(_blocks(c, "table", _table), "ul", lambda p: _list(p, False)), "ol", lambda p: _list(p, True))
+    steps = [(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", f"{m}$1{m}") for tag, m in (("strong", "**"), ("b", "**"), ("em", "*"), ("i", "*"), ("code", "`"))]
+    steps += [
+        (r"(?i)<hr\s*/?>", "\n---\n"),
+        (r"(?i)<blockquote\b[^>]*>", "\n> "),
+        (r"(?i)<br\s*/?>|</?p\b[^>]*>|</(?:div|blockquote)>", "\n"),
+        (r"(?s)<[^>]+>", ""),
+    ]
+    for pattern, new in steps:
+        c = F.regexp_replace(c, pattern, new)
+    for entity, plain in ENTITIES:
+        c = F.replace(c, F.lit(entity), F.lit(plain))
+    return F.regexp_replace(F.regexp_replace(c, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """In double precision, with 1e-10 added to the product of the lengths."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -51,9 +51,54 @@ def c14_chunks(spark, d):
     return c.select("doc_id", F.col("c.start").cast("long").alias("start"), F.col("c.end").cast("long").alias("stop"), F.md5("c.text").alias("chunk"))
 
 
-@query()
+def sql_steps(column, steps):
+    for pattern, new in steps:
+        column = f"regexp_replace({column}, '{pattern}', {new}, 'g')"
+    return column
+
+
+def sql_inner(column, tag):
+    found = f"regexp_extract_all({column}, '(?is)<(?:{tag})\\b[^>]*>(.*?)</(?:{tag})>', 1)"
+    return f"list_transform({found}, lambda w: regexp_replace(regexp_replace(w, '(?s)<[^>]+>', '', 'g'), '^\\s+|\\s+$', '', 'g'))"
+
+
+def sql_blocks(column, tag, layout):
+    parts = f"string_split(regexp_replace({column}, '(?is)(<{tag}\\b[^>]*>.*?</{tag}>)', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+    return f"array_to_string(list_transform({parts}, lambda p, i: CASE WHEN i % 2 = 0 THEN {layout} ELSE p END), '')"
+
+
+SQL_LINE = "'| ' || array_to_string(list_transform(range(1, width + 1), lambda k: coalesce(r[k], '')), ' | ') || ' |'"
+SQL_ITEMS = "chr(10) || array_to_string(list_transform({}, lambda y, j: {} || y), chr(10)) || chr(10)"
+SQL_HEAD = [
+    (r"(?s)<!\[CDATA\[(.*?)\]\]>", r"'\1'"),
+    (r"(?is)<(script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->", "''"),
+    *[(rf"(?is)<h{n}\b[^>]*>(.*?)</h{n}>", rf"chr(10) || '{'#' * n} \1' || chr(10)") for n in (1, 2, 3, 4)],
+]
+SQL_TAIL = [
+    *[(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", rf"'{m}\1{m}'") for tag, m in (("strong", "**"), ("b", "**"), ("em", "*"), ("i", "*"), ("code", "`"))],
+    (r"(?i)<hr\s*/?>", "chr(10) || '---' || chr(10)"),
+    (r"(?i)<blockquote\b[^>]*>", "chr(10) || '> '"),
+    (r"(?i)<br\s*/?>|</?p\b[^>]*>|</(?:div|blockquote)>", "chr(10)"),
+    (r"(?s)<[^>]+>", "''"),
+]
+SQL_ENTITIES = "replace(replace(replace(replace(replace(replace(t, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' ')"
+
+
+@query(
+    f"""WITH a AS (SELECT page_id, {sql_steps("html", SQL_HEAD)} AS t FROM pages),
+s AS (SELECT page_id, string_split(regexp_replace(t, '(?is)(<table\\b[^>]*>.*?</table>)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS l FROM a),
+u AS (SELECT page_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM s),
+v AS (SELECT *, list_transform(regexp_extract_all(p, '(?is)<tr\\b[^>]*>.*?</tr>'), lambda w: {sql_inner("w", "td|th").replace("lambda w: ", "lambda q: ").replace("replace(w, ", "replace(q, ")}) AS cells FROM u),
+w AS (SELECT *, coalesce(list_max(list_transform(cells, lambda r: len(r))), 0) AS width FROM v),
+x AS (SELECT page_id, string_agg(CASE WHEN i % 2 = 1 THEN p WHEN len(cells) = 0 THEN '' ELSE chr(10) || array_to_string(list_transform(cells, lambda r, j: {SQL_LINE}
+        || CASE WHEN j = 1 THEN chr(10) || '| ' || array_to_string(list_transform(range(1, width + 1), lambda k: '---'), ' | ') || ' |' ELSE '' END), chr(10)) || chr(10) END, '' ORDER BY i) AS t FROM w GROUP BY page_id),
+y AS (SELECT page_id, {sql_blocks("t", "ul", SQL_ITEMS.format(sql_inner("p", "li"), "'- '"))} AS t FROM x),
+z AS (SELECT page_id, {sql_blocks("t", "ol", SQL_ITEMS.format(sql_inner("p", "li"), "CAST(j AS VARCHAR) || '. '"))} AS t FROM y),
+k AS (SELECT page_id, {sql_steps("t", SQL_TAIL)} AS t FROM z)
+SELECT page_id, regexp_replace(regexp_replace({SQL_ENTITIES}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM k"""
+)
 def c16_html_text(spark, d):
-    return t(spark, d, "pages").select("page_id", x.html_text(F.col("html")).alias("text"))
+    return t(spark, d, "pages").select("page_id", x.html_markdown(F.col("html")).alias("text"))
 
 
 @query("SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS email FROM documents")
