@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
+from ..operators.graph import written
 from ..registry import query
 from ..sources.tables import table as t
 from .audits import one_of
@@ -257,3 +258,157 @@ def j21_source_titles(spark, d):
     w = rows.where("doc_id % 50 = 0 and text is not null").select(F.split(F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), " ").alias("w")).where(F.size("w") >= 5)
     title = F.concat_ws(" ", *[F.element_at("w", n) for n in (2, 3, 5)])
     return resolve_titles(w.select(F.explode(F.array(*map(F.lit, providers))).alias("provider"), title.alias("title")), docs)
+
+
+# ---------------------------------------------------------------- discoveries
+
+# Words that make no family of names or no topic, words of tasks and of projects, what makes a page no documentation.
+NO_FAMILY = ["page", "feature", "project", "phase", "frontend", "backend"]
+NO_TOPIC = ["page", "feature", "portal", "browser", "tracking", "orders", "calendar", "project", "setup"]
+TASK_NOISE = r"fix|bug|test|cleanup|touch target|404|broken link|copy update|maintenance|refactor"
+SHAPES = r"page|pages|portal|browser|dashboard|tracking|calendar|chooser|feature|search|navigation|improvements|redesign|integration"
+PLANNED = r"priority|priorities|initiative|body of work|workstream|actively designed and built|distinct feature|q[1-4]|planned"
+NO_DOCUMENT = ["no formal project doc", "capacity notes", "quarterly priorities"]
+LEAST_PHRASE = 7
+
+
+def name_words(c, least, but=()):
+    return F.array_distinct(F.filter(F.split(c, " "), lambda w: (F.length(w) >= least) & ~w.isin(list(but))))
+
+
+def same_family(keys, names):
+    """The keys (key) that share two words or more, and all those of the shorter one, with one of names (name), both loose.
+    They meet at pairs of words."""
+    pairs = lambda w: F.flatten(F.transform(w, lambda a: F.transform(F.filter(w, lambda b: b > a), lambda b: F.struct(a, b))))
+    rows = lambda df, c, w: df.select(c, name_words(F.col(c), 4, NO_FAMILY).alias(w)).select(c, w, F.explode(pairs(F.col(w))).alias("p"))
+    met = rows(keys, "key", "u").join(rows(names.distinct(), "name", "v"), "p")
+    return met.where(F.size(F.array_intersect("u", "v")) >= F.least(F.size("u"), F.size("v"))).select("key").distinct()
+
+
+def documented(keys, pages):
+    """The keys (key, loose) that a page (id, hay), loose, holds: the key, its first or last two words, if seven characters or more, or
+    three words of its topic.  Phrases meet pages at their rarest run of three characters, topics at all but their two commonest words."""
+    w = F.filter(F.split("key", " "), lambda x: F.length(x) >= 3)
+    phrases = F.array("key", F.array_join(F.slice(w, 1, 2), " "), F.array_join(F.when(F.size(w) > 2, F.slice(w, -2, 2)).otherwise(w), " "))
+    asked = keys.select("key", F.explode(F.array_distinct(phrases)).alias("phrase")).where(F.length("phrase") >= LEAST_PHRASE)
+    runs = F.transform(F.sequence(F.lit(1), F.length("phrase") - 2), lambda i: F.substr("phrase", i, F.lit(3)))
+    wanted = asked.select("phrase").distinct().select("phrase", F.explode(F.array_distinct(runs)).alias("g"))
+    grams = pages.select("id", F.explode(x.char_grams(F.col("hay"), 3)).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi")
+    rare = wanted.join(grams.groupBy("g").count(), "g", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "g")).alias("k"))
+    met = rare.where("k.n > 0").select("phrase", F.col("k.g").alias("g")).join(grams, "g").join(pages, "id").where(F.col("hay").contains(F.col("phrase")))
+    by_phrase = asked.join(met.select("phrase").distinct(), "phrase", "left_semi").select("key")
+    topics = keys.select("key", name_words(F.col("key"), 4, NO_TOPIC).alias("topic")).where(F.size("topic") >= 3)
+    words = pages.select("id", F.explode(F.array_distinct(F.split("hay", " "))).alias("w"))
+    each = topics.select("key", "topic", F.explode("topic").alias("w"))
+    counts = words.join(each.select("w").distinct(), "w", "left_semi").groupBy("w").count()
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("count", F.lit(0)), "w"))
+    first = each.join(counts, "w", "left").withColumn("r", place).where(F.col("r") <= F.size("topic") - 2)
+    near = first.join(words, "w").select("key", "topic", "id").distinct().join(pages, "id")
+    by_topic = near.where(F.size(F.array_intersect("topic", F.split("hay", " "))) >= 3).select("key")
+    return by_phrase.union(by_topic).distinct()
+
+
+def discoveries(observations, canonical, emitted, docs):
+    """What becomes of each name that observations (seq, label, type, source, doc, said) give to a project or ticket: (key, label,
+    type, n_docs, reason), reason null for a discovery, else why there is none, the first that holds.
+
+    Canonical and emitted are (name, type); docs (id, provider, title, content).  A project answers for a ticket of its name."""
+    low = F.lower(F.concat_ws("\n", "label", "said"))
+    rows = observations.where(F.col("type").isin("project", "ticket")).withColumn("key", x.loose(F.col("label"))).where("key <> ''")
+    groups = written(
+        rows.groupBy("key").agg(
+            F.min_by("label", "seq").alias("label"),
+            F.when(F.bool_or(F.col("type") == "project"), "project").otherwise("ticket").alias("type"),
+            F.array_sort(F.collect_set("source")).alias("sources"),
+            F.count_distinct("doc").alias("n_docs"),
+            F.count("*").alias("n"),
+            F.bool_or(low.rlike(says(TASK_NOISE))).alias("noise"),
+            F.bool_or(low.rlike(says(PLANNED))).alias("planned"),
+        )
+    )
+    loose = lambda df: df.select(x.loose(F.col("name")).alias("key"), "type")
+    held = lambda df: loose(df).where(F.col("type").isin("project", "ticket")).groupBy("key").agg(F.bool_or(F.col("type") == "project").alias("as_project"))
+    keys = groups.select("key")
+    projects = loose(canonical).where("type = 'project'").select(F.col("key").alias("name"))
+    plain = docs.where((F.col("provider") == "confluence") & ~F.lower(F.coalesce("title", F.lit(""))).contains("roadmap"))
+    pages = plain.select("id", x.loose(F.concat_ws("\n", "title", "content")).alias("hay"))
+    pages = written(pages.where(~F.concat(F.lit(" "), "hay", F.lit(" ")).rlike(says("|".join(NO_DOCUMENT)))))
+    mark = lambda df, name: df.select("key", F.lit(True).alias(name))
+    g = groups.join(held(canonical).withColumnRenamed("as_project", "known"), "key", "left").join(held(emitted).withColumnRenamed("as_project", "out"), "key", "left")
+    g = g.join(mark(same_family(keys, projects), "family"), "key", "left").join(mark(documented(keys, pages), "described"), "key", "left")
+    project, flag = F.col("type") == "project", lambda c: F.coalesce(F.col(c), F.lit(False))
+    answered = lambda c: F.col(c).isNotNull() & (flag(c) | ~project)
+    strong = F.array_contains("sources", "jira") | F.array_contains("sources", "github")
+    shaped = F.lower("label").rlike(says(SHAPES)) | F.col("planned")
+    few = project & ~strong & (F.col("n_docs") < 2)
+    reasons = [
+        ("already_canonical", answered("known")),
+        ("already_emitted", answered("out")),
+        ("task_noise", F.lower("label").rlike("^([a-z]+-|pr *#)[0-9]") | F.col("noise")),
+        ("same_family", project & flag("family")),
+        ("documented", project & flag("described")),
+        ("jira_only", project & (F.col("sources") == F.array(F.lit("jira")))),
+        ("weak_shape", few & ~shaped & (F.size("sources") < 2)),
+        ("thin_support", few),
+        ("single_ticket", ~project & (F.col("n") < 2)),
+    ]
+    why = F.coalesce(*[F.when(test, name) for name, test in reasons])
+    return g.select("key", "label", "type", F.col("n_docs").cast("long").alias("n_docs"), why.alias("reason"))
+
+
+LABEL_ENDS = ["portal", "cards", "fix", "migration plan", "letters", "shop window", "search page", "notes", "calendar sync", "release"]
+SQL_LOOSE = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+SQL_WORDS = "list_distinct(list_filter(string_split({}, ' '), lambda w: length(w) >= {} AND NOT list_contains({}, w)))"
+
+
+@query(
+    f"""WITH p AS (SELECT *, p_name || ' ' || {SQL_LIST(LABEL_ENDS)}[1 + p_partkey % 10] AS label FROM part),
+o AS (SELECT p_partkey AS seq, label, CASE WHEN p_size % 3 = 0 THEN 'ticket' WHEN p_size % 11 = 1 THEN 'decision' ELSE 'project' END AS type,
+             ['slack', 'jira', 'github', 'confluence'][1 + p_size % 4] AS source, p_partkey % 500 AS doc,
+             CASE p_partkey % 31 WHEN 0 THEN 'a bug' WHEN 1 THEN 'planned for q3' END AS said FROM p WHERE p_partkey % 3 > 0),
+g AS (SELECT {SQL_LOOSE.format("label")} AS key, arg_min(label, seq) AS label, CASE WHEN bool_or(type = 'project') THEN 'project' ELSE 'ticket' END AS type,
+             list_sort(list(DISTINCT source)) AS sources, count(DISTINCT doc) AS n_docs, count(*) AS n,
+             bool_or({sql_says("lower(concat_ws(chr(10), label, said))", TASK_NOISE)}) AS noise, bool_or({sql_says("lower(concat_ws(chr(10), label, said))", PLANNED)}) AS planned
+      FROM o WHERE type IN ('project', 'ticket') GROUP BY 1),
+canon AS (SELECT {SQL_LOOSE.format("label")} AS key, CASE WHEN p_size % 2 = 0 THEN 'project' ELSE 'ticket' END AS type FROM p WHERE p_partkey % 60 = 0
+          UNION ALL SELECT {SQL_LOOSE.format("p_name || ' calendar sync old'")}, 'project' FROM p WHERE p_partkey % 90 = 1),
+emitted AS (SELECT {SQL_LOOSE.format("label")} AS key, 'project' AS type FROM p WHERE p_partkey % 70 = 3),
+pages AS (SELECT {SQL_LOOSE.format("title || chr(10) || content")} AS hay
+          FROM (SELECT p_brand || CASE WHEN p_partkey % 5 = 0 THEN ' Roadmap' ELSE '' END AS title,
+                       'On ' || CASE WHEN p_partkey % 2 = 0 THEN label ELSE p_name || ' and migration for a shop window' END || CASE WHEN p_partkey % 9 = 0 THEN '; capacity notes' ELSE '' END AS content
+                FROM p WHERE p_partkey % 45 = 0 OR p_partkey % 77 = 5) WHERE NOT contains(lower(title), 'roadmap')),
+live AS (SELECT hay, string_split(hay, ' ') AS words FROM pages WHERE NOT regexp_matches(hay, '{says("|".join(NO_DOCUMENT))}')),
+k AS (SELECT key, list_filter(string_split(key, ' '), lambda w: length(w) >= 3) AS w3, {SQL_WORDS.format("key", 4, NO_TOPIC)} AS topic, {SQL_WORDS.format("key", 4, NO_FAMILY)} AS fam FROM g),
+described AS (
+  SELECT DISTINCT key FROM k, live WHERE len(list_filter([key, array_to_string(w3[1:2], ' '), array_to_string(w3[-2:], ' ')], lambda x: length(x) >= 7 AND contains(hay, x))) > 0
+     OR len(topic) >= 3 AND len(list_intersect(topic, words)) >= 3),
+cf AS (SELECT DISTINCT {SQL_WORDS.format("key", 4, NO_FAMILY)} AS v FROM canon WHERE type = 'project'),
+family AS (SELECT DISTINCT key FROM k, cf WHERE len(list_intersect(fam, v)) >= 2 AND len(list_intersect(fam, v)) >= least(len(fam), len(v)))
+SELECT key, label, type, n_docs, CASE
+  WHEN EXISTS (SELECT 1 FROM canon c WHERE c.key = g.key AND (g.type = 'ticket' OR c.type = 'project')) THEN 'already_canonical'
+  WHEN EXISTS (SELECT 1 FROM emitted c WHERE c.key = g.key) THEN 'already_emitted'
+  WHEN regexp_matches(lower(label), '^([a-z]+-|pr *#)[0-9]') OR noise THEN 'task_noise'
+  WHEN type = 'ticket' THEN CASE WHEN n < 2 THEN 'single_ticket' END
+  WHEN key IN (SELECT key FROM family) THEN 'same_family'
+  WHEN key IN (SELECT key FROM described) THEN 'documented'
+  WHEN sources = ['jira'] THEN 'jira_only'
+  WHEN NOT list_has_any(sources, ['jira', 'github']) AND n_docs < 2 THEN
+    CASE WHEN len(sources) < 2 AND NOT planned AND NOT {sql_says("lower(label)", SHAPES)} THEN 'weak_shape' ELSE 'thin_support' END END AS reason FROM g"""
+)
+def y10_discovery(spark, d):
+    """Parts as observations, as canonical names and as pages."""
+    i, size = F.col("p_partkey"), F.col("p_size")
+    p = t(spark, d, "part").withColumn("label", F.concat_ws(" ", "p_name", one_of(i, LABEL_ENDS)))
+    kind = F.when(size % 3 == 0, "ticket").when(size % 11 == 1, "decision").otherwise("project")
+    said = F.when(i % 31 == 0, "a bug").when(i % 31 == 1, "planned for q3")
+    source = one_of(size, ["slack", "jira", "github", "confluence"])
+    seen = p.where(i % 3 > 0).select(i.alias("seq"), "label", kind.alias("type"), source.alias("source"), (i % 500).alias("doc"), said.alias("said"))
+    named = lambda rows, name, type_: rows.select(name.alias("name"), type_.alias("type"))
+    canonical = named(p.where(i % 60 == 0), F.col("label"), F.when(size % 2 == 0, "project").otherwise("ticket"))
+    canonical = canonical.union(named(p.where(i % 90 == 1), F.concat(F.col("p_name"), F.lit(" calendar sync old")), F.lit("project")))
+    emitted = named(p.where(i % 70 == 3), F.col("label"), F.lit("project"))
+    title = F.concat(F.col("p_brand"), F.when(i % 5 == 0, " Roadmap").otherwise(""))
+    about = F.when(i % 2 == 0, F.col("label")).otherwise(F.concat(F.col("p_name"), F.lit(" and migration for a shop window")))
+    content = F.concat(F.lit("On "), about, F.when(i % 9 == 0, "; capacity notes").otherwise(""))
+    docs = p.where((i % 45 == 0) | (i % 77 == 5)).select(i.alias("id"), F.lit("confluence").alias("provider"), title.alias("title"), content.alias("content"))
+    return discoveries(seen, canonical, emitted, docs)
