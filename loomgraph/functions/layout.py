@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -196,14 +196,26 @@ def one_end(c: Column) -> Column:
 
 
 def html_paragraphs(pages: DataFrame, id_: str, html: str, least: int = 10) -> DataFrame:
-    """(id, section, heading, paragraph, text, links): p and li elements of `least` characters or more under each h2 or
+    """(id, section, heading, paragraph, text, links, review, anchors): p and li elements of `least` characters or more under each h2 or
     h3; what comes before the first is `Overview`, section 0.  Sections without paragraphs have no rows."""
     p = pages.select(id_, F.posexplode(F.split(html, "(?s)(?=<h[23][^>]*>)")).alias("section", "raw"))
     head = F.trim(html_text(F.regexp_extract("raw", "(?s)^<h[23][^>]*>(.*?)</h[23]>", 1)))
     body = F.regexp_replace("raw", "(?s)^<h[23][^>]*>.*?</h[23]>", "")
     p = p.select(id_, F.col("section").cast("long").alias("section"), F.when(head != "", head).otherwise("Overview").alias("heading"), F.posexplode(F.regexp_extract_all(body, F.lit("(?s)<(?:p|li)[^>]*>(.*?)</(?:p|li)>"), F.lit(1))).alias("paragraph", "inner"))
     p = p.withColumn("text", F.trim(html_text(F.col("inner")))).where(F.length("text") >= least)
-    return p.select(id_, "section", "heading", F.col("paragraph").cast("long").alias("paragraph"), "text", F.regexp_extract_all("inner", F.lit('(?s)<a[^>]*href="([^"]*)"'), F.lit(1)).alias("links"))
+    pattern = '(?s)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+    parts = [F.regexp_extract_all("inner", F.lit(pattern), F.lit(n)) for n in (1, 2)]
+    anchors = F.zip_with(*parts, lambda url, inner: F.struct(url.alias("url"), inner.alias("inner")))
+    return p.select(
+        id_,
+        "section",
+        "heading",
+        F.col("paragraph").cast("long").alias("paragraph"),
+        "text",
+        F.regexp_extract_all("inner", F.lit('(?s)<a[^>]*href="([^"]*)"'), F.lit(1)).alias("links"),
+        F.nullif(F.regexp_extract("inner", 'data-review-id="([^"]+)"', 1), F.lit("")).alias("review"),
+        anchors.alias("anchors"),
+    )
 
 
 def provider_of(url: Column) -> Column:
@@ -212,6 +224,43 @@ def provider_of(url: Column) -> Column:
     return F.when(low.contains("slack"), "slack").when(low.contains("jira"), "jira").otherwise("confluence")
 
 
+def cited_paragraphs(paragraphs: DataFrame, blocks: DataFrame, citations: DataFrame, sources: DataFrame, id_: str) -> DataFrame:
+    """(id, section, paragraph, text, confidence, cited): paragraphs of `html_paragraphs`, counted anew in each section, with what
+    became of their review and an array of (source, label, doc, url) that they cite.
+
+    Blocks (id, review, status, edited) are reviews; accepted and edited ones verify a paragraph, the latter give its text.
+    Citations (id, seq, doc, provider, label) of a page go round its paragraphs, an eighth of them to each; a page without takes
+    its first two sources (id, seq, provider, title).  Links of a paragraph whose label is none of these follow."""
+    nth = F.row_number().over(Window.partitionBy(id_, "section").orderBy("paragraph")) - 1
+    p = paragraphs.withColumn("paragraph", nth.cast("long")).join(blocks.withColumn("reviewed", F.lit(True)), [id_, "review"], "left")
+    settled = F.coalesce(F.col("status").isin("accepted", "edited"), F.lit(False))
+    confidence = F.when(F.col("reviewed").isNull(), "inferred").when(settled, "verified").otherwise("needs-verification")
+    text = F.when((F.col("status") == "edited") & (F.col("edited") != ""), F.col("edited")).otherwise(F.col("text"))
+    by_page = lambda df, *columns: df.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("seq", *columns))).alias("l"))
+    c = by_page(citations, "doc", "provider", "label").withColumnRenamed("l", "cs")
+    s = by_page(sources, "provider", "title").withColumnRenamed("l", "ss")
+    p = p.withColumn("confidence", confidence).withColumn("text", text).join(c, id_, "left").join(s, id_, "left")
+    n, some = F.size("cs"), F.col("cs").isNotNull()
+    share = F.ceil(n / 8).cast("long")
+    turn = F.transform(F.sequence(F.lit(0), F.when(some, share - 1)), lambda i: F.get("cs", ((F.col("paragraph") * share + i) % n).cast("int")))
+    key = lambda x: F.coalesce(x.doc, F.concat_ws("-", x.provider, x.label))
+    cite = lambda source, label, doc, url: F.struct(source.alias("source"), label.alias("label"), doc.cast("string").alias("doc"), url.cast("string").alias("url"))
+    none = F.lit(None)
+    p = p.withColumn("turn", turn)
+    once = F.filter("turn", lambda x, i: F.array_position(F.transform("turn", key), key(x)) == i + 1)
+    own = F.transform(once, lambda x: cite(F.coalesce(x.provider, F.lit("confluence")), F.coalesce(x.label, F.lit("Source")), x.doc, none))
+    known = lambda x: F.when(x.isin("slack", "jira", "confluence"), x).otherwise("confluence")
+    first = F.transform(F.slice("ss", 1, 2), lambda x: cite(known(x.provider), F.coalesce(x.title, x.provider, F.lit("Source")), none, none))
+    empty = F.expr("array()").cast("array<struct<source: string, label: string, doc: string, url: string>>")
+    p = p.withColumn("base", F.coalesce(own, first, empty))
+    said = F.transform("anchors", lambda a: F.struct(a.url.alias("url"), F.trim(html_text(a.inner)).alias("text")))
+    bare = lambda c: F.regexp_replace(c, r"(?i)^Source:\s*", "")
+    links = F.transform(F.filter(said, lambda a: F.length(a.text) >= 3), lambda a: cite(provider_of(F.concat_ws(" ", a.url, a.text)), bare(a.text), none, a.url))
+    p = p.withColumn("links", links)
+    new = F.filter("links", lambda x, i: (F.array_position(F.transform("links", lambda q: q.label), x.label) == i + 1) & ~F.array_contains(F.transform("base", lambda q: q.label), x.label))
+    return p.select(id_, "section", "paragraph", "text", "confidence", F.concat("base", new).alias("cited"))
+
+
 def _salvaged(raw: str | None) -> str | None:
     if raw is None:
         return None

@@ -21,6 +21,50 @@ def c17_html_sections(spark, d):
     return p.select("page_id", "section", F.size("links").cast("long").alias("links"))
 
 
+@query(
+    """WITH h AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(html, '<p>', '<p><span data-review-id="r' || page_id % 5 || '">') ELSE html END AS html FROM pages),
+p AS (SELECT page_id, string_split(regexp_replace(html, '(<h[23][^>]*>)', chr(1) || '\\1', 'g'), chr(1)) AS l FROM h),
+s AS (SELECT page_id, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS section FROM p),
+e AS (SELECT page_id, section, regexp_extract_all(regexp_replace(raw, '(?s)^<h[23][^>]*>.*?</h[23]>', ''), '(?s)<(?:p|li)[^>]*>(.*?)</(?:p|li)>', 1) AS l FROM s),
+q AS (SELECT page_id, section, unnest(l) AS inner_html, generate_subscripts(l, 1) AS i FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id, section ORDER BY i) - 1 AS paragraph, nullif(regexp_extract(inner_html, 'data-review-id="([^"]+)"', 1), '') AS review FROM q
+      WHERE length(trim(regexp_replace(regexp_replace(inner_html, '(?s)<[^>]*>', '', 'g'), '&[a-z#0-9]+;', '.', 'g'))) >= 10),
+b AS (SELECT page_id, 'r' || page_id % 5 AS review, ['accepted', 'edited', 'rejected', NULL][1 + page_id % 4] AS status FROM pages WHERE page_id % 7 > 0),
+c AS (SELECT page_id, list({'doc': doc, 'provider': provider, 'label': label} ORDER BY seq) AS cs, count(*) AS n, CAST(ceil(count(*) / 8) AS BIGINT) AS share
+      FROM (SELECT p_partkey % 90 AS page_id, p_partkey AS seq, CASE WHEN p_size % 5 > 0 THEN 'd' || p_partkey % 4 END AS doc, ['slack', 'jira', NULL][1 + p_partkey % 3] AS provider,
+                   CASE WHEN p_size % 7 > 0 THEN p_name END AS label FROM part) GROUP BY page_id),
+o AS (SELECT page_id, list({'source': CASE WHEN provider = 'fax' THEN 'confluence' ELSE provider END, 'label': coalesce(title, provider)} ORDER BY page_id) AS ss
+      FROM (SELECT s_suppkey AS page_id, ['fax', 'jira'][1 + s_suppkey % 2] AS provider, CASE WHEN s_suppkey % 3 > 0 THEN s_name END AS title FROM supplier) GROUP BY page_id),
+t AS (SELECT r.*, b.review IS NOT NULL AS reviewed, status, ss, n, list_transform(range(0, share), lambda k: cs[1 + (paragraph * share + k) % n]) AS turn
+      FROM r LEFT JOIN b USING (page_id, review) LEFT JOIN c USING (page_id) LEFT JOIN o USING (page_id)),
+u AS (SELECT *, list_transform(list_filter(turn, lambda v, k: list_position(list_transform(turn, lambda w: coalesce(w.doc, concat_ws('-', w.provider, w.label))), coalesce(v.doc, concat_ws('-', v.provider, v.label))) = k),
+                               lambda v: {'source': coalesce(v.provider, 'confluence'), 'label': coalesce(v.label, 'Source'), 'url': ''}) AS own FROM t),
+w AS (SELECT *, CASE WHEN n IS NOT NULL THEN own WHEN ss IS NOT NULL THEN list_transform(ss, lambda v: {'source': v.source, 'label': v.label, 'url': ''}) ELSE [] END AS base,
+             list_zip(regexp_extract_all(inner_html, '(?s)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1), regexp_extract_all(inner_html, '(?s)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS z FROM u),
+x AS (SELECT *, list_filter(list_transform(z, lambda v: {'url': v[1], 'label': trim(replace(replace(regexp_replace(v[2], '(?s)<[^>]*>', '', 'g'), '&amp;', '&'), '&lt;', '<'))}), lambda v: length(v.label) >= 3) AS links FROM w),
+y AS (SELECT *, list_filter(links, lambda v, k: list_position(list_transform(links, lambda q: q.label), v.label) = k AND NOT list_contains(list_transform(base, lambda q: q.label), v.label)) AS fresh FROM x)
+SELECT page_id, CAST(section AS BIGINT) AS section, CAST(paragraph AS BIGINT) AS paragraph, coalesce(status = 'edited' AND page_id % 2 = 1 AND page_id % 5 > 0, false) AS edited,
+       CASE WHEN NOT reviewed THEN 'inferred' WHEN status IN ('accepted', 'edited') THEN 'verified' ELSE 'needs-verification' END AS confidence,
+       array_to_string(list_concat(list_transform(base, lambda v: v.source || ':' || v.label || ':' || v.url), list_transform(fresh, lambda v: CASE WHEN contains(lower(v.url || ' ' || v.label), 'slack') THEN 'slack'
+         WHEN contains(lower(v.url || ' ' || v.label), 'jira') THEN 'jira' ELSE 'confluence' END || ':' || v.label || ':' || v.url)), chr(10)) AS cited FROM y"""
+)
+def c17_citations(spark, d):
+    """Paragraphs of pages, reviews by page, parts as citations and suppliers as sources."""
+    i = F.col("page_id")
+    mark = F.concat(F.lit('<p><span data-review-id="r'), i % 5, F.lit('">'))
+    pages = t(spark, d, "pages").select("page_id", F.when(i % 3 == 0, F.replace("html", F.lit("<p>"), mark)).otherwise(F.col("html")).alias("html"))
+    status = F.when(i % 4 == 0, "accepted").when(i % 4 == 1, "edited").when(i % 4 == 2, "rejected")
+    blocks = t(spark, d, "pages").where(i % 7 > 0).select("page_id", F.concat(F.lit("r"), i % 5).alias("review"), status.alias("status"), F.when(i % 5 > 0, "by hand").otherwise("").alias("edited"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    provider = F.when(k % 3 == 0, "slack").when(k % 3 == 1, "jira")
+    citations = t(spark, d, "part").select((k % 90).alias("page_id"), k.alias("seq"), F.when(size % 5 > 0, F.concat(F.lit("d"), k % 4)).alias("doc"), provider.alias("provider"), F.when(size % 7 > 0, F.col("p_name")).alias("label"))
+    s = F.col("s_suppkey")
+    sources = t(spark, d, "supplier").select(s.alias("page_id"), s.alias("seq"), F.when(s % 2 == 0, "fax").otherwise("jira").alias("provider"), F.when(s % 3 > 0, F.col("s_name")).alias("title"))
+    p = y.cited_paragraphs(y.html_paragraphs(pages, "page_id", "html"), blocks, citations, sources, "page_id")
+    lines = F.transform("cited", lambda c: F.concat(c.source, F.lit(":"), c.label, F.lit(":"), F.coalesce(c.url, F.lit(""))))
+    return p.select("page_id", "section", "paragraph", F.coalesce(F.col("text") == "by hand", F.lit(False)).alias("edited"), "confidence", F.array_join(lines, "\n").alias("cited"))
+
+
 @query()
 def c22_titles(spark, d):
     """First lines of documents as titles."""

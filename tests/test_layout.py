@@ -56,6 +56,26 @@ def test_html_paragraphs(spark):
     assert apply(spark, y.provider_of, "http://jira/1", "http://x") == ["jira", "confluence"]
 
 
+def test_cited_paragraphs(spark):
+    page = (
+        '<p>Opening paragraph</p><p><i data-review-id="a">first reviewed</i></p><h2>H</h2><li data-review-id="x">short</li><li>a link of <a href="http://Slack/1">Source: Talk</a><a href="u">Talk</a><a href="v">no</a></li>'
+        '<p data-x><b data-review-id="b"></b>second reviewed</p><p><b data-review-id="c"></b>third reviewed</p>'
+    )
+    p = y.html_paragraphs(texts(spark, page, "<p>A page without any</p>", "", None), "id", "text")
+    blocks = spark.createDataFrame([(0, "a", "edited", "by hand"), (0, "b", "edited", ""), (0, "c", None, None), (1, "a", "accepted", None)], "id int, review string, status string, edited string")
+    cites = spark.createDataFrame([(0, n, "d" if n < 2 else None, None if n == 3 else "jira", f"c{n}") for n in range(9)], "id int, seq int, doc string, provider string, label string")
+    sources = spark.createDataFrame([(1, 2, "slack", "s2"), (1, 1, "fax", None), (1, 3, "jira", "s3"), (0, 1, "jira", "unused")], "id int, seq int, provider string, title string")
+    got = {(r.id, r.section, r.paragraph): (r.text, r.confidence, [(c.source, c.label, c.doc, c.url) for c in r.cited]) for r in y.cited_paragraphs(p, blocks, cites, sources, "id").collect()}
+    assert got == {
+        (0, 0, 0): ("Opening paragraph", "inferred", [("jira", "c0", "d", None)]),
+        (0, 0, 1): ("by hand", "verified", [("jira", "c2", None, None), ("confluence", "c3", None, None)]),
+        (0, 1, 0): ("a link of Source: TalkTalkno", "inferred", [("jira", "c0", "d", None), ("slack", "Talk", None, "http://Slack/1")]),
+        (0, 1, 1): ("second reviewed", "verified", [("jira", "c2", None, None), ("confluence", "c3", None, None)]),
+        (0, 1, 2): ("third reviewed", "needs-verification", [("jira", "c4", None, None), ("jira", "c5", None, None)]),
+        (1, 0, 0): ("A page without any", "inferred", [("confluence", "fax", None, None), ("slack", "s2", None, None)]),
+    }
+
+
 def test_matching_functions(spark):
     assert apply(spark, x.plain_words, "# Head\n> quote\n- item [a](b) *x*\n---\nend") == ["head quote item a x end"]
     assert apply(spark, lambda c: F.array_sort(x.char_grams(c, 3)), "abcab", "ab", "", None) == [["abc", "bca", "cab"], [], [], None]
