@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REPEAT_ROWS, carried, digest, hand_on, identified, portions, ragged, repeats, rows_of_batch, seeded, slices, text_array, utf8
+from .common import REPEAT_ROWS, bounded, carried, digest, hand_on, identified, portions, ragged, renamed, repeats, rows_of_batch, seeded, slices, text_array, told_apart, utf8
 
 GEAR = (seeded(256, 77) >> np.uint64(32)).astype(np.uint32)
 WINDOW = 32
@@ -96,6 +96,7 @@ def remove_chunks(mean: int = MEAN_CHUNK, min_run: int = MIN_RUN, keep: tuple[st
                 some = marks.slice(i, n)
                 lens = pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)
                 flat = some.flatten().to_numpy(zero_copy_only=False)
+                bounded(flat, np.repeat(np.diff(first), lens))
                 dup[np.repeat(first[:-1], lens) + flat] = True
                 # Runs of adjacent duplicates within a document.
                 begin = dup.copy()
@@ -125,16 +126,18 @@ def remove_chunks(mean: int = MEAN_CHUNK, min_run: int = MIN_RUN, keep: tuple[st
 def dedup_substrings(docs: DataFrame, mean: int = MEAN_CHUNK, min_run: int = MIN_RUN, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document RESULT: its text without repeated chunk runs, and their figures; and the columns to keep.
 
-    Null or empty text: no chunks, nothing removed, empty text kept.  Repeated rows of one doc_id
-    count as one document of the doc_id: the same place is never its own duplicate, so both keep
-    the text.  Texts of any length are whole; extra columns are ignored; an empty table gives none.
+    Null or empty text: no chunks, nothing removed, empty text kept.  Rows without doc_id are left out.
+    Repeated rows of one doc_id and text count as one document: the same place is never its own duplicate, so
+    both keep the text.  Different texts of one doc_id are documents of their own, in the order of a hash of the text.
+    Texts of any length are whole; extra columns are ignored; an empty table gives none.
 
     Digests are shuffled, texts once (to meet the marks of their document)."""
-    docs = identified(docs, *keep)
+    docs, names = told_apart(identified(docs, *keep))
     rows = docs.select("doc_id", "text").mapInArrow(chunk_rows(mean), REPEAT_ROWS)
     later = repeats(rows, firsts=False)
     marks = later.groupBy("doc_id").agg(F.collect_set(F.col("pos").cast("int")).alias("marks"))
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks", *keep).mapInArrow(remove_chunks(mean, min_run, keep), RESULT + carried(docs, keep))
+    left = docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks", *keep).mapInArrow(remove_chunks(mean, min_run, keep), RESULT + carried(docs, keep))
+    return renamed(left, names)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

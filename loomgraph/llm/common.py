@@ -50,6 +50,39 @@ def identified(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs (doc_id, text, ...) where one doc_id has one text, and what its ids stand for (id, doc_id).
+
+    Rows that have both in common are one document.  Where a doc_id has several texts (told by a 64-bit hash), all ids
+    become places in the order of (doc_id, hash of the text), so each of the texts is a document of its own and marks of
+    one never reach the other.  Where none has, docs is handed back, with None.  Rows without doc_id are left out."""
+    docs = docs.where("doc_id is not null")
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    hashes = docs.select("doc_id", h.alias("h"))
+    if not hashes.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").limit(1).count():
+        return docs, None
+    places = hashes.distinct().repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").withColumn("place", F.monotonically_increasing_id())
+    places = staged(places, "places")
+    others = [c for c in docs.columns if c != "doc_id"]
+    apart = docs.withColumn("h", h).join(places, ["doc_id", "h"]).select(F.col("place").alias("doc_id"), *others)
+    return apart, places.select(F.col("place").alias("id"), "doc_id")
+
+
+def renamed(rows: DataFrame, names: DataFrame | None, column: str = "doc_id") -> DataFrame:
+    """rows whose column holds ids of told_apart(), with the doc_id that each stands for."""
+    if names is None:
+        return rows
+    held = rows.groupBy(F.col(column).alias("id")).agg(F.count("*").alias("c")).join(names.withColumnRenamed("doc_id", "name"), "id")
+    met = join_unique(rows.withColumn("id", F.col(column)), held, ["id"])
+    return met.select(*[F.col("name").alias(column) if c == column else F.col(c) for c in rows.columns])
+
+
+def bounded(marks: np.ndarray, limits: np.ndarray) -> None:
+    """Places of marks lie within their documents; anything else is an error, never a mark in another document."""
+    if len(marks) and ((marks < 0) | (marks >= limits)).any():
+        raise ValueError("a mark lies outside its document")
+
+
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """left joined with right, which has one row for each key and `c`, the rows that left has of it.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, digest, identified, join_unique, list_array, mix, portions, seeded, slices, staged, utf8
+from .common import components, digest, identified, join_unique, list_array, mix, portions, renamed, seeded, slices, staged, told_apart, utf8
 
 #: Five words and a similarity of 0.8 unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     A set is the distinct `words`-word shingles; fewer words make one shingle of all; null, empty or
     blank text has an empty set, is linked with nothing and kept.  Rows without doc_id are left out;
-    a repeated row gives a row each time.  Texts of any length are whole.  Extra columns are ignored; an
+    a repeated row gives a row each time; different texts of one doc_id are documents of their own, and those of a
+    component are called by its smallest doc_id.  Texts of any length are whole.  Extra columns are ignored; an
     empty table gives no rows.
 
     Equal sets (by two 64-bit sums over cryptographic word digests) are one class before any pairing.  In
@@ -159,7 +160,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     The classes of buckets that this leaves in several components are compared by a prefix filter, which
     loses no pair at the threshold; so a bucket of thousands of copies costs a few rows a copy.  A link
     between classes counts only if the texts' shingles, compared as words, reach the threshold."""
-    docs = identified(docs).where("doc_id is not null")
+    docs, names = told_apart(identified(docs))
     signed = staged(docs.mapInArrow(signatures(words, bands, rows), SIGNED), "signed")
     some = signed.where("n_shingles > 0")
     key = ["s1", "s2", "n_shingles"]
@@ -199,7 +200,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         joined = components(links.union(found))
     joined = joined.withColumnRenamed("id", "rep").join(member.groupBy("rep").agg(F.count("*").alias("c")), "rep")
     component = F.coalesce("component_id", "rep")
-    return join_unique(member, joined, ["rep"], "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    found = join_unique(member, joined, ["rep"], "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return renamed(renamed(found, names), names, "component_id").withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -164,8 +164,8 @@ class Reader:
 #: What the byte-level pattern takes for white space.
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Runs that the pattern never divides and never joins: letters, digits, marks but the apostrophe, one line end.
-RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+|\n(?!\n)")
-ONLY_RUNS = re.compile(f"(?:{RUNS.pattern})+")
+RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]++|[0-9]++|[!-&(-/:-@\\[-`{-~]++|\n(?!\n)")
+ONLY_RUNS = re.compile(f"(?:{RUNS.pattern})++")
 MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
@@ -288,7 +288,7 @@ def id_bits(raw: str, end_id: int) -> int:
 FILES = "part int, seq int, url string, n_docs long, n_ids long"
 
 
-def _write(folder: str, tokenizer, bits: int, end_id: int):
+def _write(folder: str, tokenizer, bits: int, end_id: int, file_ids: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer.value), array("I", [end_id]).tobytes()
         part, seq, file = TaskContext.get().partitionId(), 0, None
@@ -304,7 +304,7 @@ def _write(folder: str, tokenizer, bits: int, end_id: int):
                 file = Writer(f"{folder}/{part:06d}-{seq:04d}-{uuid.uuid4().hex}.ids", bits)
             lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
             file.add(b.column(0).to_numpy(zero_copy_only=False), lengths, np.frombuffer(b"".join(coded), np.uint32))
-            if file.n_ids >= FILE_IDS or file.n_docs >= FILE_DOCS:
+            if file.n_ids >= file_ids or file.n_docs >= FILE_DOCS:
                 yield done()
                 seq, file = seq + 1, None
         if file is not None:
@@ -313,7 +313,7 @@ def _write(folder: str, tokenizer, bits: int, end_id: int):
     return work
 
 
-def write_ids(docs: DataFrame, raw: str, end_id: int, folder: str) -> DataFrame:
+def write_ids(docs: DataFrame, raw: str, end_id: int, folder: str, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the ids of all documents to files in folder; FILES and `start`, the ids in all files before.
 
     Each text is encoded whole, without added special tokens, and end_id follows it.  A null or empty text has
@@ -325,7 +325,7 @@ def write_ids(docs: DataFrame, raw: str, end_id: int, folder: str) -> DataFrame:
     spark = docs.sparkSession
     rows = identified(docs).where("doc_id is not null").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    made = dealt.mapInArrow(_write(folder, spark.sparkContext.broadcast(raw), id_bits(raw, end_id), end_id), FILES)
+    made = dealt.mapInArrow(_write(folder, spark.sparkContext.broadcast(raw), id_bits(raw, end_id), end_id, file_ids), FILES)
     files = staged(made, "id-files")
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     # One row a task of the writing job, so this window is over as many rows as that had tasks.
@@ -334,29 +334,31 @@ def write_ids(docs: DataFrame, raw: str, end_id: int, folder: str) -> DataFrame:
     return staged(files.withColumn("own", own).join(before, "part").select("part", "seq", "url", "n_docs", "n_ids", (F.col("before") + F.col("own")).alias("start")), "id-files")
 
 
-def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for url, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            file = Reader(url)
-            for i, j in file.portions():
-                at = file.starts[i : j + 1]
-                sums = []
-                if j == i + 1:  # perhaps a very long one: a part of it at a time
-                    crc = 0
-                    for a in range(int(at[0]), int(at[1]), READ_IDS):
-                        crc = zlib.crc32(file.ids(a, min(a + READ_IDS, int(at[1]))).astype("<u4"), crc)
-                    sums.append(crc)
-                else:
-                    raw, own = memoryview(file.ids(int(at[0]), int(at[-1])).astype("<u4").tobytes()), (at - at[0]).tolist()
-                    sums = [zlib.crc32(raw[4 * p : 4 * q]) for p, q in zip(own[:-1], own[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (file.doc_ids[i:j], start + at[:-1], np.diff(at), sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-            file.close()
+def _checksums(most: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for url, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                file = Reader(url)
+                for i, j in file.portions(most):
+                    at = file.starts[i : j + 1]
+                    if j == i + 1:  # perhaps a very long one: a part of it at a time
+                        crc = 0
+                        for a in range(int(at[0]), int(at[1]), most):
+                            crc = zlib.crc32(file.ids(a, min(a + most, int(at[1]))).astype("<u4"), crc)
+                        sums = [crc]
+                    else:
+                        raw, own = memoryview(file.ids(int(at[0]), int(at[-1])).astype("<u4").tobytes()), (at - at[0]).tolist()
+                        sums = [zlib.crc32(raw[4 * p : 4 * q]) for p, q in zip(own[:-1], own[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (file.doc_ids[i:j], start + at[:-1], np.diff(at), sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                file.close()
+
+    return work
 
 
-def read_checksums(files: DataFrame) -> DataFrame:
+def read_checksums(files: DataFrame, most: int = READ_IDS) -> DataFrame:
     """Per document, from the files: its first id's place in the corpus, how many ids it has, and their CRC."""
     n = max(files.count(), 1)
-    return files.repartitionByRange(n, "part", "seq").select("url", "start").mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartitionByRange(n, "part", "seq").select("url", "start").mapInArrow(_checksums(most), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(files: DataFrame) -> DataFrame:

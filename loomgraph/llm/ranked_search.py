@@ -131,10 +131,10 @@ def _items(items: DataFrame, most: int) -> Iterator[list[tuple[int, str | None]]
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     rows = staged(rows, "items")
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    blocks = -(-size // most)
-    for i in range(blocks):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()]
+    size = rows.agg(F.sum(F.least(F.coalesce(F.octet_length("text"), F.lit(0)) + 16, F.lit(most)))).first()[0] or 0
+    block = F.pmod(F.xxhash64("item_id"), F.lit(max(-(-size // most), 1)))
+    for (i,) in rows.select(block.alias("block")).distinct().orderBy("block").collect():
+        yield [tuple(r) for r in rows.where(block == i).collect()]
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = TOP, item_bytes: int = ITEM_BYTES) -> DataFrame:

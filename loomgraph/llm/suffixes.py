@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REPEAT_ROWS, Prefix, identified, join_unique, mix, portions, ragged, repeats, rows_of_batch, same_bytes, slices, staged, table, utf8
+from .common import REPEAT_ROWS, Prefix, bounded, identified, join_unique, mix, portions, ragged, renamed, repeats, rows_of_batch, same_bytes, slices, staged, table, told_apart, utf8
 
 LENGTH = 100
 #: Bytes of a minimizer; of one that splits the runs of a very common minimizer further; and how common.
@@ -110,6 +110,7 @@ def _contents(length: int):
                 flat = marks.flatten().to_numpy(zero_copy_only=False)
                 if not len(flat):
                     continue
+                bounded(flat // 2, np.repeat(np.diff(o), lens))
                 place = np.repeat(o[:-1], lens) + flat // 2
                 start, n, key, _ = minimizer_runs(d, o, length, MINIMIZER)
                 common = np.zeros(len(start), bool)
@@ -358,7 +359,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, sign in ((2, 1), (3, -1)):
                 marks = b.column(column).slice(i, j - i)
                 lens = pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False)
-                np.add.at(cover, np.repeat(o[:-1], lens) + marks.flatten().to_numpy(zero_copy_only=False), sign)
+                at = marks.flatten().to_numpy(zero_copy_only=False)
+                bounded(at, np.repeat(np.diff(o) + 1, lens))  # a span may end where its document does
+                np.add.at(cover, np.repeat(o[:-1], lens) + at, sign)
             gone = np.cumsum(cover[:-1]) > 0
             doc = np.repeat(np.arange(j - i), np.diff(o))
             begin = gone.copy()
@@ -381,11 +384,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Null text is empty, texts shorter than `length` stay whole, texts of any length are whole.  Of equal strings
     the first by doc_id and start stays.  Cuts may fall inside a code point; then
     `text` drops the broken one, while kept_sha256 is of the bytes.  A repeated row is the same document
-    at the same place: it does not repeat itself.  Rows without doc_id are left out, extra columns
-    ignored; an empty table gives no rows."""
+    at the same place: it does not repeat itself.  Different texts of one doc_id are documents of their own, in the
+    order of a hash of the text.  Rows without doc_id are left out, extra columns ignored; an empty table gives
+    no rows."""
     if not FINER < length <= 254 - RUN:
         raise ValueError(f"length is over {FINER} and at most {254 - RUN}")
-    docs = identified(docs).where("doc_id is not null")
+    docs, names = told_apart(identified(docs))
     rows = docs.mapInArrow(_run_rows(length), REPEAT_ROWS)
     found = staged(repeats(rows, firsts=True), "runs")
     common = found.groupBy("h1").agg(F.count("*").alias("c")).where(F.col("c") > COMMON).withColumn("common", F.lit(1))
@@ -393,7 +397,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     contents = docs.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_contents(length), CONTENT)
     dealt = contents.repartition("key").sortWithinPartitions("key", "content", "doc_id", "start")
     spans = dealt.mapInArrow(_index(length), SPANS).groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "a", "b").mapInArrow(_remove, RESULT)
+    return renamed(docs.join(spans, "doc_id", "left").select("doc_id", "text", "a", "b").mapInArrow(_remove, RESULT), names)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
