@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..operators.graph import both_ways, written
+from ..operators.names import occurrences
 from ..registry import query
 from ..sources.tables import table as t
 from ..streaming.ingest import changed, impact
@@ -97,10 +98,8 @@ def a11_status_rollup(spark, d):
 
 
 def holding(names, texts):
-    """(k, low): texts (low) that hold a name (k).  They meet at the name's first three characters."""
-    grams = F.array_distinct(F.concat(*[x.char_grams(F.col("low"), n) for n in (1, 2, 3)]))
-    met = texts.select("low", F.explode(grams).alias("g")).join(names.withColumn("g", F.substring("k", 1, 3)), "g")
-    return met.where(F.col("low").contains(F.col("k"))).select("k", "low")
+    """(k, low): texts (low) that hold a name (k)."""
+    return occurrences(texts.select(F.col("low").alias("id"), F.col("low").alias("text")), names.select(F.col("k").alias("name"))).select(F.col("name").alias("k"), F.col("id").alias("low"))
 
 
 #: Likeness of names of which one holds the other (fixed value).

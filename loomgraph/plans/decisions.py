@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..operators.graph import written
+from ..operators.names import occurrences
 from ..registry import query
 from ..sources.tables import table as t
 from .audits import one_of
@@ -203,21 +204,21 @@ def resolve_titles(cited, docs):
     content, author) of the provider, one whose title, content or author matches the title's words, preferred types
     first, then any with content, by title or content; ties by id.  Titles without a match have no row.
 
-    They meet at one run of three characters, of the title's the one that fewest documents hold (shorter titles: all of it)."""
+    They meet at one word of the title, of those that documents of the provider hold the one that the fewest hold (a title without
+    words: all of it).  Documents are read twice, and only what they hold of the titles leaves a task."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     d = docs.select("doc_id", "provider", "type", low(F.col("title")).alias("t"), low(F.col("content")).alias("c"), low(F.col("author")).alias("a"))
-    hay = lambda n: F.concat(*[x.char_grams(F.col(c), n) for c in "tca"])
-    grams = d.select("doc_id", "provider", F.explode(F.array_distinct(F.concat(hay(1), hay(2), hay(3)))).alias("g"))
     q = cited.where("provider is not null and title <> ''").select("provider", "title").distinct().withColumn("pattern", F.concat(F.lit("(?d)"), title_pattern(F.col("title"))))
     words = F.filter(F.split(F.lower("title"), r"\s+"), lambda w: F.length(w) > 2)
-    of_words = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3)))))
-    needed = F.when(F.size(words) > 0, of_words).otherwise(F.array(F.substring(F.lower("title"), 1, 3)))
-    asked = q.select("provider", "title", "pattern", F.explode(F.array_distinct(needed)).alias("g"))
-    used = grams.join(asked.select("provider", "g").distinct(), ["provider", "g"], "left_semi")
-    rare = asked.join(used.groupBy("provider", "g").count(), ["provider", "g"], "left")
-    key = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "g"))
-    met = rare.groupBy("provider", "title", "pattern").agg(key.alias("k")).where("k.n > 0").select("provider", "title", "pattern", F.col("k.g").alias("g"))
-    pairs = met.join(used, ["provider", "g"]).drop("g").join(d.drop("provider"), "doc_id")
+    needed = F.when(F.size(words) > 0, words).otherwise(F.array(F.lower("title")))
+    asked = written(q.select("provider", "title", "pattern", F.explode(F.array_distinct(needed)).alias("name")))
+    hay = d.select(F.col("doc_id").alias("id"), F.concat_ws("\n", "t", "c", "a").alias("text"))
+    of_provider = d.select("doc_id", "provider")
+    held = lambda names: occurrences(hay, names).select(F.col("id").alias("doc_id"), "name").join(of_provider, "doc_id")
+    counts = held(asked).groupBy("provider", "name").count()
+    rare = asked.join(counts, ["provider", "name"], "left").groupBy("provider", "title", "pattern")
+    met = written(rare.agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "name")).alias("k")).where("k.n > 0").select("provider", "title", "pattern", F.col("k.name").alias("name")))
+    pairs = met.join(held(met), ["provider", "name"]).drop("name").join(d.drop("provider"), "doc_id")
     place = F.array_position(F.array(*map(F.lit, OTHERWISE)), F.col("type"))
     for provider, types in PREFERRED.items():
         place = F.when(F.col("provider") == provider, F.array_position(F.array(*map(F.lit, types)), F.col("type"))).otherwise(place)
@@ -287,16 +288,12 @@ def same_family(keys, names):
 
 def documented(keys, pages):
     """The keys (key, loose) that a page (id, hay), loose, holds: the key, its first or last two words, if seven characters or more, or
-    three words of its topic.  Phrases meet pages at their rarest run of three characters, topics at all but their two commonest words."""
+    three words of its topic.  Topics meet pages at all but their two commonest words."""
     w = F.filter(F.split("key", " "), lambda x: F.length(x) >= 3)
     phrases = F.array("key", F.array_join(F.slice(w, 1, 2), " "), F.array_join(F.when(F.size(w) > 2, F.slice(w, -2, 2)).otherwise(w), " "))
     asked = keys.select("key", F.explode(F.array_distinct(phrases)).alias("phrase")).where(F.length("phrase") >= LEAST_PHRASE)
-    runs = F.transform(F.sequence(F.lit(1), F.length("phrase") - 2), lambda i: F.substr("phrase", i, F.lit(3)))
-    wanted = asked.select("phrase").distinct().select("phrase", F.explode(F.array_distinct(runs)).alias("g"))
-    grams = pages.select("id", F.explode(x.char_grams(F.col("hay"), 3)).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi")
-    rare = wanted.join(grams.groupBy("g").count(), "g", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "g")).alias("k"))
-    met = rare.where("k.n > 0").select("phrase", F.col("k.g").alias("g")).join(grams, "g").join(pages, "id").where(F.col("hay").contains(F.col("phrase")))
-    by_phrase = asked.join(met.select("phrase").distinct(), "phrase", "left_semi").select("key")
+    met = occurrences(pages.select("id", F.col("hay").alias("text")), asked.select(F.col("phrase").alias("name")))
+    by_phrase = asked.join(met.select(F.col("name").alias("phrase")).distinct(), "phrase", "left_semi").select("key")
     topics = keys.select("key", name_words(F.col("key"), 4, NO_TOPIC).alias("topic")).where(F.size("topic") >= 3)
     words = pages.select("id", F.explode(F.array_distinct(F.split("hay", " "))).alias("w"))
     each = topics.select("key", "topic", F.explode("topic").alias("w"))

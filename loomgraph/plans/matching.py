@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..operators.leaders import leaders
+from ..operators.names import occurrences
 from ..operators.vectors import with_previous
 from ..registry import query
 from ..sources.tables import table as t
@@ -166,13 +167,10 @@ def v16_evidence_selection(spark, d):
 
 @query("WITH n AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS name FROM part) SELECT d.doc_id, string_agg(name, '|' ORDER BY name) AS mentioned, min(name) AS scope FROM documents d JOIN n ON length(name) >= 3 AND contains(lower(d.text), name) GROUP BY 1")
 def v17_mention_links(spark, d):
-    """Names of three letters or more that a text holds, anywhere in it; the first one is its scope.  Names and texts meet
-    at the name's first three characters, so that no name is held against a text without them."""
-    n = t(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).distinct().where(F.length("name") >= 3).withColumn("key", F.substring("name", 1, 3))
-    docs = t(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
-    met = docs.select("doc_id", F.explode(x.char_grams(F.col("low"), 3)).alias("key")).join(n, "key")
-    found = docs.join(met.select("doc_id", "name"), "doc_id").where(F.col("low").contains(F.col("name")))
-    return found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("mentioned"), F.min("name").alias("scope"))
+    """Names of three letters or more that a text holds, anywhere in it; the first one is its scope."""
+    n = t(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).where(F.length("name") >= 3)
+    found = occurrences(t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text")), n)
+    return found.groupBy(F.col("id").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("mentioned"), F.min("name").alias("scope"))
 
 
 @query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), b AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) % 64 AS bucket, count(*) AS n FROM w GROUP BY 1, 2) SELECT doc_id, CAST(bucket AS BIGINT) AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM b")
