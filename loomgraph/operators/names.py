@@ -68,6 +68,7 @@ def occurrences(texts: DataFrame, names: DataFrame, most: int = NAME_BYTES) -> D
     schema = f"id {kind}, name string, first long, times long"
     out = spark.createDataFrame([], schema)
     for i in range(blocks):
-        shared = spark.sparkContext.broadcast([r.name for r in names.where(key == i).collect()])
-        out = out.union(texts.mapInArrow(_search(shared, pa.string() if kind == "string" else pa.int64()), schema))
+        if mine := [r.name for r in names.where(key == i).collect()]:
+            shared = spark.sparkContext.broadcast(mine)
+            out = out.union(texts.mapInArrow(_search(shared, pa.string() if kind == "string" else pa.int64()), schema))
     return out
