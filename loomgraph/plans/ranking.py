@@ -3,6 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import written
+from ..operators.scan import prefix_scan
 from ..registry import query
 from ..sources.tables import table as t
 
@@ -86,8 +88,60 @@ def w09_ordinals(spark, d):
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked_at FROM conversations")
 def w10_forward_fill(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("asked_at"))
+    turns = t(spark, d, "conversations").select("conv_id", "turn", "role")
+    return prefix_scan(turns, "conv_id", ["turn"], value=F.when(F.col("role") == "user", F.col("turn")), last_as="asked_at").select("conv_id", "turn", "asked_at")
+
+
+#: A line that begins a message: its time, who wrote it if it says, and what.
+MESSAGE = r"^\[([0-9]{2}:[0-9]{2}:[0-9]{2})\]\s*(?:<@([A-Za-z0-9_]+)>\s*)?(.+)$"
+
+
+def messages(lines, names):
+    """(id, message, time, author, text) of lines (id, line, text): a line that MESSAGE fits begins one, any other goes on with the one
+    before; lines before the first one and blank ones are left out.
+
+    A message without an author has that of the last one before it that has one, else 'Unknown'; names (user, name; the least
+    name counts) are put for users, in texts as @name.  Messages are numbered and authors carried by a prefix scan, so a conversation with
+    very many lines is no single task's; only the lines of one message meet.  Null texts are blank, null ids or lines go."""
+    known = names.where("user is not null and name is not null").groupBy("user").agg(F.min("name").alias("name"))
+    rows = lines.where("id is not null and line is not null").select("id", "line", F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n")).alias("text")).where("text <> ''")
+    begins = F.col("text").rlike(MESSAGE)
+    rows = rows.withColumn("user", F.when(begins, F.nullif(F.regexp_extract("text", MESSAGE, 2), F.lit(""))))
+    run = prefix_scan(rows, "id", ["line"], step=begins.cast("long"), value=F.when(F.col("user").isNotNull(), F.col("line")), sum_as="message", last_as="by").where("message > 0")
+    said = F.when(begins, F.btrim(F.regexp_extract("text", MESSAGE, 3), F.lit(" \t\r\n"))).otherwise(F.col("text"))
+    run = run.select("id", "line", "message", "by", "user", F.when(begins, F.regexp_extract("text", MESSAGE, 1)).alias("time"), said.alias("said")).withColumn("row", F.monotonically_increasing_id())
+    run = written(run)
+    # Names in texts: each user that a line mentions, looked up and put back.
+    found = F.array_distinct(F.regexp_extract_all("said", F.lit("<@([A-Za-z0-9_]+)>"), F.lit(1)))
+    asked = run.select("row", F.explode(found).alias("user")).join(known, "user").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("user", "name"))).alias("names"))
+    put = F.aggregate(found, F.col("said"), lambda acc, u: F.coalesce(F.replace(acc, F.concat(F.lit("<@"), u, F.lit(">")), F.concat(F.lit("@"), F.element_at("names", u))), acc))
+    run = run.join(asked, "row", "left").withColumn("said", F.when(F.col("names").isNull(), F.col("said")).otherwise(put))
+    whole = run.groupBy("id", "message").agg(F.max("time").alias("time"), F.max(F.when(F.col("time").isNotNull(), F.col("by"))).alias("by"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "said"))), lambda s: s.said), "\n").alias("text"))
+    authors = run.where("user is not null").groupBy("id", F.col("line").alias("by")).agg(F.min("user").alias("user")).join(known, "user", "left").select("id", "by", F.coalesce("name", "user").alias("author"))
+    return whole.join(authors, ["id", "by"], "left").select("id", "message", "time", F.coalesce("author", F.lit("Unknown")).alias("author"), "text")
+
+
+def conversation_lines(docs):
+    """Lines (id, line, text) after 'Full conversation:' of docs (id, content)."""
+    return docs.where(F.col("content").contains("Full conversation:")).select("id", F.posexplode(F.split(F.substr("content", F.locate("Full conversation:", "content") + 18), "\n")).alias("line", "text"))
+
+
+@query(
+    r"""WITH l AS (SELECT conv_id AS id, turn AS line, trim(CASE turn % 4 WHEN 1 THEN '[10:00:0' || (turn % 10) || '] <@' || role || '> ' || t WHEN 2 THEN '[10:00:0' || (turn % 10) || '] ' || t WHEN 3 THEN 'so <@user> and <@nobody> ' || t ELSE t END) AS text
+  FROM (SELECT conv_id, turn, role, replace(replace(coalesce(text, ''), chr(10), ' '), chr(13), ' ') AS t FROM conversations)),
+m AS (SELECT *, regexp_matches(text, '^\[([0-9]{2}:[0-9]{2}:[0-9]{2})\]\s*(?:<@([A-Za-z0-9_]+)>\s*)?(.+)$') AS b FROM l WHERE text <> ''),
+r AS (SELECT *, sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY line) AS message, CASE WHEN b THEN nullif(regexp_extract(text, '^\[([0-9:]{8})\]\s*<@([A-Za-z0-9_]+)>', 2), '') END AS u FROM m),
+f AS (SELECT *, last_value(u IGNORE NULLS) OVER (PARTITION BY id ORDER BY line) AS who, trim(CASE WHEN b THEN regexp_extract(text, '^\[([0-9]{2}:[0-9]{2}:[0-9]{2})\]\s*(?:<@([A-Za-z0-9_]+)>\s*)?(.+)$', 3) ELSE text END) AS said FROM r)
+SELECT id, CAST(message AS BIGINT) AS message, max(CASE WHEN b THEN substr(text, 2, 8) END) AS time, coalesce(CASE max(CASE WHEN b THEN who END) WHEN 'user' THEN 'Ada' ELSE max(CASE WHEN b THEN who END) END, 'Unknown') AS author,
+  string_agg(replace(said, '<@user>', '@Ada'), chr(10) ORDER BY line) AS text FROM f WHERE message > 0 GROUP BY id, message"""
+)
+def w10_messages(spark, d):
+    """Turns as lines of a conversation: the first of each four names its author, the second doesn't, the others go on."""
+    n, said = F.col("turn"), F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ")
+    time = F.concat(F.lit("[10:00:0"), n % 10, F.lit("] "))
+    text = F.when(n % 4 == 1, F.concat(time, F.lit("<@"), "role", F.lit("> "), said)).when(n % 4 == 2, F.concat(time, said)).when(n % 4 == 3, F.concat(F.lit("so <@user> and <@nobody> "), said)).otherwise(said)
+    lines = t(spark, d, "conversations").select(F.col("conv_id").alias("id"), n.alias("line"), F.trim(text).alias("text"))
+    return messages(lines, spark.createDataFrame([("user", "Ada")], "user string, name string"))
 
 
 @query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 30")
@@ -97,8 +151,9 @@ def w11_ranked_cap(spark, d):
 
 @query("SELECT event_id, CAST(floor(100.0 * row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) / count(*) OVER (PARTITION BY user_id)) AS BIGINT) AS percent FROM events")
 def w12_progress(spark, d):
-    w = Window.partitionBy("user_id")
-    return t(spark, d, "events").select("event_id", F.floor(100.0 * F.row_number().over(w.orderBy("ts", "event_id")) / F.count("*").over(w)).alias("percent"))
+    e = t(spark, d, "events").select("event_id", "user_id", "ts")
+    run = prefix_scan(e, "user_id", ["ts", "event_id"], step=F.lit(1), sum_as="at")
+    return run.join(e.groupBy("user_id").count(), "user_id").select("event_id", F.floor(100.0 * F.col("at") / F.col("count")).alias("percent"))
 
 
 @query("SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS first_order FROM orders GROUP BY o_custkey")
