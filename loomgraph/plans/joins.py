@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import loose, token_similarity, tokens
+from ..operators.graph import written
 from ..operators.vectors import at_least, compare, nearest
 from ..registry import query
 from ..sources.tables import table as t
@@ -83,18 +84,18 @@ LEAST = 0.62
 @query("WITH c AS (SELECT unnest(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]{4,}'))) AS w, b.item_id FROM benchmark b), n AS (SELECT item_id, count(*) AS n FROM c GROUP BY 1), dw AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}'))) AS w FROM documents), s AS (SELECT item_id, doc_id, count(*) AS hit FROM c JOIN dw USING (w) GROUP BY ALL), r AS (SELECT s.item_id, doc_id, round(hit / n, 6) AS score, row_number() OVER (PARTITION BY s.item_id ORDER BY hit DESC, doc_id) AS r FROM s JOIN n ON s.item_id = n.item_id) SELECT item_id, doc_id, score FROM r WHERE r = 1 AND score >= 0.62")
 def j17_best_match_join(spark, d):
     """An item of n words has a best match of at least LEAST only if the match has one of the item's rarest
-    n - ceil(LEAST n) + 1 words.  Items meet documents at these alone; then the whole word lists are compared."""
-    word = lambda df, i: df.select(i, F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{4,}"), F.lit(0))).alias("words"))
-    items, docs = word(t(spark, d, "benchmark"), "item_id"), word(t(spark, d, "documents"), "doc_id").withColumnRenamed("words", "held")
-    items = items.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
-    sought = items.select(F.explode("words").alias("w")).distinct()
-    often = docs.select("doc_id", F.explode("held").alias("w")).join(sought, "w", "left_semi").groupBy("w").agg(F.count("*").alias("c"))
-    rare = items.select("item_id", F.explode("words").alias("w")).join(often, "w", "left").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "w"))).alias("by"))
+    n - ceil(LEAST n) + 1 words.  Items meet documents at these alone; hits are then counted from the words that
+    documents share with any item, which are all that is kept of them: texts are read and split once."""
+    word = lambda df, i: df.select(i, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{4,}"), F.lit(0)))).alias("w"))
+    items = written(word(t(spark, d, "benchmark"), "item_id").distinct())
+    held = written(word(t(spark, d, "documents"), "doc_id").join(items.select("w").distinct(), "w", "left_semi"))
+    often = held.groupBy("w").agg(F.count("*").alias("c"))
+    rare = items.join(often, "w", "left").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "w"))).alias("by"))
     n = F.size("by")
-    keys = rare.select("item_id", F.explode(F.slice("by", 1, F.greatest(F.lit(1), (n - F.ceil(n * LEAST) + 1).cast("int"))))).select("item_id", F.col("col.w").alias("w"))
-    met = docs.select("doc_id", F.explode("held").alias("w")).join(keys, "w").select("item_id", "doc_id").distinct()
-    both = met.join(items, "item_id").join(docs, "doc_id").withColumn("hit", F.size(F.array_intersect("words", "held")).cast("long"))
-    best = both.groupBy("item_id").agg(F.max(F.struct("hit", (-F.col("doc_id")).alias("d"))).alias("b"), F.first(F.size("words")).alias("n"))
+    rare = rare.select("item_id", n.alias("n"), F.explode(F.slice("by", 1, F.greatest(F.lit(1), (n - F.ceil(n * LEAST) + 1).cast("int")))).alias("k"))
+    met = held.join(rare.select("item_id", "n", F.col("k.w").alias("w")), "w").select("item_id", "n", "doc_id").distinct()
+    hits = met.join(items, "item_id").join(held, ["doc_id", "w"]).groupBy("item_id", "n", "doc_id").agg(F.count("*").alias("hit"))
+    best = hits.groupBy("item_id", "n").agg(F.max(F.struct("hit", (-F.col("doc_id")).alias("d"))).alias("b"))
     return best.select("item_id", (-F.col("b.d")).alias("doc_id"), F.round(F.col("b.hit") / F.col("n"), 6).alias("score")).where(F.col("score") >= LEAST)
 
 
