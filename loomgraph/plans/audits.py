@@ -361,9 +361,12 @@ def conventions(targets, edges, nodes, most: int = CONVENTIONS):
     tied = direct.union(hop).groupBy("node", "rule").agg(F.min(F.struct("provenance", (-F.col("weight")).alias("w"))).alias("b"))
     tied = written(tied.select("node", "rule", (-F.col("b.w")).alias("weight"), "b.provenance").join(refs, "rule").select("node", "rule", "weight", "provenance", "refs"))
     weak = tied.where(F.col("weight") < FALLBACK).groupBy("node").count().agg(F.max("count")).first()[0] or 0
-    first = nodes.where("convention").orderBy(F.desc("refs"), "node").select("node", "refs").limit(most + weak).collect()
-    listed = F.array(*[F.struct(F.lit(r.node).alias("rule"), F.lit(r.refs).alias("refs")) for r in first])
-    untied = targets.select("node", F.inline(listed)).join(tied.select("node", "rule"), ["node", "rule"], "left_anti") if first else tied.limit(0)
+    # A target needs as many of the first conventions as it may have places, and one more for each weak tie that may be among them.
+    order = (F.desc("refs"), F.col("node"))
+    first = nodes.where("convention").orderBy(*order).limit(most + weak).select("node", "refs", F.row_number().over(Window.orderBy(*order)).alias("r"))
+    own = tied.where(F.col("weight") < FALLBACK).groupBy("node").agg(F.count("*").cast("int").alias("own"))
+    needed = targets.join(own, "node", "left").select("node", F.explode(F.sequence(F.lit(1), F.coalesce("own", F.lit(0)) + most)).alias("r"))
+    untied = needed.join(first.select(F.col("node").alias("rule"), "refs", "r"), "r").drop("r").join(tied.select("node", "rule"), ["node", "rule"], "left_anti")
     rows = tied.unionByName(untied.select("node", "rule", F.lit(FALLBACK).alias("weight"), F.lit("global_fallback").alias("provenance"), "refs"))
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight"), F.desc("refs"), "rule"))
     return rows.withColumn("place", place).where(F.col("place") <= most).select("node", "rule", F.round("weight", 6).alias("weight"), "provenance", "place")

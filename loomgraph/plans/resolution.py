@@ -189,7 +189,7 @@ def _nodes(spark, d):
     key, change = F.concat(F.lit("PAY-"), i % 97), F.concat(F.lit("acme/web#"), i % 89)
     person = F.when(i % 3 == 0, F.regexp_replace("p_name", " ", ".")).when(i % 3 == 1, name).otherwise(word[0])
     label = F.when(kind == "ticket", F.concat(key, F.lit(": "), name)).when(kind == "pull_request", F.concat(name, F.lit(" "), change)).when(kind == "team_member", person)
-    label = label.when(kind == "cloud_resource", F.concat(name, F.lit("-"), one_of(F.floor(i / 8), ["prod", "dev", "blue"]))).when(i % 5 == 0, F.concat(name, F.lit(" "), F.lower("p_type"), F.lit(" phase "), i % 4)).otherwise(F.concat(name, F.lit(" "), F.lower("p_type"), F.lit(" "), F.lower("p_brand")))
+    label = label.when(kind == "cloud_resource", F.concat(name, F.lit("-"), one_of(F.floor(i / 8), ["prod", "dev", "blue"]))).when(i % 5 == 0, F.concat(name, F.lit(" "), F.lower("p_type"), F.lit(" phase "), i % 4)).otherwise(F.concat(name, F.lit(" "), F.lower("p_type"), F.lit(" "), F.regexp_replace(F.lower("p_brand"), "#", "")))
     titles = F.array_compact(F.array(F.concat(F.lit("doc "), "p_brand", F.lit(" "), "p_size"), F.when(i % 6 == 0, F.concat(key, F.lit(" notes")))))
     aliases = F.when(i % 9 == 0, F.array(F.concat(word[1], F.lit(" of "), "p_brand", F.lit(" "), F.col("p_size").cast("string"))))
     return t(spark, d, "part").select(i.alias("id"), label.alias("name"), kind.alias("type"), aliases.alias("aliases"), titles.alias("titles"), (F.col("p_size") % 6).alias("n_refs"), (i % 4 == 0).alias("documented"), (i % 7 == 0).alias("timeline"))
