@@ -44,8 +44,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document has; a text of which nothing is left goes.
 
-    A passage stays where it begins first, by doc_id and place.  A null or empty text stays, as the empty text; rows
-    of one doc_id are one document and keep their passages.  Texts of any length are whole; columns that
+    A passage stays where it begins first, by doc_id and place.  A null or empty text stays, as the empty text; repeated rows
+    are one document and keep their passages, other texts of one doc_id are documents of their own.  Rows without doc_id go.
+    Texts of any length are whole; columns that
     documents don't have are left out; an empty table gives no rows."""
     left = dedup_substrings(docs, keep=("lang", "source"))
     return left.where("n_bytes = 0 or text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
