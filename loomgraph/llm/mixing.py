@@ -100,7 +100,8 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: str
     A null source or language is the value 'unknown'; null or empty text has no tokens, and a cell
     without tokens probability 0.  The share `rate` of all tokens is expected (all that have a weight, if
     these are fewer), and probabilities are at most 1.  Documents of one cell are alike but for their ids,
-    so there are no ties to break; a repeated row is one more document, sampled alike.  Texts of any length
+    so there are no ties to break; a repeated row is one more document, sampled alike.  Without doc_id
+    `sampled` is null, so no filter keeps the row.  Texts of any length
     count whole.  Extra columns are ignored; an empty table gives no rows.  Two passes over the texts; only
     cells are shuffled."""
     unknown = F.lit("unknown")
