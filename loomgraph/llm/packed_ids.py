@@ -75,7 +75,7 @@ def unpack(raw: bytes, n: int, bits: int) -> np.ndarray:
 
 def opened(url: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder or file, by its scheme: local files, HDFS and the object stores that Arrow knows."""
-    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", url))
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "file:///", url)))
 
 
 class Writer:

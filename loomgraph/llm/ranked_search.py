@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import identified, portions, ragged, staged, table
 
 #: Documents of an item, and bytes of item texts that are broadcast together.
-TOP, ITEM_BYTES = 20, 1 << 24
+TOP, ITEM_BYTES = 20, 1 << 22
 #: Postings of documents that are multiplied together.
 BLOCK = 1 << 20
 #: Lists of an item that are first merged apart: a task's list goes to one of them.
