@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, audits, completion, copies, decisions, exports, extraction, graph, joins, judge, layout, matching, owners, packs, ranking, resolution, retrieval, reviews, scans, steps, text, updates, wiring  # noqa: F401  (they register their queries)
+from .plans import aggregates, audits, completion, copies, decisions, exports, extraction, graph, joins, judge, layout, matching, owners, packs, ranking, resolution, retrieval, reviews, scans, steps, text, texts, updates, wiring  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
