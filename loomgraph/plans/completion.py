@@ -138,9 +138,11 @@ def conventions(packs, decisions):
     every = lambda c: F.filter(F.split(x.loose(F.coalesce(c, F.lit(""))), " "), lambda w: F.length(w) >= 4)
     p = p.withColumn("w", words(F.concat_ws(" ", "rule", "title")))
     cites = p.select("pack", "w", F.explode(F.array_distinct(F.transform("refs", lambda r: r.title))).alias("title")).where("title <> ''")
-    d = decisions.where("name <> ''").select("name", every(F.col("name")).alias("v"), F.explode(F.array_distinct("titles")).alias("title"))
-    met = cites.join(d, "title").where((F.size("v") <= 2) | (F.size(F.filter("v", lambda w: F.array_contains("w", w))) >= 2))
-    of_pack = met.groupBy("pack").agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("constituents"))
+    # Equal names of a title, and packs of equal words, meet once; names of a title come to each pack together.
+    d = decisions.where("name <> ''").select("name", F.explode(F.array_distinct("titles")).alias("title")).distinct().withColumn("v", every(F.col("name")))
+    met = cites.select("w", "title").distinct().join(d, "title").where((F.size("v") <= 2) | (F.size(F.filter("v", lambda w: F.array_contains("w", w))) >= 2))
+    names = met.groupBy("w", "title").agg(F.collect_set("name").alias("names"))
+    of_pack = cites.join(names, ["w", "title"]).groupBy("pack").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))), "|").alias("constituents"))
     kinds = F.array_distinct(F.transform("refs", lambda r: r.source))
     page, other = F.array_contains(kinds, "confluence"), F.arrays_overlap(kinds, F.array(*map(F.lit, ["slack", "github", "jira"])))
     level = F.when(page & other, "partially_documented").when(page, "documented").otherwise("undocumented")
