@@ -350,24 +350,40 @@ def conventions(targets, edges, nodes, most: int = CONVENTIONS):
 
     What applies to it (APPLIES_TO edges of src, dst, type, weight) has the edge's weight; what applies to a node RELATED_TO it
     or that it CONTAINS, either way, HOP of the greatest such weight; any other convention of nodes (node, convention, refs)
-    FALLBACK.  Ties go to more refs, then to the lesser node.  As untied conventions differ by refs alone, a target
-    needs only the first `most` of them, and as many more as some target has ties of less weight."""
-    applies = edges.where("type = 'APPLIES_TO'").select(F.col("src").alias("rule"), F.col("dst").alias("node"), F.col("weight").cast("double").alias("weight"))
-    targets = targets.select("node").distinct()
-    direct = applies.join(targets, "node", "left_semi").select("node", "rule", "weight", F.lit("direct").alias("provenance"))
-    near = both_ways(edges.where("type in ('RELATED_TO', 'CONTAINS')")).select("node", "other").join(targets, "node", "left_semi").distinct()
-    hop = near.join(applies.withColumnRenamed("node", "other"), "other").select("node", "rule", (F.col("weight") * HOP).alias("weight"), F.lit("one_hop").alias("provenance"))
-    refs = nodes.select(F.col("node").alias("rule"), "refs")
-    tied = direct.union(hop).groupBy("node", "rule").agg(F.min(F.struct("provenance", (-F.col("weight")).alias("w"))).alias("b"))
-    tied = written(tied.select("node", "rule", (-F.col("b.w")).alias("weight"), "b.provenance").join(refs, "rule").select("node", "rule", "weight", "provenance", "refs"))
-    weak = tied.where(F.col("weight") < FALLBACK).groupBy("node").count().agg(F.max("count")).first()[0] or 0
-    # A target needs as many of the first conventions as it may have places, and one more for each weak tie that may be among them.
+    FALLBACK.  Ties go to more refs, then to the lesser node.
+
+    Of what applies to a near node a target needs the first `most`, and as many more as apply to it directly.  One that has `most` above
+    FALLBACK needs no other convention; as untied conventions differ by refs alone, the rest need the first `most` of them, and as
+    many more as some target of these has ties of less weight."""
+    targets = written(targets.select("node").distinct())
+    known = nodes.select(F.col("node").alias("rule"), "refs", F.coalesce("convention", F.lit(False)).alias("convention"))
+    applies = edges.where("type = 'APPLIES_TO'").groupBy(F.col("src").alias("rule"), F.col("dst").alias("node")).agg(F.max(F.col("weight").cast("double")).alias("weight"))
+    applies = written(applies.join(known, "rule"))
+    direct = written(applies.join(targets, "node", "left_semi"))
+    linked = edges.where("type in ('RELATED_TO', 'CONTAINS')")
+    near = linked.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(linked.select("dst", "src")).join(targets, "node", "left_semi").distinct()
+    near = written(near.join(applies.groupBy(F.col("node").alias("other")).agg(F.count("*").alias("n")), "other"))
+    best = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("weight"), F.desc("refs"), "rule"))
+    lists = applies.select(F.col("node").alias("other"), "rule", "weight", "refs", best("node").alias("r"))
+    needed = near.join(direct.groupBy("node").agg(F.count("*").alias("own")), "node", "left")
+    needed = needed.select("node", "other", F.explode(F.sequence(F.lit(1), F.least("n", F.coalesce("own", F.lit(0)) + most).cast("int"))).alias("r"))
+    hop = needed.join(lists, ["other", "r"]).join(direct.select("node", "rule"), ["node", "rule"], "left_anti")
+    hop = hop.groupBy("node", "rule", "refs").agg((F.max("weight") * HOP).alias("weight")).withColumn("r", best("node")).where(F.col("r") <= most)
+    ties = direct.select("node", "rule", "weight", F.lit("direct").alias("provenance"), "refs")
+    ties = written(ties.unionByName(hop.select("node", "rule", "weight", F.lit("one_hop").alias("provenance"), "refs")))
+    full = ties.where(F.col("weight") > FALLBACK).groupBy("node").count().where(F.col("count") >= most)
+    targets = written(targets.join(full, "node", "left_anti"))
+    # All ties of the rest to conventions: what their list of untied ones leaves out.
+    rules = applies.where("convention").select("rule", "node", "weight")
+    by_hop = near.select("node", "other").join(targets, "node", "left_semi").join(rules.withColumnRenamed("node", "other"), "other").select("node", "rule", (F.col("weight") * HOP).alias("weight"))
+    tied = written(rules.join(targets, "node", "left_semi").select("node", "rule", "weight").union(by_hop).groupBy("node", "rule").agg(F.max("weight").alias("weight")))
+    own = tied.groupBy("node").agg(F.count("*").cast("int").alias("own"))
+    longest = own.agg(F.max("own")).first()[0] or 0
     order = (F.desc("refs"), F.col("node"))
-    first = nodes.where("convention").orderBy(*order).limit(most + weak).select("node", "refs", F.row_number().over(Window.orderBy(*order)).alias("r"))
-    own = tied.where(F.col("weight") < FALLBACK).groupBy("node").agg(F.count("*").cast("int").alias("own"))
+    first = nodes.where("convention").orderBy(*order).limit(most + longest).select("node", "refs", F.row_number().over(Window.orderBy(*order)).alias("r"))
     needed = targets.join(own, "node", "left").select("node", F.explode(F.sequence(F.lit(1), F.coalesce("own", F.lit(0)) + most)).alias("r"))
     untied = needed.join(first.select(F.col("node").alias("rule"), "refs", "r"), "r").drop("r").join(tied.select("node", "rule"), ["node", "rule"], "left_anti")
-    rows = tied.unionByName(untied.select("node", "rule", F.lit(FALLBACK).alias("weight"), F.lit("global_fallback").alias("provenance"), "refs"))
+    rows = ties.unionByName(untied.select("node", "rule", F.lit(FALLBACK).alias("weight"), F.lit("global_fallback").alias("provenance"), "refs"))
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight"), F.desc("refs"), "rule"))
     return rows.withColumn("place", place).where(F.col("place") <= most).select("node", "rule", F.round("weight", 6).alias("weight"), "provenance", "place")
 

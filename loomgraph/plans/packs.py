@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
-from ..operators.graph import both_ways, written
+from ..operators.graph import written
 from ..registry import query
 from ..sources.tables import table as t
 from .audits import conventions
@@ -47,36 +47,77 @@ def expanded(text):
     return F.concat_ws(" ", text, *[F.when(F.contains(low, F.lit(k)), " ".join(v)) for k, v in CONCEPTS.items()])
 
 
+def best_alike(targets, pages, taken, score, most):
+    """(node, page, s) of targets (node, text): the `most` best of pages (page, text, bonus) by `score` of the words in common and the bonus (null:
+    never), ties by id, without its own ones of taken (node, page).
+
+    Equal texts are compared once, whatever the number of their targets and pages.  A text's list of pages is as long as the target
+    that has the most taken needs it, and each target reads the head of it that it needs itself."""
+    key = lambda c: F.md5(F.coalesce(c, F.lit("")))
+    needed = targets.select("node", "text").join(taken.groupBy("node").agg(F.count("*").alias("own")), "node", "left")
+    needed = written(needed.select("node", "text", key("text").alias("t"), (F.coalesce("own", F.lit(0)) + most).alias("need")))
+    texts = needed.groupBy("t").agg(F.min("text").alias("text"), F.max("need").alias("need"))
+    wanted = texts.select(F.col("t").alias("node"), F.explode(F.array_distinct(long_words(F.col("text")))).alias("w"))
+    p = written(pages.select("page", "text", "bonus", key("text").alias("k")))
+    said = p.groupBy("k").agg(F.min("text").alias("text")).select(F.col("k").alias("page"), "text")
+    met = word_scores(wanted, said).select(F.col("node").alias("t"), F.col("page").alias("k"), "words")
+    kinds = met.join(p.select("k", "bonus").distinct(), "k").withColumn("s", score).where("s is not null").join(texts.select("t", "need"), "t")
+    # No text needs more pages of a kind than the longest list has.
+    longest = kinds.groupBy("k", "bonus").agg(F.max("need").alias("longest"))
+    nth = lambda by, *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    rows = p.select("page", "k", "bonus", nth(("k", "bonus"), "page").alias("r")).join(longest, ["k", "bonus"]).where("r <= longest")
+    lists = kinds.select("t", "k", "bonus", "s", "need").join(rows.select("page", "k", "bonus", "r"), ["k", "bonus"]).where("r <= need")
+    lists = lists.select("t", "page", "s", "need", nth(("t",), F.desc("s"), "page").alias("r")).where("r <= need").select("t", "page", "s", "r")
+    met = needed.select("node", "t", F.explode(F.sequence(F.lit(1), F.col("need").cast("int"))).alias("r")).join(lists, ["t", "r"])
+    free = met.select("node", "page", "s").join(taken.select("node", "page"), ["node", "page"], "left_anti")
+    return free.withColumn("r", nth(("node",), F.desc("s"), "page")).where(F.col("r") <= most).drop("r")
+
+
+def beside(targets, edges, *more):
+    """(node, page, *more) of what edges (src, dst) lead to from targets (node), either way."""
+    ways = edges.select(F.col("src").alias("node"), F.col("dst").alias("page"), *more).union(edges.select("dst", "src", *more))
+    return ways.join(targets.select("node").distinct(), "node", "left_semi")
+
+
+def tied_scores(tied, targets, pages):
+    """(node, page, words) of pairs (node, page): the words in common, as in `word_scores`; equal texts count once."""
+    key = lambda c: F.md5(F.coalesce(c, F.lit("")))
+    asked, said = targets.select("node", "text", key("text").alias("t")), pages.select("page", "text", key("text").alias("k"))
+    wanted = asked.groupBy("t").agg(F.min("text").alias("text")).select(F.col("t").alias("node"), F.explode(F.array_distinct(long_words(F.col("text")))).alias("w"))
+    words = word_scores(wanted, said.groupBy("k").agg(F.min("text").alias("text")).select(F.col("k").alias("page"), "text"))
+    met = tied.join(asked.select("node", "t"), "node").join(said.select("page", "k"), "page")
+    return met.join(words.select(F.col("node").alias("t"), F.col("page").alias("k"), "words"), ["t", "k"], "left").drop("t", "k")
+
+
 def precedents(targets, nodes, edges, pages):
     """(node, precedent, score, place) of targets (node, text): the PRECEDENTS best of nodes (node, type, name, proposed, convention) with a page
     (page, text), by words in common with the page, the weight of an edge between, and type; ties by id.
 
     With an edge projects, changes and decisions that are no rule count, without one projects and changes of LEAST words in common.
     Proposed ones were never built."""
-    wanted = targets.select("node", F.explode(F.array_distinct(long_words(expanded(F.col("text"))))).alias("w"))
-    tied = both_ways(edges).join(edges.groupBy("src", "dst").agg(F.max("weight").alias("w1")).select(F.col("src").alias("node"), F.col("dst").alias("other"), "w1"), ["node", "other"], "left")
-    tied = tied.join(edges.groupBy("src", "dst").agg(F.max("weight").alias("w2")).select(F.col("src").alias("other"), F.col("dst").alias("node"), "w2"), ["node", "other"], "left")
-    tied = tied.join(targets.select("node"), "node", "left_semi").groupBy("node", F.col("other").alias("page")).agg(F.max(F.greatest("w1", "w2")).alias("weight"))
+    targets = written(targets.groupBy("node").agg(F.concat_ws(" ", F.collect_list(expanded(F.col("text")))).alias("text")))
     bonus = F.coalesce(*[F.when(F.col("type") == k, v) for k, v in BONUS.items()])
     built = nodes.where(F.col("type").isin(list(BONUS)) & ~F.coalesce("proposed", F.lit(False))).select(F.col("node").alias("page"), "type", bonus.alias("bonus"), F.coalesce("convention", F.lit(False)).alias("convention"))
-    known = pages.select("page").distinct()
-    words = word_scores(wanted, pages.join(built.select("page"), "page", "left_semi"))
-    both = tied.join(known, "page", "left_semi").join(words, ["node", "page"], "full").join(built, "page").where("node <> page")
-    edge, n = F.col("weight").isNotNull() & ~F.col("convention"), F.coalesce("words", F.lit(0))
+    known = written(built.join(pages.groupBy("page").agg(F.concat_ws(" ", F.collect_list("text")).alias("text")), "page"))
+    tied = beside(targets, edges, "weight").groupBy("node", "page").agg(F.max("weight").alias("weight")).where("weight is not null and node <> page")
     # A rule, or a decision without an edge, is none; a rule that an edge leads to is not looked at again.
-    free = F.col("weight").isNull() | F.col("convention")
-    score = F.when(edge, n * 2 + F.col("weight") * 3 + F.col("bonus")).when(free & (F.col("type") != "decision") & (n >= LEAST), n * 2.0 + F.col("bonus"))
+    tied = written(tied.join(known.where("not convention").select("page", "bonus"), "page"))
+    n = F.coalesce("words", F.lit(0))
+    by_edge = tied_scores(tied, targets, known).select("node", "page", (n * 2 + F.col("weight") * 3 + F.col("bonus")).alias("s"))
+    open_ = known.where("type <> 'decision'").select("page", "text", "bonus")
+    free = best_alike(targets, open_, tied.select("node", "page").union(targets.select("node", "node")), F.when(F.col("words") >= LEAST, F.col("words") * 2.0 + F.col("bonus")), PRECEDENTS)
+    both = by_edge.union(free).withColumn("score", F.round("s", 6))
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "page"))
-    return both.withColumn("score", F.round(score, 6)).where("score is not null").withColumn("place", place).where(F.col("place") <= PRECEDENTS).select("node", F.col("page").alias("precedent"), "score", "place")
+    return both.withColumn("place", place).where(F.col("place") <= PRECEDENTS).select("node", F.col("page").alias("precedent"), "score", "place")
 
 
 def feedback(targets, nodes, edges):
     """(node, item, direct, place) of targets (node, text): FEEDBACK pieces of nodes (node, type, name, said) of customers, those with an edge
     first, then those with a word in common, each by id."""
     pieces = nodes.where("type = 'customer_feedback' and said <> ''").select(F.col("node").alias("page"), F.concat_ws(" ", "name", "said").alias("text"))
-    direct = both_ways(edges).join(targets.select("node"), "node", "left_semi").select("node", F.col("other").alias("page")).distinct().join(pieces.select("page"), "page", "left_semi").withColumn("direct", F.lit(True))
-    wanted = targets.select("node", F.explode(F.array_distinct(long_words(F.col("text")))).alias("w"))
-    alike = word_scores(wanted, pages=pieces).select("node", "page").join(direct.select("node", "page"), ["node", "page"], "left_anti").withColumn("direct", F.lit(False))
+    direct = written(beside(targets, edges).distinct().join(pieces.select("page"), "page", "left_semi").withColumn("direct", F.lit(True)))
+    targets = targets.groupBy("node").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    alike = best_alike(targets, pieces.withColumn("bonus", F.lit(0)), direct, F.lit(0), FEEDBACK).select("node", "page").withColumn("direct", F.lit(False))
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("direct"), "page"))
     return direct.select("node", "page", "direct").union(alike).withColumn("place", place).where(F.col("place") <= FEEDBACK).select("node", F.col("page").alias("item"), "direct", "place")
 

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.plans.audits import conventions as conventions_of
 from loomgraph.plans.completion import conventions
+from loomgraph.plans.packs import precedents
 
 
 @pytest.fixture
@@ -36,3 +38,23 @@ def test_equal_names_of_a_title_meet_a_pack_once(spark, most_rows):
     got, most = most_rows(lambda: conventions(packs, decisions).collect())
     assert len(got) == 500 and {r.constituents for r in got} == {"small ring of steel"}
     assert most <= 2000
+
+
+def test_equal_texts_of_packs_meet_once(spark, most_rows):
+    nodes = spark.range(400).select(F.col("id").alias("node"), F.when(F.col("id") < 200, "project").otherwise("pull_request").alias("type"), F.lit("small ring").alias("name"), F.lit(None).cast("string").alias("said"), F.lit(False).alias("proposed"), F.lit(False).alias("convention"))
+    pages = nodes.where("node >= 200").select(F.col("node").alias("page"), F.lit("small ring notes").alias("text"))
+    edges = spark.createDataFrame([(0, 250, "USES", 0.5), (201, 0, "USES", None)], "src long, dst long, type string, weight double")
+    targets = nodes.where("type = 'project'").select("node", F.col("name").alias("text"))
+    got, most = most_rows(lambda: precedents(targets, nodes, edges, pages).collect())
+    by_node = {n: [r.precedent for r in sorted((r for r in got if r.node == n), key=lambda r: r.place)] for n in (0, 7)}
+    assert by_node == {0: [250, *range(200, 207)], 7: [*range(200, 208)]} and len(got) == 1600
+    assert most <= 4000
+
+
+def test_a_hub_gives_a_target_its_first_conventions_alone(spark, most_rows):
+    nodes = spark.range(400).select(F.col("id").alias("node"), (F.col("id") >= 300).alias("convention"), (F.col("id") % 9).alias("refs"))
+    applies = spark.range(300, 400).selectExpr("id AS src", "0L AS dst", "'APPLIES_TO' AS type", "0.9D AS weight")
+    edges = applies.union(spark.range(1, 200).selectExpr("id AS src", "0L AS dst", "'CONTAINS' AS type", "0.5D AS weight"))
+    got, most = most_rows(lambda: conventions_of(nodes.where("node between 1 and 199").select("node"), edges, nodes).collect())
+    assert sorted((r.place, r.rule) for r in got if r.node == 5) == [(i + 1, 305 + 9 * i) for i in range(6)] and {r.provenance for r in got} == {"one_hop"}
+    assert most <= 4000
