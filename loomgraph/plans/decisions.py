@@ -1,6 +1,8 @@
 """Steps that decide: which candidate nodes stay, what a cited title refers to, how hypotheses are wired."""
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
@@ -190,6 +192,8 @@ def y05_validation(spark, d):
 PREFERRED = {"slack": ["slack_conversation", "slack_message", "slack_thread"], "jira": ["jira_issue", "jira_comment"]}
 OTHERWISE = ["confluence_page"]
 NO_CONTENT = ["slack_channel", "slack_user"]
+#: Documents of a word that a title tries first, and how many times more it tries next.
+TRIED = 8
 
 
 def title_pattern(title):
@@ -205,29 +209,44 @@ def resolve_titles(cited, docs):
     first, then any with content, by title or content; ties by id.  Titles without a match have no row.
 
     They meet at one word of the title, of those that documents of the provider hold the one that the fewest hold (a title without
-    words: all of it).  Documents are read twice, and only what they hold of the titles leaves a task."""
+    words: all of it).  A word's documents are tried in the order in which they would be chosen, TRIED of them, then that many times
+    more, until each title has its first match or has tried all: common words cost no pair with every document."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     d = docs.select("doc_id", "provider", "type", low(F.col("title")).alias("t"), low(F.col("content")).alias("c"), low(F.col("author")).alias("a"))
     q = cited.where("provider is not null and title <> ''").select("provider", "title").distinct().withColumn("pattern", F.concat(F.lit("(?d)"), title_pattern(F.col("title"))))
     words = F.filter(F.split(F.lower("title"), r"\s+"), lambda w: F.length(w) > 2)
     needed = F.when(F.size(words) > 0, words).otherwise(F.array(F.lower("title")))
     asked = written(q.select("provider", "title", "pattern", F.explode(F.array_distinct(needed)).alias("name")))
-    hay = d.select(F.col("doc_id").alias("id"), F.concat_ws("\n", "t", "c", "a").alias("text"))
-    of_provider = d.select("doc_id", "provider")
-    held = lambda names: occurrences(hay, names).select(F.col("id").alias("doc_id"), "name").join(of_provider, "doc_id")
-    counts = held(asked).groupBy("provider", "name").count()
+    kind = d.schema["doc_id"].dataType
+    hay = d.where("provider is not null and doc_id is not null").select(F.concat(F.length("provider"), F.lit(":"), "provider", F.col("doc_id").cast("string")).alias("id"), F.concat_ws("\n", "t", "c", "a").alias("text"))
+    letters, rest = F.substring_index("id", ":", 1).cast("int"), F.substr(F.col("id"), F.instr("id", ":") + 1)
+    held = written(occurrences(hay, asked).select(F.substr(rest, F.lit(1), letters).alias("provider"), F.substr(rest, letters + 1).cast(kind).alias("doc_id"), "name"))
+    counts = held.groupBy("provider", "name").count()
     rare = asked.join(counts, ["provider", "name"], "left").groupBy("provider", "title", "pattern")
-    met = written(rare.agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "name")).alias("k")).where("k.n > 0").select("provider", "title", "pattern", F.col("k.name").alias("name")))
-    pairs = met.join(held(met), ["provider", "name"]).drop("name").join(d.drop("provider"), "doc_id")
+    rare = rare.agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "name")).alias("k")).where("k.n > 0")
+    open_ = written(rare.select("provider", "title", "pattern", "k.name", "k.n"))
     place = F.array_position(F.array(*map(F.lit, OTHERWISE)), F.col("type"))
     for provider, types in PREFERRED.items():
         place = F.when(F.col("provider") == provider, F.array_position(F.array(*map(F.lit, types)), F.col("type"))).otherwise(place)
     first = F.coalesce(place, F.lit(0)) > 0
+    kept = first | ~F.coalesce(F.col("type").isin(NO_CONTENT), F.lit(False))
+    ranks = d.where(kept).select("doc_id", "provider", first.alias("first"), F.when(first, place).otherwise(F.lit(9)).alias("rank"))
+    nth = F.row_number().over(Window.partitionBy("provider", "name").orderBy("rank", "doc_id"))
+    lists = held.join(open_.select("provider", "name").distinct(), ["provider", "name"], "left_semi").join(ranks, ["provider", "doc_id"])
+    lists = written(lists.select("provider", "name", "doc_id", "first", nth.alias("r")))
     text = F.rlike("t", "pattern") | F.rlike("c", "pattern")
-    hit = (first & (text | F.rlike("a", "pattern"))) | (~F.coalesce(F.col("type").isin(NO_CONTENT), F.lit(False)) & text)
-    rank = F.when(first, place).otherwise(F.lit(9))
-    best = F.min(F.struct(rank.alias("r"), "doc_id"))
-    return pairs.where(hit).groupBy("provider", "title").agg(best.alias("b")).select("provider", "title", F.col("b.doc_id").alias("doc_id"))
+    tried, found = 0, []
+    while not open_.isEmpty():
+        most = max(TRIED, tried * TRIED)
+        now = lists.where((F.col("r") > tried) & (F.col("r") <= most))
+        pairs = open_.join(now, ["provider", "name"]).join(d.select("doc_id", "provider", "t", "c", "a"), ["provider", "doc_id"])
+        hits = pairs.where(text | (F.col("first") & F.rlike("a", "pattern"))).groupBy("provider", "title").agg(F.min_by("doc_id", "r").alias("doc_id"))
+        found.append(written(hits))
+        # A title of few documents has tried them all.
+        open_ = written(open_.where(F.col("n") > most).join(found[-1], ["provider", "title"], "left_anti"))
+        tried = most
+    none = d.where("false").select("provider", F.lit("").alias("title"), "doc_id")
+    return reduce(DataFrame.union, found, none)
 
 
 @query(

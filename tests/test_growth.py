@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.plans.audits import conventions as conventions_of
 from loomgraph.plans.completion import conventions
+from loomgraph.plans.decisions import resolve_titles
 from loomgraph.plans.packs import precedents
 from loomgraph.plans.wiring import fitting_rules, wire
 
@@ -76,3 +77,12 @@ def test_equal_rules_fit_equal_texts_once(spark, most_rows):
     rules = spark.range(300).select(F.col("id").alias("to"), F.lit("rule").alias("name"), F.lit("never paint small rings").alias("text"))
     got, most = most_rows(lambda: fitting_rules(said, rules).collect())
     assert len(got) == 300 and {r.to for r in got} == {0} and most <= 2000
+
+
+def test_titles_try_few_documents_of_a_common_word(spark, most_rows):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("slack").alias("provider"), F.lit("slack_message").alias("type"), F.lit("").alias("title"), F.when(F.col("id") == 390, "plan the red bolts now").otherwise("red bolts").alias("content"), F.lit(None).cast("string").alias("author"))
+    cited = spark.range(200).select(F.lit("slack").alias("provider"), F.concat(F.lit("red "), F.when(F.col("id") == 0, "bolts now").otherwise(F.concat(F.lit("bolt"), F.when(F.col("id") % 2 == 0, "s").otherwise("")))).alias("title"))
+    cited = cited.union(spark.range(200).selectExpr("'slack'", "concat('red', repeat(' ', cast(id as int)), ' bolt')"))
+    got, most = most_rows(lambda: resolve_titles(cited, docs).collect())
+    assert {r.doc_id for r in got if "now" not in r.title} == {0} and [r.doc_id for r in got if "now" in r.title] == [390]
+    assert len(got) == 202 and most <= 8000
