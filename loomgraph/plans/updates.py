@@ -33,8 +33,10 @@ def u05_array_filter_update(spark, d):
 @query("SELECT doc_id, CASE WHEN list_position(w, 'the') > 0 THEN array_to_string(list_transform(w, lambda x, i: CASE WHEN i = list_position(w, 'the') THEN 'THE' ELSE x END), ' ') ELSE array_to_string(w, ' ') END AS text FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
 def u06_positional_update(spark, d):
     w = t(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w"))
-    first = F.array_position("w", F.lit("the"))
-    return w.select("doc_id", F.array_join(F.transform("w", lambda x, i: F.when(i + 1 == first, "THE").otherwise(x)), " ").alias("text"))
+    first = F.array_position("w", F.lit("the")).cast("int")
+    # The words around the first one as slices: a lambda over words would look for it again at each.
+    new = F.concat(F.slice("w", F.lit(1), F.greatest(first - 1, F.lit(0))), F.array(F.lit("THE")), F.slice("w", first + 1, F.size("w")))
+    return w.select("doc_id", F.array_join(F.when(first > 0, new).otherwise(F.col("w")), " ").alias("text"))
 
 
 @query("SELECT c_custkey, array_to_string([c_mktsegment, 'x'], ',') AS pushed, CASE WHEN c_mktsegment = 'BUILDING' THEN 'BUILDING' ELSE c_mktsegment || ',BUILDING' END AS added FROM customer")

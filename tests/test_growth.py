@@ -7,6 +7,7 @@ from loomgraph.plans.audits import conventions as conventions_of
 from loomgraph.plans.completion import conventions
 from loomgraph.plans.decisions import resolve_titles
 from loomgraph.plans.packs import precedents
+from loomgraph.plans.updates import u06_positional_update
 from loomgraph.plans.wiring import fitting_rules, wire
 
 
@@ -86,3 +87,11 @@ def test_titles_try_few_documents_of_a_common_word(spark, most_rows):
     got, most = most_rows(lambda: resolve_titles(cited, docs).collect())
     assert {r.doc_id for r in got if "now" not in r.title} == {0} and [r.doc_id for r in got if "now" in r.title] == [390]
     assert len(got) == 202 and most <= 8000
+
+
+def test_positional_update_reads_its_words_once(spark, tmp_path):
+    texts = ["a the b the", "the", "the x", "x the", "none here", "", None, "other Then"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = u06_positional_update(spark, str(tmp_path))
+    assert [r.text for r in df.orderBy("doc_id").collect()] == ["a THE b the", "THE", "THE x", "x THE", "none here", "", None, "other Then"]
+    assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
