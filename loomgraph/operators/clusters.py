@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components, written
@@ -36,33 +36,45 @@ def constrained_components(edges: DataFrame, marks: DataFrame) -> DataFrame:
         state, e = written(moved.drop("mark").join(marked, "component").select("node", "component", "mark")), e.select("a", "b", "at")
 
 
-def growing_merges(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
+#: Evidence of more classes than this meets leaders at their classes, other evidence at itself.
+FEW_CLASSES = 16
+
+
+def growing_merges(pairs: DataFrame, evidence: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """(id, into) of the ids of evidence (id, e): the same as one pass in order, in which each row that is still there takes over every
-    later one that is paired with it (pairs: a < b) and shares evidence with it or with what it has taken over before.
+    later one that is paired with it and shares evidence with it or with what it has taken over before.
 
-    Per pair a round asks whether evidence of the leader, or of what it has taken over, came before the later row's turn: only the
-    least place of each (leader, e) counts, so no row's evidence is gathered.  A row is settled as soon as its earlier
-    leaders are; each round settles the least open row of every group at least, and rounds go on until none is
-    open.  Pairs of ids without evidence change nothing."""
-    held = written(evidence.where("id is not null and e is not null").select("id", "e").distinct())
+    Rows of paired classes (pairs: a < b; classes: id, c) and of one class are paired, rows without a class with none; by default each
+    row is a class of its own.  So pairs are never told row by row: a leader's evidence, with the place from which it has it,
+    is offered to the classes like its own, and a row asks at its class and evidence for the least leader that had it before.  What
+    a row becomes depends on earlier rows alone, so rounds that change nothing have the one result there is; each round settles the
+    rows whose earlier ones are settled at least.  Pairs of ids without evidence change nothing."""
     ids = evidence.select("id").where("id is not null").distinct()
-    p = written(pairs.where("a < b").select("a", "b").distinct())
-    # Evidence that a pair's later row has, of which its leader may come to have some: what settles a pair.
-    later = held.select(F.col("id").alias("b"), "e")
-    waits = p.select(F.col("b").alias("id")).distinct().withColumn("waits", F.lit(True))
-    state = written(ids.join(waits, "id", "left").select("id", F.when(F.col("waits").isNull(), F.col("id")).alias("into")))
-    while not state.where("into is null").isEmpty():
-        open_pairs = p.join(state.where("into is null").select(F.col("id").alias("b")), "b", "left_semi")
-        leader = state.select(F.col("id").alias("a"), F.col("into").alias("of"))
-        open_pairs = open_pairs.join(leader, "a").where("of is null or of = a")
-        # Rows that the leader has, may have, or is: (a, k).
-        members = p.join(state.select(F.col("id").alias("b"), F.col("into").alias("to")), "b").where("to is null or to = a").select("a", F.col("b").alias("k"), F.col("to").isNotNull().alias("sure"))
-        members = members.union(open_pairs.select("a", F.col("a").alias("k"), F.lit(True).alias("sure")).distinct())
-        places = members.join(held.withColumnRenamed("id", "k"), "k").groupBy("a", "e").agg(F.min(F.when(F.col("sure"), F.col("k"))).alias("has"), F.min(F.when(~F.col("sure"), F.col("k"))).alias("may"))
-        asked = open_pairs.join(later, "b").join(places, ["a", "e"], "left").groupBy("a", "b", "of").agg(F.bool_or(F.coalesce(F.col("has") < F.col("b"), F.lit(False))).alias("hit"), F.bool_or(F.coalesce(F.col("may") < F.col("b"), F.lit(False))).alias("some"))
-        # A pair says yes, no, or wait; the first that doesn't say no decides.
-        says = F.when(F.col("hit") & F.col("of").isNotNull(), "yes").when(F.col("hit") | F.col("some"), "wait").otherwise("no")
-        first = asked.withColumn("says", says).where("says <> 'no'").groupBy("b").agg(F.min(F.struct("a", "says")).alias("f"))
-        now = F.when(F.col("into").isNotNull(), F.col("into")).when(F.col("f").isNull(), F.col("id")).when(F.col("f.says") == "yes", F.col("f.a"))
-        state = written(state.join(first.withColumnRenamed("b", "id"), "id", "left").select("id", now.alias("into")))
-    return state
+    c = ids.select("id", F.col("id").alias("c")) if classes is None else classes.where("c is not null").select("id", "c").distinct()
+    held = evidence.where("id is not null and e is not null").select("id", "e").distinct().join(c, "id")
+    # Evidence that one row alone has decides nothing; other evidence gets a number.
+    by_class = held.groupBy("e", "c").agg(F.count("*").alias("n"))
+    known = by_class.groupBy("e").agg(F.sum("n").alias("n"), (F.count("*") > FEW_CLASSES).alias("wide")).where("n > 1")
+    known = written(known.select("e", "wide", F.monotonically_increasing_id().alias("number")))
+    held = written(held.join(known, "e").select("id", F.col("number").alias("e"), "c", "wide"))
+    p = pairs.where("a < b").select("a", "b").distinct()
+    alike = written(p.union(p.select("b", "a")).union(held.select("c", "c").distinct()).toDF("c", "other"))
+    asked = written(held.where("not wide").select("e", "c").distinct())
+    # The first guess, which only saves rounds: each row went to the first of its class that has evidence of its own.
+    first = held.groupBy("e", "c").agg(F.min("id").alias("into"))
+    state = written(held.join(first, ["e", "c"]).groupBy("id", "c").agg(F.min("into").alias("into")))
+    order = Window.partitionBy("e", "c").orderBy("at", "offer").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asks = held.select("e", "c", F.col("id").alias("at"), F.lit(False).alias("offer"), F.lit(None).cast(held.schema["id"].dataType).alias("k"))
+    while True:
+        leads = state.where("id = into").select("into", F.col("c").alias("other"))
+        has = held.join(state.select("id", "into"), "id").groupBy("into", "e", "wide").agg(F.min("id").alias("at"))
+        has = written(has.join(leads, "into"))
+        near = has.where("not wide").join(asked, "e").join(alike, ["c", "other"], "left_semi")
+        far = has.where("wide").join(alike, "other")
+        offers = [df.select("e", "c", "at", F.lit(True).alias("offer"), F.col("into").alias("k")) for df in (near, far)]
+        met = asks.union(offers[0]).union(offers[1]).withColumn("k", F.min("k").over(order)).where("not offer")
+        least = met.groupBy(F.col("at").alias("id")).agg(F.min("k").alias("k"))
+        now = F.coalesce("k", "id")
+        state = written(state.join(least, "id").select("id", "c", now.alias("into"), (now != F.col("into")).alias("moved")))
+        if state.where("moved").isEmpty():
+            return ids.join(state.select("id", "into"), "id", "left").select("id", F.coalesce("into", "id").alias("into"))

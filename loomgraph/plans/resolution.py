@@ -216,13 +216,15 @@ def consolidated(rules, least: float = 0.4):
     none = F.expr("array()").cast("array<string>")
     r = rules.where("id is not null").dropDuplicates(["id"]).select("id", "owner", "rule", low(F.coalesce("owner", F.lit(""))).alias("of"), F.coalesce("decisions", none).alias("decisions"), F.coalesce("documents", none).alias("documents"))
     r = written(r)
-    w = r.select("id", "of", x.tokens(F.col("rule")).alias("w"))
-    # Equal rules of an owner meet at their words too: each row is known by its own id.
-    at = w.select("id", "of", "w", F.explode("w").alias("token"))
+    # Equal rules of an owner are one class, known by its first; classes meet at their words, rows at evidence of their owner.
+    w = r.select("id", "of", F.array_sort(x.tokens(F.col("rule"))).alias("w")).where("size(w) > 0")
+    classes = written(w.groupBy("of", "w").agg(F.min("id").alias("c")))
+    at = classes.select("c", "of", "w", F.explode("w").alias("token"))
     met = at.toDF("a", "of", "wa", "token").join(at.toDF("b", "of", "wb", "token"), ["of", "token"]).where("a < b and token = array_min(array_intersect(wa, wb))")
     pairs = met.where(x.token_similarity(F.col("wa"), F.col("wb")) >= least).select("a", "b")
     kinds = F.concat(F.transform("decisions", lambda d: F.concat(F.lit("d:"), low(d))), F.transform("documents", lambda d: F.concat(F.lit("s:"), low(d))))
-    into = growing_merges(pairs, r.select("id", F.explode_outer(kinds).alias("e")))
+    evidence = r.select("id", "of", F.explode_outer(kinds).alias("e")).select("id", F.when(F.col("e").isNotNull(), F.struct("of", "e")).alias("e"))
+    into = growing_merges(pairs, evidence, w.join(classes, ["of", "w"]).select("id", "c"))
     m = r.join(into, "id")
     sums = m.groupBy("into").agg(F.array_sort(F.collect_list(F.when(F.col("id") != F.col("into"), F.col("id")))).alias("merged"), F.size(F.array_distinct(F.flatten(F.collect_list("decisions")))).alias("n_decisions"), F.size(F.array_distinct(F.flatten(F.collect_list("documents")))).alias("n_documents"))
     return r.select("id", "owner", "rule").join(sums, F.col("id") == F.col("into")).drop("into")

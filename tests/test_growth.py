@@ -7,6 +7,7 @@ from loomgraph.plans.audits import conventions as conventions_of
 from loomgraph.plans.completion import conventions
 from loomgraph.plans.decisions import resolve_titles
 from loomgraph.plans.packs import precedents
+from loomgraph.plans.resolution import consolidated
 from loomgraph.plans.updates import u06_positional_update
 from loomgraph.plans.wiring import fitting_rules, wire
 
@@ -95,3 +96,10 @@ def test_positional_update_reads_its_words_once(spark, tmp_path):
     df = u06_positional_update(spark, str(tmp_path))
     assert [r.text for r in df.orderBy("doc_id").collect()] == ["a THE b the", "THE", "THE x", "x THE", "none here", "", None, "other Then"]
     assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_rules_of_an_owner_are_consolidated_by_class(spark, most_rows):
+    i = F.col("id")
+    rules = spark.range(400).select("id", F.lit("Ada").alias("owner"), F.when(i % 2 == 0, "small red ring").otherwise("small red bolt").alias("rule"), F.array(F.concat(F.lit("plan "), i)).alias("decisions"), F.array(F.concat(F.lit("doc "), i % 3)).alias("documents"))
+    got, most = most_rows(lambda: consolidated(rules).collect())
+    assert {r.id: len(r.merged) for r in got} == {0: 133, 1: 132, 2: 132} and most <= 4000
