@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators.clusters import constrained_components, growing_merges
 from loomgraph.operators.names import occurrences
 from loomgraph.plans import extraction, reviews
+from loomgraph.plans.decisions import says
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -186,3 +188,18 @@ def test_promotions_by_hand(spark):
     got = extraction.promotions(df).collect()
     assert [(r.id, r.why) for r in got if r.why != r.want] == []
     assert {r.why for r in got if r.promote} == {"shaped_though_unsure", "decision", "process", "shaped"}
+
+
+def test_excerpts_stop_at_the_first_snippet_that_passes(spark):
+    df = spark.createDataFrame([("We decided on it today.\nboom boom boom boom boom",), ("nothing of note was said",)], "text string")
+    test = lambda s: F.when(s.contains("boom"), F.raise_error(F.lit("tested")).cast("boolean")).otherwise(s.contains("decided"))
+    assert [r.e for r in df.select(extraction.excerpt(F.col("text"), test).alias("e")).collect()] == ["We decided on it today.", "nothing of note was said"]
+
+
+def test_spoken_finds_what_says_finds(spark):
+    rng = random.Random(9)
+    lists = [extraction.TASKS, extraction.DECISION, extraction.PROCESS, extraction.CONTEXT, extraction.PATTERN_WORDS, extraction.UMBRELLA]
+    words = [w for x in lists for w in x.split("|")] + ["1:1", "every 30", "phase 2", "standardized", "_", "é", "\n", "日", "x"]
+    texts = [("".join(rng.choice(words) + rng.choice(["", " ", "\n", "_", "-", "s"]) for _ in range(rng.randint(0, 3))),) for _ in range(400)]
+    df = spark.createDataFrame(texts, "t string").select(*[(F.col("t").rlike(says(x)) == F.col("t").rlike(extraction.spoken(x))).alias(f"c{i}") for i, x in enumerate(lists)])
+    assert {v for r in df.collect() for v in r} == {True}
