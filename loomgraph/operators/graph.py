@@ -42,9 +42,29 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: How often nodes go into their least neighbour, and edges with them, before labels spread.
+CONTRACTIONS = 2
+
+
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component), the least node reached: labels spread along edges, and jump to their label's label."""
-    adjacent = written(both_ways(edges).select("node", "other").distinct())
+    """(node, component), the least node reached: nodes go into their least neighbour (or stay), which leaves few edges; along these labels
+    spread, and jump to their label's label.  The least node of all always stays, so its label is the component's."""
+    ends = edges.where("src is not null and dst is not null").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    met, went = written(ends), []
+    for _ in range(CONTRACTIONS):
+        near = met.select(F.col("a").alias("node"), F.col("b").alias("other")).union(met.select("b", "a"))
+        went.append(written(near.groupBy("node").agg(F.least("node", F.min("other")).alias("to"))))
+        now = met.join(went[-1].toDF("a", "x"), "a").join(went[-1].toDF("b", "y"), "b").where("x <> y")
+        met = written(now.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    found = went[0].select("node", F.col("to").alias("component"))
+    for further in [*went[1:], _spread(met, rounds)]:
+        found = found.join(further.toDF("component", "far"), "component", "left").select("node", F.coalesce("far", "component").alias("component"))
+    return found
+
+
+def _spread(ends: DataFrame, rounds: int) -> DataFrame:
+    """(node, component) of the nodes of distinct edges (a, b)."""
+    adjacent = written(ends.select(F.col("a").alias("node"), F.col("b").alias("other")).union(ends.select("b", "a")))
     labels = written(adjacent.select("node", F.col("node").alias("component")).distinct())
     for _ in range(rounds):
         near = adjacent.join(labels.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.operators import graph
+from loomgraph.operators.graph import written
 from loomgraph.plans.audits import conventions as conventions_of
 from loomgraph.plans.completion import conventions
 from loomgraph.plans.decisions import resolve_titles
@@ -103,3 +105,14 @@ def test_equal_rules_of_an_owner_are_consolidated_by_class(spark, most_rows):
     rules = spark.range(400).select("id", F.lit("Ada").alias("owner"), F.when(i % 2 == 0, "small red ring").otherwise("small red bolt").alias("rule"), F.array(F.concat(F.lit("plan "), i)).alias("decisions"), F.array(F.concat(F.lit("doc "), i % 3)).alias("documents"))
     got, most = most_rows(lambda: consolidated(rules).collect())
     assert {r.id: len(r.merged) for r in got} == {0: 133, 1: 132, 2: 132} and most <= 4000
+
+
+def test_components_write_few_rows_beside_the_edges(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(graph, "written", lambda df, *by: kept.append(written(df, *by)) or kept[-1])
+    pairs = spark.range(1600).selectExpr("id % 40 AS src", "100 + id div 40 AS dst", "'' AS type")
+    path = [(200 + i, 201 + i) for i in range(30)] + [(300, 300), (None, 7), (400, 402), (402, 401)]
+    edges = pairs.union(spark.createDataFrame(path, "src long, dst long").selectExpr("src", "dst", "''"))
+    got = {r.node: r.component for r in graph.connected_components(edges).collect()}
+    assert got == {**dict.fromkeys([*range(40), *range(100, 140)], 0), **dict.fromkeys(range(200, 231), 200), 300: 300, **dict.fromkeys([400, 401, 402], 400)}
+    assert sum(df.count() for df in kept) <= 2400
