@@ -149,10 +149,16 @@ def j22_ordered_enrich(spark, d):
 def similar_names(named, block: str, least: float):
     """Pairs (block, a, b, n_a, n_b, sim) of the different names in `named` (block, id, name) that share a token within
     a block and have a token similarity of `least` or more.  A name is known by its least id; n counts its rows."""
-    c = named.groupBy(block, "name").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("w", tokens(F.col("name")))
-    one = lambda s: c.select(block, F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("w").alias(f"w_{s}"), F.explode("w").alias("token"))
-    # A pair meets at each shared token; it counts at the least of them.
-    met = one("a").join(one("b"), [block, "token"]).where("a < b").where(F.col("token") == F.array_min(F.array_intersect("w_a", "w_b")))
+    c = named.groupBy(block, "name").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("w", F.array_sort(tokens(F.col("name"))))
+    if least > 0.5:  # Rare tokens first; a lower likeness leaves out few tokens, whatever their order.
+        each = c.select(block, "id", "n", F.explode("w").alias("token"))
+        each = each.join(each.groupBy(block, "token").agg(F.count("*").alias("often")), [block, "token"])
+        c = each.groupBy(block, "id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("w")).withColumn("w", F.col("w.token"))
+    # Names that share `least` of the larger set share one of the first tokens of each, those after which too few would be left.
+    heads = F.slice("w", F.lit(1), (F.size("w") - F.ceil(least * F.size("w") - 1e-9) + 1).cast("int"))
+    one = lambda s: c.select(block, F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("w").alias(f"w_{s}"), F.explode(heads).alias("token"))
+    # A pair meets at each token that both begin with; it counts at the first that it shares.
+    met = one("a").join(one("b"), [block, "token"]).where("a < b").where(F.col("token") == F.get(F.array_intersect("w_a", "w_b"), F.lit(0)))
     return met.withColumn("sim", token_similarity(F.col("w_a"), F.col("w_b"))).where(F.col("sim") >= least).select(block, "a", "b", "n_a", "n_b", "sim")
 
 

@@ -73,10 +73,12 @@ def identities(keys):
     return out if out is not None else spark.createDataFrame([], "id long, into long")
 
 
-def likely_pairs(nodes, keys):
+def likely_pairs(nodes, keys, least: float = LEAST):
     """(a, b, score, why) of live nodes of one type, the best reason of each pair: names or aliases in common, one base of cloud
     resources, keys in common; and unless they go by their keys: projects by words and titles in common, names that hold one another or
-    whose words are alike.  `why` of related scopes is 'scope'; these have no score."""
+    whose words are alike.  `why` of related scopes is 'scope'; these have no score.
+
+    A higher `least` gives the pairs of that score alone, without scopes, and looks for no others: those of a likely score are many times more."""
     none = F.expr("array()").cast("array<string>")
     n = nodes.withColumn("low", F.lower(F.trim("name"))).withColumn("aliases", F.coalesce("aliases", none)).withColumn("titles", F.coalesce("titles", none))
     called = n.select("id", "type", F.explode(F.array_distinct(F.concat(F.array("low"), F.transform("aliases", lambda a: F.lower(F.trim(a)))))).alias("k")).where("k <> ''")
@@ -91,28 +93,38 @@ def likely_pairs(nodes, keys):
     out = out.union(meet(n.where("type = 'cloud_resource'").select("id", "type", base.alias("k")).where("k <> ''"), 1.0, "base"))
     out = out.union(meet(keys.select("id", "type", F.col("key").alias("k")), 0.95, "key"))
 
-    # Projects: two words, or a word and a title, in common; they meet at each such two.
+    # Projects meet at the first two words they share; at a word and a title only for what is less than SURE, as that asks for two words.
     words = F.array_distinct(F.transform(F.filter(F.split(x.loose(F.concat_ws(" ", "name", F.array_join("aliases", " "))), " "), lambda w: (F.length(w) >= 3) & ~w.isin(COMMON_WORDS)), lambda w: x.singular(w)))
     parts = x.loose(F.col("name")).rlike(says("|".join(PART_WORDS)))
     titles = F.array_distinct(F.transform("titles", lambda s: x.loose(s)))
     p = written(n.where("type = 'project'").select("id", F.array_sort(words).alias("w"), titles.alias("s"), parts.alias("part")))
-    twos = F.flatten(F.transform("w", lambda a: F.transform(F.filter("w", lambda b: b > a), lambda b: F.concat_ws(" ", a, b))))
-    mixed = F.flatten(F.transform("w", lambda a: F.transform("s", lambda b: F.concat_ws("|", a, b))))
-    at = p.select("id", F.explode(F.concat(twos, mixed)).alias("at"))
-    met = at.select(F.col("id").alias("a"), "at").join(at.select(F.col("id").alias("b"), "at"), "at").where("a < b").select("a", "b").distinct()
-    met = met.join(p.toDF("a", "wa", "sa", "pa"), "a").join(p.toDF("b", "wb", "sb", "pb"), "b").withColumn("shared", F.size(F.array_intersect("wa", "wb"))).withColumn("anchors", F.size(F.array_intersect("sa", "sb")))
+    two = lambda a, b: F.concat_ws(" ", a, b)
+    twos = F.flatten(F.transform("w", lambda a: F.transform(F.filter("w", lambda b: b > a), lambda b: two(a, b))))
+    at = p.select("id", "w", F.explode(twos).alias("at"))
+    both = F.array_intersect("wa", "wb")
+    met = at.toDF("a", "wa", "at").join(at.toDF("b", "wb", "at"), "at").where((F.col("a") < F.col("b")) & (F.col("at") == two(F.get(both, F.lit(0)), F.get(both, F.lit(1))))).select("a", "b")
+    if least < SURE:
+        mixed = F.flatten(F.transform("w", lambda a: F.transform("s", lambda b: F.concat_ws("|", a, b))))
+        at = p.select("id", F.explode(mixed).alias("at"))
+        met = met.union(at.toDF("a", "at").join(at.toDF("b", "at"), "at").where("a < b").select("a", "b")).distinct()
+    ends = lambda df, how: df.join(p.toDF("a", "wa", "sa", "pa"), "a", how).join(p.toDF("b", "wb", "sb", "pb"), "b", how).withColumn("shared", F.size(both)).withColumn("anchors", F.size(F.array_intersect("sa", "sb")))
     part, differ = F.col("pa") | F.col("pb"), (F.size("wa") > F.col("shared")) | (F.size("wb") > F.col("shared"))
     score = F.when((F.col("shared") >= 2) & (F.col("anchors") > 0), 0.96).when(F.col("shared") >= 3, 0.9).when((F.col("shared") >= 2) & part, 0.82).when((F.col("anchors") >= 2) & (F.col("shared") >= 1), 0.8)
-    scope = part & differ & ((F.col("shared") >= 1) | (F.col("anchors") > 0))
-    family = met.select("a", "b", F.when(~scope, score).alias("score"), F.when(scope, "scope").otherwise("family").alias("why")).where("why = 'scope' or score is not null")
-    out = out.union(family)
+    scope = part & differ & ((F.col("shared") >= 2) | ((F.col("shared") >= 1) & (F.col("anchors") > 0)))
+    family = ends(met, "inner").select("a", "b", F.when(~scope, score).alias("score"), F.when(scope, "scope").otherwise("family").alias("why")).where("why = 'scope' or score is not null")
 
     loose = n.where(~F.col("type").isin(BY_KEY)).select("id", "type", "low")
-    alike = similar_names(loose.select("type", "id", F.col("low").alias("name")), "type", LEAST).select("a", "b", F.col("sim").alias("score"), F.lit("words").alias("why"))
-    first = loose.groupBy("type", "low").agg(F.min("id").alias("id"))
-    held = occurrences(first.select("id", F.col("low").alias("text")), first.where("length(low) >= 3").select(F.col("low").alias("name")))
-    held = held.join(first.select("id", "type"), "id").join(first.select(F.col("id").alias("other"), "type", F.col("low").alias("name")), ["type", "name"]).where("id <> other")
-    out = out.union(alike).union(held.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), F.lit(HELD).alias("score"), F.lit("held").alias("why")))
+    out = out.union(similar_names(loose.select("type", "id", F.col("low").alias("name")), "type", least).select("a", "b", F.col("sim").alias("score"), F.lit("words").alias("why")))
+    if least <= HELD:
+        first = loose.groupBy("type", "low").agg(F.min("id").alias("id"))
+        held = occurrences(first.select("id", F.col("low").alias("text")), first.where("length(low) >= 3").select(F.col("low").alias("name")))
+        held = held.join(first.select("id", "type"), "id").join(first.select(F.col("id").alias("other"), "type", F.col("low").alias("name")), ["type", "name"]).where("id <> other")
+        out = out.union(held.select("id", "other", F.lit(HELD).alias("score"), F.lit("held").alias("why")))
+    if least > LEAST:
+        # Scopes that meet by another likeness are told by the projects themselves, so the others need not be found.
+        out = ends(out.where(F.col("score") >= least), "left").where(~F.coalesce(scope, F.lit(False))).select("a", "b", "score", "why")
+        family = family.where(F.col("score") >= least)
+    out = out.union(family)
     # A scope says more than any likeness; else the best score counts.
     order = F.struct((F.col("why") != "scope").alias("o"), (-F.col("score")).alias("s"), "why")
     best = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score", "why").groupBy("a", "b").agg(F.min(order).alias("m"))
@@ -146,12 +158,12 @@ def resolved(nodes, hints, tickets):
     # What survivors have taken over is theirs: names, titles, references and keys.  Of the first three phases none follows another twice.
     early = chased(moves, 2)
     place = early.select("id", "into").union(n.join(early, "id", "left_anti").select("id", F.col("id").alias("into")))
-    taken = place.join(n, "id").groupBy("into").agg(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("id") == F.col("into"), F.col("aliases")).otherwise(F.array_compact(F.concat(F.array("name"), "aliases")))))).alias("aliases"), F.array_distinct(F.flatten(F.collect_list("titles"))).alias("titles"), F.sum("n_refs").alias("n_refs"))
+    taken = place.join(n, "id").groupBy("into").agg(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("id") == F.col("into"), F.col("aliases")).otherwise(F.array_compact(F.concat(F.array("name"), "aliases")))))).alias("aliases"), F.array_distinct(F.flatten(F.collect_set("titles"))).alias("titles"), F.sum("n_refs").alias("n_refs"))
     live = written(n.select("id", "name", "type").join(taken.withColumnRenamed("into", "id"), "id"))
     node_keys, keys = keys, written(keys.join(place, "id").join(live.select(F.col("id").alias("into"), F.col("type").alias("kind")), "into").select(F.col("into").alias("id"), F.col("kind").alias("type"), "key").distinct())
-    pairs = written(likely_pairs(live, keys))
+    pairs = likely_pairs(live, keys, SURE)
     marks = keys.groupBy(F.col("id").alias("node")).agg(F.min("key").alias("mark"))
-    sure = pairs.where(F.col("score") >= SURE).select("a", "b", (-F.col("score")).alias("rank"))
+    sure = pairs.select("a", "b", (-F.col("score")).alias("rank"))
     cluster = written(constrained_components(sure, marks))
     keep = cluster.join(live.select(F.col("id").alias("node"), "n_refs"), "node").groupBy("component").agg(F.min(F.struct((-F.col("n_refs")).alias("r"), "node")).alias("k"))
     late = cluster.join(keep, "component").where("node <> k.node").select(F.col("node").alias("id"), F.col("k.node").alias("into"), F.lit("cluster").alias("phase"))
@@ -161,7 +173,7 @@ def resolved(nodes, hints, tickets):
 
     names = n.join(own.groupBy("id").agg(F.min("name").alias("full")), "id", "left").withColumn("name", F.coalesce("full", "name")).drop("full")
     held = final.select("id", "into").union(n.join(final, "id", "left_anti").select("id", F.col("id").alias("into")))
-    said = held.join(n.select("id", "name", "aliases", "titles", "n_refs"), "id").groupBy("into").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.concat(F.array("name"), "aliases")))))).alias("called"), F.sum("n_refs").alias("evidence"), F.bool_or(F.size("titles") > 0).alias("cited"))
+    said = held.join(n.select("id", "name", "aliases", "titles", "n_refs"), "id").groupBy("into").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_compact(F.concat(F.array("name"), "aliases")))))).alias("called"), F.sum("n_refs").alias("evidence"), F.bool_or(F.size("titles") > 0).alias("cited"))
     counted = held.join(node_keys.select("id", "key"), "id").groupBy("into").agg(F.count_distinct("key").alias("n_keys"), F.collect_set("key").alias("keys"))
     s = names.withColumnRenamed("id", "into").join(said, "into").join(counted, "into", "left").withColumn("n_keys", F.coalesce("n_keys", F.lit(0)))
     label, node_type = F.lower(F.coalesce("name", F.lit(""))), F.col("type")

@@ -9,7 +9,7 @@ from loomgraph.plans.audits import conventions as conventions_of
 from loomgraph.plans.completion import conventions
 from loomgraph.plans.decisions import resolve_titles
 from loomgraph.plans.packs import precedents
-from loomgraph.plans.resolution import consolidated
+from loomgraph.plans.resolution import consolidated, resolved
 from loomgraph.plans.updates import u06_positional_update
 from loomgraph.plans.wiring import fitting_rules, wire
 
@@ -116,3 +116,11 @@ def test_components_write_few_rows_beside_the_edges(spark, monkeypatch):
     got = {r.node: r.component for r in graph.connected_components(edges).collect()}
     assert got == {**dict.fromkeys([*range(40), *range(100, 140)], 0), **dict.fromkeys(range(200, 231), 200), 300: 300, **dict.fromkeys([400, 401, 402], 400)}
     assert sum(df.count() for df in kept) <= 2400
+
+
+def test_projects_that_share_a_word_and_a_title_are_not_paired(spark, most_rows):
+    nodes = spark.range(300).select("id", F.concat(F.lit("Donor w"), F.col("id") + 100).alias("name"), F.lit("project").alias("type"), F.lit(None).cast("array<string>").alias("aliases"), F.array(F.lit("plan")).alias("titles"), F.lit(1).alias("n_refs"), F.lit(True).alias("documented"), F.lit(False).alias("timeline"))
+    none = spark.createDataFrame([], "name string, key string, status string")
+    got, most = most_rows(lambda: resolved(nodes, none.select("name"), none.select("key", "status")).collect())
+    assert len(got) == 300 and all(r.phase is None for r in got)
+    assert most <= 3000

@@ -69,6 +69,21 @@ def test_pairs_of_projects(spark):
     assert got == {(1, 2): (0.96, "family"), (1, 3): (0.8, "held"), (1, 4): (0.82, "family"), (2, 4): (0.82, "family"), (3, 4): (None, "scope")}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_sure_pairs_are_those_of_all(spark, seed):
+    rng = random.Random(seed)
+    some = lambda words, n: [rng.choice(words) for _ in range(n)]
+    words = ["donor", "search", "portal", "pets", "pet", "phase", "refresh", "map", "grid", "one", "two", "ten"]
+    rows = [node(i, " ".join(some(words, rng.choice([1, 2, 3, 4, 12]))) if i % 17 else None, rng.choice(["project", "project", "process", "cloud_resource", "ticket"]), [" ".join(some(words, 2))] if i % 4 == 0 else None, some(["Plan", "Notes", "Q1", "q1", None], rng.choice([0, 1, 2]))) for i in range(60)]
+    nodes = spark.createDataFrame(rows, NODES).cache()
+    keys = spark.createDataFrame([(r[0], r[2], 1, f"K-{rng.randrange(6)}") for r in rows if rng.random() < 0.3], "id long, type string, n_refs int, key string")
+    every = {(r.a, r.b): (r.score, r.why) for r in likely_pairs(nodes, keys).collect()}
+    assert {w for _, w in every.values()} >= {"scope", "family", "words", "held", "key"}
+    for least in (0.75, 0.82, 0.9):
+        got = {(r.a, r.b): (r.score, r.why) for r in likely_pairs(nodes, keys, least).collect()}
+        assert got == {p: m for p, m in every.items() if m[1] != "scope" and m[0] >= least}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_consolidation_in_sequence(spark, seed):
     rng = random.Random(seed)
