@@ -104,11 +104,12 @@ def _reviews(spark, d):
     """Each order as a card about its customer and another of its eight, its lines as claims; events as actions on them."""
     partner = lambda c: F.floor(c / 8) * 8 + (c + 3) % 8
     lines = t(spark, d, "lineitem").select("l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim"))
-    of_card = lines.groupBy("l_orderkey").agg(F.collect_set("claim").alias("claims"))
-    o = t(spark, d, "orders").join(of_card, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    # Lines are dealt by order once, for cards and claims alike; claims once by their id, for all that joins them.
+    of_card = lines.repartition("l_orderkey").distinct().groupBy("l_orderkey").agg(F.collect_list("claim").alias("claims"))
+    o = written(t(spark, d, "orders").select("o_orderkey", "o_custkey").join(of_card, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey"))
     about = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey"))
     cards = o.select(F.col("o_orderkey").alias("card"), "claims", about.alias("a"), partner(about).alias("b"))
-    claims = lines.join(t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("entity")), "l_orderkey").select("claim", "entity").distinct()
+    claims = o.select(F.explode("claims").alias("claim"), F.col("o_custkey").alias("entity")).repartition("claim").distinct()
     nodes = t(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_name").alias("name"), (F.col("c_custkey") % 7).alias("refs"))
     i = F.col("event_id")
     card = F.when(i % 20 == 5, -i).when(i % 20 == 6, 1 - i).when(i % 20 == 4, -i - 1).when(i % 3 == 0, i).otherwise(F.col("user_id"))

@@ -10,6 +10,7 @@ from loomgraph.plans.completion import conventions
 from loomgraph.plans.decisions import resolve_titles
 from loomgraph.plans.packs import precedents
 from loomgraph.plans.resolution import consolidated, resolved
+from loomgraph.plans.reviews import _reviews
 from loomgraph.plans.updates import u06_positional_update
 from loomgraph.plans.wiring import fitting_rules, wire
 
@@ -124,3 +125,12 @@ def test_projects_that_share_a_word_and_a_title_are_not_paired(spark, most_rows)
     got, most = most_rows(lambda: resolved(nodes, none.select("name"), none.select("key", "status")).collect())
     assert len(got) == 300 and all(r.phase is None for r in got)
     assert most <= 3000
+
+
+def test_lines_are_dealt_to_cards_and_claims_once(spark, sf_dir):
+    _, cards, claims, _ = _reviews(spark, sf_dir)
+    assert not [f for df in (cards, claims) for f in df.inputFiles() if "lineitem" in f]
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS o_orderkey", "l_orderkey * 10 + l_linenumber AS claim")
+    want = spark.read.parquet(f"{sf_dir}/orders.parquet").join(lines, "o_orderkey").select("claim", F.col("o_custkey").alias("entity"), F.col("o_orderkey").alias("card")).distinct()
+    assert sorted(claims.collect()) == sorted(want.select("claim", "entity").collect())
+    assert sorted(cards.select("card", F.explode("claims")).collect()) == sorted(want.select("card", "claim").collect())
