@@ -244,8 +244,8 @@ def consolidated(rules, least: float = 0.4):
 
 @query()
 def v04_consolidation(spark, d):
-    """Each part as a rule of its brand: sizes of its order lines' quantities as decisions, its size as the document."""
+    """Each part as a rule of its brand: the suppliers of its order lines as decisions, its size as the document."""
     p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("owner"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("rule"), F.array(F.concat(F.lit("doc "), "p_size")).alias("documents"))
-    lines = t(spark, d, "lineitem").where("l_quantity <= 2").groupBy(F.col("l_partkey").alias("id")).agg(F.collect_set(F.concat(F.lit("supplier "), "l_suppkey")).alias("decisions"))
+    lines = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.collect_set(F.concat(F.lit("supplier "), "l_suppkey")).alias("decisions"))
     out = consolidated(p.join(lines, "id", "left"))
     return out.withColumn("merged", F.array_join(F.transform("merged", lambda i: i.cast("string")), "|"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomgraph.plans.resolution import consolidated, identities, likely_pairs, resolved
+from loomgraph.plans.resolution import consolidated, identities, likely_pairs, resolved, v04_consolidation
 
 NODES = "id long, name string, type string, aliases array<string>, titles array<string>, n_refs int, documented boolean, timeline boolean"
 
@@ -102,3 +102,11 @@ def test_consolidation_in_sequence(spark, seed):
     df = spark.createDataFrame(rows, "id long, owner string, rule string, decisions array<string>, documents array<string>")
     got = {r.id: (list(r.merged), r.n_decisions, r.n_documents) for r in consolidated(df).collect()}
     assert got == {i: (v[3], len(v[4]), len(v[5])) for i, v in left.items()} and any(v[3] for v in left.values())
+
+
+def test_consolidation_reads_lines_of_any_quantity(spark, tmp_path):
+    parts = [(1, "Brand#1", "old ring", "LARGE", 1), (2, "Brand#1", "old ring", "LARGE", 2), (3, "Brand#1", "old ring", "LARGE", 3)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(1, 7, 1.0), (1, 8, 50.0), (2, 8, 3.0), (3, 9, 2.0)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted((r.id, r.merged, r.n_decisions) for r in v04_consolidation(spark, str(tmp_path)).collect()) == [(1, "2", 2), (3, "", 1)]
