@@ -1,8 +1,9 @@
 """Vectors against vectors in blocks.
 
 Rows of a group are dealt to blocks of bounded size; each pair of blocks that may meet is a unit of its own, in which
-one numpy step compares all with all.  Only what a step selects leaves its task, so no join of single rows takes
-place, and a group of any size is spread over as many tasks as it has pairs of blocks."""
+numpy compares all with all, some rows at a time.  Only what a step selects leaves its task, so no join of single rows takes
+place, and a group of any size is spread over as many tasks as it has pairs of blocks.  A row goes to as many units as its
+block meets blocks, so blocks are large and few: rows sent are few beside the pairs compared."""
 
 from __future__ import annotations
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .graph import written
 
-#: Rows of a block.
-BLOCK = 1024
+#: Most rows of a block; blocks that a smaller group has, of so many rows at least; rows of a block compared at once.
+BLOCK, BLOCKS, STEP = 32768, 4, 1024
 EPSILON = 1e-10
 #: By how much sums in another order may be off, with room to spare.
 MARGIN = 1e-9
@@ -87,23 +88,34 @@ def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), n[0])
 
 
-def _units(select: Select):
+#: What a row of a unit is: of its first block, of its second one, or of the one block that meets itself.
+FIRST, SECOND, BOTH = 0, 1, 2
+
+
+def _units(select: Select, once: bool):
+    """Units' rows to PAIRS.  `once`: the two blocks are of the same rows, so a unit's pairs come in no other one."""
+
     def unit(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        left = t.column("left").to_numpy()
+        side = t.column("side").to_numpy()
         ids = t.column("id").to_numpy()
-        x = matrix(t.column("vector"))
-        if left.all() or not left.any():
-            return
-        a, b = ids[left], ids[~left]
-        if hasattr(select, "least"):
-            i, j, s = close(x[left], x[~left], select.least)
-            once = a[i] < b[j]
-            i, j, s = i[once], j[once], s[once]
-        else:
-            s = cosines(x[left], x[~left])
-            i, j = select(a, b, s)
-            s = s[i, j]
-        yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), pa.array(s)], names=["a", "b", "score"])
+        v = matrix(t.column("vector")).astype(np.float64, copy=False)
+        (a, x), (b, y) = ((ids[side != other], v[side != other]) for other in (SECOND, FIRST))
+        alone = bool((side == BOTH).any())
+        for m in range(0, len(a), STEP):
+            for n in range(m if alone else 0, len(b), STEP):
+                p, q = a[m : m + STEP], b[n : n + STEP]
+                if hasattr(select, "least"):
+                    i, j, s = close(x[m : m + STEP], y[n : n + STEP], select.least)
+                    p, q = p[i], q[j]
+                    if once and not (alone and m == n):
+                        p, q = np.minimum(p, q), np.maximum(p, q)
+                    p, q, s = p[p < q], q[p < q], s[p < q]
+                else:
+                    s = cosines(x[m : m + STEP], y[n : n + STEP])
+                    i, j = select(p, q, s)
+                    p, q, s = p[i], q[j], s[i, j]
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(s)], names=["a", "b", "score"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -123,7 +135,8 @@ def _units(select: Select):
 
 def in_blocks(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """df (id, group, vector) with a block number, and the blocks (group, blocks) of each group."""
-    sizes = df.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    n = F.count("*")
+    sizes = df.groupBy("group").agg(F.greatest(F.ceil(n / BLOCK), F.least(F.lit(BLOCKS), F.ceil(n / STEP))).cast("int").alias("blocks"))
     # A row for each group; whether they are broadcast is left to the optimizer.
     dealt = df.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     return dealt.select("id", "group", "block", "vector"), sizes
@@ -133,21 +146,28 @@ def compare(left: DataFrame, right: DataFrame, select: Select, everywhere: str |
     """PAIRS of what `select` takes of left (id, group, vector) and right (the same) in one group.
 
     Rows of the group `everywhere` meet the rows of all groups.  Null ids, groups or vectors meet nothing; vectors
-    of a group are of one length.  An empty side gives no rows."""
+    of a group are of one length.  An empty side gives no rows.  Where left is right and pairs have no order, two blocks meet once."""
     usable = "id is not null and group is not null and vector is not null"
-    clean = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("group").cast("string").alias("group"), F.col("vector").cast("array<double>").alias("vector")).where(usable)
+    once = left is right and hasattr(select, "least")
+    single = {df.schema["vector"].dataType.simpleString() for df in (left, right)} == {"array<float>"}
+    kind = "array<float>" if single else "array<double>"  # doubles are made of floats where they are compared
+    clean = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("group").cast("string").alias("group"), F.col("vector").cast(kind).alias("vector")).where(usable)
     (l, ls), (r, rs) = in_blocks(clean(left)), in_blocks(clean(right))
     one, two = ls.selectExpr("group AS g1", "explode(sequence(0, blocks - 1)) AS b1"), rs.selectExpr("group AS g2", "explode(sequence(0, blocks - 1)) AS b2")
-    meets = one.join(two, F.col("g1") == F.col("g2"))
-    if everywhere is not None:  # one row for each pair of blocks, of BLOCK rows each
-        wide = one.where(F.col("g1") == everywhere).withColumn("k", F.lit(0)).join(two.withColumn("k", F.lit(0)), "k")
-        back = two.where(F.col("g2") == everywhere).withColumn("k", F.lit(0)).join(one.withColumn("k", F.lit(0)), "k")
-        meets = meets.unionByName(wide.drop("k")).unionByName(back.drop("k")).distinct()
-    unit = F.concat_ws("\x1f", "g1", "b1", "g2", "b2")
-    meets = meets.withColumn("unit", unit)
-    rows = l.join(meets.select("unit", F.col("g1").alias("group"), F.col("b1").alias("block")), ["group", "block"]).select("unit", F.lit(True).alias("left"), "id", "vector")
-    rows = rows.union(r.join(meets.select("unit", F.col("g2").alias("group"), F.col("b2").alias("block")), ["group", "block"]).select("unit", F.lit(False).alias("left"), "id", "vector"))
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_units(select), PAIRS)
+    meets = one.join(two, F.col("g1") == F.col("g2")).where("b1 <= b2" if once else "true")
+    if everywhere is not None:  # one row for each pair of blocks
+        wide = one.where(F.col("g1") == everywhere).withColumn("k", F.lit(0)).join(two.where(F.col("g2") != everywhere).withColumn("k", F.lit(0)), "k")
+        back = two.where(F.col("g2") == everywhere).withColumn("k", F.lit(0)).join(one.where(F.col("g1") != everywhere).withColumn("k", F.lit(0)), "k")
+        meets = meets.unionByName(wide.drop("k")) if once else meets.unionByName(wide.drop("k")).unionByName(back.drop("k"))
+    same = (F.col("g1") == F.col("g2")) & (F.col("b1") == F.col("b2")) & F.lit(once)
+    meets = meets.select("*", F.concat_ws("\x1f", "g1", "b1", "g2", "b2").alias("unit"), same.alias("same"))
+    firsts = meets.select("unit", F.col("g1").alias("group"), F.col("b1").alias("block"), F.when(F.col("same"), BOTH).otherwise(FIRST).alias("side"))
+    seconds = meets.where("not same").select("unit", F.col("g2").alias("group"), F.col("b2").alias("block"), F.lit(SECOND).alias("side"))
+    if once:
+        rows = l.join(firsts.union(seconds), ["group", "block"])
+    else:
+        rows = l.join(firsts, ["group", "block"]).unionByName(r.join(seconds, ["group", "block"]))
+    return rows.select("unit", "side", "id", "vector").repartition("unit").sortWithinPartitions("unit").mapInArrow(_units(select, once), PAIRS)
 
 
 def with_previous(df: DataFrame, key: str, order: str, value: str) -> DataFrame:

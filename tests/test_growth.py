@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import graph
 from loomgraph.operators.graph import written
+from loomgraph.operators.vectors import at_least, compare
 from loomgraph.plans.audits import conventions as conventions_of
 from loomgraph.plans.completion import conventions
 from loomgraph.plans.decisions import resolve_titles
@@ -155,3 +156,11 @@ def test_lines_are_dealt_to_cards_and_claims_once(spark, sf_dir):
     want = spark.read.parquet(f"{sf_dir}/orders.parquet").join(lines, "o_orderkey").select("claim", F.col("o_custkey").alias("entity"), F.col("o_orderkey").alias("card")).distinct()
     assert sorted(claims.collect()) == sorted(want.select("claim", "entity").collect())
     assert sorted(cards.select("card", F.explode("claims")).collect()) == sorted(want.select("card", "claim").collect())
+
+
+def test_vectors_go_to_few_units(spark, most_rows):
+    turned = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.sin((F.col("id") % 11000 * k * k) % 7919))
+    v = spark.range(12000).select("id", F.lit("one").alias("group"), turned.alias("vector"))
+    got, most = most_rows(lambda: compare(v, v, at_least(0.999999), everywhere="none").collect())
+    assert {(i, i + 11000) for i in range(1, 1000)} <= {(r.a, r.b) for r in got}
+    assert most <= 5 * 12000

@@ -28,3 +28,26 @@ def test_matrix():
     assert np.array_equal(V.matrix(some), [[3, np.nan], [5, 6]], equal_nan=True)
     with pytest.raises(ValueError):
         V.matrix(pa.chunked_array([pa.array([[1.0], [1.0, 2.0], [1.0, 2.0, 3.0]])]))
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_blocks_meet_once(spark, kind, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 16)
+    monkeypatch.setattr(V, "STEP", 8)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(150, 3)).astype(np.float32).astype(float)
+    group = [["none", "x", "y", None][i % 4] if i % 5 else "x" for i in range(150)]
+    rows = [(i % 140, group[i], v[i].tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, f"id long, group string, vector array<{kind}>")
+    s = V.cosines(v, v)
+    meet = lambda i, j, wide: group[i] and group[j] and (group[i] == group[j] or wide and "none" in (group[i], group[j]))
+    want = lambda wide: sorted((rows[i][0], rows[j][0], s[i, j]) for i in range(150) for j in range(150) if meet(i, j, wide) and rows[i][0] < rows[j][0] and s[i, j] >= 0.7)
+    assert sorted(map(tuple, V.compare(df, df, V.at_least(0.7), "none").collect())) == want(True)
+    other = df.select("*")
+    assert sorted(map(tuple, V.compare(df, other, V.at_least(0.7), "none").collect())) == want(True)
+    assert sorted(map(tuple, V.compare(df, df, V.at_least(0.7)).collect())) == want(False)
+    best = {}
+    for q, b, score in V.compare(df.where("id < 9"), df, V.nearest(3)).collect():
+        best.setdefault(q, []).append((-score, b))
+    x = [i for i in range(150) if group[i] == "x"]
+    assert sorted(best[0])[:3] == sorted((-s[0, j], rows[j][0]) for j in x if rows[j][0] != 0)[:3] or group[140] == "x"
