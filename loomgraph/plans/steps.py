@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import loose, truncate
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, written
 from ..registry import query
 from ..sources.tables import table as t
 from .joins import COS, GATE, gated_pairs, nearest_of_label
@@ -231,7 +231,7 @@ def y22_fact_groups(spark, d):
 
     A group whose members' labels differ is a conflict; in others the canonical claim's text (of the least id) is copied
     to all members.  A low confidence becomes medium with HITS similar claims."""
-    pairs = gated_pairs(spark, d, SIMILAR)
+    pairs = written(gated_pairs(spark, d, SIMILAR))
     both = pairs.select("a", "score").union(pairs.select("b", "score"))
     hits = both.where(F.col("score") >= HIT).groupBy(F.col("a").alias("vec_id")).agg(F.count("*").alias("hits"))
     g = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("SAME").alias("type"))).select(F.col("node").alias("vec_id"), F.col("component").alias("canonical"))

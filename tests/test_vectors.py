@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from loomgraph.operators import vectors as V
+from loomgraph.plans.steps import y22_fact_groups
 
 
 @pytest.mark.parametrize("odd", [None, np.nan, np.inf, 1e200])
@@ -51,3 +52,7 @@ def test_blocks_meet_once(spark, kind, monkeypatch):
         best.setdefault(q, []).append((-score, b))
     x = [i for i in range(150) if group[i] == "x"]
     assert sorted(best[0])[:3] == sorted((-s[0, j], rows[j][0]) for j in x if rows[j][0] != 0)[:3] or group[140] == "x"
+
+
+def test_claims_are_compared_once(spark, sf_dir):
+    assert "MapInArrow" not in y22_fact_groups(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
