@@ -227,18 +227,22 @@ def consolidated(rules, least: float = 0.4):
     low = lambda c: F.lower(F.trim(c))
     none = F.expr("array()").cast("array<string>")
     r = rules.where("id is not null").dropDuplicates(["id"]).select("id", "owner", "rule", low(F.coalesce("owner", F.lit(""))).alias("of"), F.coalesce("decisions", none).alias("decisions"), F.coalesce("documents", none).alias("documents"))
-    r = written(r)
-    # Equal rules of an owner are one class, known by its first; classes meet at their words, rows at evidence of their owner.
-    w = r.select("id", "of", F.array_sort(x.tokens(F.col("rule"))).alias("w")).where("size(w) > 0")
-    classes = written(w.groupBy("of", "w").agg(F.min("id").alias("c")))
+    r = written(r.withColumn("w", F.array_sort(x.tokens(F.col("rule")))))
+    # Equal rules of an owner are one class, known by its first; classes meet at their words, rows at evidence of their owner (its first class).
+    classes = r.where("size(w) > 0").groupBy("of", "w").agg(F.min("id").alias("c"))
+    classes = written(classes.join(classes.groupBy("of").agg(F.min("c").alias("o")), "of"))
     at = classes.select("c", "of", "w", F.explode("w").alias("token"))
     met = at.toDF("a", "of", "wa", "token").join(at.toDF("b", "of", "wb", "token"), ["of", "token"]).where("a < b and token = array_min(array_intersect(wa, wb))")
     pairs = met.where(x.token_similarity(F.col("wa"), F.col("wb")) >= least).select("a", "b")
     kinds = F.concat(F.transform("decisions", lambda d: F.concat(F.lit("d:"), low(d))), F.transform("documents", lambda d: F.concat(F.lit("s:"), low(d))))
-    evidence = r.select("id", "of", F.explode_outer(kinds).alias("e")).select("id", F.when(F.col("e").isNotNull(), F.struct("of", "e")).alias("e"))
-    into = growing_merges(pairs, evidence, w.join(classes, ["of", "w"]).select("id", "c"))
-    m = r.join(into, "id")
-    sums = m.groupBy("into").agg(F.array_sort(F.collect_list(F.when(F.col("id") != F.col("into"), F.col("id")))).alias("merged"), F.size(F.array_distinct(F.flatten(F.collect_list("decisions")))).alias("n_decisions"), F.size(F.array_distinct(F.flatten(F.collect_list("documents")))).alias("n_documents"))
+    said = r.join(classes, ["of", "w"]).select("id", "c", "o", F.explode(F.array_distinct(kinds)).alias("s"))
+    numbers = written(said.select("s").where("s is not null").distinct().select("s", F.monotonically_increasing_id().alias("number")))
+    into = growing_merges(pairs, said.join(numbers, "s").select("id", F.struct("o", "number").alias("e"), "c"))
+    m = r.join(into, "id", "left").withColumn("into", F.coalesce("into", "id"))
+    merged = m.groupBy("into").agg(F.array_sort(F.collect_list(F.when(F.col("id") != F.col("into"), F.col("id")))).alias("merged"))
+    # Null is one of its kind.
+    each = lambda c: m.select("into", F.explode(c).alias("d")).distinct().groupBy("into").agg(F.count("*").cast("int").alias(f"n_{c}"))
+    sums = merged.join(each("decisions"), "into", "left").join(each("documents"), "into", "left").na.fill(0, ["n_decisions", "n_documents"])
     return r.select("id", "owner", "rule").join(sums, F.col("id") == F.col("into")).drop("into")
 
 
@@ -246,6 +250,7 @@ def consolidated(rules, least: float = 0.4):
 def v04_consolidation(spark, d):
     """Each part as a rule of its brand: the suppliers of its order lines as decisions, its size as the document."""
     p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("owner"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("rule"), F.array(F.concat(F.lit("doc "), "p_size")).alias("documents"))
-    lines = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.collect_set(F.concat(F.lit("supplier "), "l_suppkey")).alias("decisions"))
+    lines = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.collect_set("l_suppkey").alias("suppliers"))
+    lines = lines.select("id", F.transform("suppliers", lambda s: F.concat(F.lit("supplier "), s)).alias("decisions"))
     out = consolidated(p.join(lines, "id", "left"))
     return out.withColumn("merged", F.array_join(F.transform("merged", lambda i: i.cast("string")), "|"))

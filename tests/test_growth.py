@@ -1,9 +1,11 @@
 """Rows that steps make between input and result: no more where names, words and keys repeat a lot."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph
+from loomgraph.operators import clusters, graph
 from loomgraph.operators.graph import written
 from loomgraph.operators.vectors import at_least, compare
 from loomgraph.plans.audits import conventions as conventions_of
@@ -130,6 +132,27 @@ def test_equal_rules_of_an_owner_are_consolidated_by_class(spark, most_rows):
     assert {r.id: len(r.merged) for r in got} == {0: 133, 1: 132, 2: 132} and most <= 4000
 
 
+def test_rules_after_the_first_go_to_leaders_at_once(spark, most_rows, monkeypatch):
+    monkeypatch.setattr(clusters, "FIRST", 60, raising=False)
+    rng = random.Random(7)
+    rows = [(i, "Ada", f"plain {rng.choice(['red', 'old', 'hot', 'big', 'dry'])} {rng.choice(['ring', 'bolt', 'cog', 'pin'])}", [f"d{rng.randrange(40 + i // 4)}" for _ in range(4)]) for i in range(1500)]
+    held, merged, count = {}, {}, {}
+    for i, _, rule, said in rows:
+        alike = [k for d in said for k in held.get(d, ()) if len({*rule.split()} & {*rows[k][2].split()}) >= 2]
+        into = min(alike, default=i)
+        if into == i:
+            merged[i], count[i] = [], set()
+        else:
+            merged[into].append(i)
+        count[into] |= {*said}
+        for d in said:
+            held.setdefault(d, set()).add(into)
+    df = spark.createDataFrame(rows, "id long, owner string, rule string, decisions array<string>").withColumn("documents", F.expr("array()").cast("array<string>"))
+    got, most = most_rows(lambda: consolidated(df).collect())
+    assert {r.id: (list(r.merged), r.n_decisions) for r in got} == {i: (m, len(count[i])) for i, m in merged.items()}
+    assert len(merged) == 14 and most <= 15000
+
+
 def test_components_write_few_rows_beside_the_edges(spark, monkeypatch):
     kept = []
     monkeypatch.setattr(graph, "written", lambda df, *by: kept.append(written(df, *by)) or kept[-1])
